@@ -63,7 +63,7 @@ def cidr_high(cidr: Column) -> Column:
 
 def _block_size(cidr: Column) -> Column:
     length = F.coalesce(F.try_element_at(F.split(cidr, "/"), F.lit(2)).try_cast("int"), F.lit(32))
-    return F.when(length.between(0, 32), F.shiftleft(F.lit(1).cast("long"), F.lit(32) - length))
+    return F.when(length.between(0, 32), F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(32) - length))
 
 
 def subnet_of(ip: Column, prefix: int = 24) -> Column:

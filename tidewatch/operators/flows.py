@@ -42,59 +42,55 @@ def with_sessions(packets: DataFrame, tie: list[str], s: FlowSettings = FlowSett
     flags = F.coalesce("tcp_flags", F.lit(0))
     closes = (F.col("protocol") == TCP) & (has_flag(flags, FIN) | has_flag(flags, RST))
     keyed = with_flow_key(packets).withColumn("closes", F.coalesce(closes, F.lit(False)))
-    gapped = lag_by_chunks(keyed, ["flow_id"], ["us", *tie], ["us"], prefix="_prev_")
-    gapped = gapped.withColumn("gap_before", F.coalesce(F.col("us") - F.col("_prev_us"), F.lit(0)).cast("double")).drop("_prev_us")
     fold = sessions(s.idle_seconds * MICROS, s.active_seconds * MICROS)
-    return run_fold(gapped, ["flow_id"], ["us", *tie], fold, chunk_rows=chunk_rows)
-
-
-def _last_stats(rows: DataFrame, keys: list[str], order: list[str], value: str, n: int, prefix: str) -> DataFrame:
-    """Mean and population deviation of the last n values per record."""
-    recent = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    kept = rows.filter(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(recent)).filter(F.col("_r") <= n)
-    return kept.groupBy(*keys).agg(F.avg(value).alias(f"{prefix}_avg"), F.stddev_pop(value).alias(f"{prefix}_std"))
+    return run_fold(keyed, ["flow_id"], ["us", *tie], fold, chunk_rows=chunk_rows)
 
 
 def flow_records(packets: DataFrame, tie: list[str], s: FlowSettings = FlowSettings(), direction_aware: bool = True,
                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Bidirectional flow records from packet rows.
 
-    Counters and times combine before the shuffle; the bounded histories (last window sizes, payload sizes and
-    gaps) are top-n per record. `direction_aware=False` counts every packet as forward.
+    A record spans at most the active timeout, so its packets are grouped once: the same shuffle
+    serves the direction of the first packet, the bounded histories (last window or payload sizes
+    and gaps) and the counters. `direction_aware=False` counts every packet as forward.
     """
     rows = with_sessions(packets, tie, s, chunk_rows).na.fill(0, ["sport", "dport", "protocol", "length"])
     keys = ["flow_id", "session_us", "session_part"]
-    ends = ["ip_src", "sport", "ip_dst", "dport", "protocol"]
+    newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in ("us", *tie)])
+    whole = newest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = newest.rowsBetween(Window.unboundedPreceding, 0)
+    gap = (F.col("us") - F.lead("us").over(newest)) / F.lit(float(MICROS))
+    size = F.when(F.col("protocol") == TCP, F.col("tcp_window")).when(F.col("protocol") == UDP, F.col("udp_len"))
+    ends = ["ip_src", "ip_dst", "sport", "dport", "protocol"]
+    rows = rows.withColumns({"_size": size, "_gap": gap, "_head": F.last(F.struct("us", *ends)).over(whole),
+                             "_last_us": F.first("us").over(whole)})
+    rows = rows.withColumn("_gap", F.when((F.col("_gap") > 0) & (F.col("_gap") < s.gap_limit_seconds), F.col("_gap")))
+    rows = rows.withColumns({"_size_rank": F.count("_size").over(so_far), "_gap_rank": F.count("_gap").over(so_far)})
+    recent_size = F.when(F.col("_size_rank") <= s.size_history, F.col("_size"))
+    recent_gap = F.when(F.col("_gap_rank") <= s.gap_history, F.col("_gap"))
+    forward = ((F.col("ip_src") == F.col("_head.ip_src")) & (F.col("sport") == F.col("_head.sport"))
+               if direction_aware else F.lit(True))
     flags = F.when(F.col("protocol") == TCP, F.coalesce("tcp_flags", F.lit(0))).otherwise(0)
-
-    def many(mask: int) -> Column:
-        return F.count_if(has_flag(flags, mask))
-
-    # One row per record and direction first; the direction of the first packet is the forward one.
-    sides = rows.groupBy(*keys, *ends).agg(
-        F.min(F.struct("us", *tie)).alias("first"), F.max("us").alias("last_us"), F.count("*").alias("n"),
-        F.sum("length").alias("b"), many(SYN).alias("tcp_syn_count"), many(SYN_ACK).alias("tcp_syn_ack_count"),
-        many(RST).alias("tcp_rst_count"), many(FIN).alias("tcp_fin_count"))
-    flag_counts = ["tcp_syn_count", "tcp_syn_ack_count", "tcp_rst_count", "tcp_fin_count"]
-    base = sides.groupBy(*keys).agg(
-        F.min_by(F.struct(*ends, "n", "b"), "first").alias("h"), F.min("first.us").alias("first_us"),
-        F.max("last_us").alias("last_us"), F.sum("n").alias("n"), F.sum("b").alias("b"),
-        *[F.sum(c).alias(c) for c in flag_counts])
-    fwd_n, fwd_b = (F.col("h.n"), F.col("h.b")) if direction_aware else (F.col("n"), F.col("b"))
-    base = base.select(*keys, *[F.col(f"h.{e}").alias(e) for e in ends], "first_us", "last_us",
-                       fwd_n.alias("packets"), fwd_b.alias("bytes"), (F.col("n") - fwd_n).alias("packets_reverse"),
-                       (F.col("b") - fwd_b).alias("bytes_reverse"), *flag_counts)
-    order = ["us", *tie]
-    windows = _last_stats(rows.filter(F.col("protocol") == TCP), keys, order, "tcp_window", s.size_history, "tcp_window")
-    payload = _last_stats(rows.filter(F.col("protocol") == UDP), keys, order, "udp_len", s.size_history, "udp_payload")
-    limit = float(s.gap_limit_seconds)
-    gap = F.col("gap_before") / F.lit(float(MICROS))
-    inside = (F.col("us") > F.col("session_us")) & (gap > 0) & (gap < limit)
-    gaps = _last_stats(rows.withColumn("gap", F.when(inside, gap)), keys, order, "gap", s.gap_history, "interarrival")
-    out = base.join(windows, keys, "left").join(payload, keys, "left").join(gaps, keys, "left")
-    out = out.na.fill(0.0, ["tcp_window_avg", "tcp_window_std", "udp_payload_avg", "udp_payload_std",
-                            "interarrival_avg", "interarrival_std"]).withColumnRenamed("interarrival_avg", "interarrival_mean")
-    return with_rates(out)
+    length = F.col("length").cast("bigint")
+    grouped = rows.withColumn("_fwd", forward).groupBy(*keys).agg(
+        F.first("_head").alias("h"), F.first("_last_us").alias("last_us"), F.count_if("_fwd").alias("packets"),
+        F.sum(F.when(F.col("_fwd"), length).otherwise(0)).alias("bytes"), F.count_if(~F.col("_fwd")).alias("packets_reverse"),
+        F.sum(F.when(~F.col("_fwd"), length).otherwise(0)).alias("bytes_reverse"),
+        *[F.count_if(has_flag(flags, mask)).alias(name) for name, mask in (
+            ("tcp_syn_count", SYN), ("tcp_syn_ack_count", SYN_ACK), ("tcp_rst_count", RST), ("tcp_fin_count", FIN))],
+        F.avg(recent_size).alias("_size_avg"), F.stddev_pop(recent_size).alias("_size_std"),
+        F.avg(recent_gap).alias("_gap_avg"), F.stddev_pop(recent_gap).alias("_gap_std"))
+
+    def stat(name: str, protocol: int | None = None) -> Column:
+        value = F.coalesce(F.col(name), F.lit(0.0))
+        return value if protocol is None else F.when(F.col("h.protocol") == protocol, value).otherwise(0.0)
+
+    return with_rates(grouped.select(
+        *keys, *[F.col(f"h.{e}").alias(e) for e in ends], F.col("h.us").alias("first_us"), "last_us", "packets", "bytes",
+        "packets_reverse", "bytes_reverse", "tcp_syn_count", "tcp_syn_ack_count", "tcp_rst_count", "tcp_fin_count",
+        stat("_size_avg", TCP).alias("tcp_window_avg"), stat("_size_std", TCP).alias("tcp_window_std"),
+        stat("_size_avg", UDP).alias("udp_payload_avg"), stat("_size_std", UDP).alias("udp_payload_std"),
+        stat("_gap_avg").alias("interarrival_mean"), stat("_gap_std").alias("interarrival_std")))
 
 
 def with_rates(flows: DataFrame) -> DataFrame:
@@ -137,7 +133,7 @@ def flow_features(flows: DataFrame) -> DataFrame:
     return out.withColumn("vector", F.array(*[F.col(c).cast("float") for c in FLOW_VECTOR]))
 
 
-def counter_deltas(snapshots: DataFrame, tie: list[str], chunk_seconds: int = 3600) -> DataFrame:
+def counter_deltas(snapshots: DataFrame, tie: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per-update deltas of cumulative counters per `flow_id`.
 
     A counter that fell means a restart: the full values count. Updates that change nothing are
@@ -146,7 +142,7 @@ def counter_deltas(snapshots: DataFrame, tie: list[str], chunk_seconds: int = 36
     clean = snapshots.withColumns({c: counter(F.col(c)) for c in COUNTERS if c in snapshots.columns})
     clean = clean.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     known = F.coalesce(F.col("flow_id"), F.lit("")) != ""
-    lagged = lag_by_chunks(clean.filter(known), ["flow_id"], ["us", *tie], COUNTERS, chunk_us=chunk_seconds * MICROS)
+    lagged = lag_by_chunks(clean.filter(known), ["flow_id"], ["us", *tie], COUNTERS, chunk_rows=chunk_rows)
     restart = F.col("prev_total_packets").isNull()
     for c in COUNTERS:
         restart = restart | (F.col(c) < F.col(f"prev_{c}"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.net import label_safe
 from ..functions.numeric import MICROS
-from .ordered import lag_by_chunks
+from .ordered import CHUNK_ROWS, lag_by_chunks
 from .rolling import global_rank
 
 # Histogram bounds.
@@ -68,17 +68,17 @@ def over_time(samples: DataFrame, series: list[str], aggregate: Callable[[Column
 
 
 def increase(samples: DataFrame, series: list[str], seconds: int, tie: list[str], value: str = "value", ts: str = "ts",
-             chunk_seconds: int = 3600) -> DataFrame:
+             block_seconds: int = 3600, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Counter growth over the trailing `seconds` and its rate; a fall is a restart and counts in full.
 
     No extrapolation to the window edges.
     """
     timed = samples.withColumn("us", F.unix_micros(F.col(ts).cast("timestamp")))
-    lagged = lag_by_chunks(timed, series, ["us", *tie], [value], chunk_us=chunk_seconds * MICROS)
+    lagged = lag_by_chunks(timed, series, ["us", *tie], [value], chunk_rows=chunk_rows)
     prev = F.col(f"prev_{value}")
     step = F.when(prev.isNull(), F.lit(0.0)).when(F.col(value) < prev, F.col(value)).otherwise(F.col(value) - prev)
     grown = lagged.withColumn("_step", step.cast("double")).drop(f"prev_{value}", "us")
-    summed = over_time(grown, series, F.sum, seconds, "increase", "_step", ts, chunk_seconds)
+    summed = over_time(grown, series, F.sum, seconds, "increase", "_step", ts, block_seconds)
     return summed.withColumn("rate", F.col("increase") / seconds).drop("_step")
 
 

@@ -3,7 +3,7 @@
 Each decision depends on the previous ones of its key, and one key may hold a third of all rows.
 Keys with more rows than fit one task are therefore cut into time chunks:
 
-1. `with_chunks` finds the hot keys and cuts them so that a chunk holds about `chunk_rows` rows;
+1. hot keys are looked for and cut at time slots so that a chunk holds about `chunk_rows` rows;
 2. every chunk is summarised in parallel (what state leaves it, given what state enters);
 3. the summaries of a key, one short row per chunk, are walked in order to find each entry state;
 4. all chunks are replayed in parallel from their true entry states.
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,27 +33,32 @@ CHUNK_ROWS = 1_000_000
 Rows = dict[str, np.ndarray]        # the needed columns of one chunk, in order
 NONE = np.iinfo(np.int64).min       # "no state yet"
 KEEP = NONE + 1                     # "the entry state passes through"
+SMALL = 200_000                     # rows of a side that may be broadcast
 SAME_TIME = 1024                    # places told apart among rows of one microsecond
 
 
-def hot_slots(df: DataFrame, keys: list[str], us: str, chunk_rows: int, slot_us: int = MICROS) -> DataFrame:
-    """(keys, slot, chunk) for the keys with more than `chunk_rows` rows; empty when there are none.
+def hot_keys(df: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame:
+    """Keys with more than `chunk_rows` rows: at most total rows / chunk_rows of them."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return counts.filter(F.col("_n") > chunk_rows).drop("_n")
 
-    At most total_rows / chunk_rows keys can be hot, and a hot key has one row per occupied slot.
-    """
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > chunk_rows).drop("_n")
+
+def hot_slots(df: DataFrame, keys: list[str], us: str, chunk_rows: int, slot_us: int = MICROS) -> DataFrame:
+    """(keys, slot, chunk) of the hot keys, one row per occupied time slot, written once."""
     slot = F.expr(f"`{us}` div {slot_us}")
-    counts = df.join(hot, keys, "left_semi").groupBy(*keys, slot.alias("_slot")).agg(F.count("*").alias("_n"))
+    hot_rows = df.join(hot_keys(df, keys, chunk_rows), keys, "left_semi")
+    counts = hot_rows.groupBy(*keys, slot.alias("_slot")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("_n").over(before), F.lit(0))
-    return counts.select(*keys, "_slot", F.expr("_n").alias("_n"), start.alias("_before")).select(
-        *keys, "_slot", F.expr(f"_before div {chunk_rows}").alias("_chunk"))
+    return cut_lineage(counts.select(*keys, "_slot", start.alias("_before")).select(
+        *keys, "_slot", F.expr(f"_before div {chunk_rows}").alias("_chunk")))
 
 
 def with_chunks(df: DataFrame, keys: list[str], us: str, slots: DataFrame, slot_us: int = MICROS) -> DataFrame:
     """Adds `_chunk`: the slot's chunk for hot keys, null for cold ones."""
     slotted = df.withColumn("_slot", F.expr(f"`{us}` div {slot_us}"))
-    return slotted.join(slots, [*keys, "_slot"], "left").drop("_slot")
+    side = F.broadcast(slots) if slots.limit(SMALL + 1).count() <= SMALL else slots
+    return slotted.join(side, [*keys, "_slot"], "left").drop("_slot")
 
 
 @dataclass(frozen=True)
@@ -116,13 +121,19 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
 
 def run_fold(df: DataFrame, keys: list[str], order: list[str], fold: Fold, us: str = "us",
              chunk_rows: int = CHUNK_ROWS, max_walks: int = 1000) -> DataFrame:
-    """All rows of `df` with the fold's output columns; `order` must start with `us`."""
+    """All rows of `df` with the fold's output columns; `order` must start with `us`.
+
+    Looking for hot keys is one counting job; without any, the rows go through one shuffle.
+    """
     if order[0] != us:
         raise ValueError("rows must be ordered by event time first")
-    chunked = with_chunks(df, keys, us, hot_slots(df, keys, us, chunk_rows))
-    entries = _entries(chunked.filter(F.col("_chunk").isNotNull()), keys, order, fold, max_walks)
-    ready = chunked.withColumn("_chunk", F.coalesce("_chunk", F.lit(-1).cast("bigint")))
-    ready = ready.join(entries, [*keys, "_chunk"], "left")
+    if hot_keys(df, keys, chunk_rows).isEmpty():
+        ready = df.withColumns({"_chunk": F.lit(-1).cast("bigint"), "_entry": F.lit(None).cast("array<bigint>")})
+    else:
+        chunked = with_chunks(df, keys, us, hot_slots(df, keys, us, chunk_rows))
+        entries = _entries(chunked.filter(F.col("_chunk").isNotNull()), keys, order, fold, max_walks)
+        ready = chunked.withColumn("_chunk", F.coalesce("_chunk", F.lit(-1).cast("bigint")))
+        ready = ready.join(entries, [*keys, "_chunk"], "left")
     group = [*keys, "_chunk"]
     arrow = {T.BooleanType(): pa.bool_(), T.LongType(): pa.int64()}
     names, added = df.columns, [(f.name, arrow[f.dataType]) for f in fold.outputs.fields]
@@ -266,16 +277,17 @@ def sessions(idle_us: int, active_us: int, us: str = "us", closes: str = "closes
     named by its first row: time times 1024 plus the row's place among rows of the same time.
     """
 
-    # A gap over a chunk edge cannot be seen from inside the chunk, so the state also carries the
-    # time of the last row: [session start] is only valid while the gap to the next row is short.
-    # `gap_before` (time since the previous row of the key) is computed beforehand and supplies it.
+    # The state is (session name, time of the last row): the time shows an idle gap at a chunk edge.
 
-    def cuts(rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+    def cuts(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         t = rows[us].astype(np.int64, copy=False)
-        gap = rows["gap_before"].astype(np.float64, copy=False)
-        idle = gap > idle_us                    # this row starts a session
+        idle = np.zeros(len(t), dtype=bool)     # this row starts a session
+        idle[1:] = np.diff(t) > idle_us
         stop = rows[closes].astype(bool, copy=False)  # the next row starts one
-        return idle, stop
+        return t, idle, stop
+
+    def alive(state: list[int], first: int) -> bool:
+        return bool(state) and first - state[1] <= idle_us
 
     def limits(t: np.ndarray, idle: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """First row after i that a cut independent of the start forces into a new session."""
@@ -313,14 +325,10 @@ def sessions(idle_us: int, active_us: int, us: str = "us", closes: str = "closes
         return out
 
     def summarize(rows: Rows, run: list[int]) -> list[int]:
-        t = rows[us].astype(np.int64, copy=False)
-        idle, stop = cuts(rows)
+        t, idle, stop = cuts(rows)
         hard = limits(t, idle, stop)
         out = exits(t, hard, stop)
         n, first = len(t), int(hard[len(t)])
-        fresh = int(out[0])
-        if first == 0:                          # an idle gap before the first row ends any session
-            return [fresh, END, fresh]
         # Entry start s: row j is the first with t > s + active, if it lies before the forced row.
         uppers, values = [], []
         reach = int(np.searchsorted(t, t[0] + active_us, side="right")) + 1
@@ -330,26 +338,29 @@ def sessions(idle_us: int, active_us: int, us: str = "us", closes: str = "closes
             uppers.append((int(t[j]) - active_us) * SAME_TIME)
             values.append(int(out[j + 1]) if j + 1 < n else NONE)
         last = int(out[first]) if first < n else (NONE if stop[n - 1] else KEEP)
-        return _pack([*uppers, END], [*values, last], fresh)
+        return [int(t[0]), int(t[-1]), *_pack([*uppers, END], [*values, last], int(out[0]))]
+
+    def follow(summary: list[int], run: list[int], state: list[int]) -> tuple[list[int], bool]:
+        entry = state[:1] if alive(state, summary[0]) else []
+        after, exact = _follow_steps(summary[2:], run, entry)
+        return [*after, summary[1]] if after else [], exact
 
     def replay(rows: Rows, entry: list[int]) -> Rows:
-        t = rows[us].astype(np.int64, copy=False)
-        idle, stop = cuts(rows)
+        t, idle, stop = cuts(rows)
         hard = limits(t, idle, stop)
         n, name = len(t), names(t)
         begin = np.empty(n, dtype=np.int64)
         i = 0
-        if entry and not idle[0]:
-            nxt, _ = step(t, hard, entry[0] // SAME_TIME, int(hard[n]))
-            begin[:nxt] = entry[0]
-            i = nxt
+        if alive(entry, int(t[0])):
+            i, _ = step(t, hard, entry[0] // SAME_TIME, int(hard[n]))
+            begin[:i] = entry[0]
         while i < n:
             nxt, _ = step(t, hard, int(t[i]), int(hard[i]))
             begin[i:nxt] = name[i]
             i = nxt
         return {"session_us": begin // SAME_TIME, "session_part": begin % SAME_TIME}
 
-    return Fold([us, "gap_before", closes], summarize, _follow_steps, replay,
+    return Fold([us, closes], summarize, follow, replay,
                 T.StructType([T.StructField("session_us", T.LongType()), T.StructField("session_part", T.LongType())]))
 
 
@@ -464,25 +475,21 @@ def spacing_with_quota(gap_us: int, window_us: int, quota: int, us: str = "us")
 # ---- previous row of a key --------------------------------------------------------------------
 
 def lag_by_chunks(df: DataFrame, keys: list[str], order: list[str], values: list[str], us: str = "us",
-                  chunk_us: int = 3600 * MICROS, prefix: str = "prev_") -> DataFrame:
-    """Previous row's values per key without sorting a whole key in one task.
+                  chunk_rows: int = CHUNK_ROWS, prefix: str = "prev_") -> DataFrame:
+    """Previous row's values per key without sorting a hot key in one task.
 
-    Inside a time chunk this is `lag`; the first row of a chunk takes the last row of the key's
-    previous chunk, found over one row per chunk.
+    Cold keys use `lag`. Inside a chunk of a hot key so does every row but the first, which takes the
+    last row of the key's previous chunk, found over one row per chunk.
     """
-    chunked = df.withColumn("_chunk", F.expr(f"`{us}` div {chunk_us}"))
     packed = F.struct(*values)
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    local = chunked.withColumn("_prev", F.lag(packed).over(inside)).withColumn(
-        "_first", F.row_number().over(inside) == 1)
-    tails = chunked.groupBy(*keys, "_chunk").agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
-    carried = tails.select(*keys, "_chunk", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry"))
-    joined = local.join(carried, [*keys, "_chunk"])
-    prev = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev"))
-    return joined.select(*df.columns, prev.alias("_p")).select(
-        *df.columns, *[F.col(f"_p.{v}").alias(prefix + v) for v in values])
-
-
-def epoch_us(ts: Column | str) -> Column:
-    ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(ts.cast("timestamp"))
+    if hot_keys(df, keys, chunk_rows).isEmpty():
+        lagged = df.withColumn("_p", F.lag(packed).over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
+        chunked = with_chunks(df, keys, us, hot_slots(df, keys, us, chunk_rows))
+        tails = chunked.filter(F.col("_chunk").isNotNull()).groupBy(*keys, "_chunk").agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
+        carried = tails.select(*keys, "_chunk", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry"))
+        filled = chunked.withColumn("_chunk", F.coalesce("_chunk", F.lit(-1).cast("bigint")))
+        inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+        local = filled.withColumn("_prev", F.lag(packed).over(inside)).join(carried, [*keys, "_chunk"], "left")
+        lagged = local.withColumn("_p", F.coalesce("_prev", "_carry"))
+    return lagged.select(*df.columns, *[F.col(f"_p.{v}").alias(prefix + v) for v in values])

@@ -41,7 +41,7 @@ def weight(flows: DataFrame) -> Column:
     return F.when(count == 0, F.lit(1).cast("bigint")).otherwise(count)
 
 
-def _base(sizes: list[int]) -> int:
+def common_bucket(sizes: list[int]) -> int:
     return reduce(gcd, sizes)
 
 
@@ -52,9 +52,8 @@ def _fan_out(df: DataFrame, sizes: list[int], bucket: str = "bucket") -> DataFra
     return sized.withColumn("window_start", start).drop(bucket)
 
 
-def window_totals(flows: DataFrame, sizes: list[int], ts: str = "ts") -> DataFrame:
-    """Packets, bytes, flows, flags, protocol weights and packet-size moments per window."""
-    n, w = packet_count(flows), weight(flows)
+def measured(flows: DataFrame) -> list[Column]:
+    """Per-row inputs of the window totals."""
     proto = _present(flows, "protocol", default=F.lit(0))
     size = _present(flows, "avg_packet_size", default=F.lit(0.0))
     http = F.col("http_method").isNotNull().cast("bigint") if "http_method" in flows.columns else F.lit(0).cast("bigint")
@@ -62,21 +61,50 @@ def window_totals(flows: DataFrame, sizes: list[int], ts: str = "ts") -> DataFra
     def flag(name: str) -> Column:
         return _present(flows, name, default=F.lit(0)).cast("bigint")
 
-    measured = flows.select(
-        bucket_start(micros(ts), _base(sizes)).alias("bucket"), n.alias("n"), w.alias("w"), proto.alias("proto"),
+    return [
+        packet_count(flows).alias("n"), weight(flows).alias("w"), proto.alias("proto"),
         _present(flows, "total_bytes", "bytes", default=F.lit(0)).cast("bigint").alias("b"),
         flag("tcp_syn_count").alias("syn"), flag("tcp_rst_count").alias("rst"), flag("tcp_fin_count").alias("fin"),
-        F.when(size > 0, size.cast("bigint")).alias("size"), http.alias("http"))
-    aggs = [
-        F.sum("n").alias("total_packets"), F.sum("b").alias("total_bytes"), F.count("*").alias("total_flows"),
-        F.sum("syn").alias("syn"), F.sum("rst").alias("rst"), F.sum("fin").alias("fin"),
-        F.sum("w").alias("w_all"), F.sum(F.when(F.col("proto") == TCP, F.col("w")).otherwise(0)).alias("w_tcp"),
-        F.sum(F.when(F.col("proto") == UDP, F.col("w")).otherwise(0)).alias("w_udp"),
-        F.sum(F.when(F.col("proto") == ICMP, F.col("w")).otherwise(0)).alias("w_icmp"),
-        F.count("size").alias("size_n"), F.sum("size").alias("size_sum"),
-        F.sum(F.col("size").cast("double") * F.col("size")).alias("size_sq"), F.min("size").alias("min_packet_size"),
-        F.max("size").alias("max_packet_size"), F.sum("http").alias("http_requests")]
-    fine = measured.groupBy("bucket").agg(*aggs)
+        F.when(size > 0, size.cast("bigint")).alias("size"), http.alias("http")]
+
+
+def total_aggregates(keep: Column | None = None) -> list[Column]:
+    """Aggregates over `measured` rows; `keep` restricts them to some rows."""
+
+    def only(x: Column) -> Column:
+        return x if keep is None else F.when(keep, x)
+
+    w, proto, size = F.col("w"), F.col("proto"), F.col("size")
+    return [
+        F.sum(only(F.col("n"))).alias("total_packets"), F.sum(only(F.col("b"))).alias("total_bytes"),
+        F.count(only(F.lit(1))).alias("total_flows"), F.sum(only(F.col("syn"))).alias("syn"),
+        F.sum(only(F.col("rst"))).alias("rst"), F.sum(only(F.col("fin"))).alias("fin"), F.sum(only(w)).alias("w_all"),
+        F.sum(only(F.when(proto == TCP, w).otherwise(0))).alias("w_tcp"),
+        F.sum(only(F.when(proto == UDP, w).otherwise(0))).alias("w_udp"),
+        F.sum(only(F.when(proto == ICMP, w).otherwise(0))).alias("w_icmp"), F.count(only(size)).alias("size_n"),
+        F.sum(only(size)).alias("size_sum"), F.sum(only(size.cast("double") * size)).alias("size_sq"),
+        F.min(only(size)).alias("min_packet_size"), F.max(only(size)).alias("max_packet_size"),
+        F.sum(only(F.col("http"))).alias("http_requests")]
+
+
+def dimension_keys(flows: DataFrame, dims: list[str]) -> list[Column]:
+    """(dim, key) structs of a row; the key is null where the dimension is not counted (port 0, empty address)."""
+    pairs = []
+    for d in dims:
+        c = F.col(DIMENSIONS.get(d, d))
+        present = (c.cast("string") != "") if d.endswith("ip") else (c != 0 if d.endswith("port") else F.lit(True))
+        pairs.append(F.struct(F.lit(d).alias("dim"), F.when(present, c.cast("string")).alias("key")))
+    return pairs
+
+
+def window_totals(flows: DataFrame, sizes: list[int], ts: str = "ts") -> DataFrame:
+    """Packets, bytes, flows, flags, protocol weights and packet-size moments per window."""
+    base = common_bucket(sizes)
+    rows = flows.select(bucket_start(micros(ts), base).alias("bucket"), *measured(flows))
+    return totals_from_buckets(rows.groupBy("bucket").agg(*total_aggregates()), sizes)
+
+
+def totals_from_buckets(fine: DataFrame, sizes: list[int]) -> DataFrame:
     if len(sizes) == 1:
         return _fan_out(fine, sizes)
     names = [c for c in fine.columns if c != "bucket"]
@@ -88,15 +116,16 @@ def window_totals(flows: DataFrame, sizes: list[int], ts: str = "ts") -> DataFra
 def key_counts(flows: DataFrame, sizes: list[int], dims: list[str] | None = None, ts: str = "ts") -> DataFrame:
     """Packet-weighted count per (window, dimension, key): one row per distinct key."""
     dims = dims or [d for d, c in DIMENSIONS.items() if c in flows.columns]
-    pairs = []
-    for d in dims:
-        c = F.col(DIMENSIONS.get(d, d))
-        present = (c.cast("string") != "") if d.endswith("ip") else (c != 0 if d.endswith("port") else F.lit(True))
-        pairs.append(F.struct(F.lit(d).alias("dim"), F.when(present, c.cast("string")).alias("key")))
-    keyed = flows.select(bucket_start(micros(ts), _base(sizes)).alias("bucket"), weight(flows).alias("w"),
-                         F.explode(F.array(*pairs)).alias("p")).filter(F.col("p.key").isNotNull())
-    fine = keyed.groupBy("bucket", F.col("p.dim").alias("dim"), F.col("p.key").alias("key")).agg(F.sum("w").alias("w"))
-    return _fan_out(fine, sizes).groupBy("window_size", "window_start", "dim", "key").agg(F.sum("w").alias("weight"))
+    keyed = flows.select(bucket_start(micros(ts), common_bucket(sizes)).alias("bucket"), weight(flows).alias("w"),
+                         F.explode(F.array(*dimension_keys(flows, dims))).alias("p")).filter(F.col("p.key").isNotNull())
+    fine = keyed.groupBy("bucket", F.col("p.dim").alias("dim"), F.col("p.key").alias("key")).agg(F.sum("w").alias("weight"))
+    return counts_from_buckets(fine, sizes)
+
+
+def counts_from_buckets(fine: DataFrame, sizes: list[int]) -> DataFrame:
+    if len(sizes) == 1:
+        return _fan_out(fine, sizes)
+    return _fan_out(fine, sizes).groupBy("window_size", "window_start", "dim", "key").agg(F.sum("weight").alias("weight"))
 
 
 def key_summaries(counts: DataFrame, dims: list[str]) -> DataFrame:
@@ -174,10 +203,13 @@ def flood_flags(features: DataFrame) -> DataFrame:
 def traffic_features(flows: DataFrame, sizes: list[int], ts: str = "ts", top: int = 20) -> DataFrame:
     """The full window row: totals, rates, ratios, distincts, entropies, top talkers and indicators."""
     dims = [d for d, c in DIMENSIONS.items() if c in flows.columns]
-    totals = rates(window_totals(flows, sizes, ts))
-    counts = key_counts(flows, sizes, dims, ts)
+    return assemble(window_totals(flows, sizes, ts), key_counts(flows, sizes, dims, ts), dims, top)
+
+
+def assemble(totals: DataFrame, counts: DataFrame, dims: list[str], top: int = 20) -> DataFrame:
+    """Window rows from totals and key counts."""
     keys = ["window_size", "window_start"]
-    out = totals.join(key_summaries(counts, dims), keys, "left")
+    out = rates(totals).join(key_summaries(counts, dims), keys, "left")
     if top:
         out = out.join(top_lists(counts, [d for d in dims if d.endswith("ip")], top), keys, "left")
     fill = {f"{p}_{d}{s}": 0 for d in dims for p, s in (("unique", "s"), ("entropy", ""))}

@@ -43,11 +43,11 @@ def flow_id(lo: Column, hi: Column, protocol: Column) -> Column:
 
 def ipv4_number(ip: Column) -> Column:
     """Dotted quad as a long; null for anything else."""
-    ok = ip.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
-    part = F.split(ip, r"\.")
-    value = (part[0].try_cast("bigint") * 16777216 + part[1].try_cast("bigint") * 65536
-             + part[2].try_cast("bigint") * 256 + part[3].try_cast("bigint"))
-    return F.when(ok, value)
+    parts = [F.substring_index(ip, ".", 1), F.substring_index(F.substring_index(ip, ".", 2), ".", -1),
+             F.substring_index(F.substring_index(ip, ".", -2), ".", 1), F.substring_index(ip, ".", -1)]
+    octets = [p.try_cast("bigint") for p in parts]
+    value = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
+    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & (F.greatest(*octets) <= 255), value)
 
 
 def cidr_low(cidr: Column) -> Column:

@@ -7,18 +7,27 @@ from pyspark.sql import functions as F
 
 
 def range_lookup(rows: DataFrame, ranges: DataFrame, value: str, lo: str, hi: str, fields: list[str],
-                 shift: int = 12) -> DataFrame:
+                 levels: tuple[int, ...] = (8, 16)) -> DataFrame:
     """Left join of each value with the range that holds it; null fields where none does.
 
-    Ranges are split at the edges of value buckets (2^shift wide), values and pieces meet on the
-    bucket, and the pieces of a bucket form one sorted array that is searched in place. So each row
-    meets one bucket row, whatever the number of ranges, and nothing is multiplied. Overlapping
-    ranges are not meant for this; the first one by start wins.
+    Ranges are cut at the edges of value buckets: narrow ones (up to 256 buckets) at 2^8, wider ones
+    at 2^16. Values and pieces meet on the bucket, whose few pieces form one array, so each row
+    meets one bucket row per level and nothing is multiplied. Overlapping ranges are not meant for
+    this; the first one by start wins within a level.
     """
-    pieces = ranges.withColumn("_b", F.explode(F.sequence(F.shiftright(lo, shift), F.shiftright(hi, shift))))
-    piece = F.struct(F.col(lo).alias("lo"), F.col(hi).alias("hi"), *fields)
-    buckets = pieces.groupBy("_b").agg(F.array_sort(F.collect_list(piece)).alias("_r"))
-    joined = rows.withColumn("_b", F.shiftright(value, shift)).join(buckets, "_b", "left")
-    hit = F.try_element_at(F.filter("_r", lambda r: (r["lo"] <= F.col(value)) & (F.col(value) <= r["hi"])), F.lit(1))
-    found = joined.withColumn("_hit", hit)
-    return found.select(*rows.columns, *[F.col(f"_hit.{f}").alias(f) for f in fields])
+    out = rows
+    for i, shift in enumerate(levels):
+        width = F.col(hi) - F.col(lo)
+        mine = ranges
+        if i:
+            mine = mine.filter(width > 1 << (levels[i - 1] + 8))
+        if i < len(levels) - 1:
+            mine = mine.filter(width <= 1 << (shift + 8))
+        pieces = mine.withColumn("_b", F.explode(F.sequence(F.shiftright(lo, shift), F.shiftright(hi, shift))))
+        piece = F.struct(F.col(lo).alias("lo"), F.col(hi).alias("hi"), *fields)
+        buckets = pieces.groupBy("_b").agg(F.array_sort(F.collect_list(piece)).alias(f"_r{i}"))
+        joined = out.withColumn("_b", F.shiftright(value, shift)).join(buckets, "_b", "left").drop("_b")
+        hit = F.try_element_at(F.filter(f"_r{i}", lambda r: (r["lo"] <= F.col(value)) & (F.col(value) <= r["hi"])), F.lit(1))
+        out = joined.withColumn(f"_hit{i}", hit).drop(f"_r{i}")
+    found = F.coalesce(*[F.col(f"_hit{i}") for i in range(len(levels))])
+    return out.withColumn("_hit", found).select(*rows.columns, *[F.col(f"_hit.{f}").alias(f) for f in fields])

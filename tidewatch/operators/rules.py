@@ -109,13 +109,13 @@ def match_rules(traffic: DataFrame, rules: DataFrame, ip: str = "ip_src", port:
         cidr_low(F.col("target_subnet")).alias("_lo"), cidr_high(F.col("target_subnet")).alias("_hi"),
         _rule_key().alias("_key"),
         *([address_range("target_subnet").alias("_r6")] if ipv6 else [])))
-    number = ipv4_number(F.col(ip))
+    number = F.col("_num")
     keys = [F.concat(F.lit("ip:"), F.col(ip)), F.concat(F.lit("16:"), F.shiftright(number, 16).cast("string")),
             F.concat(F.lit("8:"), F.shiftright(number, 24).cast("string")), F.lit("any")]
     if ipv6:
         keys.append(F.when(F.col(ip).contains(":"), F.lit("v6")))
         traffic = traffic.withColumn("_a6", address_range(ip))
-    rows = traffic.withColumn("_num", number).withColumn(
+    rows = traffic.withColumn("_num", ipv4_number(F.col(ip))).withColumn(
         "_key", F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())))
     joined = rows.join(keyed, "_key")
     in_subnet = F.col("target_subnet").isNull() | F.col("_num").between(F.col("_lo"), F.col("_hi"))

@@ -52,6 +52,17 @@ def _fan_out(df: DataFrame, sizes: list[int], bucket: str = "bucket") -> DataFra
     return sized.withColumn("window_start", start).drop(bucket)
 
 
+def _widen(fine: DataFrame, sizes: list[int], keys: list[str], aggs: list[Column]) -> DataFrame:
+    """Windows of every size from the smallest buckets; the size equal to the bucket is taken as it is."""
+    base = common_bucket(sizes)
+    parts = []
+    if base in sizes:
+        parts.append(_fan_out(fine, [base]))
+    if wider := [s for s in sizes if s != base]:
+        parts.append(_fan_out(fine, wider).groupBy("window_size", "window_start", *keys).agg(*aggs))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def measured(flows: DataFrame) -> list[Column]:
     """Per-row inputs of the window totals."""
     proto = _present(flows, "protocol", default=F.lit(0))
@@ -105,12 +116,9 @@ def window_totals(flows: DataFrame, sizes: list[int], ts: str = "ts") -> DataFra
 
 
 def totals_from_buckets(fine: DataFrame, sizes: list[int]) -> DataFrame:
-    if len(sizes) == 1:
-        return _fan_out(fine, sizes)
-    names = [c for c in fine.columns if c != "bucket"]
     merge = {"min_packet_size": F.min, "max_packet_size": F.max}
-    return _fan_out(fine, sizes).groupBy("window_size", "window_start").agg(
-        *[merge.get(c, F.sum)(c).alias(c) for c in names])
+    aggs = [merge.get(c, F.sum)(c).alias(c) for c in fine.columns if c != "bucket"]
+    return _widen(fine, sizes, [], aggs)
 
 
 def key_counts(flows: DataFrame, sizes: list[int], dims: list[str] | None = None, ts: str = "ts") -> DataFrame:
@@ -123,9 +131,7 @@ def key_counts(flows: DataFrame, sizes: list[int], dims: list[str] | None = None
 
 
 def counts_from_buckets(fine: DataFrame, sizes: list[int]) -> DataFrame:
-    if len(sizes) == 1:
-        return _fan_out(fine, sizes)
-    return _fan_out(fine, sizes).groupBy("window_size", "window_start", "dim", "key").agg(F.sum("weight").alias("weight"))
+    return _widen(fine, sizes, ["dim", "key"], [F.sum("weight").alias("weight")])
 
 
 def key_summaries(counts: DataFrame, dims: list[str]) -> DataFrame:
@@ -148,8 +154,11 @@ def top_keys(counts: DataFrame, k: int = 20) -> DataFrame:
 
 
 def top_lists(counts: DataFrame, dims: list[str], k: int = 20) -> DataFrame:
-    """`top_<dim>s` arrays of (key, weight), heaviest first; at most k entries each."""
-    ranked = top_keys(counts.filter(F.col("dim").isin(dims)), k)
+    """`top_<dim>s` arrays of (key, weight), heaviest first; at most k entries each.
+
+    Not filtered to `dims` first: the counts then share their shuffle with `key_summaries`.
+    """
+    ranked = top_keys(counts, k)
     entry = F.struct("rank", "key", "weight")
     lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("dim") == d, entry))),
                          lambda x: F.struct(x["key"].alias("key"), x["weight"].alias("weight"))).alias(f"top_{d}s")

@@ -12,9 +12,15 @@ from ..schemas import AZURE_ENTRY, GCP_ENTRY, WEBHOOK
 COMMON = ["timestamp", "source", "ip_src", "ip_dst", "sport", "dport", "protocol", "packets", "bytes", "action"]
 
 
+def _once(rows: DataFrame, parsed: Column, name: str) -> DataFrame:
+    """Adds a parsed column that later filters cannot push down and evaluate again."""
+    return rows.select("*", F.explode(F.array(parsed)).alias(name))
+
+
 def parse_aws(lines: DataFrame, value: str = "value", arrival_ms: str = "arrival_ms") -> DataFrame:
     """VPC flow-log lines; fewer than 14 fields or an unreadable number drops the line."""
-    f = F.split(F.trim(F.col(value)), r"\s+")
+    lines = _once(lines, F.split(F.trim(F.col(value)), r"\s+"), "_f")
+    f = F.col("_f")
 
     def number(i: int, kind: str) -> Column:
         return F.try_element_at(f, F.lit(i)).try_cast(kind)
@@ -39,10 +45,10 @@ def parse_azure(entries: DataFrame, value: str = "value") -> DataFrame:
 
     An entry with no time at all keeps a null timestamp (event time is never invented).
     """
-    e = F.from_json(value, AZURE_ENTRY)
-    stamp = F.coalesce(F.when(e["time"] != "", e["time"]), e["timestamp"])
-    protocol = F.upper(F.coalesce(e["protocol"], F.lit("TCP")))
-    rows = entries.select(e.alias("e"), stamp.alias("stamp"), protocol.alias("name")).select(
+    entries = _once(entries, F.from_json(value, AZURE_ENTRY), "e")
+    stamp = F.coalesce(F.when(F.col("e.time") != "", F.col("e.time")), F.col("e.timestamp"))
+    protocol = F.upper(F.coalesce(F.col("e.protocol"), F.lit("TCP")))
+    rows = entries.select("e", stamp.alias("stamp"), protocol.alias("name")).select(
         "stamp", _when(F.col("stamp")).alias("timestamp"), F.lit("azure_nsg_flow_logs").alias("source"),
         F.col("e.srcIP").alias("ip_src"), F.col("e.dstIP").alias("ip_dst"), F.col("e.srcPort").alias("sport"),
         F.col("e.dstPort").alias("dport"),
@@ -55,8 +61,7 @@ def parse_azure(entries: DataFrame, value: str = "value") -> DataFrame:
 
 def parse_gcp(entries: DataFrame, value: str = "value") -> DataFrame:
     """VPC entries with a nested connection; anything but DENIED counts as ALLOWED."""
-    e = F.from_json(value, GCP_ENTRY)
-    rows = entries.select(e.alias("e")).filter(F.col("e.connection").isNotNull())
+    rows = _once(entries, F.from_json(value, GCP_ENTRY), "e").filter(F.col("e.connection").isNotNull())
     denied = F.upper(F.coalesce("e.disposition", F.lit("ALLOWED"))) == "DENIED"
     return rows.select(
         _when(F.col("e.timestamp")).alias("timestamp"), F.lit("gcp_vpc_flow_logs").alias("source"),
@@ -82,8 +87,7 @@ def as_packets(flows: DataFrame) -> DataFrame:
 
 def webhook_alerts(payloads: DataFrame, value: str = "value") -> DataFrame:
     """One row per alert of an alert-router payload, labels and annotations as maps."""
-    p = F.from_json(value, WEBHOOK)
-    return payloads.select(p.alias("p")).select(
+    return _once(payloads, F.from_json(value, WEBHOOK), "p").select(
         F.col("p.receiver").alias("receiver"), F.explode("p.alerts").alias("a")).select(
         "receiver", F.col("a.status").alias("status"), F.col("a.labels").alias("labels"),
         F.col("a.annotations").alias("annotations"), F.try_to_timestamp("a.startsAt").alias("starts_at"),

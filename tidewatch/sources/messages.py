@@ -41,8 +41,9 @@ def read_kafka(spark: SparkSession, **kwargs) -> DataFrame:
 def decode(messages: DataFrame, schema: T.StructType, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """(decoded rows, undecodable messages): the second part is the dead-letter table."""
     with_bad = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType(), True)])
-    parsed = messages.withColumn(
-        "_row", F.from_json(value, with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    # Through a generator, so that the filters below do not parse the value again.
+    parsed = messages.select("*", F.explode(F.array(F.from_json(value, with_bad, options))).alias("_row"))
     bad = F.col(value).isNull() | F.col("_row").isNull() | F.col("_row._corrupt").isNotNull()
     good = parsed.filter(~bad).select(*[F.col(f"_row.{f.name}") for f in schema.fields])
     return good, parsed.filter(bad).select(messages.columns)

@@ -33,7 +33,7 @@ def micros(ts: Column | str) -> Column:
 def bucket_start(us: Column, seconds: int | Column) -> Column:
     """Epoch second at which the tumbling bucket of `seconds` holding `us` starts."""
     width = (F.lit(seconds) if isinstance(seconds, int) else seconds).cast("long") * F.lit(MICROS)
-    return F.floor((us - F.pmod(us, width)) / F.lit(MICROS)).cast("long")
+    return F.call_function("div", us - F.pmod(us, width), F.lit(MICROS).cast("long"))
 
 
 def finite(x: Column, bound: float = 1e6) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DriftSettings
+from ..session import side_by_side
 from .evaluate import confusion, rates
 from .rolling import trend
 from .running import running_sums, unpivot, value_chunks
@@ -70,7 +71,7 @@ def concept_drift(scored: DataFrame, reference: DataFrame, order: list[str], las
     cur = rates(confusion(recent)).select((F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("rows"),
                                           F.col("fpr").alias("current_fpr"), F.col("fnr").alias("current_fnr"))
     ref = rates(confusion(reference)).select(F.col("fpr").alias("reference_fpr"), F.col("fnr").alias("reference_fnr"))
-    both = cur.crossJoin(ref)  # one row each
+    both = side_by_side(cur, ref)
     moved = ((F.abs(F.col("current_fpr") - F.col("reference_fpr")) > s.error_rate_change)
              | (F.abs(F.col("current_fnr") - F.col("reference_fnr")) > s.error_rate_change))
     return both.withColumn("drift", (F.col("rows") >= last) & moved)
@@ -89,7 +90,7 @@ def should_retrain(drift_checks: DataFrame, performance: DataFrame, reference_ac
         F.coalesce(F.count_if("drifted") / F.count("*"), F.lit(0.0)).alias("drift_ratio"))
     accuracy = _recent(performance, s.last_checks).agg(F.avg("accuracy").alias("recent_accuracy"))
     drop = ((F.lit(reference_accuracy) - F.col("recent_accuracy")) / reference_accuracy if reference_accuracy > 0 else F.lit(0.0))
-    both = drift.crossJoin(accuracy).withColumn("accuracy_drop", F.coalesce(drop, F.lit(0.0)))  # one row each
+    both = side_by_side(drift, accuracy).withColumn("accuracy_drop", F.coalesce(drop, F.lit(0.0)))
     return both.withColumn("retrain", (F.col("drift_ratio") > s.retrain_ratio) | (F.col("accuracy_drop") > s.retrain_ratio))
 
 
@@ -106,7 +107,7 @@ def performance_summary(performance: DataFrame, s: DriftSettings = DriftSettings
     recent = _recent(performance, s.last_checks)
     now = recent.agg(F.max_by("accuracy", "batch").alias("current_accuracy"), F.avg("accuracy").alias("mean_accuracy"))
     direction = trend(recent, [], "batch", "accuracy", settings=s).select("slope", "trend")
-    return total.crossJoin(now).crossJoin(direction)  # one row each
+    return side_by_side(total, now, direction)
 
 
 def reference_snapshot(features: DataFrame, names: list[str], metrics: DataFrame, path: str) -> None:

@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import side_by_side, small_side
 from .running import exact_quantiles, unpivot
 
 
@@ -52,7 +53,7 @@ def histogram(df: DataFrame, keys: list[str], value: str, bins: int = 50) -> Dat
     """Equal-width density histogram per key; the last bin includes its right edge."""
     edges = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("all"))
     width = (F.col("hi") - F.col("lo")) / bins
-    joined = df.join(F.broadcast(edges), keys)  # one row per class
+    joined = df.join(small_side(edges), keys)
     place = F.when(F.col("hi") == F.col("lo"), F.lit(bins // 2)).otherwise(
         F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)))
     grouped = joined.groupBy(*keys, place.cast("int").alias("bin")).agg(
@@ -67,4 +68,4 @@ def score_statistics(df: DataFrame, score: str, keys: list[str] | None = None) -
     base = df.groupBy(*keys).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.min(score).alias("min"),
                                  F.max(score).alias("max"))
     q = exact_quantiles(df, keys, score, [0.95]).withColumnRenamed("q0", "p95")
-    return base.join(q, keys) if keys else base.crossJoin(F.broadcast(q))  # one row each
+    return base.join(q, keys) if keys else side_by_side(base, q)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FlowSettings
@@ -34,63 +34,73 @@ def reversed_key(rows: DataFrame) -> DataFrame:
 
 def with_sessions(packets: DataFrame, tie: list[str], s: FlowSettings = FlowSettings(),
                   chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """`session_us` (first packet time of the flow record) for every packet.
+    """Session name (`session_us`, `session_part`), direction and gap of every packet.
 
     A record ends with a FIN or RST packet, before a gap longer than the idle timeout, or with the
     first packet later than the active timeout.
     """
     flags = F.coalesce("tcp_flags", F.lit(0))
     closes = (F.col("protocol") == TCP) & (has_flag(flags, FIN) | has_flag(flags, RST))
-    keyed = with_flow_key(packets).withColumn("closes", F.coalesce(closes, F.lit(False)))
-    fold = sessions(s.idle_seconds * MICROS, s.active_seconds * MICROS)
-    return run_fold(keyed, ["flow_id"], ["us", *tie], fold, chunk_rows=chunk_rows)
+    size = F.when(F.col("protocol") == TCP, F.col("tcp_window")).when(F.col("protocol") == UDP, F.col("udp_len"))
+    keyed = with_flow_key(packets).withColumns({
+        "closes": F.coalesce(closes, F.lit(False)), "size": size.cast("double"),
+        "from_lo": F.struct(F.col("ip_src").alias("ip"), F.coalesce("sport", F.lit(0)).alias("port")) == F.col("lo")})
+    fold = sessions(s.idle_seconds * MICROS, s.active_seconds * MICROS, side="from_lo", size="size",
+                    last_sizes=s.size_history, last_gaps=s.gap_history, gap_limit_us=s.gap_limit_seconds * MICROS)
+    return run_fold(keyed.drop("lo", "hi"), ["flow_id"], ["us", *tie], fold, chunk_rows=chunk_rows)
 
 
 def flow_records(packets: DataFrame, tie: list[str], s: FlowSettings = FlowSettings(), direction_aware: bool = True,
                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Bidirectional flow records from packet rows.
 
-    A record spans at most the active timeout, so its packets are grouped once: the same shuffle
-    serves the direction of the first packet, the bounded histories (last window or payload sizes
-    and gaps) and the counters. `direction_aware=False` counts every packet as forward.
+    The packets are shuffled once, by flow and time chunk. What leaves that step per session and
+    chunk is already combined: counters, and at most the last sizes and gaps that the record's
+    bounded histories can need. `direction_aware=False` counts every packet as forward.
     """
-    rows = with_sessions(packets, tie, s, chunk_rows).na.fill(0, ["sport", "dport", "protocol", "length"])
-    keys = ["flow_id", "session_us", "session_part"]
-    newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in ("us", *tie)])
-    whole = newest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    so_far = newest.rowsBetween(Window.unboundedPreceding, 0)
-    gap = (F.col("us") - F.lead("us").over(newest)) / F.lit(float(MICROS))
-    size = F.when(F.col("protocol") == TCP, F.col("tcp_window")).when(F.col("protocol") == UDP, F.col("udp_len"))
     ends = ["ip_src", "ip_dst", "sport", "dport", "protocol"]
-    rows = rows.withColumns({"_size": size, "_gap": gap, "_head": F.last(F.struct("us", *ends)).over(whole),
-                             "_last_us": F.first("us").over(whole)})
-    rows = rows.withColumn("_gap", F.when((F.col("_gap") > 0) & (F.col("_gap") < s.gap_limit_seconds), F.col("_gap")))
-    rows = rows.withColumns({"_size_rank": F.count("_size").over(so_far), "_gap_rank": F.count("_gap").over(so_far)})
-    recent_size = F.when(F.col("_size_rank") <= s.size_history, F.col("_size"))
-    recent_gap = F.when(F.col("_gap_rank") <= s.gap_history, F.col("_gap"))
-    forward = ((F.col("ip_src") == F.col("_head.ip_src")) & (F.col("sport") == F.col("_head.sport"))
-               if direction_aware else F.lit(True))
+    needed = ["us", *tie, *ends, "length", "tcp_flags", "tcp_window", "udp_len"]
+    rows = with_sessions(packets.select(*dict.fromkeys(needed)), tie, s, chunk_rows)
+    rows = rows.na.fill(0, ["sport", "dport", "protocol", "length"])
+    keys = ["flow_id", "session_us", "session_part"]
+    place = F.struct("us", *tie)
+    forward = F.col("forward") if direction_aware else F.lit(True)
     flags = F.when(F.col("protocol") == TCP, F.coalesce("tcp_flags", F.lit(0))).otherwise(0)
     length = F.col("length").cast("bigint")
-    grouped = rows.withColumn("_fwd", forward).groupBy(*keys).agg(
-        F.first("_head").alias("h"), F.first("_last_us").alias("last_us"), F.count_if("_fwd").alias("packets"),
-        F.sum(F.when(F.col("_fwd"), length).otherwise(0)).alias("bytes"), F.count_if(~F.col("_fwd")).alias("packets_reverse"),
-        F.sum(F.when(~F.col("_fwd"), length).otherwise(0)).alias("bytes_reverse"),
+    grouped = rows.groupBy(*keys).agg(
+        F.min_by(F.struct(*ends), place).alias("h"), F.min("us").alias("first_us"), F.max("us").alias("last_us"),
+        F.count_if(forward).alias("packets"), F.sum(F.when(forward, length).otherwise(0)).alias("bytes"),
+        F.count_if(~forward).alias("packets_reverse"), F.sum(F.when(~forward, length).otherwise(0)).alias("bytes_reverse"),
         *[F.count_if(has_flag(flags, mask)).alias(name) for name, mask in (
             ("tcp_syn_count", SYN), ("tcp_syn_ack_count", SYN_ACK), ("tcp_rst_count", RST), ("tcp_fin_count", FIN))],
-        F.avg(recent_size).alias("_size_avg"), F.stddev_pop(recent_size).alias("_size_std"),
-        F.avg(recent_gap).alias("_gap_avg"), F.stddev_pop(recent_gap).alias("_gap_std"))
+        F.collect_list(F.when(F.col("late_size"), F.struct(place.alias("at"), F.col("size").alias("x")))).alias("_sizes"),
+        F.collect_list(F.when(F.col("late_gap"), F.struct(place.alias("at"), (F.col("gap_us") / F.lit(float(MICROS))).alias("x")))).alias("_gaps"))
+
+    def last(entries: str, n: int) -> Column:
+        newest = F.when(F.size(entries) > n, F.slice(F.sort_array(entries, asc=False), 1, n)).otherwise(F.col(entries))
+        return F.transform(newest, lambda e: e["x"])
+
+    listed = grouped.withColumn("_s", last("_sizes", s.size_history)).withColumn("_g", last("_gaps", s.gap_history))
+    means = listed.withColumn("_sm", _mean("_s")).withColumn("_gm", _mean("_g"))
+    tcp, udp = F.col("h.protocol") == TCP, F.col("h.protocol") == UDP
+    deviation = _deviation("_s", "_sm")
+    return with_rates(means.select(
+        *keys, *[F.col(f"h.{e}").alias(e) for e in ends], "first_us", "last_us", "packets", "bytes",
+        "packets_reverse", "bytes_reverse", "tcp_syn_count", "tcp_syn_ack_count", "tcp_rst_count", "tcp_fin_count",
+        F.when(tcp, F.col("_sm")).otherwise(0.0).alias("tcp_window_avg"), F.when(tcp, deviation).otherwise(0.0).alias("tcp_window_std"),
+        F.when(udp, F.col("_sm")).otherwise(0.0).alias("udp_payload_avg"), F.when(udp, deviation).otherwise(0.0).alias("udp_payload_std"),
+        F.col("_gm").alias("interarrival_mean"), _deviation("_g", "_gm").alias("interarrival_std")))
 
-    def stat(name: str, protocol: int | None = None) -> Column:
-        value = F.coalesce(F.col(name), F.lit(0.0))
-        return value if protocol is None else F.when(F.col("h.protocol") == protocol, value).otherwise(0.0)
 
-    return with_rates(grouped.select(
-        *keys, *[F.col(f"h.{e}").alias(e) for e in ends], F.col("h.us").alias("first_us"), "last_us", "packets", "bytes",
-        "packets_reverse", "bytes_reverse", "tcp_syn_count", "tcp_syn_ack_count", "tcp_rst_count", "tcp_fin_count",
-        stat("_size_avg", TCP).alias("tcp_window_avg"), stat("_size_std", TCP).alias("tcp_window_std"),
-        stat("_size_avg", UDP).alias("udp_payload_avg"), stat("_size_std", UDP).alias("udp_payload_std"),
-        stat("_gap_avg").alias("interarrival_mean"), stat("_gap_std").alias("interarrival_std")))
+def _mean(values: str) -> Column:
+    total = F.reduce(values, F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(values) > 0, total / F.size(values)).otherwise(F.lit(0.0))
+
+
+def _deviation(values: str, mean: str) -> Column:
+    """Population deviation of a short array."""
+    squares = F.reduce(values, F.lit(0.0), lambda a, x: a + (x - F.col(mean)) * (x - F.col(mean)))
+    return F.when(F.size(values) > 0, F.sqrt(squares / F.size(values))).otherwise(F.lit(0.0))
 
 
 def with_rates(flows: DataFrame) -> DataFrame:

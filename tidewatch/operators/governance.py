@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import MICROS
 from ..functions.privacy import pseudonym_email, pseudonym_ip, pseudonym_ip_sha
+from ..session import side_by_side, small_side
 
 # Column names that hold personal data.
 SENSITIVE = ["ip_src", "ip_dst", "src_ip", "dst_ip", "source_ip", "destination_ip", "email", "user_email",
@@ -135,7 +136,7 @@ def matching_rows(table: DataFrame, requests: DataFrame, kind: str = "ip", erase
     `requests` has one `identifier` column. Each identifier column is one semi or anti join, so a hot
     address is looked up, not multiplied.
     """
-    wanted = requests.select(F.col("identifier").alias("_id")).distinct()
+    wanted = small_side(requests.select(F.col("identifier").alias("_id")).distinct())
     names = _identifier_columns(table, kind)
     if erase:
         out = table
@@ -157,4 +158,4 @@ def matching_rows(table: DataFrame, requests: DataFrame, kind: str = "ip", erase
 def compliance_report(policies: DataFrame, audit: DataFrame) -> DataFrame:
     """Policies and the number of audit entries in one row."""
     p = policies.agg(F.count("*").alias("policies"), F.array_sort(F.collect_list(F.struct("category", "days"))).alias("retention"))
-    return p.crossJoin(audit.agg(F.count("*").alias("audit_entries")))  # one row each; a policy table has a few rows
+    return side_by_side(p, audit.agg(F.count("*").alias("audit_entries")))  # a policy table has a few rows

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, finite
-from ..session import cut_lineage
+from ..session import cut_lineage, small_side
 from .rolling import global_rank, with_reach
 from .running import exact_quantiles, unpivot
 
@@ -42,21 +42,15 @@ def sanitized(df: DataFrame, features: list[str]) -> DataFrame:
 
 def standard_scale(df: DataFrame, features: list[str]) -> DataFrame:
     """Zero mean, unit population deviation; a constant feature becomes 0."""
-    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features])
-    joined = df.crossJoin(F.broadcast(stats))  # one row
-    return joined.withColumns({c: F.when(F.col(f"s_{c}") > 0, (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).otherwise(0.0)
-                               for c in features}).select(df.columns)
+    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
+    return df.withColumns({c: (F.col(c) - stats[f"m_{c}"]) / stats[f"s_{c}"] if stats[f"s_{c}"] else F.lit(0.0) for c in features})
 
 
 def robust_scale(df: DataFrame, features: list[str]) -> DataFrame:
     """(x - median) / interquartile range with exact quantiles; a zero range divides by 1."""
     q = exact_quantiles(unpivot(df, [], features), ["feature"], "value", [0.25, 0.5, 0.75])
-    row = q.groupBy().agg(*[F.max(F.when(F.col("feature") == c, F.col(f"q{i}"))).alias(f"q{i}_{c}")
-                            for c in features for i in range(3)])
-    joined = df.crossJoin(F.broadcast(row))  # one row
-    spread = {c: F.col(f"q2_{c}") - F.col(f"q0_{c}") for c in features}
-    return joined.withColumns({c: (F.col(c) - F.col(f"q1_{c}")) / F.when(spread[c] == 0, 1.0).otherwise(spread[c])
-                               for c in features}).select(df.columns)
+    found = {r["feature"]: r for r in q.collect()}  # one row per feature
+    return df.withColumns({c: (F.col(c) - found[c]["q1"]) / ((found[c]["q2"] - found[c]["q0"]) or 1.0) for c in found})
 
 
 def log_features(df: DataFrame, features: list[str] = SKEWED) -> DataFrame:
@@ -82,7 +76,7 @@ def exact_stratified_split(df: DataFrame, label: str, key: list[str], test: floa
     chunk = F.shiftright("_h", 64 - (chunks - 1).bit_length())
     ranked = global_rank(hashed, [label], ["_h", *key], chunk, "_rn")
     sizes = df.groupBy(label).agg(F.round(F.count("*") * F.lit(test)).alias("_take"))
-    return ranked.join(F.broadcast(sizes), label).withColumn("is_test", F.col("_rn") <= F.col("_take")).select(*df.columns, "is_test")
+    return ranked.join(small_side(sizes), label).withColumn("is_test", F.col("_rn") <= F.col("_take")).select(*df.columns, "is_test")
 
 
 def oversample(df: DataFrame, features: list[str], label: str, key: list[str], minority: int = 1, share: float = 0.5,
@@ -226,10 +220,9 @@ def score_isolation_forest(df: DataFrame, features: list[str], forest: DataFrame
 
 def forest_verdicts(scored: DataFrame, contamination: float = 0.1, raw: str = "raw_score") -> DataFrame:
     """Attack flag at the contamination quantile, compressed score and clamped confidence."""
-    limit = exact_quantiles(scored, [], raw, [1.0 - contamination]).withColumnRenamed("q0", "limit_score")
-    joined = scored.crossJoin(F.broadcast(limit))  # one row
-    attack = F.col(raw) > F.col("limit_score")
-    return compressed_confidence(joined.withColumn("ml_is_attack", attack), raw)
+    limit = exact_quantiles(scored, [], raw, [1.0 - contamination]).first()[0]
+    marked = scored.withColumn("limit_score", F.lit(limit)).withColumn("ml_is_attack", F.col(raw) > limit)
+    return compressed_confidence(marked, raw)
 
 
 def compressed_confidence(df: DataFrame, raw: str, attack: str = "ml_is_attack") -> DataFrame:
@@ -339,7 +332,6 @@ def reconstruction_errors(sequences: DataFrame, components: int = 3, normal: Col
 def reconstruction_verdicts(scored: DataFrame, normal: Column | None = None, share: float = 0.95, full: float = 0.5) -> DataFrame:
     """Attack above the 95th percentile of the normal errors; score min(1, error / full)."""
     basis = scored.filter(normal) if normal is not None else scored
-    limit = exact_quantiles(basis, [], "error", [share]).withColumnRenamed("q0", "limit_error")
-    joined = scored.crossJoin(F.broadcast(limit))  # one row
-    return joined.withColumns({"ml_is_attack": F.col("error") > F.col("limit_error"),
+    limit = exact_quantiles(basis, [], "error", [share]).first()[0]
+    return scored.withColumns({"limit_error": F.lit(limit), "ml_is_attack": F.col("error") > limit,
                                "anomaly_score": F.least(F.lit(1.0), F.col("error") / full)})

@@ -5,7 +5,7 @@ Keys with more rows than fit one task are therefore cut into time chunks:
 
 1. hot keys are looked for and cut at time slots so that a chunk holds about `chunk_rows` rows;
 2. every chunk is summarised in parallel (what state leaves it, given what state enters);
-3. the summaries of a key, one short row per chunk, are walked in order to find each entry state;
+3. the summaries of a key, one short row per chunk, stream by in order to find each entry state;
 4. all chunks are replayed in parallel from their true entry states.
 
 For spacing and sessions a summary is the complete entry-to-exit step function, so one walk is
@@ -27,14 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import MICROS
-from ..session import cut_lineage
+from ..session import cut_lineage, small_side
 
 CHUNK_ROWS = 1_000_000
 Rows = dict[str, np.ndarray]        # the needed columns of one chunk, in order
 NONE = np.iinfo(np.int64).min       # "no state yet"
 KEEP = NONE + 1                     # "the entry state passes through"
-SMALL = 200_000                     # rows of a side that may be broadcast
-SAME_TIME = 1024                    # places told apart among rows of one microsecond
+SAME_TIME = 1024                    # names told apart among rows of one microsecond
 
 
 def hot_keys(df: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame:
@@ -44,21 +43,20 @@ def hot_keys(df: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame:
 
 
 def hot_slots(df: DataFrame, keys: list[str], us: str, chunk_rows: int, slot_us: int = MICROS) -> DataFrame:
-    """(keys, slot, chunk) of the hot keys, one row per occupied time slot, written once."""
+    """(keys, slot, chunk) of the hot keys, one row per occupied time slot."""
     slot = F.expr(f"`{us}` div {slot_us}")
     hot_rows = df.join(hot_keys(df, keys, chunk_rows), keys, "left_semi")
     counts = hot_rows.groupBy(*keys, slot.alias("_slot")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("_n").over(before), F.lit(0))
-    return cut_lineage(counts.select(*keys, "_slot", start.alias("_before")).select(
-        *keys, "_slot", F.expr(f"_before div {chunk_rows}").alias("_chunk")))
+    return counts.select(*keys, "_slot", start.alias("_before")).select(
+        *keys, "_slot", F.expr(f"_before div {chunk_rows}").alias("_chunk"))
 
 
 def with_chunks(df: DataFrame, keys: list[str], us: str, slots: DataFrame, slot_us: int = MICROS) -> DataFrame:
     """Adds `_chunk`: the slot's chunk for hot keys, null for cold ones."""
     slotted = df.withColumn("_slot", F.expr(f"`{us}` div {slot_us}"))
-    side = F.broadcast(slots) if slots.limit(SMALL + 1).count() <= SMALL else slots
-    return slotted.join(side, [*keys, "_slot"], "left").drop("_slot")
+    return slotted.join(small_side(slots), [*keys, "_slot"], "left").drop("_slot")
 
 
 @dataclass(frozen=True)
@@ -163,8 +161,7 @@ def _entries(hot: DataFrame, keys: list[str], order: list[str], fold: Fold, max_
     longs = T.ArrayType(T.LongType())
     summary_type = T.StructType([*key_fields, T.StructField("_chunk", T.LongType()),
                                  T.StructField("_run", longs), T.StructField("_summary", longs)])
-    walk_type = T.StructType([*summary_type.fields, T.StructField("_entry", longs),
-                              T.StructField("_settled", T.BooleanType())])
+    walk_type = T.StructType([*summary_type.fields, T.StructField("_entry", longs)])
     used = list(dict.fromkeys([*keys, *order, *fold.inputs, "_chunk"]))
 
     def summarize(rows: pd.DataFrame) -> pd.DataFrame:
@@ -174,20 +171,25 @@ def _entries(hot: DataFrame, keys: list[str], order: list[str], fold: Fold, max_
         values = {n: rows[n].to_numpy() for n in fold.inputs}
         return pd.DataFrame({**head, "_run": [run], "_summary": [fold.summarize(values, run)]})
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_chunk")
-        state, exact, entries, settled = [], True, [], []
-        for run, summary in zip(rows["_run"], rows["_summary"]):
-            run = _longs(run)
-            entries.append(list(state))
-            settled.append(exact and (fold.one_walk or run == state))
-            state, ok = fold.follow(_longs(summary), run, state)
-            exact = exact and ok
-        return rows.assign(_entry=entries, _settled=settled)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Summaries arrive in (key, chunk) order; only the current state is held.
+        current, state = None, []
+        for batch in batches:
+            entries = []
+            named = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_run", "_summary")]
+            for key, run, summary in zip(zip(*named), *columns):
+                if key != current:
+                    current, state = key, []
+                entries.append(list(state))
+                state, _ = fold.follow(summary, run, state)
+            yield batch.append_column("_entry", pa.array(entries, pa.list_(pa.int64())))
+
+    def walked_from(summaries: DataFrame) -> DataFrame:
+        return summaries.repartition(*keys).sortWithinPartitions(*keys, "_chunk").mapInArrow(walk, walk_type)
 
     first = hot.select(*used).withColumn("_run", F.array().cast(longs))
-    summaries = first.groupBy(*keys, "_chunk").applyInPandas(summarize, summary_type)
-    walked = summaries.groupBy(*keys).applyInPandas(walk, walk_type)
+    walked = walked_from(first.groupBy(*keys, "_chunk").applyInPandas(summarize, summary_type))
     if fold.one_walk:
         return walked.select(*keys, "_chunk", "_entry")
     walked = cut_lineage(walked)
@@ -198,7 +200,7 @@ def _entries(hot: DataFrame, keys: list[str], order: list[str], fold: Fold, max_
         again = hot.select(*used).join(stale.select(*keys, "_chunk", F.col("_entry").alias("_run")), [*keys, "_chunk"])
         redone = again.groupBy(*keys, "_chunk").applyInPandas(summarize, summary_type)
         kept = walked.filter(F.col("_run") == F.col("_entry")).select(summary_type.names)
-        walked = cut_lineage(kept.unionByName(redone).groupBy(*keys).applyInPandas(walk, walk_type))
+        walked = cut_lineage(walked_from(kept.unionByName(redone)))
     raise RuntimeError(f"entry states still changing after {max_walks} walks")
 
 
@@ -270,14 +272,20 @@ def spacing(gap_us: int, us: str = "us") -> Fold:
     return Fold([us], summarize, _follow_steps, replay, outputs)
 
 
-def sessions(idle_us: int, active_us: int, us: str = "us", closes: str = "closes") -> Fold:
-    """Session start per row: cut after a closing row, after an idle gap, and by the active timeout.
+def sessions(idle_us: int, active_us: int, us: str = "us", closes: str = "closes", side: str | None = None,
+             size: str | None = None, last_sizes: int = 100, last_gaps: int = 1000, gap_limit_us: int = 60 * MICROS) -> Fold:
+    """Session name per row: cut after a closing row, after an idle gap, and by the active timeout.
 
     The row that passes the active timeout still belongs to the session it closes. A session is
-    named by its first row: time times 1024 plus the row's place among rows of the same time.
-    """
+    named by its first row: time and place among rows of the same time.
 
+    With `side` (which end of the key sent the row) and `size` more is said per row: `forward` (same
+    side as the session's first row), `gap_us` (time since the previous row of the session, -1 where
+    it does not count) and whether the size and the gap are among the chunk's last ones of the
+    session, so that bounded histories can be gathered from few rows.
+    """
     # The state is (session name, time of the last row): the time shows an idle gap at a chunk edge.
+    # A name is time * SAME_TIME + place * 2 + side of the first row.
 
     def cuts(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         t = rows[us].astype(np.int64, copy=False)
@@ -286,6 +294,11 @@ def sessions(idle_us: int, active_us: int, us: str = "us", closes: str = "closes
         stop = rows[closes].astype(bool, copy=False)  # the next row starts one
         return t, idle, stop
 
+    def names(t: np.ndarray, rows: Rows) -> np.ndarray:
+        place = np.arange(len(t)) - np.searchsorted(t, t, side="left")
+        bit = rows[side].astype(np.int64) if side else 0
+        return t * SAME_TIME + np.minimum(place, SAME_TIME // 2 - 1) * 2 + bit
+
     def alive(state: list[int], first: int) -> bool:
         return bool(state) and first - state[1] <= idle_us
 
@@ -303,21 +316,17 @@ def sessions(idle_us: int, active_us: int, us: str = "us", closes: str = "closes
         hard[n] = nxt                           # the first forced row of the chunk
         return hard
 
-    def step(t: np.ndarray, hard: np.ndarray, start: int, after: int) -> tuple[int, bool]:
+    def step(t: np.ndarray, start: int, after: int) -> tuple[int, bool]:
         """Row after the session that began at time `start`; `after` is the row it may end before."""
         over = int(np.searchsorted(t, start + active_us, side="right"))
         return (over + 1, True) if over + 1 <= after and over < len(t) else (after, False)
 
-    def names(t: np.ndarray) -> np.ndarray:
-        place = np.arange(len(t)) - np.searchsorted(t, t, side="left")
-        return t * SAME_TIME + np.minimum(place, SAME_TIME - 1)
-
-    def exits(t: np.ndarray, hard: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        n, name = len(t), names(t)
+    def exits(t: np.ndarray, name: np.ndarray, hard: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        n = len(t)
         out = np.empty(n + 1, dtype=np.int64)
         out[n] = NONE
         for i in range(n - 1, -1, -1):
-            nxt, closed = step(t, hard, int(t[i]), int(hard[i]))
+            nxt, closed = step(t, int(t[i]), int(hard[i]))
             if nxt < n:
                 out[i] = out[nxt]
             else:
@@ -327,7 +336,7 @@ def sessions(idle_us: int, active_us: int, us: str = "us", closes: str = "closes
     def summarize(rows: Rows, run: list[int]) -> list[int]:
         t, idle, stop = cuts(rows)
         hard = limits(t, idle, stop)
-        out = exits(t, hard, stop)
+        out = exits(t, names(t, rows), hard, stop)
         n, first = len(t), int(hard[len(t)])
         # Entry start s: row j is the first with t > s + active, if it lies before the forced row.
         uppers, values = [], []
@@ -348,20 +357,43 @@ def sessions(idle_us: int, active_us: int, us: str = "us", closes: str = "closes
     def replay(rows: Rows, entry: list[int]) -> Rows:
         t, idle, stop = cuts(rows)
         hard = limits(t, idle, stop)
-        n, name = len(t), names(t)
+        n, name = len(t), names(t, rows)
         begin = np.empty(n, dtype=np.int64)
+        starts = [0]
         i = 0
         if alive(entry, int(t[0])):
-            i, _ = step(t, hard, entry[0] // SAME_TIME, int(hard[n]))
+            i, _ = step(t, entry[0] // SAME_TIME, int(hard[n]))
             begin[:i] = entry[0]
         while i < n:
-            nxt, _ = step(t, hard, int(t[i]), int(hard[i]))
+            nxt, _ = step(t, int(t[i]), int(hard[i]))
             begin[i:nxt] = name[i]
+            if i:
+                starts.append(i)
             i = nxt
-        return {"session_us": begin // SAME_TIME, "session_part": begin % SAME_TIME}
+        out = {"session_us": begin // SAME_TIME, "session_part": begin % SAME_TIME // 2}
+        if side:
+            gap = np.diff(t, prepend=entry[1] if entry else t[0])
+            first_rows = np.asarray(starts)[1:] if entry and begin[0] == entry[0] else np.asarray(starts)
+            gap[first_rows] = -1
+            gap[(gap <= 0) | (gap >= gap_limit_us)] = -1
+            heads, lengths = np.asarray(starts), np.diff([*starts, n])
+            out |= {"forward": rows[side].astype(np.int64) == begin % 2, "gap_us": gap,
+                    "late_gap": _among_last(gap >= 0, heads, lengths, last_gaps),
+                    "late_size": _among_last(~np.isnan(rows[size].astype(np.float64)), heads, lengths, last_sizes)}
+        return out
+
+    fields = [("session_us", T.LongType()), ("session_part", T.LongType())]
+    if side:
+        fields += [("forward", T.BooleanType()), ("gap_us", T.LongType()), ("late_gap", T.BooleanType()), ("late_size", T.BooleanType())]
+    inputs = [us, closes, *([side, size] if side else [])]
+    return Fold(inputs, summarize, follow, replay, T.StructType([T.StructField(n, k) for n, k in fields]))
+
 
-    return Fold([us, closes], summarize, follow, replay,
-                T.StructType([T.StructField("session_us", T.LongType()), T.StructField("session_part", T.LongType())]))
+def _among_last(counts: np.ndarray, heads: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
+    """Counted rows that are among the last n counted ones of their segment."""
+    total = np.cumsum(counts)
+    ends = total[heads + lengths - 1]
+    return counts & (np.repeat(ends, lengths) - total < n)
 
 
 # ---- state-carrying folds ---------------------------------------------------------------------

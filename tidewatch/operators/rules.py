@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.net import ADDRESS_PATTERN, address_range, cidr_high, cidr_low, ipv4_number
 from ..functions.numeric import MICROS
 from ..schemas import RATE_RULE
+from ..session import small_side
 from .ordered import CHUNK_ROWS, run_fold, sliding_window, spacing, token_bucket
 
 # Default rate and rule capacity.
@@ -79,11 +80,6 @@ def oldest_tenth(rows: DataFrame, order: list[str], capacity: int, by_capacity:
     return rows.orderBy(*order).limit(take)
 
 
-def small(df: DataFrame, rows: int = MAX_RULES) -> DataFrame:
-    """Broadcast hint only after counting that the side has at most `rows` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def _rule_key() -> Column:
     """The one lookup key of a rule: its address, its /16 or /8 bucket, IPv6, or any."""
     v4 = ipv4_number(F.split("target_subnet", "/")[0]).isNotNull()
@@ -103,7 +99,7 @@ def match_rules(traffic: DataFrame, rules: DataFrame, ip: str = "ip_src", port:
     Each rule has one lookup key and each row at most five, so this is an equi-join followed by a
     range test, never rows times rules. `ipv6` adds the Arrow function that reads v6 subnets.
     """
-    keyed = small(rules.select(
+    keyed = small_side(rules.select(
         "rule_id", "limit_type", "limit_value", "burst_value", "target_ip", "target_subnet",
         F.col("protocol").alias("rule_protocol"), F.col("port").alias("rule_port"), "created_at", "expires_at",
         cidr_low(F.col("target_subnet")).alias("_lo"), cidr_high(F.col("target_subnet")).alias("_hi"),
@@ -188,7 +184,7 @@ def evaluate_rules(traffic: DataFrame, rules: DataFrame, event: str, sliding: bo
 
 def blocked(flows: DataFrame, blocks: DataFrame, how: str = "left_anti", ip: str = "ip_src") -> DataFrame:
     """Flows not under (`left_anti`) or under (`left_semi`) an active block at their event time."""
-    b = small(blocks.select(F.col("ip").alias("_ip"), "created_at", "expires_at"), 100 * MAX_RULES)
+    b = small_side(blocks.select(F.col("ip").alias("_ip"), "created_at", "expires_at"))
     on = (F.col(ip) == F.col("_ip")) & (F.col("created_at") <= F.col("ts")) & (
         F.col("expires_at").isNull() | (F.col("ts") <= F.col("expires_at")))
     return flows.join(b, on, how)

@@ -10,13 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small_side
+
 
 def value_chunks(counts: DataFrame, keys: list[str], value: str, chunks: int = 64) -> DataFrame:
     """Adds `_chunk`, growing with the value, from approximate quantiles of the distinct values per key."""
     probs = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
     bounds = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("_bounds"))
+    if keys:
+        joined = counts.join(small_side(bounds), keys)
+    else:
+        joined = counts.withColumn("_bounds", F.lit(bounds.first()["_bounds"] or []).cast("array<double>"))
     chunk = F.size(F.filter("_bounds", lambda b: b <= F.col(value))).cast("bigint")
-    joined = counts.join(bounds, keys) if keys else counts.crossJoin(F.broadcast(bounds))  # one row
     return joined.withColumn("_chunk", chunk).drop("_bounds")
 
 

@@ -246,10 +246,8 @@ def first_hit_windows(flows: DataFrame, seconds: int, origin: Column | None = No
     """
     base = flows.withColumn("us", micros(ts))
     if origin is None:
-        base = base.crossJoin(F.broadcast(base.agg(F.min("us").alias("origin"))))  # one row
-    else:
-        base = base.withColumn("origin", origin)
+        origin = F.lit(base.agg(F.min("us")).first()[0])
     width = F.lit(seconds * MICROS).cast("bigint")
-    start = F.col("us") - F.pmod(F.col("us") - F.col("origin"), width)
+    start = F.col("us") - F.pmod(F.col("us") - origin, width)
     totals = base.withColumn("window_start_us", start).groupBy("window_start_us")
     return totals.agg(F.sum(packet_count(flows)).alias("total_packets"), F.count("*").alias("total_flows"))

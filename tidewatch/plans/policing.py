@@ -108,10 +108,12 @@ def rules_evaluated_sliding(spark, sf_dir):
     FROM d, rules GROUP BY 1""")
 def rules_active(spark, sf_dir):
     days = src.flows(spark, sf_dir).select(F.date_trunc("day", "ts").alias("day")).distinct()
-    rules = ops.rule_table(spark, RULES).agg(F.collect_list(F.struct("created_at", "expires_at")).alias("r"))  # at most the rule capacity
-    each = days.join(F.broadcast(rules)).select("day", F.explode("r").alias("r")).select("day", "r.*")
-    live = F.col("created_at").isNotNull() & (F.col("created_at") <= F.col("day")) & (F.col("day") <= F.col("expires_at"))
-    return each.groupBy(F.unix_micros("day").alias("us")).agg(F.count_if(live).alias("active"), F.count_if(F.col("day") > F.col("expires_at")).alias("expired"))
+    spans = F.array(*[F.struct(F.lit(r[9]).alias("created_at"), F.lit(r[10]).alias("expires_at")) for r in RULES])
+    each = days.select("day", F.explode(spans).alias("r")).select("day", "r.*")
+    live, over = ops.active_rules(each, F.col("day")), ops.expired_rules(each, F.col("day"))
+    marked = each.select("day", F.lit(0).alias("a"), F.lit(0).alias("e")).unionByName(live.select("day", F.lit(1).alias("a"), F.lit(0).alias("e"))
+                         ).unionByName(over.select("day", F.lit(0).alias("a"), F.lit(1).alias("e")))
+    return marked.groupBy(F.unix_micros("day").alias("us")).agg(F.sum("a").alias("active"), F.sum("e").alias("expired"))
 
 
 BLOCK_SQL = """SELECT alert_id, ip_src AS ip, us AS c_us, us + 21600000000 AS e_us FROM alerts WHERE severity = 'critical'"""

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -49,3 +50,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, so that lost executors cost no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """One-row frames as one row with all their columns."""
+    stacked = frames[0]
+    for other in frames[1:]:
+        stacked = stacked.unionByName(other, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
+SMALL_ROWS = 200_000
+
+
+def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A join side computed once and counted; hinted for broadcast only when it has at most `rows` rows."""
+    written = cut_lineage(df)
+    return F.broadcast(written) if written.count() <= rows else written

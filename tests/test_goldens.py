@@ -223,5 +223,26 @@ def test_addresses(spark):
     assert got == [(167772416, 167772671), (167772423, 167772423), (0, 4294967295), (None, None), (None, None)]
 
 
+def test_alert_records(spark):
+    a = spark.range(1).select(F.col("id").alias("alert_id"), F.lit("t").alias("title"), F.sequence(F.lit(1), F.lit(30)).cast("array<string>").alias("source_ips"),
+                              F.lit(5).alias("extra"))
+    r = one(alerts.to_records(a))
+    assert len(r["source_ips"]) == 20 and r["details"] == {"extra": "5"}
+
+
+def test_observed_counts(spark):
+    from tidewatch.operators import metrics
+    df, seen = metrics.observed(spark.range(10), "x", {"even": F.col("id") % 2 == 0})
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 10, "even": 5}
+
+
+def test_rule_capacity(spark):
+    made = rules.rule_table(spark, [rules.limit_ip(f"r{i:02d}", "1.1.1.1", T0 + timedelta(seconds=i)) for i in range(25)])
+    assert {r["rule_id"] for r in rules.evict_rules(made, 20).collect()} == {"r00", "r01"}
+    assert rules.evict_rules(made, 25).count() == 0
+    assert rules.oldest_tenth(made, ["created_at"], 5).count() == 1
+
+
 def test_settings_are_replaceable():
     assert replace(ThresholdSettings(), pps=1.0).pps == 1.0

@@ -69,6 +69,16 @@ def attack_alerts(detections: DataFrame) -> DataFrame:
         "description": F.concat(F.lit("A potential DDoS attack has been detected. Confidence: "), percent)})
 
 
+def to_records(alerts: DataFrame, most: int = 20) -> DataFrame:
+    """Alert rows in message shape: address lists cut to `most`, other columns as text details."""
+    named = ["alert_id", "title", "description", "severity", "ts", "attack_type", "confidence", "source_ips", "target_ips"]
+    lists = [F.slice(c, 1, most).alias(c) if c.endswith("_ips") else F.col(c) for c in named if c in alerts.columns]
+    rest = [c for c in alerts.columns if c not in named]
+    pairs = [x for c in rest for x in (F.lit(c), F.col(c).cast("string"))]
+    details = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    return alerts.select(*lists, details.alias("details"))
+
+
 def with_expiry(alerts: DataFrame, seconds: int = 3600, resolved: DataFrame | None = None) -> DataFrame:
     """`ends_at` of every alert: the manual resolution (alert_id, resolved_at) or the automatic one."""
     auto = F.col("ts") + F.make_dt_interval(secs=F.lit(seconds))

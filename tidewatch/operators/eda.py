@@ -11,6 +11,11 @@ from ..session import side_by_side, small_side
 from .running import exact_quantiles, unpivot
 
 
+def labelled(normal: DataFrame, attack: DataFrame, label: str = "is_attack") -> DataFrame:
+    """Normal and attack rows in one frame with a 0/1 label."""
+    return normal.withColumn(label, F.lit(0)).unionByName(attack.withColumn(label, F.lit(1)), allowMissingColumns=True)
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every pair, in long form and both directions; one pass."""
     pairs = list(combinations(columns, 2))

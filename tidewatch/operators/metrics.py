@@ -6,8 +6,9 @@ Samples are (series..., ts, value) rows; `series` names the columns that identif
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.net import label_safe
@@ -101,6 +102,19 @@ def top_series(samples: DataFrame, series: list[str], k: int = 10, value: str =
     return gauges(samples, series, [value], ts).orderBy(F.desc(value), *series).limit(k)
 
 
+def observed(rows: DataFrame, name: str, conditions: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """Counts rows that meet each condition while the frame is used anyway (no extra pass)."""
+    seen = Observation(name)
+    counts = [F.count_if(c).alias(k) for k, c in conditions.items()]
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *counts), seen
+
+
+def export_snapshot(metric_rows: list[DataFrame], path: str, taken_at: Column, batch: int) -> None:
+    """All metric rows of one moment as a partition; repeating a batch replaces it."""
+    stacked = reduce(DataFrame.unionByName, metric_rows)
+    stacked.select(taken_at.alias("ts"), "name", "labels", "value").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
 def custom(rows: DataFrame, name: str, labels: list[str], aggregate: Column) -> DataFrame:
     """A user-supplied aggregate as metric rows."""
     grouped = rows.groupBy(*labels).agg(aggregate.cast("double").alias("value"))

@@ -80,6 +80,11 @@ def oldest_tenth(rows: DataFrame, order: list[str], capacity: int, by_capacity:
     return rows.orderBy(*order).limit(take)
 
 
+def evict_rules(rules: DataFrame, capacity: int = MAX_RULES) -> DataFrame:
+    """The rules to drop when the table is over its capacity: the oldest tenth."""
+    return oldest_tenth(rules, ["created_at", "rule_id"], capacity, by_capacity=False)
+
+
 def _rule_key() -> Column:
     """The one lookup key of a rule: its address, its /16 or /8 bucket, IPv6, or any."""
     v4 = ipv4_number(F.split("target_subnet", "/")[0]).isNotNull()

@@ -8,6 +8,7 @@ from ..functions.net import label_safe
 from ..functions.numeric import r6
 from ..operators import drift, eda, evaluate, metrics, rolling, windows
 from ..operators.running import exact_quantiles
+from ..session import fresh_path
 from ..sources import events as src
 from .base import ctes, query
 from .base import r6 as q6
@@ -177,6 +178,26 @@ def class_counts(spark, sf_dir):
     return evaluate.class_counts(src.scored(spark, sf_dir))
 
 
+@query("labelled_union", ctes("flows") + """
+    SELECT CASE WHEN protocol = 17 THEN 1 ELSE 0 END AS label, count(*) AS rows, sum(packets)::BIGINT AS packets FROM flows GROUP BY 1""")
+def labelled_union(spark, sf_dir):
+    f = src.flows(spark, sf_dir).select("protocol", "packets")
+    both = eda.labelled(f.filter("protocol <> 17"), f.filter("protocol = 17"), "label")
+    return both.groupBy("label").agg(F.count("*").alias("rows"), F.sum("packets").alias("packets"))
+
+
+@query("metric_snapshot", ctes("alerts") + """
+    SELECT 'alerts' AS name, severity AS label, count(*)::DOUBLE AS value FROM alerts GROUP BY 2
+    UNION ALL SELECT 'packets', attack_type, sum(packets)::DOUBLE FROM alerts GROUP BY 2""")
+def metric_snapshot(spark, sf_dir):
+    """Two metric families written as one snapshot and read back."""
+    a = src.alerts(spark, sf_dir)
+    path = fresh_path(spark, "metrics")
+    families = [metrics.counters(a, "alerts", ["severity"]), metrics.counters(a, "packets", ["attack_type"], F.col("packets"))]
+    metrics.export_snapshot(families, path, F.timestamp_seconds(F.lit(MIDDLE)), 0)
+    return spark.read.parquet(path).select("name", F.map_values("labels")[0].alias("label"), "value")
+
+
 @query("corr_matrix", ctes("flows", extra={"p": " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, {'1.0' if a == b else f'corr({a}, {b})'} AS r FROM flows" for a in COLUMNS for b in COLUMNS)}) + f"SELECT a, b, {q6('any_value(r)')} AS r FROM p GROUP BY a, b")
 def corr_matrix(spark, sf_dir):

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import EnsembleSettings
 from ..functions.numeric import r6
-from ..operators import ml, rolling, windows
+from ..operators import ensemble, ml, rolling, windows
 from ..session import cut_lineage, fresh_path
 from ..sources import events as src
 from .base import ctes, query
@@ -94,6 +95,20 @@ def iforest_scores(spark, sf_dir):
     return v.select("event_id", r6("raw_score").alias("raw_score"), "ml_is_attack", r6("ml_confidence").alias("ml_confidence"))
 
 
+@query("window_model_votes")
+def window_model_votes(spark, sf_dir):
+    """Isolation forest over the window features; its verdicts become votes next to the entropy votes."""
+    known, names = ml.known_features(features(spark, sf_dir))
+    rows = cut_lineage(ml.sanitized(known, names))
+    forest = ml.fit_isolation_forest(rows, names, ["window_size", "window_start"])
+    judged = ml.forest_verdicts(cut_lineage(ml.score_isolation_forest(rows, names, forest)))
+    # The compressed score never exceeds one half, so the raw score speaks for the vote.
+    judged = judged.withColumn("ml_confidence", F.col("raw_score"))
+    votes = ensemble.collect_votes(ensemble.ml_votes(judged), ensemble.entropy_votes(judged))
+    return ensemble.weighted(votes, EnsembleSettings(min_confidence=0.5)).select(
+        "window_size", "window_start", "attack_type", r6("confidence").alias("confidence"), "total_votes")
+
+
 @query("gbt_scores")
 def gbt_scores(spark, sf_dir):
     rows = frame(spark, sf_dir)

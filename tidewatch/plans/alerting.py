@@ -14,7 +14,7 @@ from ..session import cut_lineage
 from ..sources import events as src
 from .base import ctes, greedy, query
 from .base import r6 as q6
-from .windows import ALERT_SQL, KEY, RULES, SCALED, _alert_columns, features, raised
+from .windows import ALERT_SQL, KEY, RULES, SCALED, _alert_columns, features, raised, stored
 
 SETTINGS = replace(EnsembleSettings(), min_confidence=0.5, entropy_limit=2.2)
 
@@ -41,7 +41,7 @@ def windows_of(spark, sf_dir):
 
     The table has one row per window, so this costs little next to the pass over the flows.
     """
-    return cut_lineage(model_opinion(rolling.dynamic_thresholds(features(spark, sf_dir), SCALED)))
+    return cut_lineage(model_opinion(rolling.dynamic_thresholds(stored(features(spark, sf_dir)), SCALED)))
 
 
 def votes(f):
@@ -108,7 +108,7 @@ def alert_payload(spark, sf_dir):
     **greedy("rr", "rule || '_' || window_size", 4 * 3600 * 1_000_000, "window_start"),
     "kept": "SELECT o.* FROM o JOIN g USING (gk, rn) WHERE kept"}, recursive=True) + ALERT_SQL + "kept")
 def alert_cooldown(spark, sf_dir):
-    return _alert_columns(ops.cooldown(raised(spark, sf_dir), 4 * 3600))
+    return _alert_columns(ops.cooldown(stored(raised(spark, sf_dir)), 4 * 3600))
 
 
 @query("alert_dedup", ctes("alerts", extra=greedy("alerts", "attack_type || severity", 3600 * 1_000_000, "alert_id"), recursive=True) + """
@@ -132,7 +132,7 @@ def alert_throttle(spark, sf_dir):
 
 @query("verdict_throttle")
 def verdict_throttle(spark, sf_dir):
-    v = ensemble.weighted(votes(windows_of(spark, sf_dir)), SETTINGS).withColumn("ts", F.timestamp_seconds(F.col("window_start") + F.col("window_size")))
+    v = stored(ensemble.weighted(votes(windows_of(spark, sf_dir)), SETTINGS)).withColumn("ts", F.timestamp_seconds(F.col("window_start") + F.col("window_size")))
     return ops.throttle(v, ["window_size", "attack_type"]).select(*KEY, "attack_type", "kept")
 
 

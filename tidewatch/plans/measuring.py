@@ -12,7 +12,7 @@ from ..session import fresh_path
 from ..sources import events as src
 from .base import ctes, query
 from .base import r6 as q6
-from .windows import features
+from .windows import features, stored
 
 COLUMNS = ["packets", "bytes", "k", "avg_packet_size"]
 
@@ -86,7 +86,7 @@ def metric_rate(spark, sf_dir):
     "r": "SELECT window_size, min(window_start) AS starts, max(window_start) AS ends, count(*) AS samples FROM i GROUP BY window_size, run"}) + """
     SELECT window_size, starts, ends, samples FROM r WHERE ends - starts >= 7200""")
 def sustained_alert(spark, sf_dir):
-    t = windows.rates(windows.window_totals(src.flows(spark, sf_dir), [3600, 21600, 86400]))
+    t = stored(windows.rates(windows.window_totals(src.flows(spark, sf_dir), [3600, 21600, 86400])))
     samples = t.select("window_size", F.timestamp_seconds("window_start").alias("ts"), F.col("packets_per_second").alias("value"))
     s = metrics.sustained(samples, ["window_size"], F.col("value") > 0.1, 7200, [], chunk_seconds=86400)
     return s.select("window_size", F.unix_seconds("starts").alias("starts"), F.unix_seconds("ends").alias("ends"), "samples")
@@ -125,7 +125,7 @@ DAILY = """SELECT us // 86400000000 AS batch, count(*) FILTER (label = 0 AND pre
 
 def daily(spark, sf_dir):
     s = src.scored(spark, sf_dir).withColumn("batch", F.expr("unix_micros(ts) div 86400000000"))
-    return evaluate.rates(evaluate.confusion(s, ["batch"]))
+    return stored(evaluate.rates(evaluate.confusion(s, ["batch"])))
 
 
 @query("clf_metrics", ctes("scored", extra={"c": DAILY}) + f"""

@@ -137,7 +137,7 @@ def rf_grid_search(spark, sf_dir):
 
 @query("pca_recon")
 def pca_recon(spark, sf_dir):
-    t = windows.rates(windows.window_totals(src.flows(spark, sf_dir), [3600]))
+    t = cut_lineage(windows.rates(windows.window_totals(src.flows(spark, sf_dir), [3600])))
     seq = rolling.sequences(t, ["window_size"], ["window_start"], F.expr("window_start div (3600 * 256)"), "packets_per_second", 10, 256)
     scored, _ = ml.reconstruction_errors(seq, 3)
     v = ml.reconstruction_verdicts(scored)

@@ -16,7 +16,7 @@ from ..operators.enrich import range_lookup
 from ..sources import events as src
 from .base import ctes, query
 from .base import r6 as q6
-from .windows import KEY
+from .windows import stored
 
 DAY = 86400
 START = datetime(2024, 1, 5)
@@ -160,7 +160,7 @@ EPISODES = {"a": "SELECT window_start, total_packets / 3600.0::DOUBLE AS pps, to
 
 
 def hourly_episodes(spark, sf_dir):
-    t = windows.rates(windows.window_totals(src.flows(spark, sf_dir), [3600]))
+    t = stored(windows.rates(windows.window_totals(src.flows(spark, sf_dir), [3600])))
     return mitigation.episodes(t, F.col("packets_per_second") > 0.1, ["window_size"])
 
 

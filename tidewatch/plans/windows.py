@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import RollingSettings, ThresholdSettings
 from ..functions.numeric import finite, r6
 from ..operators import detect, rolling, windows
+from ..session import cut_lineage
 from ..sources import events as src
 from .base import SIZES, ctes, query
 from .base import r6 as q6
@@ -24,6 +25,11 @@ def features(spark: SparkSession, sf_dir: str, top: int = 20) -> DataFrame:
     return windows.traffic_features(src.flows(spark, sf_dir), SIZES, top=top)
 
 
+def stored(windows_frame: DataFrame) -> DataFrame:
+    """The window table written once: ranking and frames read it twice, and it is small next to the flows."""
+    return cut_lineage(windows_frame)
+
+
 @query("win_totals", ctes("features") + f"""
     SELECT window_size, window_start, total_packets, total_bytes, total_flows, {q6('pps')} AS pps, {q6('bps')} AS bps,
       {q6('fps')} AS fps FROM features""")
@@ -150,7 +156,7 @@ ROLL = {"w": f"""SELECT *, count(*) OVER f AS n, avg(pps) OVER f AS pm, stddev_p
       coalesce(zp > 3, FALSE) AS is_anomaly_packets, coalesce(ze < -3, FALSE) AS is_anomaly_entropy,
       {q6('greatest(0.0::DOUBLE, CASE WHEN zp > 3 THEN zp END, CASE WHEN ze < -3 THEN -ze END)')} AS anomaly_score FROM z""")
 def rolling_zscore(spark, sf_dir):
-    z = rolling.rolling_zscore(features(spark, sf_dir, top=0), RollingSettings())
+    z = rolling.rolling_zscore(stored(features(spark, sf_dir, top=0)), RollingSettings())
     return z.select(*KEY, r6("rolling_mean_packets").alias("mean_packets"), r6("z_packets").alias("z_packets"),
                     r6("z_entropy").alias("z_entropy"), "is_anomaly_packets", "is_anomaly_entropy", r6("anomaly_score").alias("anomaly_score"))
 
@@ -158,7 +164,7 @@ def rolling_zscore(spark, sf_dir):
 @query("packet_rate_events", ctes("features", extra=ROLL) + f"""
     SELECT window_size, window_start, {q6('zp')} AS z_packets, 'packet_rate_anomaly' AS detection_type FROM z WHERE zp > 3""")
 def packet_rate_events(spark, sf_dir):
-    z = rolling.packet_rate_events(rolling.rolling_zscore(features(spark, sf_dir, top=0)))
+    z = rolling.packet_rate_events(rolling.rolling_zscore(stored(features(spark, sf_dir, top=0))))
     return z.select(*KEY, r6("z_packets").alias("z_packets"), "detection_type")
 
 
@@ -174,14 +180,14 @@ DYN = {"d0": """SELECT *, count(*) OVER f AS n, avg(pps) OVER f AS pm, stddev_po
 @query("dyn_threshold", ctes("features", extra=DYN) + f"""
     SELECT window_size, window_start, {q6('pps_limit')} AS pps_limit, {q6('entropy_lower')} AS entropy_lower FROM d""")
 def dyn_threshold(spark, sf_dir):
-    d = rolling.dynamic_thresholds(features(spark, sf_dir, top=0), SCALED)
+    d = rolling.dynamic_thresholds(stored(features(spark, sf_dir, top=0)), SCALED)
     return d.select(*KEY, r6("pps_limit").alias("pps_limit"), r6("entropy_lower").alias("entropy_lower"))
 
 
 @query("entropy_baseline", ctes("features", extra=DYN) + f"""
     SELECT window_size, window_start, {q6('entropy_baseline')} AS entropy_baseline, {q6('entropy_limit')} AS entropy_limit FROM d""")
 def entropy_baseline(spark, sf_dir):
-    d = rolling.dynamic_thresholds(features(spark, sf_dir, top=0), SCALED)
+    d = rolling.dynamic_thresholds(stored(features(spark, sf_dir, top=0)), SCALED)
     return d.select(*KEY, r6("entropy_baseline").alias("entropy_baseline"), r6("entropy_limit").alias("entropy_limit"))
 
 
@@ -199,7 +205,7 @@ RULES = {**DYN, "raised": f"""
 
 
 def raised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = rolling.dynamic_thresholds(features(spark, sf_dir), SCALED)
+    d = rolling.dynamic_thresholds(stored(features(spark, sf_dir)), SCALED)
     return detect.raise_alerts(d, detect.threshold_rules(d, SCALED), SCALED)
 
 
@@ -277,7 +283,7 @@ def severity_tiers(spark, sf_dir):
     SELECT window_size, window_start, syn_severity, rate_severity, entropy_band, CASE syn_severity WHEN 'low' THEN 'log,rate_limit' WHEN 'medium' THEN 'rate_limit,notify'
       WHEN 'high' THEN 'block_ip,notify,cloud_shield' WHEN 'critical' THEN 'block_subnet,notify,cloud_shield,scrubber' END AS actions FROM c""")
 def declared_tiers(spark, sf_dir):
-    f = features(spark, sf_dir, top=0)
+    f = stored(features(spark, sf_dir, top=0))
     mean = f.groupBy("window_size").agg(F.avg("packets_per_second").alias("m"))
     pps = F.col("packets_per_second")
     t = f.join(F.broadcast(mean), "window_size")  # one row per window size
@@ -307,7 +313,7 @@ def seasonal_baseline(spark, sf_dir):
     FROM totals WHERE window_size = 3600"""}) + """
     SELECT window_start, list_aggregate(l, 'string_agg', ',') AS seq FROM s WHERE len(l) = 10""")
 def sequences(spark, sf_dir):
-    t = windows.window_totals(src.flows(spark, sf_dir), [3600])
+    t = stored(windows.window_totals(src.flows(spark, sf_dir), [3600]))
     s = rolling.sequences(t, ["window_size"], ["window_start"], F.expr("window_start div (3600 * 256)"), "total_packets", 10, 256)
     return s.select("window_start", F.array_join(F.transform("sequence", lambda x: x.cast("string")), ",").alias("seq"))
 
@@ -317,5 +323,5 @@ def sequences(spark, sf_dir):
     "s": f"SELECT window_size, count(*) AS n, {q6('regr_slope(pps, i)')} AS slope FROM i GROUP BY 1"}) + """
     SELECT *, CASE WHEN slope > 0.01 THEN 'increasing' WHEN slope < -0.01 THEN 'decreasing' ELSE 'stable' END AS trend FROM s""")
 def trend(spark, sf_dir):
-    t = windows.rates(windows.window_totals(src.flows(spark, sf_dir), SIZES))
+    t = stored(windows.rates(windows.window_totals(src.flows(spark, sf_dir), SIZES)))
     return rolling.trend(t, ["window_size"], "window_start", "packets_per_second", F.expr("window_start div (window_size * 256)"))

@@ -54,6 +54,16 @@ def brute_window(us, width, limit):
     return out
 
 
+def brute_hits(us, width):
+    out, first, n = [], None, 0
+    for t in us:
+        if first is None or t - first >= width:
+            first, n = t, 0
+        n += 1
+        out.append(n)
+    return out
+
+
 def rows_for(seed):
     rnd = random.Random(seed)
     n = rnd.randint(1, 150)
@@ -99,8 +109,17 @@ def test_folds(seed):
     assert bucket.replay({"us": us, "cost": cost}, [])["allowed"].tolist() == brute_bucket(us, cost, 2, 3)
     assert window.replay({"us": us}, [])["allowed"].tolist() == brute_window(us, 7 * M, 3)
     quota = o.spacing_with_quota(2 * M, 60 * M, 5)
+    hits = o.hit_windows(20 * M)
+    assert hits.replay({"us": us}, [])["hit"].tolist() == brute_hits(us, 20 * M)
+    sided = o.sessions(30 * M, 60 * M, side="side", size="size", last_sizes=4, last_gaps=3)
+    packets = {"us": us, "closes": closes, "side": cost > 1, "size": np.where(cost == 2, np.nan, cost.astype(float))}
+    whole, cut = sided.replay(packets, []), in_chunks(sided, packets, rnd)
+    for name in ("session_us", "session_part", "forward", "gap_us"):
+        assert np.array_equal(whole[name], cut[name]), name
+    for name in ("late_gap", "late_size"):  # a chunk may keep more, never less
+        assert not (whole[name] & ~cut[name]).any()
     for fold, cols in ((spacing, {"us": us}), (sessions, {"us": us, "closes": closes}), (bucket, {"us": us, "cost": cost}),
-                       (window, {"us": us}), (quota, {"us": us})):
+                       (window, {"us": us}), (quota, {"us": us}), (hits, {"us": us})):
         whole, cut = fold.replay(cols, []), in_chunks(fold, cols, rnd)
         for name in whole:
             assert np.array_equal(whole[name], cut[name]), name
@@ -113,10 +132,10 @@ def hot_frame(spark):
     return spark.range(3000).select("id", key.alias("key"), us.alias("us"), F.expr("id % 4").alias("cost"), F.expr("id % 97 = 0").alias("closes"))
 
 
-@pytest.mark.parametrize("name", ["spacing", "sessions", "bucket", "window", "quota"])
+@pytest.mark.parametrize("name", ["spacing", "sessions", "bucket", "window", "quota", "hits"])
 def test_hot_key(spark, name):
     fold = {"spacing": o.spacing(3 * M), "sessions": o.sessions(30 * M, 20 * M), "bucket": o.token_bucket(2, 9, cost="cost"),
-            "window": o.sliding_window(5 * M, 3), "quota": o.spacing_with_quota(2 * M, 60 * M, 7)}[name]
+            "window": o.sliding_window(5 * M, 3), "quota": o.spacing_with_quota(2 * M, 60 * M, 7), "hits": o.hit_windows(20 * M)}[name]
     df = hot_frame(spark)
     assert o.hot_keys(df, ["key"], 200).count() == 1
     assert o.hot_slots(df, ["key"], "us", 200).select("_chunk").distinct().count() >= 9
@@ -125,6 +144,24 @@ def test_hot_key(spark, name):
     assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
 
 
+def test_hot_flow_records(spark):
+    """A flow with most of the packets gives the same records cut into chunks."""
+    from tidewatch.operators import flows
+    p = spark.range(2500).select(
+        "id", F.expr(f"{BASE} + id * 300000 + (id * 7919 % 11) * 100000").alias("us"),
+        F.expr("case when id % 5 = 0 then 'b' else 'a' end").alias("ip_src"), F.expr("case when id % 5 = 0 then 'a' else 'b' end").alias("ip_dst"),
+        F.expr("case when id % 7 = 3 then id % 90 else 5 end").cast("int").alias("sport"), F.lit(5).alias("dport"), F.lit(6).alias("protocol"),
+        F.expr("60 + id % 40").alias("length"), F.expr("cast(case when id % 701 = 0 then 1 else 2 end as int)").alias("tcp_flags"),
+        F.expr("cast(id % 300 as int)").alias("tcp_window"), F.lit(None).cast("int").alias("udp_len"))
+    p = p.withColumn("sport", F.when(F.col("ip_src") == "b", 5).otherwise(F.col("sport"))).withColumn("dport", F.lit(5))
+
+    def rounded(df):
+        return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+    cut, whole = flows.flow_records(p, ["id"], chunk_rows=150), flows.flow_records(p, ["id"])
+    assert rounded(cut) == rounded(whole) and whole.count() > 10
+
+
 def test_hot_lag(spark):
     df = hot_frame(spark)
     cut = o.lag_by_chunks(df, ["key"], ["us", "id"], ["id"], chunk_rows=200)

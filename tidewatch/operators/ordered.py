@@ -216,13 +216,15 @@ def _pack(uppers: list[int], exits: list[int], fresh: int) -> list[int]:
     return packed
 
 
-def _follow_steps(summary: list[int], run: list[int], state: list[int]) -> tuple[list[int], bool]:
+def _step_of(steps: list[int], state: list[int]) -> int:
+    """Which exit serves the state: 0 for no state, else the first pair whose bound is above it."""
     if not state:
-        exit_ = summary[0]
-    else:
-        uppers = summary[1::2]
-        at = int(np.searchsorted(np.asarray(uppers, dtype=np.int64), state[0], side="right"))
-        exit_ = summary[2 + 2 * at]
+        return 0
+    return 1 + int(np.searchsorted(np.asarray(steps[1::2], dtype=np.int64), state[0], side="right"))
+
+
+def _follow_steps(steps: list[int], run: list[int], state: list[int]) -> tuple[list[int], bool]:
+    exit_ = steps[2 * _step_of(steps, state)]
     if exit_ == KEEP:
         return state, True
     return ([] if exit_ == NONE else [exit_]), True
@@ -272,6 +274,39 @@ def spacing(gap_us: int, us: str = "us") -> Fold:
     return Fold([us], summarize, _follow_steps, replay, outputs)
 
 
+def hit_windows(width_us: int, us: str = "us") -> Fold:
+    """Windows that open with their first row and last `width_us`: each row's place (`hit`) in its window.
+
+    The state is (opening time, rows so far).
+    """
+    base = spacing(width_us, us)
+
+    def summarize(rows: Rows, run: list[int]) -> list[int]:
+        t = rows[us].astype(np.int64, copy=False)
+        steps = base.summarize(rows, run)
+        exits = [steps[0], *steps[2::2]]
+        counts = [len(t) if e == KEEP else len(t) - int(np.searchsorted(t, e, side="left")) for e in exits]
+        return [len(exits), *counts, *steps]
+
+    def follow(summary: list[int], run: list[int], state: list[int]) -> tuple[list[int], bool]:
+        k = summary[0]
+        counts, steps = summary[1:1 + k], summary[1 + k:]
+        at = _step_of(steps, state[:1])
+        exit_ = ([steps[0], *steps[2::2]])[at]
+        return ([state[0], state[1] + counts[at]] if exit_ == KEEP else [exit_, counts[at]]), True
+
+    def replay(rows: Rows, entry: list[int]) -> Rows:
+        t = rows[us].astype(np.int64, copy=False)
+        led = base.replay(rows, entry[:1])
+        place = np.arange(len(t), dtype=np.int64)
+        opened = np.maximum.accumulate(np.where(led["kept"], place, -1))
+        before = entry[1] if entry else 0
+        return {"leader_us": led["leader_us"], "hit": np.where(opened < 0, before + place + 1, place - opened + 1)}
+
+    outputs = T.StructType([T.StructField("leader_us", T.LongType()), T.StructField("hit", T.LongType())])
+    return Fold([us], summarize, follow, replay, outputs)
+
+
 def sessions(idle_us: int, active_us: int, us: str = "us", closes: str = "closes", side: str | None = None,
              size: str | None = None, last_sizes: int = 100, last_gaps: int = 1000, gap_limit_us: int = 60 * MICROS) -> Fold:
     """Session name per row: cut after a closing row, after an idle gap, and by the active timeout.

@@ -11,7 +11,7 @@ from ..functions.net import ADDRESS_PATTERN, address_range, cidr_high, cidr_low,
 from ..functions.numeric import MICROS
 from ..schemas import RATE_RULE
 from ..session import small_side
-from .ordered import CHUNK_ROWS, run_fold, sliding_window, spacing, token_bucket
+from .ordered import CHUNK_ROWS, hit_windows, run_fold, sliding_window, token_bucket
 
 # Default rate and rule capacity.
 DEFAULT_PPS = 1000
@@ -159,12 +159,10 @@ def replay_fixed_window(rows: DataFrame, keys: list[str], tie: list[str], second
                         chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Windows start at their first hit; the first `limit` hits of each are admitted.
 
-    A hit at exactly the window length opens the next one. Hits are ranked inside one window of
-    one key, which the window length bounds.
+    A hit at exactly the window length opens the next one.
     """
-    led = run_fold(_timed(rows), keys, ["us", *tie], spacing(int(seconds * MICROS)), chunk_rows=chunk_rows)
-    hit = F.row_number().over(Window.partitionBy(*keys, "leader_us").orderBy("us", *tie))
-    return led.withColumn("hit", hit).withColumn("allowed", F.col("hit") <= limit).drop("us", "kept", "leader_us")
+    led = run_fold(_timed(rows), keys, ["us", *tie], hit_windows(int(seconds * MICROS)), chunk_rows=chunk_rows)
+    return led.withColumn("allowed", F.col("hit") <= limit).drop("us", "leader_us")
 
 
 def evaluate_rules(traffic: DataFrame, rules: DataFrame, event: str, sliding: bool = True,
@@ -189,7 +187,20 @@ def evaluate_rules(traffic: DataFrame, rules: DataFrame, event: str, sliding: bo
 
 def blocked(flows: DataFrame, blocks: DataFrame, how: str = "left_anti", ip: str = "ip_src") -> DataFrame:
     """Flows not under (`left_anti`) or under (`left_semi`) an active block at their event time."""
-    b = small_side(blocks.select(F.col("ip").alias("_ip"), "created_at", "expires_at"))
-    on = (F.col(ip) == F.col("_ip")) & (F.col("created_at") <= F.col("ts")) & (
-        F.col("expires_at").isNull() | (F.col("ts") <= F.col("expires_at")))
+    b = small_side(merged_blocks(blocks).withColumnRenamed("ip", "_ip"))
+    on = (F.col(ip) == F.col("_ip")) & (F.col("created_at") <= F.col("ts")) & (F.col("ts") <= F.col("expires_at"))
     return flows.join(b, on, how)
+
+
+def merged_blocks(blocks: DataFrame) -> DataFrame:
+    """Overlapping blocks of an address as one: a flow then meets at most one interval per address.
+
+    A missing expiry means for ever.
+    """
+    ends = F.coalesce("expires_at", F.lit(datetime(9999, 1, 1)))
+    spans = blocks.select("ip", "created_at", ends.alias("expires_at")).distinct()
+    order = Window.partitionBy("ip").orderBy("created_at", "expires_at")
+    covered = F.max("expires_at").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("created_at") > covered, F.lit(True)).cast("int")
+    numbered = spans.withColumn("_o", opens).withColumn("_i", F.sum("_o").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("ip", "_i").agg(F.min("created_at").alias("created_at"), F.max("expires_at").alias("expires_at")).drop("_i")

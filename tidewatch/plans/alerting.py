@@ -130,7 +130,11 @@ def alert_throttle(spark, sf_dir):
     return run_fold(critical, ["_all"], ["us", "alert_id"], fold).select("alert_id", "kept")
 
 
-@query("verdict_throttle")
+@query("verdict_throttle", ctes("features", extra={**WEIGHTED,
+    "c": "SELECT *, (window_start + window_size) * 1000000 AS us, row_number() OVER (ORDER BY window_start + window_size, window_size, attack_type) AS rn FROM verdict",
+    "g": """SELECT rn, [us] AS q, TRUE AS kept FROM c WHERE rn = 1
+      UNION ALL SELECT c.rn, CASE WHEN c.us - g.q[-1] >= 10000000 THEN [c.us] ELSE g.q END, c.us - g.q[-1] >= 10000000 FROM g JOIN c ON c.rn = g.rn + 1"""}, recursive=True) + """
+    SELECT window_size, window_start, attack_type, kept FROM c JOIN g USING (rn)""")
 def verdict_throttle(spark, sf_dir):
     v = stored(ensemble.weighted(votes(windows_of(spark, sf_dir)), SETTINGS)).withColumn("ts", F.timestamp_seconds(F.col("window_start") + F.col("window_size")))
     return ops.throttle(v, ["window_size", "attack_type"]).select(*KEY, "attack_type", "kept")

@@ -339,7 +339,9 @@ def last_rows(spark, sf_dir):
     return rolling.last_rows(src.scored(spark, sf_dir), ["ts", "event_id"], 200).select("event_id", "score")
 
 
-@query("drift_p_values")
+@query("drift_p_values", ctes("flows", extra={**DRIFT, "k": "SELECT feature, max(abs(ca - cb)) AS ks FROM c GROUP BY 1",
+    "m": "SELECT feature, sum(a) AS x, sum(b) AS y FROM n GROUP BY 1", "z": "SELECT feature, sqrt(x * y / (x + y)) * ks AS z FROM k JOIN m USING (feature)"}) + f"""
+    SELECT feature, {q6('CASE WHEN z < 0.2 THEN 1 ELSE greatest(0, least(1, 2 * list_sum(list_transform(range(1, 61), lambda i: (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * i * i * z * z))))) END')} AS p_value FROM z""")
 def drift_p_values(spark, sf_dir):
     return shift(spark, sf_dir).select("feature", r6("p_value").alias("p_value"))
 

@@ -98,7 +98,19 @@ def rules_evaluated(spark, sf_dir):
     return ops.evaluate_rules(src.flows(spark, sf_dir), ops.rule_table(spark, RULES), "event_id", sliding=False)
 
 
-@query("rules_evaluated_sliding")
+WITHIN = "list_filter(h.q, lambda x: x >= w.us - 1000000)"
+BYTE_RULES = bucket_sql("bytes_", "sk", "limit_value", "burst_value", "bytes")
+
+
+@query("rules_evaluated_sliding", ctes("flows", extra={**MATCH,
+    "mm": "SELECT *, rule_id || ':' || coalesce('subnet:' || target_subnet, ip_src) || ':' || protocol AS sk FROM m",
+    "bytes_": "SELECT * FROM mm WHERE limit_type = 'byte'", **BYTE_RULES,
+    "w": "SELECT *, row_number() OVER (PARTITION BY sk ORDER BY us, event_id) AS rn FROM mm WHERE limit_type <> 'byte'",
+    "h": f"""SELECT sk, rn, [us] AS q, limit_value > 0 AS allowed FROM w WHERE rn = 1
+      UNION ALL SELECT w.sk, w.rn, CASE WHEN len({WITHIN}) < limit_value THEN list_append({WITHIN}, w.us) ELSE {WITHIN} END, len({WITHIN}) < limit_value
+      FROM h JOIN w ON w.sk = h.sk AND w.rn = h.rn + 1""",
+    "u": "SELECT event_id, allowed FROM o JOIN g USING (gk, rn) UNION ALL SELECT event_id, allowed FROM w JOIN h USING (sk, rn)"}, recursive=True) + """
+    SELECT event_id, count(*) AS rules, bool_and(allowed) AS allowed FROM u GROUP BY 1""")
 def rules_evaluated_sliding(spark, sf_dir):
     return ops.evaluate_rules(src.flows(spark, sf_dir), ops.rule_table(spark, RULES), "event_id", sliding=True)
 

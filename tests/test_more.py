@@ -163,6 +163,25 @@ def test_packet_scan_and_archive(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "old")).count() == t.filter("ts < timestamp'2024-01-10'").count()
 
 
+def test_send_batch_and_reference_snapshot(spark, tmp_path):
+    from tidewatch.operators import drift
+    t = src.flows(spark, SMALL).select("event_id", "packets")
+    files.send_batch(t, str(tmp_path / "sent"), records_per_file=300)
+    assert spark.read.json(str(tmp_path / "sent")).count() == t.count()
+    metrics = spark.createDataFrame([("accuracy", 0.9)], "metric_name string, value double")
+    drift.reference_snapshot(t, ["packets"], metrics, str(tmp_path / "ref"))
+    stored = spark.read.parquet(str(tmp_path / "ref" / "features"))
+    shift = drift.covariate_shift(stored, t, ["packets"]).collect()[0]
+    assert (shift["ks_statistic"], shift["wasserstein"], shift["drifted"], shift["p_value"]) == (0.0, 0.0, False, 1.0)
+
+
+def test_archive_and_keep_are_complements(spark):
+    from tidewatch.operators import governance
+    t = src.flows(spark, SMALL)
+    kept, old = governance.split_by_age(t, F.lit("2024-02-05").cast("timestamp"), 20)
+    assert kept.unionByName(old).exceptAll(t).count() == 0 and kept.count() + old.count() == t.count()
+
+
 def test_kafka_options():
     o = messages.kafka_options("h:1", ["a", "b"], "g", "earliest", 500, {"security.protocol": "SSL"})
     assert o["subscribe"] == "a,b" and o["maxOffsetsPerTrigger"] == "500" and o["kafka.security.protocol"] == "SSL"

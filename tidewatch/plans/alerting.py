@@ -10,11 +10,12 @@ from ..config import EnsembleSettings
 from ..functions.numeric import r6
 from ..operators import alerts as ops
 from ..operators import detect, ensemble, rolling
+from ..operators.ordered import run_fold, spacing_with_quota
 from ..session import cut_lineage
 from ..sources import events as src
 from .base import ctes, greedy, query
 from .base import r6 as q6
-from .windows import ALERT_SQL, KEY, RULES, SCALED, _alert_columns, features, raised, stored
+from .windows import ALERT_SQL, KEY, RULES, SCALED, alert_columns, features, raised, stored
 
 SETTINGS = replace(EnsembleSettings(), min_confidence=0.5, entropy_limit=2.2)
 
@@ -29,7 +30,7 @@ VOTES = {**RULES, "ml": ML, "v0": """
     "v": """SELECT *, row_number() OVER (PARTITION BY window_size, window_start ORDER BY o, attack_type, confidence) AS i,
       count(*) OVER (PARTITION BY window_size, window_start) AS total_votes,
       CASE detector WHEN 'threshold' THEN 0.4 WHEN 'ml' THEN 0.4 ELSE 0.2 END AS w FROM v0"""}
-VERDICT_SQL = f"SELECT window_size, window_start, attack_type, {q6('confidence')} AS confidence, severity, ips, total_votes FROM "
+VERDICT_SQL = f"SELECT window_size, window_start, attack_type, {q6('confidence')} AS confidence, severity, ips, total_votes::INT AS total_votes FROM "
 
 
 def model_opinion(f):
@@ -108,7 +109,7 @@ def alert_payload(spark, sf_dir):
     **greedy("rr", "rule || '_' || window_size", 4 * 3600 * 1_000_000, "window_start"),
     "kept": "SELECT o.* FROM o JOIN g USING (gk, rn) WHERE kept"}, recursive=True) + ALERT_SQL + "kept")
 def alert_cooldown(spark, sf_dir):
-    return _alert_columns(ops.cooldown(stored(raised(spark, sf_dir)), 4 * 3600))
+    return alert_columns(ops.cooldown(stored(raised(spark, sf_dir)), 4 * 3600))
 
 
 @query("alert_dedup", ctes("alerts", extra=greedy("alerts", "attack_type || severity", 3600 * 1_000_000, "alert_id"), recursive=True) + """
@@ -124,7 +125,6 @@ def alert_dedup(spark, sf_dir):
         c.us - g.q[-1] >= 3600000000 AND len(list_filter(g.q, lambda x: x > c.us - 86400000000)) < 8 FROM g JOIN c ON c.rn = g.rn + 1"""}, recursive=True) + """
     SELECT c.alert_id, kept FROM c JOIN g USING (rn)""")
 def alert_throttle(spark, sf_dir):
-    from ..operators.ordered import run_fold, spacing_with_quota
     critical = ops.with_time(src.alerts(spark, sf_dir).filter("severity = 'critical'")).withColumn("_all", F.lit(0))
     fold = spacing_with_quota(3_600_000_000, 86_400_000_000, 8)
     return run_fold(critical, ["_all"], ["us", "alert_id"], fold).select("alert_id", "kept")

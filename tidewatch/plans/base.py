@@ -51,7 +51,7 @@ CTES: dict[str, tuple[list[str], str]] = {
           CASE WHEN protocol = 6 AND k % 3 = 0 THEN 1 ELSE 0 END AS tcp_fin_count,
           CASE WHEN k >= 85 THEN 1 ELSE 0 END AS is_attack, epoch_us(ts) AS us
         FROM base"""),
-    "sizes": ([], "SELECT unnest([3600, 21600, 86400]) AS window_size"),
+    "sizes": ([], "SELECT unnest([3600::BIGINT, 21600::BIGINT, 86400::BIGINT]) AS window_size"),
     "fw": (["flows", "sizes"], """
         SELECT f.*, s.window_size, (us // 1000000) // s.window_size * s.window_size AS window_start
         FROM flows f CROSS JOIN sizes s"""),

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import FlowSettings
 from ..functions.net import has_flag, http_request
 from ..functions.numeric import counter, r6
 from ..operators import flows as ops
-from ..operators import mitigation
+from ..operators import mitigation, rules
 from ..sources import events as src
 from .base import ctes, greedy, query
 from .base import r6 as q6
@@ -19,7 +18,7 @@ def flow_keys(spark, sf_dir):
     return ops.with_flow_key(src.packets(spark, sf_dir)).select("event_id", "flow_id", F.col("lo.ip").alias("lo_ip"), F.col("hi.ip").alias("hi_ip"))
 
 
-@query("flow_reverse", ctes("packets") + "SELECT event_id, ip_dst AS ip_src, ip_src AS ip_dst, dport AS sport, sport AS dport FROM packets")
+@query("flow_reverse", ctes("packets") + "SELECT event_id, ip_dst AS ip_src, ip_src AS ip_dst, dport::INT AS sport, sport::INT AS dport FROM packets")
 def flow_reverse(spark, sf_dir):
     rows = src.packets(spark, sf_dir).select("event_id", "ip_src", "ip_dst", "sport", "dport")
     return ops.reversed_key(rows)
@@ -128,14 +127,14 @@ def flow_rates(spark, sf_dir):
     return records(spark, sf_dir).select("flow_id", "first_us", "total_packets", "total_bytes", *[r6(c).alias(c) for c in names], "is_complete")
 
 
-@query("icmp_types", ctes("packet_ids") + "SELECT flow_id, icmp_type, count(*) AS packets FROM packet_ids WHERE protocol = 1 GROUP BY ALL")
+@query("icmp_types", ctes("packet_ids") + "SELECT flow_id, icmp_type::INT AS icmp_type, count(*) AS packets FROM packet_ids WHERE protocol = 1 GROUP BY ALL")
 def icmp_types(spark, sf_dir):
     return ops.icmp_types(ops.with_flow_key(src.packets(spark, sf_dir)), ["flow_id"])
 
 
 @query("flow_features", ctes("flows") + f"""
-    SELECT event_id, {q6('bytes / packets::DOUBLE')} AS avg_packet_size, CASE WHEN protocol = 6 THEN 1000.0 + k ELSE 0.0 END AS tcp_window_avg,
-      CASE WHEN protocol = 17 THEN 40.0 + k ELSE 0.0 END AS udp_payload_avg, 11 AS n FROM flows""")
+    SELECT event_id, {q6('bytes / packets::DOUBLE')} AS avg_packet_size, CASE WHEN protocol = 6 THEN 1000.0 + k ELSE 0.0 END::DOUBLE AS tcp_window_avg,
+      CASE WHEN protocol = 17 THEN 40.0 + k ELSE 0.0 END::DOUBLE AS udp_payload_avg, 11 AS n FROM flows""")
 def flow_features(spark, sf_dir):
     f = src.flows(spark, sf_dir).withColumns({"tcp_window_avg": F.lit(1000.0) + F.col("k"), "udp_payload_avg": F.lit(40.0) + F.col("k")})
     out = ops.flow_features(f)
@@ -166,6 +165,5 @@ def top_flows(spark, sf_dir):
 @query("evict_oldest", ctes("flows", extra={"l": "SELECT user_id, max(us) AS last_us, max(event_id) AS e FROM flows GROUP BY 1"}) + """
     SELECT user_id, last_us FROM l WHERE (SELECT count(*) FROM l) > 10 ORDER BY last_us, user_id LIMIT 1""")
 def evict_oldest(spark, sf_dir):
-    from ..operators.rules import oldest_tenth
     last = src.flows(spark, sf_dir).groupBy("user_id").agg(F.max(F.unix_micros("ts")).alias("last_us"))
-    return oldest_tenth(last, ["last_us", "user_id"], 10)
+    return rules.oldest_tenth(last, ["last_us", "user_id"], 10)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,7 +169,6 @@ def audit_rows(spark, sf_dir):
 @query("audit_log", ctes("alerts") + """
     SELECT alert_id, severity FROM alerts WHERE severity = 'high' AND us // 1000000 BETWEEN 1704672000 AND 1705881600""")
 def audit_log(spark, sf_dir):
-    from datetime import datetime
     path = fresh_path(spark, "audit")
     files.append_audit(audit_rows(spark, sf_dir), path)
     found = files.filter_audit(files.read_audit(spark, path), datetime(2024, 1, 8), datetime(2024, 1, 22), "alert_high")
@@ -216,7 +217,7 @@ CUT = 86400000000
 
 @query("retention", ctes("flows", extra={"c": f"SELECT us, {CATEGORY} AS category FROM flows",
     "p": "SELECT * FROM (VALUES ('raw_packets', 1), ('flows', 30), ('alerts', 90), ('metrics', 30), ('audit_logs', 365)) t(category, days)"}) + f"""
-    SELECT p.category, days, count(us) FILTER (us >= {NOW}000000 - days * {CUT}) AS kept, count(us) FILTER (us < {NOW}000000 - days * {CUT}) AS deleted, 0 AS archived
+    SELECT p.category, days, count(us) FILTER (us >= {NOW}000000 - days * {CUT}) AS kept, count(us) FILTER (us < {NOW}000000 - days * {CUT}) AS deleted, 0::BIGINT AS archived
     FROM p LEFT JOIN c USING (category) GROUP BY 1, 2""")
 def retention(spark, sf_dir):
     f = src.flows(spark, sf_dir).withColumn("category", F.expr(CATEGORY))
@@ -262,7 +263,7 @@ def export(spark, sf_dir):
     return gov.matching_rows(src.flows(spark, sf_dir), requests(spark, sf_dir)).select("event_id", "ip_src", "ip_dst")
 
 
-@query("compliance_report", ctes("alerts") + "SELECT 7 AS policies, count(*) AS audit_entries FROM alerts")
+@query("compliance_report", ctes("alerts") + "SELECT 7::BIGINT AS policies, count(*) AS audit_entries FROM alerts")
 def compliance_report(spark, sf_dir):
     policies = spark.createDataFrame([(p.category, p.days) for p in gov.POLICIES], "category string, days int")
     return gov.compliance_report(policies, audit_rows(spark, sf_dir)).select("policies", "audit_entries")

@@ -72,7 +72,7 @@ RATE = {"l": "SELECT *, lag(total_packets) OVER (PARTITION BY flow_id ORDER BY u
 
 
 @query("metric_rate", ctes("snapshots", extra=RATE) + f"""
-    SELECT event_id, sum(step) OVER w AS increase, {q6('(sum(step) OVER w) / 43200.0::DOUBLE')} AS rate FROM st
+    SELECT event_id, (sum(step) OVER w)::DOUBLE AS increase, {q6('(sum(step) OVER w) / 43200.0::DOUBLE')} AS rate FROM st
     WINDOW w AS (PARTITION BY flow_id ORDER BY us RANGE BETWEEN 43200000000 PRECEDING AND CURRENT ROW)""")
 def metric_rate(spark, sf_dir):
     snaps = src.snapshots_from(src.flows(spark, sf_dir)).select("event_id", "flow_id", "ts", F.col("total_packets").alias("value"))

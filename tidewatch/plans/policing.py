@@ -84,7 +84,7 @@ def rate_replay_sliding(spark, sf_dir):
     "o": "SELECT *, user_id AS gk, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS rn FROM slow",
     "g": """SELECT gk, rn, us AS first, 1 AS hit FROM o WHERE rn = 1
       UNION ALL SELECT o.gk, o.rn, CASE WHEN o.us - g.first >= 60000000 THEN o.us ELSE g.first END, CASE WHEN o.us - g.first >= 60000000 THEN 1 ELSE g.hit + 1 END
-      FROM g JOIN o ON o.gk = g.gk AND o.rn = g.rn + 1"""}, recursive=True) + "SELECT o.event_id, g.hit, g.hit <= 2 AS allowed FROM o JOIN g USING (gk, rn)")
+      FROM g JOIN o ON o.gk = g.gk AND o.rn = g.rn + 1"""}, recursive=True) + "SELECT o.event_id, g.hit::BIGINT AS hit, g.hit <= 2 AS allowed FROM o JOIN g USING (gk, rn)")
 def rate_replay_fixed(spark, sf_dir):
     r = ops.replay_fixed_window(slow_flows(spark, sf_dir), ["user_id"], ["event_id"], 60, 2)
     return r.select("event_id", "hit", "allowed")
@@ -166,8 +166,7 @@ def mitigation_plan(spark, sf_dir):
 
 
 EPISODES = {"a": "SELECT window_start, total_packets / 3600.0::DOUBLE AS pps, total_bytes / 3600.0::DOUBLE AS bps FROM totals WHERE window_size = 3600",
-            "q": "SELECT quantile_cont(pps, 0.5) AS m FROM a",
-            "i": "SELECT a.*, window_start // 3600 - row_number() OVER (ORDER BY window_start) AS island FROM a, q WHERE pps > 0.1",
+            "i": "SELECT a.*, window_start // 3600 - row_number() OVER (ORDER BY window_start) AS island FROM a WHERE pps > 0.1",
             "e": "SELECT min(window_start) AS starts, max(window_start) + 3600 AS ends, count(*) AS windows, max(pps) AS peak_pps, max(bps) AS peak_bps FROM i GROUP BY island"}
 
 

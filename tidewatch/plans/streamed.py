@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import r6
 from ..session import fresh_path
@@ -12,12 +13,14 @@ from ..sources import messages
 from ..streaming import stateful, windows
 from .base import ORACLES, SIZES, ctes, greedy, query
 from .base import r6 as q6
-from .windows import KEY, SCALED, _alert_columns
+from .windows import KEY, SCALED, alert_columns
+
+
+MESSAGE = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ip_src", T.StringType()), T.StructField("bytes", T.LongType())])
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = src.events(spark, sf_dir).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return spark.readStream.schema(src.EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def flow_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +42,7 @@ def stream_windows(spark, sf_dir):
 def stream_detect(spark, sf_dir):
     d = windows.Detector(spark, fresh_path(spark, "stream-detect"), SIZES, settings=SCALED)
     d.run(flow_stream(spark, sf_dir))
-    return _alert_columns(d.alert_rows())
+    return alert_columns(d.alert_rows())
 
 
 @query("stream_delta", ctes("flows", extra={
@@ -51,7 +54,8 @@ def stream_detect(spark, sf_dir):
     "d": """SELECT event_id, flow_id, CASE WHEN restart THEN total_packets ELSE total_packets - pp END AS total_packets, CASE WHEN restart THEN total_bytes ELSE total_bytes - pb END AS total_bytes,
         CASE WHEN restart THEN tcp_syn_count ELSE tcp_syn_count - a END AS tcp_syn_count, CASE WHEN restart THEN tcp_rst_count ELSE tcp_rst_count - r END AS tcp_rst_count,
         CASE WHEN restart THEN tcp_fin_count ELSE tcp_fin_count - f END AS tcp_fin_count FROM m"""}) + """
-    SELECT * FROM d WHERE greatest(total_packets, total_bytes, tcp_syn_count, tcp_rst_count, tcp_fin_count) > 0""")
+    SELECT event_id, flow_id, total_packets, total_bytes, tcp_syn_count, tcp_rst_count::BIGINT AS tcp_rst_count, tcp_fin_count::BIGINT AS tcp_fin_count
+    FROM d WHERE greatest(total_packets, total_bytes, tcp_syn_count, tcp_rst_count, tcp_fin_count) > 0""")
 def stream_delta(spark, sf_dir):
     snaps = flow_stream(spark, sf_dir).selectExpr(
         "event_id", "ts", "concat('f', cast(user_id as string)) as flow_id", "(event_id div 7) * 10 + packets % 5 as total_packets",
@@ -82,11 +86,7 @@ def stream_messages(spark, sf_dir):
     out = messages.to_messages(flow_stream(spark, sf_dir).select("event_id", "ip_src", "bytes"), "flows")
     sent = stateful.drain(out, f"{folder}/topic", f"{folder}/checkpoint-out")
     back = spark.readStream.schema(sent.schema).parquet(f"{folder}/topic")
-    good, _ = messages.decode(back, src_schema())
+    good, _ = messages.decode(back, MESSAGE)
     rows = stateful.drain(good, f"{folder}/table", f"{folder}/checkpoint-in")
     return rows.select("event_id", F.col("ip_src").alias("key"), "bytes")
 
-
-def src_schema():
-    from pyspark.sql import types as T
-    return T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ip_src", T.StringType()), T.StructField("bytes", T.LongType())])

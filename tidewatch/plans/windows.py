@@ -83,7 +83,7 @@ def win_packet_size(spark, sf_dir):
 
 
 @query("win_top_talkers", ctes("ranked") + """
-    SELECT window_size, window_start, dim, key, weight, rank FROM ranked WHERE rank <= 10""")
+    SELECT window_size, window_start, dim, key, weight, rank::INT AS rank FROM ranked WHERE rank <= 10""")
 def win_top_talkers(spark, sf_dir):
     return windows.top_keys(windows.key_counts(src.flows(spark, sf_dir), SIZES), 10)
 
@@ -209,7 +209,7 @@ def raised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.raise_alerts(d, detect.threshold_rules(d, SCALED), SCALED)
 
 
-def _alert_columns(alerts: DataFrame) -> DataFrame:
+def alert_columns(alerts: DataFrame) -> DataFrame:
     return alerts.select(*KEY, "rule", "attack_type", "severity", r6("confidence").alias("confidence"),
                          r6("current_value").alias("current_value"), r6("threshold_value").alias("threshold_value"),
                          F.array_join("affected_ips", ",").alias("ips"))
@@ -221,7 +221,7 @@ ALERT_SQL = f"""SELECT window_size, window_start, rule, attack_type, severity, {
 
 @query("threshold_alerts", ctes("features", extra=RULES) + ALERT_SQL + "raised")
 def threshold_alerts(spark, sf_dir):
-    return _alert_columns(raised(spark, sf_dir))
+    return alert_columns(raised(spark, sf_dir))
 
 
 @query("declared_alerts", ctes("features", extra={"raised": f"""
@@ -236,7 +236,7 @@ def threshold_alerts(spark, sf_dir):
       FROM features WHERE icmp_ratio > {SCALED.icmp_ratio} AND pps > {SCALED.icmp_min_pps}"""}) + ALERT_SQL + "raised")
 def declared_alerts(spark, sf_dir):
     f = features(spark, sf_dir)
-    return _alert_columns(detect.raise_alerts(f, detect.declared_rules(f, SCALED), SCALED))
+    return alert_columns(detect.raise_alerts(f, detect.declared_rules(f, SCALED), SCALED))
 
 
 @query("per_source_alerts", ctes("flows", extra={"r": """

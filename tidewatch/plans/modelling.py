@@ -130,7 +130,7 @@ def rf_importance(spark, sf_dir):
 @query("rf_grid_search")
 def rf_grid_search(spark, sf_dir):
     rows = cut_lineage(frame(spark, sf_dir))
-    search = ml.grid_search(ml.random_forest(NAMES, "label", trees=5, depth=4), "label", {"maxDepth": [2, 4]}, folds=2)
+    search = ml.grid_search(ml.random_forest(NAMES, "label", trees=5, depth=4), "label", {"maxDepth": [2, 4]}, folds=2, parallelism=1)
     scored = ml.attack_probability(search.fit(rows).bestModel.transform(rows))
     return scored.groupBy("label").agg(F.count("*").alias("rows"), r6(F.avg("attack_probability")).alias("mean_probability"))
 

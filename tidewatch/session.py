@@ -31,10 +31,12 @@ def build_session(app_name: str = "tidewatch", master: str | None = None, **extr
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; a temporary one only where that is unset (tests)."""
+    """The cluster's `spark.checkpoint.dir`; a temporary folder only where that is unset on a local master (tests)."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidewatch-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)

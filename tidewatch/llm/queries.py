@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat, lines, mixing, packing
+from . import chat, exact_search, graph_search, lines, mixing, packing, warc
 
 QUERIES = {
+    "op2_warc_index": warc.op2_warc_index,
     "op4_source_mix": mixing.op4_source_mix,
     "op6_chat_format": chat.op6_chat_format,
+    "op7_exact_top_k": exact_search.op7_exact_top_k,
+    "op8_graph_search": graph_search.op8_graph_search,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_best_fit_pack": packing.op10_best_fit_pack,
 }
 ORACLES = {
+    "op2_warc_index": warc.OP2_SQL,
     "op4_source_mix": mixing.OP4_SQL,
     "op6_chat_format": chat.OP6_SQL,
+    "op7_exact_top_k": exact_search.OP7_SQL,
     "op9_line_dedup": lines.OP9_SQL,
 }

@@ -3,13 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewatch.llm.common import read_table, written
+from tidewatch.llm.forest import drop_near_duplicates
+from tidewatch.llm.langid import MIN_SCORE, UNKNOWN, predicted, train_on_documents
 from tidewatch.llm.lines import dedup_lines
 from tidewatch.llm.mixing import mixed_documents
 from tidewatch.llm.packing import pack_documents
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or without a language that is likely enough, go."""
+    model = train_on_documents(docs)
+    if not model.langs:
+        return docs
+    found = docs.withColumn("language_found", predicted(model, F.col("text"), spark))
+    likely = (F.col("language_found.lang_pred") != UNKNOWN) & (F.col("language_found.score") >= MIN_SCORE)
+    return found.where(likely).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return drop_near_duplicates(docs)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share go; each document stays."""
     return dedup_lines(docs).select(*docs.columns)
@@ -26,7 +44,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language", language),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
     ("source_mix", source_mix),
     ("packing", packing),
 ]

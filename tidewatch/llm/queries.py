@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, exact_search, forest, graph_search, langid, lines, mixing, packing, warc
+from . import chat, exact_search, forest, graph_search, langid, lines, mixing, packing, passages, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_warc_index": warc.op2_warc_index,
     "op3_near_duplicates": forest.op3_near_duplicates,
     "op4_source_mix": mixing.op4_source_mix,
+    "op5_repeated_passages": passages.op5_repeated_passages,
     "op6_chat_format": chat.op6_chat_format,
     "op7_exact_top_k": exact_search.op7_exact_top_k,
     "op8_graph_search": graph_search.op8_graph_search,

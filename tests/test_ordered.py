@@ -179,3 +179,38 @@ def test_groups_over_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(map(tuple, small)) == sorted(map(tuple, o.run_fold(df, ["key"], ["us", "id"], o.spacing(3 * M)).collect()))
+
+
+def test_sessions_of_one_microsecond(spark):
+    """Every closing packet of one microsecond is a session of its own."""
+    fold = o.sessions(30 * M, 60 * M)
+    df = spark.range(1200).select("id", F.lit("k").alias("key"), F.lit(BASE).alias("us"), F.lit(True).alias("closes"))
+    found = o.run_fold(df, ["key"], ["us", "id"], fold)
+    assert found.select("session_us", "session_part").distinct().count() == 1200
+
+
+def test_dense_second(spark):
+    """A second with more rows than a chunk is cut below the second."""
+    df = spark.range(4000).select("id", F.lit("k").alias("key"), F.expr(f"{BASE} + id * 700 + (id div 1500) * 5").alias("us"))
+    slots = o.hot_slots(df, ["key"], "us", 300)
+    assert slots.select("_chunk").distinct().count() >= 12
+    fold = o.sliding_window(100_000, 20)
+    cut, whole = (o.run_fold(df, ["key"], ["us", "id"], fold, chunk_rows=n) for n in (300, 10_000))
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_many_chunks(spark, monkeypatch):
+    """A quota whose state never forgets its entry settles in a bounded number of chunk runs."""
+    df = spark.range(1200).select("id", F.lit("k").alias("key"), F.expr(f"{BASE} + id * 1000000").alias("us"))
+    monkeypatch.setattr(o, "SERIAL_CHUNKS", 200)
+    fold = o.spacing_with_quota(2 * M, 100 * M, 7)
+    assert not fold.one_walk
+    cut, whole = (o.run_fold(df, ["key"], ["us", "id"], fold, chunk_rows=n) for n in (2, 10_000))
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_quota_that_cannot_bind():
+    rnd = random.Random(3)
+    us = np.cumsum([rnd.randint(0, 4) * M for _ in range(300)]).astype(np.int64) + BASE
+    fold = o.spacing_with_quota(10 * M, 60 * M, 6)
+    assert fold.one_walk and fold.replay({"us": us}, [])["kept"].tolist() == brute_spacing(us, 10 * M)

@@ -10,7 +10,9 @@ Keys with more rows than fit one task are therefore cut into time chunks:
 
 For spacing and sessions a summary is the complete entry-to-exit step function, so one walk is
 exact. For token buckets and sliding windows a summary is exact only for the state it was run
-from; the walk predicts, and chunks whose entry changed are run again until none changes.
+from; the walk predicts, and chunks whose entry changed are run again. Most settle at once, for a
+chunk forgets its entry. Those that still change after PARALLEL_WALKS are run from exact states in
+order, SERIAL_CHUNKS of a key at a time, so every chunk is run a bounded number of times.
 Cold keys are one chunk each and go straight to the replay.
 """
 
@@ -33,7 +35,7 @@ CHUNK_ROWS = 1_000_000
 Rows = dict[str, np.ndarray]        # the needed columns of one chunk, in order
 NONE = np.iinfo(np.int64).min       # "no state yet"
 KEEP = NONE + 1                     # "the entry state passes through"
-SAME_TIME = 1024                    # names told apart among rows of one microsecond
+PARALLEL_WALKS, SERIAL_CHUNKS = 3, 32
 
 
 def hot_keys(df: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame:
@@ -42,21 +44,46 @@ def hot_keys(df: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame:
     return counts.filter(F.col("_n") > chunk_rows).drop("_n")
 
 
-def hot_slots(df: DataFrame, keys: list[str], us: str, chunk_rows: int, slot_us: int = MICROS) -> DataFrame:
-    """(keys, slot, chunk) of the hot keys, one row per occupied time slot."""
-    slot = F.expr(f"`{us}` div {slot_us}")
+def hot_slots(df: DataFrame, keys: list[str], us: str, chunk_rows: int) -> DataFrame:
+    """(keys, slot, width, chunk) of the hot keys, one row per occupied time slot in microseconds.
+
+    A slot is a second; seconds of a key with more than `chunk_rows` rows are cut into milliseconds, and
+    milliseconds with more than that into microseconds. Rows of one microsecond stay together.
+    """
     hot_rows = df.join(hot_keys(df, keys, chunk_rows), keys, "left_semi")
-    counts = hot_rows.groupBy(*keys, slot.alias("_slot")).agg(F.count("*").alias("_n"))
+    counts, width = None, MICROS
+    while True:
+        slot = F.expr(f"`{us}` div {width} * {width}")
+        found = hot_rows.groupBy(*keys, slot.alias("_slot")).agg(F.count("*").alias("_n"))
+        if width == 1:
+            return _chunked(counts.unionByName(found.withColumn("_width", F.lit(1))), keys, chunk_rows)
+        found = cut_lineage(found.withColumn("_width", F.lit(width)))
+        dense = found.filter(F.col("_n") > chunk_rows)
+        sparse = found.filter(F.col("_n") <= chunk_rows)
+        counts = sparse if counts is None else counts.unionByName(sparse)
+        if dense.isEmpty():
+            return _chunked(counts, keys, chunk_rows)
+        hot_rows = hot_rows.withColumn("_slot", slot).join(dense.select(*keys, "_slot"), [*keys, "_slot"], "left_semi").drop("_slot")
+        width //= 1000
+
+
+def _chunked(counts: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame:
     before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("_n").over(before), F.lit(0))
-    return counts.select(*keys, "_slot", start.alias("_before")).select(
-        *keys, "_slot", F.expr(f"_before div {chunk_rows}").alias("_chunk"))
+    placed = counts.select(*keys, "_slot", "_width", start.alias("_before"))
+    return placed.select(*keys, "_slot", "_width", F.expr(f"_before div {chunk_rows}").alias("_chunk"))
 
 
-def with_chunks(df: DataFrame, keys: list[str], us: str, slots: DataFrame, slot_us: int = MICROS) -> DataFrame:
-    """Adds `_chunk`: the slot's chunk for hot keys, null for cold ones."""
-    slotted = df.withColumn("_slot", F.expr(f"`{us}` div {slot_us}"))
-    return slotted.join(small_side(slots), [*keys, "_slot"], "left").drop("_slot")
+def with_chunks(df: DataFrame, keys: list[str], us: str, slots: DataFrame) -> DataFrame:
+    """Adds `_chunk`: the slot's chunk for hot keys, null for cold ones. A row lies in one slot of one width."""
+    slots = cut_lineage(slots)
+    widths = [r["_width"] for r in slots.select("_width").distinct().collect()]
+    out = df.withColumn("_chunk", F.lit(None).cast("bigint"))
+    for width in widths:
+        own = small_side(slots.filter(F.col("_width") == width).select(*keys, "_slot", F.col("_chunk").alias("_of")))
+        slotted = out.withColumn("_slot", F.expr(f"`{us}` div {width} * {width}")).join(own, [*keys, "_slot"], "left")
+        out = slotted.withColumn("_chunk", F.coalesce("_chunk", "_of")).drop("_slot", "_of")
+    return out
 
 
 @dataclass(frozen=True)
@@ -118,7 +145,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
 
 
 def run_fold(df: DataFrame, keys: list[str], order: list[str], fold: Fold, us: str = "us",
-             chunk_rows: int = CHUNK_ROWS, max_walks: int = 1000) -> DataFrame:
+             chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """All rows of `df` with the fold's output columns; `order` must start with `us`.
 
     Looking for hot keys is one counting job; without any, the rows go through one shuffle.
@@ -129,7 +156,7 @@ def run_fold(df: DataFrame, keys: list[str], order: list[str], fold: Fold, us: s
         ready = df.withColumns({"_chunk": F.lit(-1).cast("bigint"), "_entry": F.lit(None).cast("array<bigint>")})
     else:
         chunked = with_chunks(df, keys, us, hot_slots(df, keys, us, chunk_rows))
-        entries = _entries(chunked.filter(F.col("_chunk").isNotNull()), keys, order, fold, max_walks)
+        entries = _entries(chunked.filter(F.col("_chunk").isNotNull()), keys, order, fold)
         ready = chunked.withColumn("_chunk", F.coalesce("_chunk", F.lit(-1).cast("bigint")))
         ready = ready.join(entries, [*keys, "_chunk"], "left")
     group = [*keys, "_chunk"]
@@ -155,7 +182,7 @@ def run_fold(df: DataFrame, keys: list[str], order: list[str], fold: Fold, us: s
     return ready.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(replay, out)
 
 
-def _entries(hot: DataFrame, keys: list[str], order: list[str], fold: Fold, max_walks: int) -> DataFrame:
+def _entries(hot: DataFrame, keys: list[str], order: list[str], fold: Fold) -> DataFrame:
     """(keys, chunk, entry state) of the hot keys."""
     key_fields = [hot.schema[k] for k in keys]
     longs = T.ArrayType(T.LongType())
@@ -192,16 +219,39 @@ def _entries(hot: DataFrame, keys: list[str], order: list[str], fold: Fold, max_
     walked = walked_from(first.groupBy(*keys, "_chunk").applyInPandas(summarize, summary_type))
     if fold.one_walk:
         return walked.select(*keys, "_chunk", "_entry")
-    walked = cut_lineage(walked)
-    for _ in range(max_walks):
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Chunks of a key one after the other, each from the state that the one before left; one chunk is held.
+        current, state = None, []
+        for table in _whole_groups(batches, [*keys, "_chunk"]):
+            starts = [*_starts(table, [*keys, "_chunk"]).tolist(), len(table)]
+            for lo, hi in zip(starts, starts[1:]):
+                part = table.slice(lo, hi - lo)
+                key = [part.column(k)[0].as_py() for k in keys]
+                if key != current:
+                    current, state = key, _longs(part.column("_run")[0].as_py())
+                run, summary = state, fold.summarize(_arrays(part, fold.inputs), state)
+                state, _ = fold.follow(summary, run, state)
+                named = {k: part.column(k).slice(0, 1).combine_chunks() for k in [*keys, "_chunk"]}
+                yield pa.record_batch({**named, "_run": pa.array([run], pa.list_(pa.int64())), "_summary": pa.array([summary], pa.list_(pa.int64()))})
+
+    walked, walks = cut_lineage(walked), 0
+    while True:
         stale = walked.filter(F.col("_run") != F.col("_entry"))
         if stale.isEmpty():
             return walked.select(*keys, "_chunk", "_entry")
-        again = hot.select(*used).join(stale.select(*keys, "_chunk", F.col("_entry").alias("_run")), [*keys, "_chunk"])
-        redone = again.groupBy(*keys, "_chunk").applyInPandas(summarize, summary_type)
-        kept = walked.filter(F.col("_run") == F.col("_entry")).select(summary_type.names)
+        walks += 1
+        if walks <= PARALLEL_WALKS:
+            again = hot.select(*used).join(stale.select(*keys, "_chunk", F.col("_entry").alias("_run")), [*keys, "_chunk"])
+            redone = again.groupBy(*keys, "_chunk").applyInPandas(summarize, summary_type)
+            kept = walked.filter(F.col("_run") == F.col("_entry")).select(summary_type.names)
+        else:
+            # All before a key's first stale chunk is settled, so that chunk's entry is exact.
+            lead = cut_lineage(stale.groupBy(*keys).agg(F.min("_chunk").alias("_lead"), F.min_by("_entry", "_chunk").alias("_run")))
+            ahead = (F.col("_chunk") >= F.col("_lead")) & (F.col("_chunk") < F.col("_lead") + SERIAL_CHUNKS)
+            again = hot.select(*used).join(lead, keys).where(ahead)
+            redone = again.select(*used, "_run").repartition(*keys).sortWithinPartitions(*keys, "_chunk", *order).mapInArrow(in_order, summary_type)
+            kept = walked.join(lead.select(*keys, "_lead"), keys, "left").where(~F.coalesce(ahead, F.lit(False))).select(summary_type.names)
         walked = cut_lineage(walked_from(kept.unionByName(redone)))
-    raise RuntimeError(f"entry states still changing after {max_walks} walks")
 
 
 # ---- step functions ---------------------------------------------------------------------------
@@ -319,8 +369,8 @@ def sessions(idle_us: int, active_us: int, us: str = "us", closes: str = "closes
     it does not count) and whether the size and the gap are among the chunk's last ones of the
     session, so that bounded histories can be gathered from few rows.
     """
-    # The state is (session name, time of the last row): the time shows an idle gap at a chunk edge.
-    # A name is time * SAME_TIME + place * 2 + side of the first row.
+    # The state is (start time, part, time of the last row): the last shows an idle gap at a chunk edge.
+    # A part is twice the first row's place among rows of its time, plus its side.
 
     def cuts(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         t = rows[us].astype(np.int64, copy=False)
@@ -329,13 +379,12 @@ def sessions(idle_us: int, active_us: int, us: str = "us", closes: str = "closes
         stop = rows[closes].astype(bool, copy=False)  # the next row starts one
         return t, idle, stop
 
-    def names(t: np.ndarray, rows: Rows) -> np.ndarray:
+    def parts(t: np.ndarray, rows: Rows) -> np.ndarray:
         place = np.arange(len(t)) - np.searchsorted(t, t, side="left")
-        bit = rows[side].astype(np.int64) if side else 0
-        return t * SAME_TIME + np.minimum(place, SAME_TIME // 2 - 1) * 2 + bit
+        return place * 2 + (rows[side].astype(np.int64) if side else 0)
 
     def alive(state: list[int], first: int) -> bool:
-        return bool(state) and first - state[1] <= idle_us
+        return bool(state) and first - state[2] <= idle_us
 
     def limits(t: np.ndarray, idle: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """First row after i that a cut independent of the start forces into a new session."""
@@ -356,7 +405,8 @@ def sessions(idle_us: int, active_us: int, us: str = "us", closes: str = "closes
         over = int(np.searchsorted(t, start + active_us, side="right"))
         return (over + 1, True) if over + 1 <= after and over < len(t) else (after, False)
 
-    def exits(t: np.ndarray, name: np.ndarray, hard: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    def exits(t: np.ndarray, hard: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """First row of the session that is open at the end when row i starts one."""
         n = len(t)
         out = np.empty(n + 1, dtype=np.int64)
         out[n] = NONE
@@ -365,13 +415,13 @@ def sessions(idle_us: int, active_us: int, us: str = "us", closes: str = "closes
             if nxt < n:
                 out[i] = out[nxt]
             else:
-                out[i] = NONE if closed or stop[n - 1] else name[i]
+                out[i] = NONE if closed or stop[n - 1] else i
         return out
 
     def summarize(rows: Rows, run: list[int]) -> list[int]:
         t, idle, stop = cuts(rows)
         hard = limits(t, idle, stop)
-        out = exits(t, names(t, rows), hard, stop)
+        out = exits(t, hard, stop)
         n, first = len(t), int(hard[len(t)])
         # Entry start s: row j is the first with t > s + active, if it lies before the forced row.
         uppers, values = [], []
@@ -379,40 +429,45 @@ def sessions(idle_us: int, active_us: int, us: str = "us", closes: str = "closes
         for j in range(min(first, reach)):
             if j and t[j] == t[j - 1]:
                 continue
-            uppers.append((int(t[j]) - active_us) * SAME_TIME)
+            uppers.append(int(t[j]) - active_us)
             values.append(int(out[j + 1]) if j + 1 < n else NONE)
         last = int(out[first]) if first < n else (NONE if stop[n - 1] else KEEP)
-        return [int(t[0]), int(t[-1]), *_pack([*uppers, END], [*values, last], int(out[0]))]
+        steps, part = _pack([*uppers, END], [*values, last], int(out[0])), parts(t, rows)
+        opened = [x for i in steps[::2] for x in ((int(t[i]), int(part[i])) if i >= 0 else (0, 0))]
+        return [int(t[0]), int(t[-1]), len(steps), *steps, *opened]
 
     def follow(summary: list[int], run: list[int], state: list[int]) -> tuple[list[int], bool]:
-        entry = state[:1] if alive(state, summary[0]) else []
-        after, exact = _follow_steps(summary[2:], run, entry)
-        return [*after, summary[1]] if after else [], exact
+        steps, opened = summary[3:3 + summary[2]], summary[3 + summary[2]:]
+        at = _step_of(steps, state[:1] if alive(state, summary[0]) else [])
+        row = steps[2 * at]
+        if row == KEEP:
+            return [*state[:2], summary[1]], True
+        return ([] if row == NONE else [*opened[2 * at:2 * at + 2], summary[1]]), True
 
     def replay(rows: Rows, entry: list[int]) -> Rows:
         t, idle, stop = cuts(rows)
         hard = limits(t, idle, stop)
-        n, name = len(t), names(t, rows)
-        begin = np.empty(n, dtype=np.int64)
+        n, part = len(t), parts(t, rows)
+        begin = np.full(n, -1, dtype=np.int64)  # first row of the session; -1: it began in an earlier chunk
         starts = [0]
         i = 0
         if alive(entry, int(t[0])):
-            i, _ = step(t, entry[0] // SAME_TIME, int(hard[n]))
-            begin[:i] = entry[0]
+            i, _ = step(t, entry[0], int(hard[n]))
         while i < n:
             nxt, _ = step(t, int(t[i]), int(hard[i]))
-            begin[i:nxt] = name[i]
+            begin[i:nxt] = i
             if i:
                 starts.append(i)
             i = nxt
-        out = {"session_us": begin // SAME_TIME, "session_part": begin % SAME_TIME // 2}
+        began, part_of = (np.where(begin < 0, entry[k] if entry else 0, x[begin]) for k, x in enumerate((t, part)))
+        out = {"session_us": began, "session_part": part_of // 2}
         if side:
-            gap = np.diff(t, prepend=entry[1] if entry else t[0])
-            first_rows = np.asarray(starts)[1:] if entry and begin[0] == entry[0] else np.asarray(starts)
+            gap = np.diff(t, prepend=entry[2] if entry else t[0])
+            first_rows = np.asarray(starts)[1:] if begin[0] < 0 else np.asarray(starts)
             gap[first_rows] = -1
             gap[(gap <= 0) | (gap >= gap_limit_us)] = -1
             heads, lengths = np.asarray(starts), np.diff([*starts, n])
-            out |= {"forward": rows[side].astype(np.int64) == begin % 2, "gap_us": gap,
+            out |= {"forward": rows[side].astype(np.int64) == part_of % 2, "gap_us": gap,
                     "late_gap": _among_last(gap >= 0, heads, lengths, last_gaps),
                     "late_size": _among_last(~np.isnan(rows[size].astype(np.float64)), heads, lengths, last_sizes)}
         return out
@@ -516,7 +571,14 @@ def sliding_window(window_us: int, limit: int | str, us: str = "us") -> Fold:
 
 
 def spacing_with_quota(gap_us: int, window_us: int, quota: int, us: str = "us") -> Fold:
-    """Greedy spacing that also admits at most `quota` rows per trailing window (strictly younger ones count)."""
+    """Greedy spacing that also admits at most `quota` rows per trailing window (strictly younger ones count).
+
+    Where so many spaced rows never fit into a window, spacing alone decides, in one walk.
+    """
+    if gap_us * quota >= window_us:
+        spaced = spacing(gap_us, us)
+        return Fold([us], spaced.summarize, spaced.follow, lambda rows, entry: {"kept": spaced.replay(rows, entry)["kept"]},
+                    T.StructType([T.StructField("kept", T.BooleanType())]))
 
     def play(rows: Rows, entry: list[int]) -> tuple[np.ndarray, list[int]]:
         admitted = list(entry)

@@ -13,9 +13,9 @@ from .ordered import CHUNK_ROWS, lag_by_chunks, run_fold, sessions, sliding_wind
 # Cumulative counters of a flow snapshot.
 COUNTERS = ["total_packets", "total_bytes", "tcp_syn_count", "tcp_rst_count", "tcp_fin_count"]
 
-# Fixed order: the per-flow feature vector.
+# Fixed values, in the order that stored models read: the per-flow feature vector.
 FLOW_VECTOR = ["total_packets", "total_bytes", "avg_packet_size", "packets_per_second", "bytes_per_second", "duration",
-               "tcp_syn_ratio", "tcp_window_avg", "udp_payload_avg", "interarrival_mean", "interarrival_std"]
+               "interarrival_mean", "interarrival_std", "tcp_syn_ratio", "tcp_window_avg", "udp_payload_avg"]
 
 
 def with_flow_key(rows: DataFrame) -> DataFrame:
@@ -172,8 +172,9 @@ def limit_ingest(packets: DataFrame, per_second: int, tie: list[str], by: list[s
 
 
 def flow_query(flows: DataFrame, src: str | None = None, dst: str | None = None, protocol: int | None = None,
-               start: Column | None = None, end: Column | None = None, ts: str = "ts") -> DataFrame:
-    """Flow filter; a row without a time passes the time range."""
+               start: Column | None = None, end: Column | None = None, ts: str = "ts", limit: int | None = None,
+               tie: list[str] | None = None) -> DataFrame:
+    """Flow filter; a row without a time passes the time range. `limit` keeps that many rows, the oldest first."""
     out = flows
     if src:
         out = out.filter(F.col("ip_src") == src)
@@ -185,7 +186,7 @@ def flow_query(flows: DataFrame, src: str | None = None, dst: str | None = None,
         out = out.filter(F.col(ts).isNull() | (F.col(ts) >= start))
     if end is not None:
         out = out.filter(F.col(ts).isNull() | (F.col(ts) <= end))
-    return out
+    return out if limit is None else out.orderBy(ts, *(tie or [])).limit(limit)
 
 
 def top_flows(flows: DataFrame, metric: str = "packets", limit: int = 10, tie: list[str] | None = None) -> DataFrame:

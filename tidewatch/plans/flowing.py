@@ -132,13 +132,19 @@ def icmp_types(spark, sf_dir):
     return ops.icmp_types(ops.with_flow_key(src.packets(spark, sf_dir)), ["flow_id"])
 
 
-@query("flow_features", ctes("flows") + f"""
-    SELECT event_id, {q6('bytes / packets::DOUBLE')} AS avg_packet_size, CASE WHEN protocol = 6 THEN 1000.0 + k ELSE 0.0 END::DOUBLE AS tcp_window_avg,
-      CASE WHEN protocol = 17 THEN 40.0 + k ELSE 0.0 END::DOUBLE AS udp_payload_avg, 11 AS n FROM flows""")
+@query("flow_features", ctes("flows", extra={"f": """
+    SELECT event_id, protocol, packets, bytes, tcp_syn_count, k, 0.5 + k / 4.0::DOUBLE AS duration, k % 4 AS acks FROM flows""", "v": """
+    SELECT event_id, [packets, bytes, bytes / packets::DOUBLE, packets / duration, bytes / duration, duration, k / 8.0::DOUBLE, k / 16.0::DOUBLE,
+      CASE WHEN protocol = 6 AND acks > 0 THEN tcp_syn_count / acks::DOUBLE ELSE 0 END,
+      CASE WHEN protocol = 6 THEN 1000.0 + k ELSE 0 END, CASE WHEN protocol = 17 THEN 40.0 + k ELSE 0 END]::FLOAT[] AS vector FROM f"""}) + f"""
+    SELECT event_id, place - 1 AS place, {q6('vector[place]::DOUBLE')} AS value FROM (SELECT *, unnest(generate_series(1, 11)) AS place FROM v)""")
 def flow_features(spark, sf_dir):
-    f = src.flows(spark, sf_dir).withColumns({"tcp_window_avg": F.lit(1000.0) + F.col("k"), "udp_payload_avg": F.lit(40.0) + F.col("k")})
-    out = ops.flow_features(f)
-    return out.select("event_id", r6("avg_packet_size").alias("avg_packet_size"), "tcp_window_avg", "udp_payload_avg", F.size("vector").alias("n"))
+    k, duration = F.col("k"), F.lit(0.5) + F.col("k") / 4
+    f = src.flows(spark, sf_dir).withColumns({
+        "duration": duration, "packets_per_sec": F.col("packets") / duration, "bytes_per_sec": F.col("bytes") / duration, "interarrival_mean": k / 8,
+        "interarrival_std": k / 16, "tcp_syn_ack_count": k % 4, "tcp_window_avg": F.lit(1000.0) + k, "udp_payload_avg": F.lit(40.0) + k})
+    out = ops.flow_features(f).select("event_id", F.posexplode("vector").alias("place", "value"))
+    return out.select("event_id", "place", r6(F.col("value").cast("double")).alias("value"))
 
 
 @query("ingest_limit", ctes("packets", extra={
@@ -157,6 +163,11 @@ def flow_query(spark, sf_dir):
     return ops.flow_query(src.flows(spark, sf_dir), protocol=17, start=start, end=end).select("event_id", "ip_src", "protocol")
 
 
+@query("flow_query_limited", ctes("flows") + "SELECT event_id, ip_src, protocol FROM flows WHERE protocol = 6 ORDER BY us, event_id LIMIT 50")
+def flow_query_limited(spark, sf_dir):
+    return ops.flow_query(src.flows(spark, sf_dir), protocol=6, limit=50, tie=["event_id"]).select("event_id", "ip_src", "protocol")
+
+
 @query("top_flows", ctes("flows") + "SELECT event_id, bytes FROM flows ORDER BY bytes DESC, event_id LIMIT 25")
 def top_flows(spark, sf_dir):
     return ops.top_flows(src.flows(spark, sf_dir), "bytes", 25, ["event_id"]).select("event_id", "bytes")

@@ -29,6 +29,20 @@ class ThresholdSettings:
     min_window_seconds: int = 5
 
 
+@dataclass(frozen=True)
+class FloodLimits:
+    # Indicator limits of a window.
+    tcp_share: float = 0.5
+    syn_ratio: float = 0.8
+    syn_sources: int = 100
+    syn_pps: float = 10_000
+    udp_share: float = 0.8
+    udp_pps: float = 15_000
+    icmp_share: float = 0.6
+    icmp_pps: float = 5_000
+    http_per_second: float = 1_000
+
+
 @dataclass(frozen=True)
 class RollingSettings:
     # Rolling baseline over recent non-empty windows.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SEVERITIES, EnsembleSettings
@@ -52,9 +52,9 @@ def deduplicate(alerts: DataFrame, tie: list[str], seconds: int = 60, chunk_rows
 
 
 def throttle(verdicts: DataFrame, tie: list[str], s: EnsembleSettings = EnsembleSettings(), ts: str = "ts",
-             chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Global limit on verdicts: a minimum gap and a quota per minute, flagged in `kept`."""
-    fold = spacing_with_quota(s.throttle_gap_seconds * MICROS, 60 * MICROS, s.throttle_per_minute)
+             window_seconds: int = 60, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Global limit on verdicts: a minimum gap and a quota per minute (or per window), flagged in `kept`."""
+    fold = spacing_with_quota(s.throttle_gap_seconds * MICROS, window_seconds * MICROS, s.throttle_per_minute)
     one = with_time(verdicts, ts).withColumn("_all", F.lit(0))
     return run_fold(one, ["_all"], ["us", *tie], fold, chunk_rows=chunk_rows).drop("_all", "us")
 
@@ -119,6 +119,16 @@ def route(alerts: DataFrame, routes: list[tuple[str, str, bool]] = ROUTES, defau
     return alerts.select("*", F.posexplode(receivers).alias("route_order", "receiver"))
 
 
+def repeated_notifications(alerts: DataFrame, tie: list[str], name: str = "attack_type", repeat_seconds: int = 3600,
+                           chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Repeats of a group's notification: for each (name, severity) the alerts at least one repeat interval after the
+    last one notified, numbered from 0 (the first notification)."""
+    kept = keep_spaced(alerts, [name, "severity"], repeat_seconds, tie, chunk_rows=chunk_rows).filter("kept")
+    # One row per group and interval is left, so the number of rows of a group is bounded by its time span.
+    number = F.row_number().over(Window.partitionBy(name, "severity").orderBy("ts", *tie)) - 1
+    return kept.select(name, "severity", "ts", *tie, number.alias("repeat"))
+
+
 def group_notifications(alerts: DataFrame, tie: list[str], name: str = "attack_type", wait_seconds: int = 30,
                         interval_seconds: int = 300, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Notification batches per (name, severity): a batch opens with its first alert and runs one interval."""

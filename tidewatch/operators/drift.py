@@ -29,9 +29,9 @@ def p_value(statistic: Column, n: Column, m: Column, terms: int = 60) -> Column:
 
 
 def covariate_shift(reference: DataFrame, current: DataFrame, features: list[str],
-                    s: DriftSettings = DriftSettings(), chunks: int = 64) -> DataFrame:
+                    s: DriftSettings = DriftSettings()) -> DataFrame:
     """KS statistic, p-value, Wasserstein distance and severity per feature."""
-    counts = value_chunks(two_sample_counts(reference, current, features), ["feature"], "value", chunks)
+    counts = value_chunks(two_sample_counts(reference, current, features), ["feature"], "value")
     ranked = running_sums(counts, ["feature"], "value", ["a", "b"])
     # The value after this one: the next in the chunk, or the smallest of the following chunk.
     heads = counts.groupBy("feature", "_chunk").agg(F.min("value").alias("_head"))

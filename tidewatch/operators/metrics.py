@@ -18,6 +18,7 @@ from .rolling import global_rank
 
 # Histogram bounds.
 LATENCY_BOUNDS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10]
+ATTACK_DURATION_BOUNDS = [5, 10, 30, 60, 120, 300, 600, 1800, 3600]
 PACKET_SIZE_BOUNDS = [64, 128, 256, 512, 1024, 1500, 4096, 8192, 16384]
 
 
@@ -97,9 +98,9 @@ def sustained(samples: DataFrame, series: list[str], condition: Column, seconds:
     return runs.filter(length >= seconds * MICROS).drop("_run")
 
 
-def top_series(samples: DataFrame, series: list[str], k: int = 10, value: str = "value", ts: str = "ts") -> DataFrame:
-    """The k series with the highest latest value (a report)."""
-    return gauges(samples, series, [value], ts).orderBy(F.desc(value), *series).limit(k)
+def top_series(samples: DataFrame, series: list[str], k: int = 10, value: str = "value", ts: str = "ts", tie: list[str] | None = None) -> DataFrame:
+    """The k series with the highest latest value (a report); of equal times the largest `tie` is the latest."""
+    return gauges(samples, series, [value], ts, tie).orderBy(F.desc(value), *series).limit(k)
 
 
 def observed(rows: DataFrame, name: str, conditions: dict[str, Column]) -> tuple[DataFrame, Observation]:

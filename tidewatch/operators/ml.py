@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, finite
-from ..session import cut_lineage, small_side
+from ..session import cut_lineage, small_side, written
 from .rolling import global_rank, with_reach
 from .running import exact_quantiles, unpivot
 
@@ -26,6 +26,8 @@ TRAINING_FEATURES = [
     "total_packets", "total_bytes", "total_flows", "packets_per_second", "bytes_per_second", "flows_per_second",
     "unique_src_ips", "unique_dst_ips", "entropy_src_ip", "entropy_dst_ip", "tcp_ratio", "udp_ratio", "icmp_ratio",
     "avg_packet_size", "syn_ratio", "rst_ratio"]
+#: Rows that an isolation forest's samples are drawn from at most.
+POOL_ROWS = 8192
 # Features that get a log transform.
 SKEWED = ["packets_per_second", "bytes_per_second", "flows_per_second", "unique_src_ips"]
 
@@ -157,20 +159,18 @@ def _grow(x: np.ndarray, rng: np.random.Generator, depth: int, limit: int, nodes
 
 def fit_isolation_forest(df: DataFrame, features: list[str], key: list[str], trees: int = 100, sample: int = 256,
                          seed: int = 42) -> DataFrame:
-    """(tree, size, nodes): one row per tree, each grown from its own hash sample of at most `sample` rows."""
-    total = df.count()
-    want = min(sample, total)
-    share = min(1.0, 1.5 * want / max(total, 1))
-    part = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    base = df.select(*key, F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
-    if share * trees < 0.5:
-        # Large table: a row joins at most one tree, so no row is multiplied.
-        rows = base.filter(part < share * trees).withColumn("tree", F.pmod(F.xxhash64(F.lit(seed + 1), *key), F.lit(trees)).cast("int"))
-    else:
-        each = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        rows = each.filter(F.pmod(F.xxhash64(F.lit(seed), "tree", *key), F.lit(1 << 30)) < int(share * (1 << 30)))
+    """(tree, size, nodes): one row per tree, each grown from its own `sample` rows (all rows, if there are fewer).
+
+    A pool of at most POOL_ROWS rows is drawn from the whole table by a seeded hash, and each tree takes the `sample`
+    rows of the pool that come first in its own hash order. The rule is the same for every size of the table.
+    """
+    base = df.select(*key, F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.xxhash64(F.lit(seed), *key).alias("_h"))
+    share = min(1.0, 2.0 * POOL_ROWS / max(df.count(), 1))
+    drawn = base.filter(F.pmod("_h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    pool = written(drawn.orderBy("_h", *key).limit(POOL_ROWS).drop("_h"))
+    rows = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     order = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed + 2), "tree", *key), *key)
-    sampled = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= want)
+    sampled = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= sample)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_r")
@@ -218,11 +218,16 @@ def score_isolation_forest(df: DataFrame, features: list[str], forest: DataFrame
     return df.withColumn(name, score(F.array(*[F.col(c).cast("double") for c in features])))
 
 
-def forest_verdicts(scored: DataFrame, contamination: float = 0.1, raw: str = "raw_score") -> DataFrame:
-    """Attack flag at the contamination quantile, compressed score and clamped confidence."""
+def forest_verdicts(scored: DataFrame, contamination: float = 0.1, raw: str = "raw_score", confidence: str = "compressed") -> DataFrame:
+    """Attack flag at the contamination quantile, compressed score and clamped confidence.
+
+    The compressed score never exceeds one half, so votes on it never pass a gate above that; `confidence="raw"` lets
+    the raw score speak as the confidence instead.
+    """
     limit = exact_quantiles(scored, [], raw, [1.0 - contamination]).first()[0]
     marked = scored.withColumn("limit_score", F.lit(limit)).withColumn("ml_is_attack", F.col(raw) > limit)
-    return compressed_confidence(marked, raw)
+    judged = compressed_confidence(marked, raw)
+    return judged.withColumn("ml_confidence", F.col(raw)) if confidence == "raw" else judged
 
 
 def compressed_confidence(df: DataFrame, raw: str, attack: str = "ml_is_attack") -> DataFrame:
@@ -260,6 +265,12 @@ def random_forest(features: list[str], label: str, trees: int = 100, depth: int
         featuresCol="vector", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)])
 
 
+# The searched grids, under the names that MLlib has for them. MLlib's trees have no class weights by
+# resampling, no column share per tree and no positive-class weight; a label weight column takes their place.
+FOREST_GRID = {"numTrees": [100, 200], "maxDepth": [10, 20, 30], "minInstancesPerNode": [2, 5, 10]}
+BOOST_GRID = {"maxIter": [100, 200], "maxDepth": [4, 6, 8], "stepSize": [0.01, 0.1, 0.3], "subsamplingRate": [0.8, 1.0]}
+
+
 def grid_search(pipeline: Pipeline, label: str, grid: dict[str, list], folds: int = 5, seed: int = 42,
                 parallelism: int = 4) -> CrossValidator:
     """Cross-validated search over parameters of the pipeline's classifier, by F1."""

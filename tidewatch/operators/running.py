@@ -10,13 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small_side
+from ..session import small_side, written
 
+LEAST_CHUNKS, CHUNK_VALUES = 64, 250_000
 
-def value_chunks(counts: DataFrame, keys: list[str], value: str, chunks: int = 64) -> DataFrame:
-    """Adds `_chunk`, growing with the value, from approximate quantiles of the distinct values per key."""
+
+def value_chunks(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Adds `_chunk`, growing with the value, from approximate quantiles of the distinct values per key.
+
+    The counts are written once. A chunk holds about CHUNK_VALUES distinct values of the key that has most of them,
+    so the number of chunks grows with the data.
+    """
+    counts = written(counts, "values")
+    most = counts.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    chunks = max(LEAST_CHUNKS, -(-most // CHUNK_VALUES))
     probs = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
-    bounds = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("_bounds"))
+    bounds = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, max(1000, 16 * chunks)).alias("_bounds"))
     if keys:
         joined = counts.join(small_side(bounds), keys)
     else:
@@ -44,9 +53,9 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], chunks: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """`q0`, `q1`, ... per key: quantiles with linear interpolation between the two neighbouring ranks."""
-    counts = value_chunks(value_counts(df, keys, value), keys, value, chunks)
+    counts = value_chunks(value_counts(df, keys, value), keys, value)
     ranked = running_sums(counts, keys, value, ["n"]).withColumn("_from", F.col("cum_n") - F.col("n"))
 
     def at(index: Column) -> Column:

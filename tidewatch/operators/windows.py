@@ -12,6 +12,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import FloodLimits
 from ..functions.net import ICMP, TCP, UDP
 from ..functions.numeric import MICROS, bucket_start, entropy_from_sums, micros, ratio
 
@@ -196,26 +197,25 @@ def rates(totals: DataFrame) -> DataFrame:
         F.when(any_size, F.sqrt(variance)).otherwise(0.0).alias("packet_size_std"))
 
 
-def flood_flags(features: DataFrame) -> DataFrame:
+def flood_flags(features: DataFrame, s: FloodLimits = FloodLimits()) -> DataFrame:
     """Boolean flood indicators over the window ratios."""
     pps, syn = F.col("packets_per_second"), F.col("syn_ratio")
     return features.select(
         "*",
-        # Indicator limits.
-        ((F.col("tcp_ratio") >= 0.5) & (syn > 0.8) & ((F.col("unique_src_ips") > 100) | (pps > 10000)))
+        ((F.col("tcp_ratio") >= s.tcp_share) & (syn > s.syn_ratio) & ((F.col("unique_src_ips") > s.syn_sources) | (pps > s.syn_pps)))
         .alias("is_syn_flood"),
-        ((F.col("udp_ratio") > 0.8) & (pps > 15000)).alias("is_udp_flood"),
-        ((F.col("icmp_ratio") > 0.6) & (pps > 5000)).alias("is_icmp_flood"),
-        (F.col("http_requests") / F.col("window_size") > 1000).alias("is_http_flood"))
+        ((F.col("udp_ratio") > s.udp_share) & (pps > s.udp_pps)).alias("is_udp_flood"),
+        ((F.col("icmp_ratio") > s.icmp_share) & (pps > s.icmp_pps)).alias("is_icmp_flood"),
+        (F.col("http_requests") / F.col("window_size") > s.http_per_second).alias("is_http_flood"))
 
 
-def traffic_features(flows: DataFrame, sizes: list[int], ts: str = "ts", top: int = 20) -> DataFrame:
+def traffic_features(flows: DataFrame, sizes: list[int], ts: str = "ts", top: int = 20, limits: FloodLimits = FloodLimits()) -> DataFrame:
     """The full window row: totals, rates, ratios, distincts, entropies, top talkers and indicators."""
     dims = [d for d, c in DIMENSIONS.items() if c in flows.columns]
-    return assemble(window_totals(flows, sizes, ts), key_counts(flows, sizes, dims, ts), dims, top)
+    return assemble(window_totals(flows, sizes, ts), key_counts(flows, sizes, dims, ts), dims, top, limits)
 
 
-def assemble(totals: DataFrame, counts: DataFrame, dims: list[str], top: int = 20) -> DataFrame:
+def assemble(totals: DataFrame, counts: DataFrame, dims: list[str], top: int = 20, limits: FloodLimits = FloodLimits()) -> DataFrame:
     """Window rows from totals and key counts."""
     keys = ["window_size", "window_start"]
     out = rates(totals).join(key_summaries(counts, dims), keys, "left")
@@ -224,7 +224,7 @@ def assemble(totals: DataFrame, counts: DataFrame, dims: list[str], top: int = 2
     fill = {f"{p}_{d}{s}": 0 for d in dims for p, s in (("unique", "s"), ("entropy", ""))}
     out = out.na.fill(fill)
     per_ip = ratio(F.col("total_packets"), F.col("unique_src_ips")) if "src_ip" in dims else F.lit(0.0)
-    return flood_flags(out.withColumn("packets_per_ip", per_ip))
+    return flood_flags(out.withColumn("packets_per_ip", per_ip), limits)
 
 
 def feature_vector(features: DataFrame, name: str = "vector") -> DataFrame:

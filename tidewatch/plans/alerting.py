@@ -10,7 +10,6 @@ from ..config import EnsembleSettings
 from ..functions.numeric import r6
 from ..operators import alerts as ops
 from ..operators import detect, ensemble, rolling
-from ..operators.ordered import run_fold, spacing_with_quota
 from ..session import cut_lineage
 from ..sources import events as src
 from .base import ctes, greedy, query
@@ -73,14 +72,17 @@ def votes_majority(spark, sf_dir):
 
 
 @query("votes_consensus", ctes("features", extra={**VOTES,
-    "one": """SELECT window_size, window_start, detector, 'attack' AS attack_type, confidence, severity, ips, i, total_votes,
+    "one": """SELECT window_size, window_start, detector, CASE WHEN detector = 'ml' AND (window_start // 3600) % 3 = 0 THEN 'other' ELSE 'attack' END AS attack_type, confidence, severity, ips, i, total_votes,
         CASE severity WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 WHEN 'critical' THEN 3 END AS rk FROM v""",
-    "verdict": """SELECT window_size, window_start, 'attack' AS attack_type, least(0.95::DOUBLE, avg(confidence)) AS confidence, arg_max(severity, rk * 100 - i) AS severity,
+    "verdict": """SELECT window_size, window_start, min(attack_type) AS attack_type, least(0.95::DOUBLE, avg(confidence)) AS confidence, arg_max(severity, rk * 100 - i) AS severity,
         coalesce(arg_min(ips, i) FILTER (ips <> ''), '') AS ips, any_value(total_votes) AS total_votes FROM one GROUP BY 1, 2
-        HAVING count(*) >= 2 AND avg(confidence) >= 0.5"""}) + VERDICT_SQL + "verdict")
+        HAVING count(*) >= 2 AND count(DISTINCT attack_type) = 1 AND avg(confidence) >= 0.5"""}) + VERDICT_SQL + "verdict")
 def votes_consensus(spark, sf_dir):
-    # All votes read as one attack type: windows with at least two detectors then agree.
-    one = votes(windows_of(spark, sf_dir)).withColumn("votes", F.transform("votes", lambda v: v.withField("attack_type", F.lit("attack"))))
+    # The model names another attack type in one window of three, so votes agree and differ.
+    def named(v):
+        return F.when((v["detector"] == "ml") & F.expr("window_start div 3600 % 3 = 0"), "other").otherwise("attack")
+
+    one = votes(windows_of(spark, sf_dir)).withColumn("votes", F.transform("votes", lambda v: v.withField("attack_type", named(v))))
     return _verdict(ensemble.consensus(one, SETTINGS))
 
 
@@ -119,15 +121,14 @@ def alert_dedup(spark, sf_dir):
 
 
 @query("alert_throttle", ctes("alerts", extra={
-    "c": "SELECT *, row_number() OVER (ORDER BY us, alert_id) AS rn FROM alerts WHERE severity = 'critical'",
+    "c": "SELECT *, row_number() OVER (ORDER BY us, alert_id) AS rn FROM alerts",
     "g": """SELECT rn, [us] AS q, TRUE AS kept FROM c WHERE rn = 1
       UNION ALL SELECT c.rn, CASE WHEN c.us - g.q[-1] >= 3600000000 AND len(list_filter(g.q, lambda x: x > c.us - 86400000000)) < 8 THEN list_append(g.q, c.us) ELSE g.q END,
         c.us - g.q[-1] >= 3600000000 AND len(list_filter(g.q, lambda x: x > c.us - 86400000000)) < 8 FROM g JOIN c ON c.rn = g.rn + 1"""}, recursive=True) + """
     SELECT c.alert_id, kept FROM c JOIN g USING (rn)""")
 def alert_throttle(spark, sf_dir):
-    critical = ops.with_time(src.alerts(spark, sf_dir).filter("severity = 'critical'")).withColumn("_all", F.lit(0))
-    fold = spacing_with_quota(3_600_000_000, 86_400_000_000, 8)
-    return run_fold(critical, ["_all"], ["us", "alert_id"], fold).select("alert_id", "kept")
+    limits = EnsembleSettings(throttle_gap_seconds=3600, throttle_per_minute=8)
+    return ops.throttle(src.alerts(spark, sf_dir), ["alert_id"], limits, window_seconds=86400).select("alert_id", "kept")
 
 
 @query("verdict_throttle", ctes("features", extra={**WEIGHTED,
@@ -178,6 +179,14 @@ def alert_groups(spark, sf_dir):
                     F.unix_micros("notify_at").alias("notify_us"))
 
 
+@query("alert_repeats", ctes("alerts", extra=greedy("alerts", "attack_type || severity", 14400 * 1_000_000, "alert_id"), recursive=True) + """
+    SELECT alert_id, attack_type, severity, row_number() OVER (PARTITION BY attack_type, severity ORDER BY us, alert_id) - 1 AS repeat
+    FROM o JOIN g USING (gk, rn) WHERE kept""")
+def alert_repeats(spark, sf_dir):
+    r = ops.repeated_notifications(src.alerts(spark, sf_dir), ["alert_id"], repeat_seconds=14400)
+    return r.select("alert_id", "attack_type", "severity", "repeat")
+
+
 @query("alert_history", ctes("alerts") + "SELECT alert_id, severity FROM alerts ORDER BY us DESC, alert_id DESC LIMIT 100")
 def alert_history(spark, sf_dir):
     return ops.history(src.alerts(spark, sf_dir), 100, ["alert_id"]).select("alert_id", "severity")

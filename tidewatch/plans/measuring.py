@@ -99,10 +99,10 @@ def metric_by_type_1h(spark, sf_dir):
     return a.groupBy("attack_type", F.expr("unix_micros(ts) div 3600000000").alias("hour")).agg(F.count("*").alias("alerts"), F.sum("packets").alias("packets"))
 
 
-@query("metric_topk", ctes("flows", extra={"g": "SELECT user_id, arg_max(packets, us) AS value FROM flows GROUP BY 1"}) + "SELECT user_id, value FROM g ORDER BY value DESC, user_id LIMIT 10")
+@query("metric_topk", ctes("flows", extra={"g": "SELECT user_id, arg_max(packets, (us, event_id)) AS value FROM flows GROUP BY 1"}) + "SELECT user_id, value FROM g ORDER BY value DESC, user_id LIMIT 10")
 def metric_topk(spark, sf_dir):
-    f = src.flows(spark, sf_dir).select("user_id", "ts", F.col("packets").alias("value"))
-    return metrics.top_series(f, ["user_id"], 10)
+    f = src.flows(spark, sf_dir).select("user_id", "event_id", "ts", F.col("packets").alias("value"))
+    return metrics.top_series(f, ["user_id"], 10, tie=["event_id"])
 
 
 @query("label_safe", ctes("flows") + "SELECT event_id, replace(ip_src, '.', '_') AS label FROM flows")

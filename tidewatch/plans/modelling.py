@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import EnsembleSettings
 from ..functions.numeric import r6
 from ..operators import ensemble, ml, rolling, windows
-from ..session import cut_lineage, fresh_path
+from ..session import cut_lineage, fresh_path, written
 from ..sources import events as src
 from .base import ctes, query
 from .base import r6 as q6
@@ -101,9 +101,7 @@ def window_model_votes(spark, sf_dir):
     known, names = ml.known_features(features(spark, sf_dir))
     rows = cut_lineage(ml.sanitized(known, names))
     forest = ml.fit_isolation_forest(rows, names, ["window_size", "window_start"])
-    judged = ml.forest_verdicts(cut_lineage(ml.score_isolation_forest(rows, names, forest)))
-    # The compressed score never exceeds one half, so the raw score speaks for the vote.
-    judged = judged.withColumn("ml_confidence", F.col("raw_score"))
+    judged = ml.forest_verdicts(cut_lineage(ml.score_isolation_forest(rows, names, forest)), confidence="raw")
     votes = ensemble.collect_votes(ensemble.ml_votes(judged), ensemble.entropy_votes(judged))
     return ensemble.weighted(votes, EnsembleSettings(min_confidence=0.5)).select(
         "window_size", "window_start", "attack_type", r6("confidence").alias("confidence"), "total_votes")
@@ -113,15 +111,15 @@ def window_model_votes(spark, sf_dir):
 def gbt_scores(spark, sf_dir):
     rows = frame(spark, sf_dir)
     train, test = ml.stratified_split(rows, "label", ["event_id"])
-    model = ml.boosted_trees(NAMES, "label", trees=10, depth=4).fit(cut_lineage(train))
+    model = ml.boosted_trees(NAMES, "label").fit(written(train))
     scored = ml.probability_verdicts(ml.attack_probability(model.transform(test)), "attack_probability")
     return scored.select("event_id", r6("attack_probability").alias("attack_probability"), "ml_is_attack")
 
 
 @query("rf_importance")
 def rf_importance(spark, sf_dir):
-    rows = cut_lineage(frame(spark, sf_dir))
-    model = ml.random_forest(NAMES, "label", trees=20, depth=6).fit(rows)
+    rows = written(frame(spark, sf_dir))
+    model = ml.random_forest(NAMES, "label").fit(rows)
     folder = fresh_path(spark, "forest")
     ml.save_model(model, NAMES, folder, spark)
     return ml.importances(ml.load_model(folder), NAMES, spark)
@@ -129,16 +127,32 @@ def rf_importance(spark, sf_dir):
 
 @query("rf_grid_search")
 def rf_grid_search(spark, sf_dir):
-    rows = cut_lineage(frame(spark, sf_dir))
-    search = ml.grid_search(ml.random_forest(NAMES, "label", trees=5, depth=4), "label", {"maxDepth": [2, 4]}, folds=2, parallelism=1)
+    """Five folds over a part of FOREST_GRID; the whole grid of 90 fits takes too long for a test table."""
+    rows = written(frame(spark, sf_dir))
+    search = ml.grid_search(ml.random_forest(NAMES, "label", trees=20), "label", {"maxDepth": [5, 10], "minInstancesPerNode": [2, 10]})
+    scored = ml.attack_probability(search.fit(rows).bestModel.transform(rows))
+    return scored.groupBy("label").agg(F.count("*").alias("rows"), r6(F.avg("attack_probability")).alias("mean_probability"))
+
+
+@query("gbt_grid_search")
+def gbt_grid_search(spark, sf_dir):
+    """Five folds over two step sizes, with few trees; BOOST_GRID is the whole grid."""
+    rows = written(frame(spark, sf_dir))
+    search = ml.grid_search(ml.boosted_trees(NAMES, "label", trees=5, depth=4), "label", {"stepSize": [0.1, 0.3]})
     scored = ml.attack_probability(search.fit(rows).bestModel.transform(rows))
     return scored.groupBy("label").agg(F.count("*").alias("rows"), r6(F.avg("attack_probability")).alias("mean_probability"))
 
 
 @query("pca_recon")
 def pca_recon(spark, sf_dir):
-    t = cut_lineage(windows.rates(windows.window_totals(src.flows(spark, sf_dir), [3600])))
-    seq = rolling.sequences(t, ["window_size"], ["window_start"], F.expr("window_start div (3600 * 256)"), "packets_per_second", 10, 256)
-    scored, _ = ml.reconstruction_errors(seq, 3)
-    v = ml.reconstruction_verdicts(scored)
+    """Sequences of all window features; components and limit come from the windows without an anomalous rate."""
+    known, names = ml.known_features(features(spark, sf_dir))
+    rows = written(known.filter("window_size = 3600"))
+    vector = rows.withColumn("step", F.array(*[F.col(c).cast("double") for c in names]))
+    seq = rolling.sequences(vector, ["window_size"], ["window_start"], F.expr("window_start div (3600 * 256)"), "step", 10, 256)
+    seq = seq.withColumn("sequence", F.flatten("sequence"))
+    middle = rows.agg(F.percentile_approx("total_packets", 0.9)).first()[0]
+    normal = F.col("total_packets") <= middle
+    scored, _ = ml.reconstruction_errors(seq, 3, normal)
+    v = ml.reconstruction_verdicts(scored, normal)
     return v.select("window_start", r6("error").alias("error"), "ml_is_attack", r6("anomaly_score").alias("anomaly_score"))

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from ..config import RedirectSettings, ShieldSettings
 from ..functions.net import cidr_high, cidr_low, ipv4_number
 from ..functions.numeric import r6
-from ..operators import mitigation
+from ..operators import metrics, mitigation, windows
 from ..operators import rules as ops
-from ..operators import windows
 from ..operators.enrich import range_lookup
 from ..sources import events as src
 from .base import ctes, query
@@ -180,6 +179,14 @@ def attack_episodes(spark, sf_dir):
     return hourly_episodes(spark, sf_dir).select("starts", "ends", "windows", "seconds", r6("peak_pps").alias("peak_pps"))
 
 
+@query("attack_durations", ctes("totals", extra={**EPISODES, "b": f"SELECT unnest([{', '.join(map(str, metrics.ATTACK_DURATION_BOUNDS))}, 7200, 36000, 1e18]) AS le"}) + """
+    SELECT CASE WHEN le > 1e17 THEN -1.0 ELSE le END AS le, count(*) FILTER (ends - starts <= le) AS n, sum(ends - starts)::DOUBLE AS total FROM e, b GROUP BY le""")
+def attack_durations(spark, sf_dir):
+    """Histogram of episode lengths; two bounds more, for the windows of the test tables are hours long."""
+    h = metrics.histogram(hourly_episodes(spark, sf_dir), [], F.col("seconds"), [*metrics.ATTACK_DURATION_BOUNDS, 7200, 36000])
+    return h.select(F.when(F.col("le") == float("inf"), -1.0).otherwise(F.col("le")).alias("le"), "n", F.col("sum").cast("double").alias("total"))
+
+
 @query("redirect_decision", ctes("totals", extra=EPISODES) + """
     SELECT starts, ends, (peak_pps >= 0.3 OR peak_bps >= 1000) AND ends - starts >= 7200 AS redirect FROM e""")
 def redirect_decision(spark, sf_dir):
@@ -244,12 +251,12 @@ def mitigation_last(spark, sf_dir):
 
 
 @query("geo_enrich", ctes("flows", extra={"n": MATCH["n"], "geo": """
-    SELECT c_nationkey AS nation, 167772161 + c_custkey AS lo, 167772161 + c_custkey + 4 AS hi FROM customer WHERE c_custkey % 7 = 0"""}) + """
+    SELECT c_nationkey AS nation, 167772161 + c_custkey AS lo, 167772161 + c_custkey AS hi FROM customer"""}) + """
     SELECT event_id, ip_src, nation FROM n LEFT JOIN geo ON num BETWEEN lo AND hi""")
 def geo_enrich(spark, sf_dir):
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 7 = 0")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     geo = customer.select(F.col("c_nationkey").alias("nation"), (F.lit(167772161) + F.col("c_custkey")).cast("bigint").alias("lo"),
-                          (F.lit(167772165) + F.col("c_custkey")).cast("bigint").alias("hi"))
+                          (F.lit(167772161) + F.col("c_custkey")).cast("bigint").alias("hi"))
     f = src.flows(spark, sf_dir).withColumn("num", ipv4_number(F.col("ip_src")))
     return range_lookup(f, geo, "num", "lo", "hi", ["nation"]).select("event_id", "ip_src", "nation")
 

@@ -7,7 +7,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import RollingSettings, ThresholdSettings
+from ..config import FloodLimits, RollingSettings, ThresholdSettings
+from ..functions.net import http_request
 from ..functions.numeric import finite, r6
 from ..operators import detect, rolling, windows
 from ..session import cut_lineage
@@ -127,6 +128,27 @@ def traffic_features(spark, sf_dir):
         F.array_join(detect.top_addresses(f, "dst"), ",").alias("top_dst"), "is_syn_flood", "is_udp_flood", "is_icmp_flood")
 
 
+FLOODS = FloodLimits(syn_ratio=0.45, syn_sources=20, syn_pps=0.1, udp_share=0.22, udp_pps=0.02, icmp_share=0.22, icmp_pps=0.02, http_per_second=0.0004)
+
+
+@query("flood_flags", ctes("features", extra={"h": """
+    SELECT s.window_size, us // 1000000 // s.window_size * s.window_size AS window_start, count(*) AS http FROM flows, sizes s
+    WHERE dport = 80 AND event_id % 4 <> 2 GROUP BY 1, 2"""}) + f"""
+    SELECT f.window_size, f.window_start, coalesce(http, 0) AS http_requests,
+      tcp_ratio >= 0.5 AND syn_ratio > {FLOODS.syn_ratio} AND (unique_src_ips > {FLOODS.syn_sources} OR pps > {FLOODS.syn_pps}) AS is_syn_flood,
+      udp_ratio > {FLOODS.udp_share} AND pps > {FLOODS.udp_pps} AS is_udp_flood, icmp_ratio > {FLOODS.icmp_share} AND pps > {FLOODS.icmp_pps} AS is_icmp_flood,
+      coalesce(http, 0) / f.window_size::DOUBLE > {FLOODS.http_per_second} AS is_http_flood
+    FROM features f LEFT JOIN h ON f.window_size = h.window_size AND f.window_start = h.window_start""")
+def flood_flags(spark, sf_dir):
+    """Indicators with limits scaled to the test traffic; HTTP requests are read from request lines."""
+    flows = src.flows(spark, sf_dir)
+    method = F.expr("case event_id % 4 when 0 then 'GET' when 1 then 'POST' when 2 then 'PATCH' else 'HEAD' end")
+    line = F.when(F.col("dport") == 80, F.concat(method, F.lit(" /p/"), F.col("k"), F.lit(" HTTP/1.1")))
+    rows = flows.withColumn("http_method", http_request(line)["method"])
+    f = windows.traffic_features(rows, SIZES, top=0, limits=FLOODS)
+    return f.select(*KEY, "http_requests", "is_syn_flood", "is_udp_flood", "is_icmp_flood", "is_http_flood")
+
+
 VECTOR_SQL = ["total_packets", "total_bytes", "total_flows", "pps", "bps", "fps", "unique_src_ips", "unique_dst_ips",
               "entropy_src_ip", "entropy_dst_ip", "entropy_src_port", "entropy_dst_port", "tcp_ratio", "udp_ratio",
               "icmp_ratio", "size_mean", "size_std", "syn_ratio", "rst_ratio",

@@ -62,10 +62,13 @@ def side_by_side(*frames: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
-SMALL_ROWS = 200_000
+def written(df: DataFrame, purpose: str = "table") -> DataFrame:
+    """The frame as a table in the shared folder: nothing is computed twice, and Spark knows its size in bytes."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """A join side computed once and counted; hinted for broadcast only when it has at most `rows` rows."""
-    written = cut_lineage(df)
-    return F.broadcast(written) if written.count() <= rows else written
+def small_side(df: DataFrame) -> DataFrame:
+    """A join side computed once. No hint: Spark broadcasts it only below its own limit in bytes, and else joins by shuffle."""
+    return written(df, "side")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.net import ADDRESS_PATTERN, address_range, cidr_high, cidr_low, ipv4_number
 from ..functions.numeric import MICROS
 from ..schemas import RATE_RULE
-from ..session import small_side
+from ..session import small_side, written
 from .ordered import CHUNK_ROWS, hit_windows, run_fold, sliding_window, token_bucket
 
 # Default rate and rule capacity.
@@ -85,6 +85,9 @@ def evict_rules(rules: DataFrame, capacity: int = MAX_RULES) -> DataFrame:
     return oldest_tenth(rules, ["created_at", "rule_id"], capacity, by_capacity=False)
 
 
+SALTS = 32
+
+
 def _rule_key() -> Column:
     """The one lookup key of a rule: its address, its /16 or /8 bucket, IPv6, or any."""
     v4 = ipv4_number(F.split("target_subnet", "/")[0]).isNotNull()
@@ -102,19 +105,25 @@ def match_rules(traffic: DataFrame, rules: DataFrame, ip: str = "ip_src", port:
     """Traffic rows with every rule they match: address, subnet, protocol and port; a null field matches all.
 
     Each rule has one lookup key and each row at most five, so this is an equi-join followed by a
-    range test, never rows times rules. `ipv6` adds the Arrow function that reads v6 subnets.
+    range test, never rows times rules. Every row has the key of the rules without an address, so these
+    rules are repeated under SALTS keys and the rows are dealt among them. `ipv6` adds the Arrow function
+    that reads v6 subnets.
     """
-    keyed = small_side(rules.select(
+    keyed = rules.select(
         "rule_id", "limit_type", "limit_value", "burst_value", "target_ip", "target_subnet",
         F.col("protocol").alias("rule_protocol"), F.col("port").alias("rule_port"), "created_at", "expires_at",
         cidr_low(F.col("target_subnet")).alias("_lo"), cidr_high(F.col("target_subnet")).alias("_hi"),
         _rule_key().alias("_key"),
-        *([address_range("target_subnet").alias("_r6")] if ipv6 else [])))
-    number = F.col("_num")
+        *([address_range("target_subnet").alias("_r6")] if ipv6 else []))
+    wide = F.col("_key").isin("any", "v6")
+    copies = F.when(wide, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    keyed = keyed.withColumn("_salt", F.explode(copies)).withColumn("_key", F.when(wide, F.concat_ws("#", "_key", "_salt")).otherwise(F.col("_key"))).drop("_salt")
+    keyed = small_side(keyed)
+    number, salt = F.col("_num"), F.pmod(F.xxhash64(ip, port, "protocol", *(["ts"] if "ts" in traffic.columns else [])), F.lit(SALTS)).cast("string")
     keys = [F.concat(F.lit("ip:"), F.col(ip)), F.concat(F.lit("16:"), F.shiftright(number, 16).cast("string")),
-            F.concat(F.lit("8:"), F.shiftright(number, 24).cast("string")), F.lit("any")]
+            F.concat(F.lit("8:"), F.shiftright(number, 24).cast("string")), F.concat(F.lit("any#"), salt)]
     if ipv6:
-        keys.append(F.when(F.col(ip).contains(":"), F.lit("v6")))
+        keys.append(F.when(F.col(ip).contains(":"), F.concat(F.lit("v6#"), salt)))
         traffic = traffic.withColumn("_a6", address_range(ip))
     rows = traffic.withColumn("_num", ipv4_number(F.col(ip))).withColumn(
         "_key", F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())))
@@ -178,6 +187,7 @@ def evaluate_rules(traffic: DataFrame, rules: DataFrame, event: str, sliding: bo
         F.col("limit_value").cast("bigint").alias("_limit"), F.col("burst_value").cast("bigint").alias("_burst"),
         F.when(F.col("limit_type") == "byte", F.coalesce("bytes", F.lit(0))).when(F.col("limit_type") == "packet", F.coalesce("packets", F.lit(1)))
         .otherwise(1).cast("bigint").alias("_cost"))
+    base = written(base, "rule-matches")
     decided = replay_token_bucket(base.filter(~F.col("_windowed")), ["state_key"], [event], "_limit", "_burst", "_cost", chunk_rows)
     if sliding:
         counted = replay_sliding_window(base.filter("_windowed"), ["state_key"], [event], 1, "_limit", chunk_rows)

@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 from ..config import FloodLimits
 from ..functions.net import ICMP, TCP, UDP
 from ..functions.numeric import MICROS, bucket_start, entropy_from_sums, micros, ratio
+from ..session import written
 
 DIMENSIONS = {"src_ip": "ip_src", "dst_ip": "ip_dst", "src_port": "sport", "dst_port": "dport"}
 
+ALL = "*"  # names the first-level row that carries the totals
+
 # Fixed order: the traffic feature vector.
 TRAFFIC_VECTOR = [
     "total_packets", "total_bytes", "total_flows", "packets_per_second", "bytes_per_second", "flows_per_second",
@@ -135,6 +138,25 @@ def counts_from_buckets(fine: DataFrame, sizes: list[int]) -> DataFrame:
     return _widen(fine, sizes, ["dim", "key"], [F.sum("weight").alias("weight")])
 
 
+def level_rows(flows: DataFrame, dims: list[str]) -> Column:
+    """The (dim, key) pairs of a row; the pair with dim ALL carries the totals."""
+    return F.explode(F.array(F.struct(F.lit(ALL).alias("dim"), F.lit("").alias("key")), *dimension_keys(flows, dims)))
+
+
+def first_level(flows: DataFrame, sizes: list[int], dims: list[str], ts: str = "ts") -> DataFrame:
+    """Totals and key weights per smallest common bucket, written from one pass over the flows."""
+    rows = flows.select(bucket_start(micros(ts), common_bucket(sizes)).alias("bucket"), *measured(flows), level_rows(flows, dims).alias("p")).select("*", "p.*")
+    grouped = rows.filter(F.col("key").isNotNull()).groupBy("bucket", "dim", "key")
+    return written(grouped.agg(F.sum("w").alias("weight"), *total_aggregates(F.col("dim") == ALL)), "first-level")
+
+
+def from_level(level: DataFrame, sizes: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Window totals and key counts of every size from a first-level table."""
+    fine = level.filter(F.col("dim") == ALL).drop("dim", "key", "weight")
+    counts = level.filter(F.col("dim") != ALL).select("bucket", "dim", "key", "weight")
+    return totals_from_buckets(fine, sizes), counts_from_buckets(counts, sizes)
+
+
 def key_summaries(counts: DataFrame, dims: list[str]) -> DataFrame:
     """Distinct keys and Shannon entropy of every dimension, one row per window."""
     w = F.col("weight").cast("double")
@@ -212,7 +234,7 @@ def flood_flags(features: DataFrame, s: FloodLimits = FloodLimits()) -> DataFram
 def traffic_features(flows: DataFrame, sizes: list[int], ts: str = "ts", top: int = 20, limits: FloodLimits = FloodLimits()) -> DataFrame:
     """The full window row: totals, rates, ratios, distincts, entropies, top talkers and indicators."""
     dims = [d for d, c in DIMENSIONS.items() if c in flows.columns]
-    return assemble(window_totals(flows, sizes, ts), key_counts(flows, sizes, dims, ts), dims, top, limits)
+    return assemble(*from_level(first_level(flows, sizes, dims, ts), sizes), dims, top, limits)
 
 
 def assemble(totals: DataFrame, counts: DataFrame, dims: list[str], top: int = 20, limits: FloodLimits = FloodLimits()) -> DataFrame:

@@ -72,11 +72,12 @@ def stream_dedup(spark, sf_dir):
     return stateful.drain(kept, f"{folder}/table", f"{folder}/checkpoint")
 
 
-@query("stream_sessions")
+@query("stream_sessions", ORACLES["packet_sessions"])
 def stream_sessions(spark, sf_dir):
-    folder = fresh_path(spark, "stream-sessions")
-    closed = stateful.session_stream(src.packets_from(flow_stream(spark, sf_dir)), "event_id")
-    return stateful.drain(closed, f"{folder}/table", f"{folder}/checkpoint")
+    closed = stateful.closed_sessions(src.packets_from(flow_stream(spark, sf_dir)), "event_id", fresh_path(spark, "stream-sessions"))
+    doubles, gaps = ["tcp_window_avg", "tcp_window_std", "udp_payload_avg"], ["interarrival_mean", "interarrival_std"]
+    return closed.select("flow_id", "first_us", "last_us", "ip_src", "ip_dst", *stateful.COUNTS, *[r6(c).alias(c) for c in doubles],
+                         *[r6(F.col(c) * 1000).alias(f"{c}_ms") for c in gaps])
 
 
 @query("stream_messages", ctes("flows") + "SELECT event_id, ip_src AS key, bytes FROM flows")

@@ -11,13 +11,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import FlowSettings
-from ..functions.net import FIN, RST, TCP
+from ..functions.net import FIN, RST, SYN, SYN_ACK, TCP, UDP
 from ..functions.numeric import MICROS, counter
 from ..operators.flows import COUNTERS, with_flow_key
-from ..operators.ordered import spacing
+from ..operators.ordered import sessions, spacing
 
 
 def _prepared(stream: DataFrame, lateness: str) -> DataFrame:
@@ -52,46 +53,114 @@ def delta_stream(snapshots: DataFrame, tie: str, lateness: str = "60 seconds", t
         update, f"flow_id string, {tie} long, {fields}", fields, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+ENDS = ["ip_src", "ip_dst", "sport", "dport", "protocol"]
+COUNTS = ["packets", "bytes", "packets_reverse", "bytes_reverse", "tcp_syn_count", "tcp_syn_ack_count", "tcp_rst_count", "tcp_fin_count"]
+MEANS = ["tcp_window_avg", "tcp_window_std", "udp_payload_avg", "udp_payload_std", "interarrival_mean", "interarrival_std"]
+OPEN = ("start_us long, part long, last_us long, ip_src string, ip_dst string, sport int, dport int, protocol int, "
+        + ", ".join(f"{c} long" for c in COUNTS) + ", sizes array<double>, gaps array<double>")
+
+
 def session_stream(packets: DataFrame, tie: str, s: FlowSettings = FlowSettings(), lateness: str = "60 seconds") -> DataFrame:
-    """Closed flow records (first and last time, packets, bytes) per direction-free five-tuple."""
-    flags = F.coalesce("tcp_flags", F.lit(0))
-    closes = (F.col("protocol") == TCP) & (flags.bitwiseAND(F.lit(FIN | RST)) != 0)
+    """Closed flow records of a packet stream, as `operators.flows.flow_records` has them without the derived rates.
+
+    The state of a flow is its open record: counters, and the bounded histories of sizes and gaps. A record is emitted
+    when a later packet closes it or when the watermark passes its idle timeout. A micro-batch's packets of one flow are
+    put in order in one place, so bound the input per trigger. Rows of `end_marks` only move the watermark.
+    """
+    tcp = F.col("protocol") == TCP
+    flags = F.when(tcp, F.coalesce("tcp_flags", F.lit(0))).otherwise(0)
+    size = F.when(tcp, F.col("tcp_window")).when(F.col("protocol") == UDP, F.col("udp_len")).cast("double")
     keyed = with_flow_key(packets.withWatermark("ts", lateness)).withColumn("us", F.unix_micros("ts"))
-    rows = keyed.select("flow_id", "ts", "us", tie, F.col("length").cast("bigint").alias("length"),
-                        F.coalesce(closes, F.lit(False)).alias("closes"))
-    idle, active = s.idle_seconds * MICROS, s.active_seconds * MICROS
-    output = "flow_id string, first_us long, last_us long, packets long, bytes long"
-
-    def frame(done: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(done, columns=["flow_id", "first_us", "last_us", "packets", "bytes"])
+    marked = F.when(F.col("ip_src").isNull() & F.col("ip_dst").isNull() & F.col(tie).isNull(), F.lit("")).otherwise(F.col("flow_id"))
+    numbers = [F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in ENDS[2:]]
+    from_lo = F.coalesce(F.struct(F.col("ip_src").alias("ip"), F.coalesce("sport", F.lit(0)).alias("port")) == F.col("lo"), F.lit(False))
+    rows = keyed.select(marked.alias("flow_id"), "ts", "us", F.coalesce(tie, F.lit(0)).alias(tie), F.coalesce("ip_src", F.lit("")).alias("ip_src"),
+                        F.coalesce("ip_dst", F.lit("")).alias("ip_dst"), *numbers, F.coalesce("length", F.lit(0)).cast("bigint").alias("length"),
+                        flags.cast("int").alias("flags"), F.coalesce(size, F.lit(float("nan"))).alias("size"), from_lo.alias("from_lo"),
+                        (flags.bitwiseAND(F.lit(FIN | RST)) != 0).alias("closes"))
+    fold = sessions(s.idle_seconds * MICROS, s.active_seconds * MICROS, side="from_lo", size="size",
+                    last_sizes=s.size_history, last_gaps=s.gap_history, gap_limit_us=s.gap_limit_seconds * MICROS)
+    names = ["flow_id", "first_us", "last_us", *ENDS, *COUNTS, *MEANS]
+
+    def record(flow: str, r: tuple) -> tuple:
+        def spread(x: list[float]) -> tuple[float, float]:
+            return (float(np.mean(x)), float(np.std(x))) if len(x) else (0.0, 0.0)
+        sizes, gaps = spread(r[-2]), spread(r[-1])
+        window, payload = (sizes if r[7] == kind else (0.0, 0.0) for kind in (TCP, UDP))
+        return (flow, r[0], r[2], *r[3:8], *r[8:16], *window, *payload, *gaps)
+
+    def joined(earlier: tuple, later: tuple) -> tuple:
+        added = [a + b for a, b in zip(earlier[8:16], later[8:16])]
+        return (*earlier[:2], later[2], *earlier[3:8], *added, (list(earlier[16]) + later[16])[-s.size_history:], (list(earlier[17]) + later[17])[-s.gap_history:])
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done: list[tuple] = []
         if state.hasTimedOut:
-            yield frame([(key[0], *state.get)])
-            state.remove()
-            return
-        pdf = pd.concat(list(parts)).sort_values(["us", tie])
-        open_ = list(state.get) if state.exists else None
-        done = []
-        for us, length, close in zip(pdf["us"].tolist(), pdf["length"].tolist(), pdf["closes"].tolist()):
-            if open_ and us - open_[1] > idle:
-                done.append((key[0], *open_))
-                open_ = None
-            if open_ is None:
-                open_ = [us, us, 0, 0]
-            open_[1:] = [us, open_[2] + 1, open_[3] + length]
-            if close or us - open_[0] > active:
-                done.append((key[0], *open_))
-                open_ = None
-        if open_ is None:
+            done.append(record(key[0], state.get))
             state.remove()
-        else:
-            state.update(tuple(open_))
-            state.setTimeoutTimestamp(max((open_[1] + idle) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield frame(done)
-
-    return rows.groupBy("flow_id").applyInPandasWithState(
-        update, output, "first_us long, last_us long, packets long, bytes long", "append", GroupStateTimeout.EventTimeTimeout)
+        elif key[0]:
+            pdf = pd.concat(list(parts)).sort_values(["us", tie])
+            cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+            earlier = state.get if state.exists else None
+            entry = [int(v) for v in earlier[:3]] if earlier else []
+            told = fold.replay(cols, entry)
+            begins = np.flatnonzero(np.r_[True, (np.diff(told["session_us"]) != 0) | (np.diff(told["session_part"]) != 0)])
+            after, _ = fold.follow(fold.summarize(cols, entry), entry, entry)
+            forward, flags = told["forward"], cols["flags"]
+            counted = [forward, np.where(forward, cols["length"], 0), ~forward, np.where(forward, 0, cols["length"]),
+                       *[(flags & mask) == mask for mask in (SYN, SYN_ACK, RST, FIN)]]
+            sums = np.array([np.add.reduceat(c.astype(np.int64), begins) for c in counted]).T.tolist()
+            for i, (a, z) in enumerate(zip(begins, [*begins[1:], len(pdf)])):
+                sizes, gaps = cols["size"][a:z], told["gap_us"][a:z]
+                part = told["session_part"][a] * 2 + int(cols["from_lo"][a])
+                one = (int(told["session_us"][a]), int(part), int(cols["us"][z - 1]), *[cols[c][a] if c.startswith("ip") else int(cols[c][a]) for c in ENDS], *sums[i],
+                       sizes[~np.isnan(sizes)][-s.size_history:].tolist(), (gaps[gaps >= 0][-s.gap_history:] / MICROS).tolist())
+                if i == 0 and earlier:
+                    if (one[0], told["session_part"][0]) == (entry[0], entry[1] // 2):
+                        one = joined(earlier, one)
+                    else:
+                        done.append(record(key[0], earlier))
+                if z < len(pdf) or not after:
+                    done.append(record(key[0], one))
+                else:
+                    state.update(one)
+                    state.setTimeoutTimestamp(max((one[2] + s.idle_seconds * MICROS) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+            if not after and state.exists:
+                state.remove()
+        yield pd.DataFrame(done, columns=names)
+
+    output = ("flow_id string, first_us long, last_us long, ip_src string, ip_dst string, sport int, dport int, protocol int, "
+              + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in MEANS))
+    return rows.groupBy("flow_id").applyInPandasWithState(update, output, OPEN, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def end_marks(packets: DataFrame, folder: str) -> DataFrame:
+    """`packets` and the rows of a stream of end marks in `folder`, which `mark_end` writes."""
+    spark = packets.sparkSession
+    spark.createDataFrame([], packets.schema).write.mode("append").parquet(folder)
+    return packets.unionByName(spark.readStream.schema(packets.schema).parquet(folder))
+
+
+def mark_end(packets: DataFrame, folder: str, at: str) -> None:
+    """Ends the input: a row that is only a time moves the watermark past every open record."""
+    fields = [F.lit(at).cast("timestamp").alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in packets.schema.fields]
+    packets.sparkSession.range(1).select(*fields).write.mode("append").parquet(folder)
+
+
+def closed_sessions(packets: DataFrame, tie: str, folder: str, s: FlowSettings = FlowSettings(), lateness: str = "60 seconds") -> DataFrame:
+    """Drains the available packets and then ends the input, so that the records still open are emitted as well."""
+    marks, table, checkpoint = f"{folder}/marks", f"{folder}/table", f"{folder}/checkpoint"
+    stream = session_stream(end_marks(packets, marks), tie, s, lateness)
+    drain(stream, table, checkpoint)
+    for year in (2200, 2201):  # the first moves the watermark, the second is judged by it
+        mark_end(packets, marks, f"{year}-01-01 00:00:00")
+        out = drain(session_stream(end_marks(packets, marks), tie, s, lateness), table, checkpoint)
+    return out
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark and were dropped, over the progress that the query still holds."""
+    return sum(o.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for o in p["stateOperators"])
 
 
 def spaced_stream(alerts: DataFrame, keys: list[str], tie: str, gap_seconds: int, lateness: str = "60 seconds") -> DataFrame:

@@ -13,20 +13,17 @@ from pyspark.sql import functions as F
 
 from ..config import ThresholdSettings
 from ..operators import detect, rolling
-from ..operators.windows import (DIMENSIONS, assemble, common_bucket, counts_from_buckets, dimension_keys, measured,
-                                 total_aggregates, totals_from_buckets)
+from ..operators.windows import ALL, DIMENSIONS, assemble, common_bucket, from_level, level_rows, measured, total_aggregates
 from ..sources.messages import for_each_batch
 
 KEYS = ["bucket", "dim", "key"]
-ALL = "*"
 START_OF_TIME = -(1 << 40)
 LAST_BATCH = 1 << 30
 
 
 def first_level(flows: DataFrame, seconds: int, dims: list[str], lateness: str = "60 seconds") -> DataFrame:
     """Streaming aggregate of (bucket, dim, key); the row with dim `*` carries the totals."""
-    pairs = [F.struct(F.lit(ALL).alias("dim"), F.lit("").alias("key")), *dimension_keys(flows, dims)]
-    rows = flows.withWatermark("ts", lateness).select("ts", *measured(flows), F.explode(F.array(*pairs)).alias("p")).select("*", "p.*")
+    rows = flows.withWatermark("ts", lateness).select("ts", *measured(flows), level_rows(flows, dims).alias("p")).select("*", "p.*")
     grouped = rows.filter(F.col("key").isNotNull()).groupBy(F.window("ts", f"{seconds} seconds").alias("win"), "dim", "key")
     out = grouped.agg(F.sum("w").alias("weight"), *total_aggregates(F.col("dim") == ALL))
     return out.withColumn("bucket", F.unix_seconds(F.col("win.start"))).drop("win")
@@ -50,9 +47,7 @@ def latest(table: DataFrame, keys: list[str]) -> DataFrame:
 
 def windows_from(level: DataFrame, sizes: list[int], dims: list[str], top: int = 20) -> DataFrame:
     """Full window rows of every size from the first-level table."""
-    fine = level.filter(F.col("dim") == ALL).drop("dim", "key", "weight")
-    counts = level.filter(F.col("dim") != ALL).select(*KEYS, "weight")
-    return assemble(totals_from_buckets(fine, sizes), counts_from_buckets(counts, sizes), dims, top)
+    return assemble(*from_level(level, sizes), dims, top)
 
 
 def run_windows(flows: DataFrame, path: str, checkpoint: str, sizes: list[int], dims: list[str] | None = None,

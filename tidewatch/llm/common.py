@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_path
+from ..session import written  # noqa: F401
 
 #: A word is a longest run of code points other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,11 +20,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """The frame as a table in the shared folder, so that a lost executor costs a re-read and nothing is computed twice."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def growing(df: DataFrame) -> DataFrame:
+    """A join side that grows with the corpus: it is never broadcast, so the plan is the same at every size."""
+    return df.hint("merge")
 
 
 def fresh(df: DataFrame, stem: str) -> str:

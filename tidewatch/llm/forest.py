@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, grouped_batches, read_table, written
+from .common import fresh, grouped_batches, growing, read_table, written
 from .components import components
 from .shingles import local_components, min_hashes, shingle_set
 from .tiles import tiled_members, verified_links
@@ -77,7 +77,7 @@ def candidate_edges(nodes: DataFrame, depth: int, percent: int) -> DataFrame:
     """
     places = nodes.select("key", F.posexplode("prefixes").alias("tree", "prefix"))
     shared = places.groupBy("prefix").agg(F.count(F.lit(1)).alias("sharing"), F.min("key").alias("hub")).where("sharing > 1")
-    hits = places.join(written(shared, "forest-prefixes"), "prefix").join(nodes.select("key", "n", "signature"), "key")
+    hits = places.join(growing(written(shared, "forest-prefixes")), "prefix").join(growing(nodes.select("key", "n", "signature")), "key")
     deeper = F.when(F.col("sharing") > REGION_ROWS, F.ceil(F.log(F.col("sharing") / REGION_ROWS) / math.log(1 / 0.7))).otherwise(0).cast("int")
     at = F.col("tree") * STEP
     label = F.concat(F.expr(f"substring(signature, tree * {STEP} + 1)"), F.substring("signature", F.lit(1), at))
@@ -134,7 +134,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         "node", F.col("component").alias("group"), "size", "named")
     tiles = tiled_members(members)
     wanted = written(tiles.select("tile", "block", "node", F.col("named.doc_id").alias("want_id"), F.col("named.text_key").alias("want_text")), "forest-tiles")
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.xxhash64("text") == F.col("want_text")))
+    texts = rows.join(growing(wanted), F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.xxhash64("text") == F.col("want_text")))
     classes = components(verified_links(texts, length, percent))
     named = classes.join(nodes.select(F.col("key").alias("node"), "id"), "node")
     smallest = named.groupBy(F.col("component").alias("c")).agg(F.min("id").alias("least_id"))
@@ -143,7 +143,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         F.col("key").alias("known_key"), F.coalesce("least_id", "id").alias("least_id"))
     known = written(known, "forest-classes")
     at = F.coalesce("key", F.xxhash64("doc_id", "text_key"))  # rows without a set must not meet in one place
-    found = sketches.withColumn("at", at).join(known, (F.col("at") == F.col("known_key")) & (F.col("n") > 0), "left")
+    found = sketches.withColumn("at", at).join(growing(known), (F.col("at") == F.col("known_key")) & (F.col("n") > 0), "left")
     return found.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("least_id", "doc_id").alias("component_id"))
 
 
@@ -161,7 +161,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     repeated = written(repeated, "forest-repeated")
     key = fresh(docs, "near_key")
     keyed = docs.withColumn(key, F.xxhash64(text_col))
-    left = keyed.join(lost, keyed[id_col].eqNullSafe(lost["lost_id"]) & (keyed[key] == lost["lost_text"]), "left_anti")
+    left = keyed.join(growing(lost), keyed[id_col].eqNullSafe(lost["lost_id"]) & (keyed[key] == lost["lost_text"]), "left_anti")
     same = left[id_col].eqNullSafe(repeated["twice_id"]) & (left[key] == repeated["twice_text"])
     if repeated.isEmpty():
         return left.select(*docs.columns)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import growing, read_table, written
 from .components import components
 from .shingles import min_hashes, window_hashes, words
 from .tiles import tiled_members, verified_links
@@ -98,7 +98,7 @@ def paragraph_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     document is shipped once for all its paragraphs."""
     pieces = F.struct("start", "words", "node", "tile", "block")
     asked = written(wanted.groupBy("want_id", "want_text").agg(F.collect_set(pieces).alias("pieces")), "passage-wanted")
-    rows = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.xxhash64("text") == F.col("want_text"))).select("text", "pieces")
+    rows = docs.join(growing(asked), F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.xxhash64("text") == F.col("want_text"))).select("text", "pieces")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +122,7 @@ def paragraph_classes(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     nodes = written(nodes, "passage-nodes")
     places = nodes.select("key", F.explode("bands").alias("band"))
     shared = places.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("hub")).where("n > 1").drop("n")
-    edges = places.join(written(shared, "passage-bands"), "band").select(F.col("hub").alias("a"), F.col("key").alias("b"))
+    edges = places.join(growing(written(shared, "passage-bands")), "band").select(F.col("hub").alias("a"), F.col("key").alias("b"))
     groups = components(edges)
     members = groups.join(nodes, F.col("node") == F.col("key")).select("node", F.col("component").alias("group"), F.col("size").cast("long").alias("size"), "named")
     wanted = tiled_members(members).select("tile", "block", "node", F.col("named.doc_id").alias("want_id"), F.col("named.text_key").alias("want_text"),
@@ -156,7 +156,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                                                F.count(F.lit(1)).alias("n"))
         several = spread.where("n > 1").select(F.col("class_id").alias("of"), "first", "last")
         several = written(several.where("not (first.doc_id <=> last.doc_id and first.text_key = last.text_key)"), "passage-classes")
-        joined = spans.join(several, F.col("class_id") == F.col("of"))
+        joined = spans.join(growing(several), F.col("class_id") == F.col("of"))
         first = F.struct("doc_id", "text_key", "start").eqNullSafe(F.col("first"))
         one = joined.select("doc_id", "kind", F.col("start").alias("start_word"), F.col("words").alias("n_words"), "class_id",
                             F.col("first.doc_id").alias("first_id"), (~first).alias("removed"))

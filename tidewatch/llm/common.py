@@ -39,7 +39,8 @@ def word_count(text: Column) -> Column:
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z as a-z; only texts with other than ASCII characters need the slower translation."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def grouped_batches(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

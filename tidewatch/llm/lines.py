@@ -29,12 +29,13 @@ def line_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(hash, doc_id, doc, positions) for each key of each document, in ranges of (hash, document).
 
     The range keys hold the document as well, so a line that a third of all documents have is spread over many ranges.
-    Each range is sorted by hash, document and position; the group-by needs no other exchange.
+    Each range is sorted by hash, document and position; the group-by needs no other exchange. The bounds of the ranges
+    are sampled from the written hashes, not from the texts.
     """
     one = docs.select(F.col(id_col).alias("doc_id"), document_key(F.col(id_col), F.col(text_col)).alias("doc"),
                       F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
     keyed = one.withColumn("key", line_key("line")).where("key <> ''").select(F.unhex(F.md5("key")).alias("hash"), "doc_id", "doc", "pos")
-    ranged = keyed.repartitionByRange("hash", "doc_id", "doc").sortWithinPartitions("hash", "doc_id", "doc", "pos")
+    ranged = written(keyed, "line-hashes").repartitionByRange("hash", "doc_id", "doc").sortWithinPartitions("hash", "doc_id", "doc", "pos")
     return ranged.groupBy("hash", "doc_id", "doc").agg(F.collect_set("pos").alias("positions"))
 
 

@@ -70,6 +70,14 @@ def test_detector_judges_as_windows_close(spark):
     names = ["window_size", "window_start", "rule", F.round("confidence", 6).alias("c")]
     assert rows(d.alert_rows().select(*names)) == rows(want.alert_rows().select(*names))
     assert d.alert_rows().select("batch").distinct().count() > 2
+    names = ["window_size", "window_start", "attack_type", F.round("confidence", 6).alias("c"), "kept"]
+    assert rows(d.table("verdicts").select(*names)) == rows(want.table("verdicts").select(*names))
+    admitted = d.table("verdicts").filter("kept").count()
+    assert 0 < admitted == d.table("messages").count()
+    assert d.table("metrics").filter("name = 'attacks_detected_total'").agg(F.sum("value")).first()[0] == admitted
+    # What is carried from batch to batch is bounded, and only days that can still close are read.
+    assert d.table("recent").groupBy("batch", "window_size").count().agg(F.max("count")).first()[0] <= s.history
+    assert d.table("level").select("day").distinct().count() > 3
 
 
 def test_sessions_stream_equals_batch(spark):

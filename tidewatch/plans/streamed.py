@@ -13,6 +13,7 @@ from ..sources import messages
 from ..streaming import stateful, windows
 from .base import ORACLES, SIZES, ctes, greedy, query
 from .base import r6 as q6
+from .alerting import SETTINGS, model_opinion
 from .windows import KEY, SCALED, alert_columns
 
 
@@ -45,6 +46,14 @@ def stream_detect(spark, sf_dir):
     return alert_columns(d.alert_rows())
 
 
+@query("stream_verdicts", ORACLES["verdict_throttle"])
+def stream_verdicts(spark, sf_dir):
+    """The whole detector: rules, model and entropy votes, the weighted verdict and the throttle."""
+    d = windows.Detector(spark, fresh_path(spark, "stream-verdicts"), SIZES, settings=SCALED, model=model_opinion, ensemble_settings=SETTINGS)
+    d.run(flow_stream(spark, sf_dir))
+    return d.table("verdicts").select(*KEY, "attack_type", "kept")
+
+
 @query("stream_delta", ctes("flows", extra={
     "s": """SELECT event_id, 'f' || CAST(user_id AS VARCHAR) AS flow_id, us, (event_id // 7) * 10 + packets % 5 AS total_packets, (event_id // 7) * 700 + packets % 5 AS total_bytes,
         tcp_syn_count, tcp_rst_count, tcp_fin_count FROM flows""",

@@ -8,13 +8,16 @@ alerts are batch operators over that table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import ThresholdSettings
-from ..operators import detect, rolling
+from ..config import EnsembleSettings, ThresholdSettings
+from ..operators import detect, ensemble, metrics, rolling
+from ..operators.alerts import throttle
 from ..operators.windows import ALL, DIMENSIONS, assemble, common_bucket, from_level, level_rows, measured, total_aggregates
-from ..sources.messages import for_each_batch
+from ..sources.messages import for_each_batch, to_messages
 
 KEYS = ["bucket", "dim", "key"]
 START_OF_TIME = -(1 << 40)
@@ -70,68 +73,110 @@ def first_hit_window_stream(flows: DataFrame, seconds: int, offset_seconds: int,
 class Detector:
     """Flows to alerts: one stream keeps the first level, its batches judge the windows that have closed.
 
-    A window closes when the newest bucket starts `lateness_seconds` past its end and is judged once.
-    Judging reads the buckets of the windows that close now and the last windows judged before, as
-    many as the rolling limits reach back. Every output is a partition per batch, so a repeated
-    batch replaces what it wrote.
+    A window closes when the newest bucket starts `lateness_seconds` past its end and is judged once: threshold rules,
+    the entropy vote and, with `model` (adds `ml_is_attack` and `ml_confidence` to window rows), the model's vote make a
+    verdict by `strategy`; verdicts pass the throttle; admitted ones become alert messages and metric rows.
+
+    What a batch reads does not grow with the batches before it: the first level is stored by day and pruned to the days
+    that the closing windows need, and the last windows of every size and the last admitted verdicts are carried from
+    batch to batch as small tables. Every output is a partition per batch, so a repeated batch replaces what it wrote.
     """
 
     def __init__(self, spark: SparkSession, folder: str, sizes: list[int], dims: list[str] | None = None,
-                 settings: ThresholdSettings = ThresholdSettings(), lateness_seconds: int = 60):
+                 settings: ThresholdSettings = ThresholdSettings(), lateness_seconds: int = 60,
+                 model: Callable[[DataFrame], DataFrame] | None = None, strategy: str = "weighted",
+                 ensemble_settings: EnsembleSettings = EnsembleSettings()):
         self.spark, self.folder, self.sizes = spark, folder, sizes
         self.dims = dims or list(DIMENSIONS)
         self.settings, self.lateness = settings, lateness_seconds
-        self.level, self.windows, self.alerts = f"{folder}/level", f"{folder}/windows", f"{folder}/alerts"
-        self.marks = f"{folder}/marks"
+        self.model, self.strategy, self.rules = model, strategy, ensemble_settings
 
     def run(self, flows: DataFrame, finish: bool = True) -> None:
         """Drains the available input; `finish` judges the windows still open at the end."""
         stream = first_level(flows, common_bucket(self.sizes), self.dims, f"{self.lateness} seconds")
-        query = for_each_batch(stream, self._batch, f"{self.folder}/checkpoint", "update")
-        query.awaitTermination()
+        self.query = for_each_batch(stream, self._batch, f"{self.folder}/checkpoint", "update")
+        self.query.awaitTermination()
         if finish:
-            self._judge(LAST_BATCH, everything=True)
+            self._judge(LAST_BATCH, START_OF_TIME, everything=True)
+
+    def table(self, name: str) -> DataFrame:
+        """An output: level, windows, alerts, verdicts (with `kept`), messages or metrics."""
+        return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def alert_rows(self) -> DataFrame:
-        return self.spark.read.parquet(self.alerts)
+        return self.table("alerts")
 
-    def _batch(self, rows: DataFrame, batch: int) -> None:
-        upsert(self.level)(rows, batch)
-        self._judge(batch, everything=False)
+    def _write(self, rows: DataFrame, name: str, batch: int) -> DataFrame:
+        path = f"{self.folder}/{name}/batch={batch}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _carried(self, name: str, mark: Row | None) -> DataFrame | None:
+        return None if mark is None else self.spark.read.parquet(f"{self.folder}/{name}/batch={mark['mark']}")
 
-    def _judge(self, batch: int, everything: bool) -> None:
-        stored = self.spark.read.parquet(self.level)
-        newest = stored.agg(F.max("bucket")).first()[0]
-        if newest is None:
+    def _batch(self, rows: DataFrame, batch: int) -> None:
+        daily = rows.withColumn("day", F.expr("bucket div 86400"))
+        daily.write.mode("overwrite").partitionBy("day").parquet(f"{self.folder}/level/batch={batch}")
+        newest = rows.agg(F.coalesce(F.max("bucket"), F.lit(START_OF_TIME))).first()[0]
+        self._judge(batch, newest, everything=False)
+
+    def _judge(self, batch: int, newest: int, everything: bool) -> None:
+        mark = self._last_mark(batch)
+        before = mark["closed"] if mark else START_OF_TIME
+        newest = max(newest, mark["newest"] if mark else START_OF_TIME)
+        if newest == START_OF_TIME:
             return
-        before = self._closed_before(batch)
         largest, base = max(self.sizes), common_bucket(self.sizes)
-        closed = newest + base + largest if everything else newest - self.lateness
+        closed = max(before, newest + base + largest if everything else newest - self.lateness)
         end = F.col("window_start") + F.col("window_size")
-        level = latest(stored.filter(F.col("bucket") >= before - largest), KEYS)
-        closing = windows_from(level, self.sizes, self.dims).filter((end > before) & (end <= closed))
-        closing.write.mode("overwrite").parquet(f"{self.windows}/batch={batch}")
-        limits = rolling.dynamic_thresholds(self._history(before, batch), self.settings).filter(end > before)
-        alerts = detect.raise_alerts(limits, detect.threshold_rules(limits, self.settings), self.settings)
-        alerts.write.mode("overwrite").parquet(f"{self.alerts}/batch={batch}")
-        mark = self.spark.range(1).select(F.lit(max(closed, before)).cast("bigint").alias("closed"))
-        mark.write.mode("overwrite").parquet(f"{self.marks}/batch={batch}")
-
-    def _closed_before(self, batch: int) -> int:
-        """How far the earlier batches have judged (one stored row per batch)."""
-        if batch == 0 or not _exists(self.spark, self.marks):
-            return START_OF_TIME
-        marks = self.spark.read.parquet(self.marks).filter(F.col("batch") < batch)
-        return marks.agg(F.coalesce(F.max("closed"), F.lit(START_OF_TIME))).first()[0]
-
-    def _history(self, before: int, batch: int) -> DataFrame:
-        """The windows of this batch and, per size, the last ones judged before it."""
-        table = self.spark.read.parquet(self.windows).filter(F.col("batch") <= batch).drop("batch")
+        stored = self.table("level").filter((F.col("day") >= (before - largest) // 86400) & (F.col("bucket") >= before - largest))
+        level = latest(stored.drop("day"), KEYS)
+        closing = self._write(windows_from(level, self.sizes, self.dims).filter((end > before) & (end <= closed)), "windows", batch)
+        earlier = self._carried("recent", mark)
+        known = closing if earlier is None else closing.unionByName(earlier)
+        newest_first = Window.partitionBy("window_size").orderBy(F.desc("window_start"))
+        recent = known.withColumn("_r", F.row_number().over(newest_first)).filter(F.col("_r") < max(self.settings.history, self.settings.min_history)).drop("_r")
+        self._write(recent, "recent", batch)
+        limits = self._write(rolling.dynamic_thresholds(known, self.settings).filter(end > before), "limits", batch)
+        alerts = self._write(detect.raise_alerts(limits, detect.threshold_rules(limits, self.settings), self.settings), "alerts", batch)
+        self._decide(limits, alerts, batch, mark, before)
+        self._write(self.spark.range(1).select(F.lit(batch).cast("bigint").alias("mark"), F.lit(closed).cast("bigint").alias("closed"),
+                                               F.lit(newest).cast("bigint").alias("newest")), "marks", batch)
+
+    def _decide(self, limits: DataFrame, alerts: DataFrame, batch: int, mark: Row | None, before: int) -> None:
+        votes = [ensemble.threshold_votes(alerts)]
+        if self.model:
+            limits = self.model(limits)
+            votes.append(ensemble.ml_votes(limits))
+        votes = ensemble.collect_votes(*votes, ensemble.entropy_votes(limits, self.rules))
+        if self.strategy == "hierarchical":
+            verdicts = ensemble.hierarchical(votes, limits if self.model else None, self.rules)
+        else:
+            verdicts = ensemble.STRATEGIES[self.strategy](votes, self.rules)
         end = F.col("window_start") + F.col("window_size")
-        newest = Window.partitionBy("window_size").orderBy(F.desc("window_start"))
-        earlier = table.filter(end <= before).withColumn("_r", F.row_number().over(newest))
-        earlier = earlier.filter(F.col("_r") < self.settings.history).drop("_r")
-        return table.filter(end > before).unionByName(earlier)
+        timed = verdicts.withColumn("ts", F.timestamp_seconds(end))
+        earlier = self._carried("admitted", mark)
+        # Verdicts admitted before are admitted again, for they kept the limits among themselves.
+        judged = self._write(throttle(timed if earlier is None else timed.unionByName(earlier), ["window_size", "attack_type"], self.rules).drop("leader_us"),
+                             "judged", batch)
+        kept = judged.filter("kept").drop("kept")
+        last = kept.agg(F.unix_seconds(F.max("ts"))).first()[0] or 0
+        self._write(kept.filter(F.unix_seconds("ts") >= last - 60 - self.rules.throttle_gap_seconds), "admitted", batch)
+        new = self._write(judged.filter(end > before), "verdicts", batch)
+        admitted = new.filter("kept")
+        payload = ensemble.alert_payload(admitted, limits)
+        self._write(to_messages(payload, "alerts"), "messages", batch)
+        found = metrics.counters(admitted, "attacks_detected_total", ["attack_type", "severity"])
+        pps = metrics.gauges(limits.withColumn("ts", F.timestamp_seconds(end)), ["window_size"], ["packets_per_second"])
+        gauge = pps.select(F.lit("packets_per_second").alias("name"), F.create_map(F.lit("window_size"), F.col("window_size").cast("string")).alias("labels"),
+                           F.col("packets_per_second").cast("double").alias("value"))
+        self._write(found.unionByName(gauge), "metrics", batch)
+
+    def _last_mark(self, batch: int) -> Row | None:
+        """How far the batch before has judged (one stored row per batch)."""
+        if not _exists(self.spark, f"{self.folder}/marks"):
+            return None
+        return self.table("marks").filter(F.col("mark") < batch).orderBy(F.desc("mark")).first()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -165,6 +165,44 @@ def joint_severity(first: Column, second: Column) -> Column:
     return F.when(rank(first) <= rank(second), first).when(rank(second) < rank(first), second)
 
 
+def scaled_tiers(scale: dict[str, float], tiers: dict[str, dict[str, float]] = TIERS) -> dict[str, dict[str, float]]:
+    """The declared tiers with the limits of the named metrics multiplied, for traffic of another volume."""
+    return {metric: {s: v * scale.get(metric, 1.0) for s, v in levels.items()} for metric, levels in tiers.items()}
+
+
+def tier_of(value: Column, levels: dict[str, float]) -> Column:
+    """The highest severity whose limit the value reaches, else null."""
+    out = F.lit(None).cast("string")
+    for severity, limit in levels.items():
+        out = F.when(value >= limit, severity).otherwise(out)
+    return out
+
+
+def window_tiers(features: DataFrame, tiers: dict[str, dict[str, float]] = TIERS) -> DataFrame:
+    """(window_size, window_start, metric, severity) of every declared window tier that is reached.
+
+    Rates need one limit; the SYN, UDP and ICMP rules need a ratio and a rate, and the lower severity of the two counts.
+    """
+    pps = F.col("packets_per_second")
+    rate = {"pps": pps, "bps": F.col("bytes_per_second"), "fps": F.col("flows_per_second"),
+            "http_rate": F.col("http_requests") / F.col("window_size")}
+    found = [F.struct(F.lit(m).alias("metric"), tier_of(c, tiers[m]).alias("severity")) for m, c in rate.items()]
+    for kind in ("syn", "udp", "icmp"):
+        both = joint_severity(tier_of(F.col(f"{kind}_ratio"), tiers[f"{kind}_ratio"]), tier_of(pps, tiers[f"{kind}_rate"]))
+        found.append(F.struct(F.lit(f"{kind}_flood").alias("metric"), both.alias("severity")))
+    rows = features.select("window_size", "window_start", F.explode(F.array(*found)).alias("t")).select("window_size", "window_start", "t.*")
+    return rows.filter(F.col("severity").isNotNull())
+
+
+def address_tiers(flows: DataFrame, seconds: int, tiers: dict[str, dict[str, float]] = TIERS, ts: str = "ts") -> DataFrame:
+    """(window_start, subject, metric, severity) of the declared tiers per source address and per /24 subnet."""
+    sources = per_source_rates(flows, seconds, ts).select("window_start", F.col("ip_src").alias("subject"), F.lit("pps_per_ip").alias("metric"),
+                                                          tier_of(F.col("pps"), tiers["pps_per_ip"]).alias("severity"))
+    subnets = per_subnet_rates(flows, seconds, ts=ts).select("window_start", F.col("subnet").alias("subject"), F.lit("pps_per_subnet").alias("metric"),
+                                                             tier_of(F.col("pps"), tiers["pps_per_subnet"]).alias("severity"))
+    return sources.unionByName(subnets).filter(F.col("severity").isNotNull())
+
+
 def ratio_tier(value: Column, rate: Column, ratio_levels: dict[str, float], rate_levels: dict[str, float]) -> Column:
     """Severity for rules that need a ratio and a minimum rate of the same level."""
     out = F.lit(None).cast("string")

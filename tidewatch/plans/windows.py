@@ -128,6 +128,13 @@ def traffic_features(spark, sf_dir):
         F.array_join(detect.top_addresses(f, "dst"), ",").alias("top_dst"), "is_syn_flood", "is_udp_flood", "is_icmp_flood")
 
 
+def with_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows with the method of the request line that those to port 80 carry."""
+    method = F.expr("case event_id % 4 when 0 then 'GET' when 1 then 'POST' when 2 then 'PATCH' else 'HEAD' end")
+    line = F.when(F.col("dport") == 80, F.concat(method, F.lit(" /p/"), F.col("k"), F.lit(" HTTP/1.1")))
+    return src.flows(spark, sf_dir).withColumn("http_method", http_request(line)["method"])
+
+
 FLOODS = FloodLimits(syn_ratio=0.45, syn_sources=20, syn_pps=0.1, udp_share=0.22, udp_pps=0.02, icmp_share=0.22, icmp_pps=0.02, http_per_second=0.0004)
 
 
@@ -141,11 +148,7 @@ FLOODS = FloodLimits(syn_ratio=0.45, syn_sources=20, syn_pps=0.1, udp_share=0.22
     FROM features f LEFT JOIN h ON f.window_size = h.window_size AND f.window_start = h.window_start""")
 def flood_flags(spark, sf_dir):
     """Indicators with limits scaled to the test traffic; HTTP requests are read from request lines."""
-    flows = src.flows(spark, sf_dir)
-    method = F.expr("case event_id % 4 when 0 then 'GET' when 1 then 'POST' when 2 then 'PATCH' else 'HEAD' end")
-    line = F.when(F.col("dport") == 80, F.concat(method, F.lit(" /p/"), F.col("k"), F.lit(" HTTP/1.1")))
-    rows = flows.withColumn("http_method", http_request(line)["method"])
-    f = windows.traffic_features(rows, SIZES, top=0, limits=FLOODS)
+    f = windows.traffic_features(with_requests(spark, sf_dir), SIZES, top=0, limits=FLOODS)
     return f.select(*KEY, "http_requests", "is_syn_flood", "is_udp_flood", "is_icmp_flood", "is_http_flood")
 
 
@@ -296,6 +299,46 @@ def severity_tiers(spark, sf_dir):
     return hit.select(*KEY, "metric", r6("value").alias("value"), "severity", F.col("limit").alias("limit_value"))
 
 
+SCALES = {"pps": 2e-6, "bps": 1e-7, "fps": 1e-6, "http_rate": 4e-7, "syn_ratio": 0.6, "syn_rate": 5e-6, "udp_ratio": 0.3, "udp_rate": 2e-6,
+          "icmp_ratio": 0.45, "icmp_rate": 5e-6, "pps_per_ip": 5e-7, "pps_per_subnet": 5e-7}
+LADDERS = detect.scaled_tiers(SCALES)
+
+
+def ladder_sql(value: str, metric: str) -> str:
+    steps = sorted(LADDERS[metric].values(), reverse=True)
+    return "CASE " + " ".join(f"WHEN {value} >= {v!r}::DOUBLE THEN {4 - i}" for i, v in enumerate(steps)) + " END"
+
+
+def severity_sql(rank: str) -> str:
+    return f"CASE {rank} WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' WHEN 4 THEN 'critical' END"
+
+
+TIER_UNION = " UNION ALL ".join(
+    [f"SELECT window_size, window_start, '{m}' AS metric, {ladder_sql(c, m)} AS rank FROM w" for m, c in (
+        ("pps", "pps"), ("bps", "bps"), ("fps", "fps"), ("http_rate", "http / window_size::DOUBLE"))]
+    + [f"SELECT window_size, window_start, '{k}_flood', CASE WHEN ({ladder_sql(f'{k}_ratio', f'{k}_ratio')}) IS NOT NULL AND ({ladder_sql('pps', f'{k}_rate')}) IS NOT NULL "
+       f"THEN least({ladder_sql(f'{k}_ratio', f'{k}_ratio')}, {ladder_sql('pps', f'{k}_rate')}) END FROM w" for k in ("syn", "udp", "icmp")])
+
+
+@query("window_tiers", ctes("features", extra={"h": """
+    SELECT s.window_size, us // 1000000 // s.window_size * s.window_size AS window_start, count(*) AS http FROM flows, sizes s
+    WHERE dport = 80 AND event_id % 4 <> 2 GROUP BY 1, 2""", "w": """
+    SELECT f.*, coalesce(http, 0) AS http FROM features f LEFT JOIN h ON f.window_size = h.window_size AND f.window_start = h.window_start""",
+    "t": TIER_UNION}) + f"SELECT window_size, window_start, metric, {severity_sql('rank')} AS severity FROM t WHERE rank IS NOT NULL")
+def window_tiers(spark, sf_dir):
+    return detect.window_tiers(windows.traffic_features(with_requests(spark, sf_dir), SIZES, top=0), LADDERS)
+
+
+@query("address_tiers", ctes("flows", extra={"r": """
+    SELECT us // 3600000000 * 3600 AS window_start, ip_src, sum(packets) / 3600.0::DOUBLE AS pps FROM flows GROUP BY 1, 2""", "t": f"""
+    SELECT window_start, ip_src AS subject, 'pps_per_ip' AS metric, {ladder_sql('pps', 'pps_per_ip')} AS rank FROM r
+    UNION ALL SELECT window_start, subnet, 'pps_per_subnet', {ladder_sql('pps', 'pps_per_subnet')}
+      FROM (SELECT window_start, regexp_replace(ip_src, '[0-9]+$', '0/24') AS subnet, sum(pps) AS pps FROM r GROUP BY 1, 2)"""}) + f"""
+    SELECT window_start, subject, metric, {severity_sql('rank')} AS severity FROM t WHERE rank IS NOT NULL""")
+def address_tiers(spark, sf_dir):
+    return detect.address_tiers(src.flows(spark, sf_dir), 3600, LADDERS)
+
+
 @query("declared_tiers", ctes("features", extra={"b": """SELECT window_size, avg(pps) AS m FROM features GROUP BY 1""",
     "c": """SELECT f.*, m, CASE WHEN syn_ratio >= 0.95 AND pps >= 0.1 THEN 'critical' WHEN syn_ratio >= 0.6 AND pps >= 0.05 THEN 'high'
         WHEN syn_ratio >= 0.5 AND pps >= 0.02 THEN 'medium' WHEN syn_ratio >= 0.4 AND pps >= 0.01 THEN 'low' END AS syn_severity,

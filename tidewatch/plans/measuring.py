@@ -263,6 +263,21 @@ def ks_drift(spark, sf_dir):
     return shift(spark, sf_dir).select("feature", r6("ks_statistic").alias("ks_statistic"), "drifted", "severity")
 
 
+PLANTED = {COLUMNS[0]: 3.0, COLUMNS[1]: 1.3}
+
+
+@query("drift_planted", ctes("flows", extra={**DRIFT, "l": " UNION ALL ".join(
+    f"SELECT us >= {MIDDLE}000000 AS cur, '{c}' AS feature, {c}::DOUBLE * CASE WHEN us >= {MIDDLE}000000 THEN {PLANTED.get(c, 1.0)}::DOUBLE ELSE 1 END AS value FROM flows" for c in COLUMNS),
+    "k": "SELECT feature, max(abs(ca - cb)) AS ks FROM c GROUP BY 1"}) + f"""
+    SELECT feature, {q6('ks')} AS ks_statistic, ks > 0.05 AS drifted, CASE WHEN ks < 0.05 THEN 'low' WHEN ks < 0.15 THEN 'medium' ELSE 'high' END AS severity FROM k""")
+def drift_planted(spark, sf_dir):
+    """Two features grow in the second half, so that drift is found and graded."""
+    f, edge = src.flows(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in COLUMNS}), F.timestamp_seconds(F.lit(MIDDLE))
+    current = f.filter(F.col("ts") >= edge).withColumns({c: F.col(c) * k for c, k in PLANTED.items()})
+    out = drift.covariate_shift(f.filter(F.col("ts") < edge), current, COLUMNS)
+    return out.select("feature", r6("ks_statistic").alias("ks_statistic"), "drifted", "severity")
+
+
 @query("wasserstein", ctes("flows", extra=DRIFT) + f"SELECT feature, {q6('sum(abs(ca - cb) * coalesce(gap, 0))')} AS wasserstein FROM c GROUP BY 1")
 def wasserstein(spark, sf_dir):
     return shift(spark, sf_dir).select("feature", r6("wasserstein").alias("wasserstein"))
@@ -298,6 +313,20 @@ def concept_drift(spark, sf_dir):
     return c.select(*[r6(x).alias(x) for x in ("current_fpr", "reference_fpr", "current_fnr", "reference_fnr")], "drift")
 
 
+@query("concept_drift_planted", ctes("scored", extra={
+    "q": "SELECT *, CASE WHEN event_id % 3 = 0 THEN 1 ELSE pred END AS now FROM scored",
+    "recent": "SELECT * FROM q ORDER BY us DESC, event_id DESC LIMIT 1000",
+    "x": "SELECT count(*) AS n, count(*) FILTER (label = 0 AND now = 1) / count(*) FILTER (label = 0)::DOUBLE AS fpr, count(*) FILTER (label = 1 AND now = 0) / count(*) FILTER (label = 1)::DOUBLE AS fnr FROM recent",
+    "y": "SELECT count(*) FILTER (label = 0 AND pred = 1) / count(*) FILTER (label = 0)::DOUBLE AS fpr, count(*) FILTER (label = 1 AND pred = 0) / count(*) FILTER (label = 1)::DOUBLE AS fnr FROM scored"}) + f"""
+    SELECT {q6('x.fpr')} AS current_fpr, {q6('y.fpr')} AS reference_fpr, {q6('x.fnr')} AS current_fnr, {q6('y.fnr')} AS reference_fnr,
+      n >= 1000 AND (abs(x.fpr - y.fpr) > 0.1 OR abs(x.fnr - y.fnr) > 0.1) AS drift FROM x, y""")
+def concept_drift_planted(spark, sf_dir):
+    """A third of the current predictions say attack whatever the score."""
+    s = src.scored(spark, sf_dir)
+    c = drift.concept_drift(s.withColumn("pred", F.when(F.col("event_id") % 3 == 0, 1).otherwise(F.col("pred"))), s, ["ts", "event_id"])
+    return c.select(*[r6(x).alias(x) for x in ("current_fpr", "reference_fpr", "current_fnr", "reference_fnr")], "drift")
+
+
 CHECKS = {"c": DAILY, "p": "SELECT batch, (tp + tn) / (tp + tn + fp + fn)::DOUBLE AS accuracy FROM c",
           "k": """SELECT batch, 'fpr' AS feature, fp / nullif(fp + tn, 0)::DOUBLE > 0.28 AS drifted FROM c UNION ALL
             SELECT batch, 'fnr', fn / nullif(fn + tp, 0)::DOUBLE > 0.62 FROM c""",
@@ -319,6 +348,16 @@ def retrain(spark, sf_dir):
     return out.select(r6("drift_ratio").alias("drift_ratio"), r6("recent_accuracy").alias("recent_accuracy"), "retrain")
 
 
+@query("retrain_planted", ctes("scored", extra=CHECKS) + f"""
+    SELECT {q6('dr')} AS drift_ratio, {q6('acc')} AS recent_accuracy, dr > 0.3 OR (1.5 - acc) / 1.5 > 0.3 AS retrain
+    FROM (SELECT count(*) FILTER (drifted) / count(*)::DOUBLE AS dr FROM k WHERE batch IN (FROM ids)), (SELECT avg(accuracy) AS acc FROM p WHERE batch IN (FROM ids))""")
+def retrain_planted(spark, sf_dir):
+    """A reference accuracy that no batch reaches."""
+    d, k = checks(spark, sf_dir)
+    out = drift.should_retrain(k, d.select("batch", "accuracy"), 1.5)
+    return out.select(r6("drift_ratio").alias("drift_ratio"), r6("recent_accuracy").alias("recent_accuracy"), "retrain")
+
+
 @query("drift_summary", ctes("scored", extra={**CHECKS, "b": "SELECT batch, bool_or(coalesce(drifted, FALSE)) AS d FROM k GROUP BY 1"}) + f"""
     SELECT count(*) AS checks, bool_or(d) AS drift_detected, {q6('count(*) FILTER (d) / count(*)::DOUBLE')} AS drift_frequency FROM b""")
 def drift_summary(spark, sf_dir):

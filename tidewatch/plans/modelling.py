@@ -41,10 +41,19 @@ def log_features(spark, sf_dir):
     return out.select("window_size", "window_start", r6("packets_per_second").alias("pps"), r6("bytes_per_second").alias("bps"))
 
 
-@query("known_features", ctes("features") + "SELECT window_size, window_start, 16 AS n FROM features")
+KNOWN_SQL = dict(zip(ml.TRAINING_FEATURES, [
+    "total_packets", "total_bytes", "total_flows", "pps", "bps", "fps", "unique_src_ips", "unique_dst_ips",
+    "CASE WHEN window_start % 7200 = 0 THEN 0 ELSE entropy_src_ip END", "entropy_dst_ip", "tcp_ratio", "udp_ratio", "icmp_ratio", "size_mean", "syn_ratio"]))
+
+
+@query("known_features", ctes("features") + " UNION ALL ".join(
+    f"SELECT window_size, window_start, '{name}' AS feature, {q6(f'({expression})::DOUBLE')} AS value FROM features" for name, expression in KNOWN_SQL.items()))
 def known_features(spark, sf_dir):
-    rows, names = ml.known_features(features(spark, sf_dir, top=0))
-    return rows.select("window_size", "window_start", F.lit(len(names)).alias("n"))
+    """The features a frame has, nulls as 0; one known column is missing and one is null at times."""
+    gaps = features(spark, sf_dir, top=0).drop("rst_ratio").withColumn("entropy_src_ip", F.expr("case when window_start % 7200 <> 0 then entropy_src_ip end"))
+    rows, names = ml.known_features(gaps)
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in names])
+    return rows.select("window_size", "window_start", F.explode(pairs).alias("p")).select("window_size", "window_start", "p.feature", r6("p.value").alias("value"))
 
 
 @query("split_counts", ctes("flows") + "SELECT is_attack AS label, round(count(*) * 0.2)::BIGINT AS test_rows, count(*) - round(count(*) * 0.2)::BIGINT AS train_rows FROM flows GROUP BY 1")

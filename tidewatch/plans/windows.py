@@ -383,6 +383,18 @@ def sequences(spark, sf_dir):
     return s.select("window_start", F.array_join(F.transform("sequence", lambda x: x.cast("string")), ",").alias("seq"))
 
 
+@query("trend_planted", ctes("totals", extra={"i": """SELECT window_size, total_packets / window_size::DOUBLE + CASE window_size WHEN 3600 THEN 0.05 WHEN 21600 THEN -0.05 ELSE 0 END
+      * ((window_start - 1704067200) // window_size) AS pps, row_number() OVER (PARTITION BY window_size ORDER BY window_start)::DOUBLE AS i FROM totals""",
+    "s": f"SELECT window_size, count(*) AS n, {q6('regr_slope(pps, i)')} AS slope FROM i GROUP BY 1"}) + """
+    SELECT *, CASE WHEN slope > 0.01 THEN 'increasing' WHEN slope < -0.01 THEN 'decreasing' ELSE 'stable' END AS trend FROM s""")
+def trend_planted(spark, sf_dir):
+    """One size rises and one falls."""
+    t = stored(windows.rates(windows.window_totals(src.flows(spark, sf_dir), SIZES)))
+    slope = F.when(F.col("window_size") == 3600, 0.05).when(F.col("window_size") == 21600, -0.05).otherwise(0.0)
+    t = t.withColumn("value", F.col("packets_per_second") + slope * F.expr("(window_start - 1704067200) div window_size"))
+    return rolling.trend(t, ["window_size"], "window_start", "value", F.expr("window_start div (window_size * 256)"))
+
+
 @query("trend", ctes("totals", extra={"i": """SELECT window_size, total_packets / window_size::DOUBLE AS pps,
       row_number() OVER (PARTITION BY window_size ORDER BY window_start)::DOUBLE AS i FROM totals""",
     "s": f"SELECT window_size, count(*) AS n, {q6('regr_slope(pps, i)')} AS slope FROM i GROUP BY 1"}) + """

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from ..functions.numeric import r6
 from ..functions.privacy import pseudonym_email, pseudonym_ip, pseudonym_ip_sha
 from ..operators import governance as gov
-from ..session import fresh_path
+from ..schemas import PACKET
+from ..session import fresh_path, side_by_side
 from ..sources import cloud, files, messages
 from ..sources import events as src
 from .base import ctes, query
@@ -152,6 +153,42 @@ def message_metrics(spark, sf_dir):
     return out.select("topic", "key", F.get_json_object("value", "$.name").alias("name"), F.get_json_object("value", "$.value").cast("double").alias("value"))
 
 
+@query("message_alerts", ctes("alerts") + f"""
+    SELECT 'ddos_alerts' AS topic, 'unknown' AS key, alert_id, severity, {q6('confidence')} AS confidence, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts, TRUE AS stamped FROM alerts""")
+def message_alerts(spark, sf_dir):
+    """Alert messages read back from the sink: times as ISO text, doubles at six decimals, the producer's stamps."""
+    path = fresh_path(spark, "alert-topic")
+    rows = src.alerts(spark, sf_dir).select("alert_id", "severity", "ts", (F.col("confidence") + 1e-9).alias("confidence"))
+    files.send_batch(messages.to_messages(rows, "alerts"), path, records_per_file=500)
+    back = spark.read.schema("topic string, key string, value string").json(path)
+    v = F.from_json("value", "alert_id bigint, severity string, ts string, confidence double, alert_timestamp string, _producer_timestamp string")
+    return back.withColumn("v", v).select("topic", "key", "v.alert_id", "v.severity", r6("v.confidence").alias("confidence"), "v.ts",
+                                          (F.col("v.alert_timestamp").isNotNull() & F.col("v._producer_timestamp").isNotNull()).alias("stamped"))
+
+
+@query("archive_split", ctes("flows") + """
+    SELECT '20240116' AS archive_date, count(*) FILTER (us < 1705363200000000) AS archived, count(*) FILTER (us >= 1705363200000000) AS kept,
+      sum(bytes) FILTER (us < 1705363200000000)::BIGINT AS bytes FROM flows""")
+def archive_split(spark, sf_dir):
+    """Rows older than the cutoff in the archive file, the others kept."""
+    path, cutoff = fresh_path(spark, "archive"), F.timestamp_seconds(F.lit(1705363200))
+    rows = src.flows(spark, sf_dir).select("event_id", "ts", "bytes")
+    files.archive_older(rows, "ts", cutoff, path, "20240116")
+    old = spark.read.schema("event_id bigint, bytes bigint, archive_date string").json(path)
+    kept = rows.filter(F.col("ts") >= cutoff).agg(F.count("*").alias("kept"))
+    return side_by_side(old.agg(F.max("archive_date").alias("archive_date"), F.count("*").alias("archived"), F.sum("bytes").alias("bytes")), kept)
+
+
+@query("packet_scan", ctes("packets") + """
+    SELECT protocol::INT AS protocol, count(*) AS packets, sum(length)::BIGINT AS bytes FROM packets WHERE event_id % 5 <> 0 GROUP BY 1""")
+def packet_scan(spark, sf_dir):
+    """Packet metadata written and scanned again; rows without an IP layer are dropped."""
+    path = fresh_path(spark, "packets") + ".parquet"
+    rows = src.packets(spark, sf_dir).withColumn("ip_src", F.when(F.col("event_id") % 5 != 0, F.col("ip_src")))
+    rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in PACKET.fields]).write.parquet(path)
+    return files.read_packets(spark, path).groupBy("protocol").agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"))
+
+
 @query("daily_sink", ctes("flows") + "SELECT CAST(ts AS DATE)::VARCHAR AS date, count(*) AS rows, sum(bytes)::BIGINT AS bytes FROM flows GROUP BY 1")
 def daily_sink(spark, sf_dir):
     rows = src.flows(spark, sf_dir).select("event_id", "bytes", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.lit("h").alias("host"))

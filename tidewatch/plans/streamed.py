@@ -89,6 +89,17 @@ def stream_sessions(spark, sf_dir):
                          *[r6(F.col(c) * 1000).alias(f"{c}_ms") for c in gaps])
 
 
+@query("stream_first_hit", ctes("flows") + """
+    SELECT us - (us - 1800000000) % 5400000000 AS window_start_us, CAST(sum(packets) AS BIGINT) AS total_packets, count(*) AS total_flows FROM flows GROUP BY 1""")
+def stream_first_hit(spark, sf_dir):
+    """Windows that start at an offset, as a stream; every version of a window is written and the last one stands."""
+    folder = fresh_path(spark, "stream-first-hit")
+    totals = windows.first_hit_window_stream(flow_stream(spark, sf_dir), 5400, 1800)
+    messages.for_each_batch(totals, windows.upsert(f"{folder}/table"), f"{folder}/checkpoint", "update").awaitTermination()
+    newest = windows.latest(spark.read.parquet(f"{folder}/table"), ["win"])
+    return newest.select((F.unix_micros(F.col("win.start"))).alias("window_start_us"), "total_packets", "total_flows")
+
+
 @query("stream_messages", ctes("flows") + "SELECT event_id, ip_src AS key, bytes FROM flows")
 def stream_messages(spark, sf_dir):
     """Flows to JSON messages into a sink, then the sink read back as a stream and decoded."""

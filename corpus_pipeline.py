@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import read_table, written
+from tidewatch.llm.common import fresh, read_table, written
 from tidewatch.llm.forest import drop_near_duplicates
 from tidewatch.llm.langid import MIN_SCORE, UNKNOWN, predicted, train_on_documents
 from tidewatch.llm.lines import dedup_lines
@@ -18,8 +18,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train_on_documents(docs)
     if not model.langs:
         return docs
-    found = docs.withColumn("language_found", predicted(model, F.col("text"), spark))
-    likely = (F.col("language_found.lang_pred") != UNKNOWN) & (F.col("language_found.score") >= MIN_SCORE)
+    name = fresh(docs, "language_found")
+    found = docs.withColumn(name, predicted(model, F.col("text"), spark))
+    likely = (F.col(name)["lang_pred"] != UNKNOWN) & (F.col(name)["score"] >= MIN_SCORE)
     return found.where(likely).select(*docs.columns)
 
 

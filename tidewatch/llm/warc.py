@@ -56,7 +56,7 @@ def record_text(revisit: Column) -> Column:
     return F.concat(
         F.lit(VERSION + "\r\nWARC-Type: "), F.col("record_type"),
         F.when(F.col("record_id").isNotNull(), F.concat(F.lit("\r\nWARC-Record-ID: <urn:page:"), record_id, F.lit(">"))).otherwise(""),
-        F.lit("\r\nWARC-Date: "), F.date_format("captured", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.lit("\r\nWARC-Date: "), F.date_format(F.to_utc_timestamp("captured", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
         F.when(F.col("url").isNotNull(), F.concat(F.lit("\r\nWARC-Target-URI: "), value(F.col("url")))).otherwise(""),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"), F.lit("\r\nWARC-Payload-Length: "), F.col("payload_bytes").cast("string"),
         F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {REVISIT_PROFILE}\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))).otherwise(""),

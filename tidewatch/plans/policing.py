@@ -13,7 +13,7 @@ from ..operators import metrics, mitigation, windows
 from ..operators import rules as ops
 from ..operators.enrich import range_lookup
 from ..sources import events as src
-from .base import ctes, query
+from .base import SIZES, ctes, query
 from .base import r6 as q6
 from .windows import stored
 
@@ -164,35 +164,36 @@ def mitigation_plan(spark, sf_dir):
     return mitigation.plan(a).select("alert_id", "action", "position", "ip", "rate_pps", "duration_seconds")
 
 
-EPISODES = {"a": "SELECT window_start, total_packets / 3600.0::DOUBLE AS pps, total_bytes / 3600.0::DOUBLE AS bps FROM totals WHERE window_size = 3600",
-            "i": "SELECT a.*, window_start // 3600 - row_number() OVER (ORDER BY window_start) AS island FROM a WHERE pps > 0.1",
-            "e": "SELECT min(window_start) AS starts, max(window_start) + 3600 AS ends, count(*) AS windows, max(pps) AS peak_pps, max(bps) AS peak_bps FROM i GROUP BY island"}
+EPISODES = {"a": "SELECT window_size, window_start, total_packets / window_size::DOUBLE AS pps, total_bytes / window_size::DOUBLE AS bps FROM totals",
+            "i": "SELECT a.*, window_start // window_size - row_number() OVER (PARTITION BY window_size ORDER BY window_start) AS island FROM a WHERE pps > 0.1",
+            "e": """SELECT window_size, min(window_start) AS starts, max(window_start) + window_size AS ends, count(*) AS windows, max(pps) AS peak_pps, max(bps) AS peak_bps
+              FROM i GROUP BY window_size, island"""}
 
 
-def hourly_episodes(spark, sf_dir):
-    t = stored(windows.rates(windows.window_totals(src.flows(spark, sf_dir), [3600])))
+def window_episodes(spark, sf_dir):
+    t = stored(windows.rates(windows.window_totals(src.flows(spark, sf_dir), SIZES)))
     return mitigation.episodes(t, F.col("packets_per_second") > 0.1, ["window_size"])
 
 
-@query("attack_episodes", ctes("totals", extra=EPISODES) + f"SELECT starts, ends, windows, ends - starts AS seconds, {q6('peak_pps')} AS peak_pps FROM e")
+@query("attack_episodes", ctes("totals", extra=EPISODES) + f"SELECT window_size, starts, ends, windows, ends - starts AS seconds, {q6('peak_pps')} AS peak_pps FROM e")
 def attack_episodes(spark, sf_dir):
-    return hourly_episodes(spark, sf_dir).select("starts", "ends", "windows", "seconds", r6("peak_pps").alias("peak_pps"))
+    return window_episodes(spark, sf_dir).select("window_size", "starts", "ends", "windows", "seconds", r6("peak_pps").alias("peak_pps"))
 
 
 @query("attack_durations", ctes("totals", extra={**EPISODES, "b": f"SELECT unnest([{', '.join(map(str, metrics.ATTACK_DURATION_BOUNDS))}, 7200, 36000, 1e18]) AS le"}) + """
     SELECT CASE WHEN le > 1e17 THEN -1.0 ELSE le END AS le, count(*) FILTER (ends - starts <= le) AS n, sum(ends - starts)::DOUBLE AS total FROM e, b GROUP BY le""")
 def attack_durations(spark, sf_dir):
     """Histogram of episode lengths; two bounds more, for the windows of the test tables are hours long."""
-    h = metrics.histogram(hourly_episodes(spark, sf_dir), [], F.col("seconds"), [*metrics.ATTACK_DURATION_BOUNDS, 7200, 36000])
+    h = metrics.histogram(window_episodes(spark, sf_dir), [], F.col("seconds"), [*metrics.ATTACK_DURATION_BOUNDS, 7200, 36000])
     return h.select(F.when(F.col("le") == float("inf"), -1.0).otherwise(F.col("le")).alias("le"), "n", F.col("sum").cast("double").alias("total"))
 
 
 @query("redirect_decision", ctes("totals", extra=EPISODES) + """
-    SELECT starts, ends, (peak_pps >= 0.3 OR peak_bps >= 1000) AND ends - starts >= 7200 AS redirect FROM e""")
+    SELECT window_size, starts, ends, (peak_pps >= 0.3 OR peak_bps >= 1000) AND ends - starts >= 7200 AS redirect FROM e""")
 def redirect_decision(spark, sf_dir):
     s = RedirectSettings(min_pps=0.3, min_bps=1000.0, min_seconds=7200)
-    e = hourly_episodes(spark, sf_dir)
-    return e.select("starts", "ends", mitigation.should_redirect(F.col("peak_pps"), F.col("peak_bps"), F.col("seconds"), s).alias("redirect"))
+    e = window_episodes(spark, sf_dir)
+    return e.select("window_size", "starts", "ends", mitigation.should_redirect(F.col("peak_pps"), F.col("peak_bps"), F.col("seconds"), s).alias("redirect"))
 
 
 def targets(spark, sf_dir):

@@ -361,26 +361,26 @@ def declared_tiers(spark, sf_dir):
 
 
 @query("seasonal_baseline", ctes("totals", extra={
-    "h": "SELECT window_size, window_start, total_packets / window_size::DOUBLE AS pps, (window_start // 3600) % 24 AS slot FROM totals WHERE window_size = 3600",
+    "h": "SELECT window_size, window_start, total_packets / window_size::DOUBLE AS pps, (window_start // 3600) % 24 AS slot FROM totals",
     "s": """SELECT *, avg(pps) OVER f AS m, stddev_pop(pps) OVER f AS d, count(*) OVER f AS n FROM h
-      WINDOW f AS (PARTITION BY slot ORDER BY window_start ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)"""}) + f"""
-    SELECT window_start, slot, {q6('m')} AS season_mean, {q6('d')} AS season_std,
+      WINDOW f AS (PARTITION BY window_size, slot ORDER BY window_start ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)"""}) + f"""
+    SELECT window_size, window_start, slot, {q6('m')} AS season_mean, {q6('d')} AS season_std,
       CASE WHEN n >= 2 AND d > 1e-12 THEN CASE WHEN abs(pps - m) / d > 3 THEN 3 WHEN abs(pps - m) / d > 2 THEN 2
         WHEN abs(pps - m) / d > 1 THEN 1 ELSE 0 END END AS band FROM s""")
 def seasonal_baseline(spark, sf_dir):
-    t = windows.rates(windows.window_totals(src.flows(spark, sf_dir), [3600]))
+    t = windows.rates(windows.window_totals(src.flows(spark, sf_dir), SIZES))
     s = rolling.seasonal_baseline(t, "packets_per_second")
-    return s.select("window_start", "slot", r6("season_mean").alias("season_mean"), r6("season_std").alias("season_std"), "band")
+    return s.select(*KEY, "slot", r6("season_mean").alias("season_mean"), r6("season_std").alias("season_std"), "band")
 
 
 @query("sequences", ctes("totals", extra={"s": """
-    SELECT window_start, list(total_packets) OVER (ORDER BY window_start ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS l
-    FROM totals WHERE window_size = 3600"""}) + """
-    SELECT window_start, list_aggregate(l, 'string_agg', ',') AS seq FROM s WHERE len(l) = 10""")
+    SELECT window_size, window_start, list(total_packets) OVER (PARTITION BY window_size ORDER BY window_start ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS l
+    FROM totals"""}) + """
+    SELECT window_size, window_start, list_aggregate(l, 'string_agg', ',') AS seq FROM s WHERE len(l) = 10""")
 def sequences(spark, sf_dir):
-    t = stored(windows.window_totals(src.flows(spark, sf_dir), [3600]))
-    s = rolling.sequences(t, ["window_size"], ["window_start"], F.expr("window_start div (3600 * 256)"), "total_packets", 10, 256)
-    return s.select("window_start", F.array_join(F.transform("sequence", lambda x: x.cast("string")), ",").alias("seq"))
+    t = stored(windows.window_totals(src.flows(spark, sf_dir), SIZES))
+    s = rolling.sequences(t, ["window_size"], ["window_start"], F.expr("window_start div (window_size * 256)"), "total_packets", 10, 256)
+    return s.select(*KEY, F.array_join(F.transform("sequence", lambda x: x.cast("string")), ",").alias("seq"))
 
 
 @query("trend_planted", ctes("totals", extra={"i": """SELECT window_size, total_packets / window_size::DOUBLE + CASE window_size WHEN 3600 THEN 0.05 WHEN 21600 THEN -0.05 ELSE 0 END

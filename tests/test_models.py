@@ -21,7 +21,7 @@ def test_boosting_finds_the_rule(spark):
     model = ml.boosted_trees(["a", "b", "c"], "label", trees=20).fit(train)
     scored = ml.attack_probability(model.transform(test), "score")
     assert scored.filter("score < 0 or score > 1").count() == 0 and scored.count() == test.count()
-    assert evaluate.roc_auc(scored, "label", "score").first()[0] > 0.97
+    assert evaluate.roc_auc(scored).first()[0] > 0.97
 
 
 def test_saved_forest_scores_alike(spark):

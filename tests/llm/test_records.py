@@ -238,3 +238,15 @@ class TestPipeline:
     def test_run(self, spark):
         out = corpus_pipeline.run(spark, SMALL)
         assert out.count() > 0 and "bin_id" in out.columns
+
+    def test_copied_texts_survive(self, spark):
+        """Of 12 equal texts, and of 12 near copies with another edited line each, one comes out whole."""
+        def text(seed):
+            return [" ".join(f"t{seed}x{i}y{j}" for j in range(12)) for i in range(24)]
+        near = [[*text(2)[:i], f"edit number {i} of this one", *text(2)[i + 1:]] for i in range(12)]
+        texts = ["\n".join(["Site menu", *x]) for x in [text(1)] * 12 + near + [text(3 + i) for i in range(12)]]
+        docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+        lines = corpus_pipeline.line_dedup(spark, docs, SMALL)
+        assert lines.where("text like '%Site menu%'").count() == 0 and lines.count() == len(texts)
+        left = {r.doc_id: r.text for r in corpus_pipeline.near_dedup(spark, lines, SMALL).collect()}
+        assert left == {i: texts[i].split("\n", 1)[1] for i in [0, 12, *range(24, 36)]}

@@ -122,6 +122,11 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     class in which all ids are null has a null component_id. Sets are named and compared by 64-bit hashes. Repeated rows
     are rows of their own, empty tables give no rows, and other columns are ignored.
     """
+    return near_classes(docs, id_col=id_col, text_col=text_col, length=length, percent=percent).drop("class_key")
+
+
+def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """`near_groups` with one more column, class_key: the name of the class whatever its ids; null for an empty set."""
     depth = least_depth(percent)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketches = written(sketch(rows, length, depth), "forest-sketches")
@@ -138,13 +143,14 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     classes = components(verified_links(texts, length, percent))
     named = classes.join(nodes.select(F.col("key").alias("node"), "id"), "node")
     smallest = named.groupBy(F.col("component").alias("c")).agg(F.min("id").alias("least_id"))
-    ids = named.join(smallest, F.col("component") == F.col("c")).select(F.col("node").alias("key"), "least_id")
-    known = nodes.join(ids, "key", "left").where("copies > 1 or least_id is not null").select(
-        F.col("key").alias("known_key"), F.coalesce("least_id", "id").alias("least_id"))
+    ids = named.join(smallest, F.col("component") == F.col("c")).select(F.col("node").alias("key"), "least_id", F.col("component").alias("root"))
+    known = nodes.join(ids, "key", "left").where("copies > 1 or root is not null").select(
+        F.col("key").alias("known_key"), F.coalesce("least_id", "id").alias("least_id"), "root")
     known = written(known, "forest-classes")
     at = F.coalesce("key", F.xxhash64("doc_id", "text_key"))  # rows without a set must not meet in one place
     found = sketches.withColumn("at", at).join(growing(known), (F.col("at") == F.col("known_key")) & (F.col("n") > 0), "left")
-    return found.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("least_id", "doc_id").alias("component_id"))
+    return found.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("least_id", "doc_id").alias("component_id"),
+                        F.coalesce("root", "key").alias("class_key"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, UPPER, fresh, lower_ascii, read_table, written
+from .common import BLANKS, LOWER, UPPER, fresh, growing, lower_ascii, read_table, written
 
 MIN_DOCS = 10
 BITS = 64
@@ -39,17 +39,23 @@ def line_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return ranged.groupBy("hash", "doc_id", "doc").agg(F.collect_set("pos").alias("positions"))
 
 
-def line_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, keep_first: bool = False) -> DataFrame:
+def line_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, keep_first: bool = False,
+                 classes: DataFrame | None = None) -> DataFrame:
     """Keep bitmaps (doc, keep) of the documents that lose lines: `keep` maps a block of 64 lines to its bits, and a
     block that loses nothing is left out.
 
     A line goes if its key (stripped, A-Z lower-cased, not empty) is in at least `min_docs` documents; with
-    `keep_first` its first occurrence by id, document and position stays.
+    `keep_first` its first occurrence by id, document and position stays. With `classes` (doc, class), documents of one
+    class count once.
     """
     runs = written(line_runs(docs, id_col, text_col), "line-runs")
     first = F.min(F.struct("doc_id", "doc", F.array_min("positions").alias("pos"))).alias("first")
     common = runs.groupBy("hash").agg(F.count(F.lit(1)).alias("n_docs"), first).where(F.col("n_docs") >= min_docs)
     common = written(common, "line-common")
+    if classes is not None:
+        held = runs.join(common, "hash").select("hash", "doc").join(growing(classes), "doc", "left")
+        spread = held.select("hash", F.coalesce("class", F.xxhash64("doc")).alias("class")).distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_classes"))
+        common = written(common.join(spread.where(F.col("n_classes") >= min_docs), "hash").select(*common.columns), "line-common")
     lost = runs.join(common, "hash").select("doc", F.explode("positions").alias("pos"), "first")
     if keep_first:
         lost = lost.where((F.col("doc") != F.col("first.doc")) | (F.col("pos") != F.col("first.pos")))
@@ -65,15 +71,16 @@ def kept_lines(lines: Column, keep: Column) -> Column:
     return F.when(keep.isNull(), lines).otherwise(F.filter(lines, stays))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, keep_first: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, keep_first: bool = False,
+                classes: DataFrame | None = None) -> DataFrame:
     """`docs` with the kept lines as text and two more columns, n_lines and n_dropped (underscores are added to these
     names where `docs` has them already).
 
     A null or empty text is one empty line and comes back as '' ; empty lines always stay. Rows with equal id and text
-    are one document; null ids are ordinary. An empty table gives no rows.
+    are one document; null ids are ordinary. An empty table gives no rows. `classes` is as for `line_bitmaps`.
     """
     doc, keep, lines, left = (fresh(docs, x) for x in ("line_doc", "line_keep", "line_all", "line_left"))
-    maps = written(line_bitmaps(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, keep_first=keep_first), "line-bitmaps")
+    maps = written(line_bitmaps(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, keep_first=keep_first, classes=classes), "line-bitmaps")
     maps = maps.select(F.col("doc").alias(doc), F.col("keep").alias(keep))
     joined = docs.withColumn(doc, document_key(F.col(id_col), F.col(text_col))).join(maps, doc, "left")
     split = joined.withColumn(lines, lines_of(F.col(text_col)))

@@ -261,6 +261,19 @@ class TestPassages:
         assert {r.doc_id for r in got} == {i for i, g in enumerate(group) if size[g] > 1}
         assert {(r.doc_id, r.first_id) for r in got} == {(i, min(j for j, h in enumerate(group) if h == g)) for i, g in enumerate(group) if size[g] > 1}
 
+    def test_short_and_wrapped_paragraphs(self, spark):
+        """Lines of five words or more, and hard-wrapped paragraphs with an edit and other line ends."""
+        body = words(40, 60).split()
+        other = [*body[:20], "edited", *body[21:]]
+        def wrap(w, n):
+            return "\n".join(" ".join(w[i:i + n]) for i in range(0, len(w), n))
+        texts = [f"{words(41, 30)}\n\n{wrap(body, 13)}\n\n{words(42, 30)}", f"{words(43, 30)}\n \n{wrap(other, 11)}\n\n{words(44, 30)}",
+                 f"{words(45, 30)}\nfive words are enough here\n{words(46, 20)}", f"{words(47, 30)}\n{words(48, 20)}\nFive words are enough here",
+                 words(49, 20), words(49, 20), f"{words(50, 30)}\nfour words are not", f"{words(51, 30)}\nfour words are not"]
+        got = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        want = {(0, 30, 60, False), (1, 30, 60, True), (2, 30, 5, False), (3, 50, 5, True), (4, 0, 20, False), (5, 0, 20, True)}
+        assert {(r.doc_id, r.start_word, r.n_words, r.removed) for r in got if r.kind == "paragraph"} == want
+
     def test_bands(self):
         assert 1 - (1 - 0.8**3) ** passages.tuned_bands() >= 0.999 > 1 - (1 - 0.8**3) ** (passages.tuned_bands() - 1)
 

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from .common import growing, read_table, written
 from .components import components
-from .shingles import min_hashes, window_hashes, words
+from .shingles import segment_min_hashes, window_hashes, words
 from .tiles import tiled_members, verified_links
 
 SHINGLE_WORDS, PERCENT = 5, 80
 BAND_ROWS, RECALL = 3, 0.999
-#: Paragraphs (lines) of at least so many words are compared; a passage is a run of so many words.
+#: A passage is a run of so many words.
 LEAST_WORDS = 32
 #: Every run of at least so many words that two documents share holds a passage that both select.
 SURE_WORDS = 50
@@ -46,24 +46,35 @@ def selected(hashes: np.ndarray, length: int, sure: int) -> np.ndarray:
     return np.unique(picked)
 
 
+def _paragraphs(text: str, begin: np.ndarray) -> list[np.ndarray]:
+    """Word ranges [a, b): each line of SHINGLE_WORDS words or more, and each run of two or more lines between blank lines."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    bounds = np.r_[0, np.searchsorted(begin, np.flatnonzero(data == 10)), len(begin)]
+    lines = np.stack([bounds[:-1], bounds[1:]], axis=1)
+    filled = lines[:, 1] > lines[:, 0]
+    edges = np.flatnonzero(np.diff(np.r_[False, filled, False].astype(np.int8)))
+    first, last = edges[::2], edges[1::2] - 1
+    blocks = np.stack([lines[first, 0], lines[last, 1]], axis=1)[last > first]
+    return [x[x[:, 1] - x[:, 0] >= SHINGLE_WORDS] for x in (lines, blocks)]
+
+
 def _units(text: str | None, bands: int) -> tuple[list, tuple[np.ndarray, np.ndarray]]:
     """Paragraphs (start, words, key, size, bands), and (starts, keys) of the selected passages, each key once."""
     if not text:
         return [], (np.zeros(0, np.int64), np.zeros(0, np.int64))
     begin, _, hashes = words(text)
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    bounds = np.r_[0, np.searchsorted(begin, np.flatnonzero(data == 10)), len(begin)]
+    found = window_hashes(hashes, SHINGLE_WORDS)
     paragraphs = []
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        if b - a >= LEAST_WORDS:
-            found = np.unique(window_hashes(hashes[a:b], SHINGLE_WORDS))
-            values = min_hashes(found, bands * BAND_ROWS).astype(np.uint64).reshape(bands, BAND_ROWS)
-            name = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            for i in range(BAND_ROWS):
-                name = (name ^ values[:, i]) * np.uint64(0xD6E8FEB86659FD93)
-                name ^= name >> np.uint64(32)
-            key = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
-            paragraphs.append((int(a), int(b - a), key, len(found), name.view(np.int64)))
+    for ranges in _paragraphs(text, begin):
+        values = segment_min_hashes(found, ranges[:, 0], ranges[:, 1] - SHINGLE_WORDS + 1, bands * BAND_ROWS).astype(np.uint64).reshape(len(ranges), bands, BAND_ROWS)
+        name = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(ranges), 1))
+        for i in range(BAND_ROWS):
+            name = (name ^ values[:, :, i]) * np.uint64(0xD6E8FEB86659FD93)
+            name ^= name >> np.uint64(32)
+        for (a, b), named in zip(ranges, name.view(np.int64), strict=True):
+            own = np.unique(found[a:b - SHINGLE_WORDS + 1])
+            key = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+            paragraphs.append((int(a), int(b - a), key, len(own), named))
     starts = selected(hashes, LEAST_WORDS, SURE_WORDS)
     keys = window_hashes(hashes, LEAST_WORDS)[starts].view(np.int64) if len(starts) else np.zeros(0, np.int64)
     _, at = np.unique(keys, return_index=True)
@@ -134,8 +145,9 @@ def paragraph_classes(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of whole documents that repeat across documents: doc_id, kind, start_word, n_words, class_id, first_id, removed.
 
-    `paragraph`: a line of at least LEAST_WORDS words whose set of five-word shingles (A-Z lower-cased) has a Jaccard
-    similarity of 0.8 or more with a line of another document, directly or through others. `passage`: LEAST_WORDS words
+    `paragraph`: a line, or all lines between two blank ones, of at least SHINGLE_WORDS words whose set of five-word
+    shingles (A-Z lower-cased) has a Jaccard similarity of 0.8 or more with a paragraph of another document, directly or
+    through others; one that overlaps the first of its class is not removed. `passage`: LEAST_WORDS words
     in a row, anywhere in the text, that another document has too; every shared run of at least SURE_WORDS words holds
     one. class_id names the class, first_id is the id of its first document, and `removed` is true for all spans but
     the first one by id (nulls first), text and place. A class lies in at least two documents; repeats within one
@@ -152,14 +164,14 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         F.lit("passage").alias("kind"), "doc_id", "text_key", F.col("p.starts").alias("start"), F.lit(LEAST_WORDS).alias("words"), F.col("p.keys").alias("class_id"))
     out = None
     for spans in (lines, runs):
-        spread = spans.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_key", "start")).alias("first"), F.max(F.struct("doc_id", "text_key")).alias("last"),
-                                               F.count(F.lit(1)).alias("n"))
+        spread = spans.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_key", "start", (-F.col("words")).alias("less"))).alias("first"),
+                                               F.max(F.struct("doc_id", "text_key")).alias("last"), F.count(F.lit(1)).alias("n"))
         several = spread.where("n > 1").select(F.col("class_id").alias("of"), "first", "last")
         several = written(several.where("not (first.doc_id <=> last.doc_id and first.text_key = last.text_key)"), "passage-classes")
         joined = spans.join(growing(several), F.col("class_id") == F.col("of"))
-        first = F.struct("doc_id", "text_key", "start").eqNullSafe(F.col("first"))
+        within = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("start") < F.col("first.start") - F.col("first.less"))
         one = joined.select("doc_id", "kind", F.col("start").alias("start_word"), F.col("words").alias("n_words"), "class_id",
-                            F.col("first.doc_id").alias("first_id"), (~first).alias("removed"))
+                            F.col("first.doc_id").alias("first_id"), (~within).alias("removed"))
         out = one if out is None else out.unionByName(one)
     return out
 

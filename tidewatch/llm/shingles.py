@@ -76,6 +76,24 @@ def min_hashes(shingles: np.ndarray, n: int) -> np.ndarray:
     return least
 
 
+def segment_min_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """A row of `n` MinHash values for each of the disjoint, non-empty, ascending segments of `hashes`."""
+    a, b = _permutations(n)
+    folded = (hashes >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(begin), n), np.uint32)
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + 8192, side="right")))
+        if j == i + 1:
+            out[i] = min_hashes(hashes[begin[i]:end[i]], n)
+        else:
+            some = np.concatenate([folded[x:y] for x, y in zip(begin[i:j], end[i:j], strict=True)])
+            at = np.cumsum(end[i:j] - begin[i:j]) - (end[i:j] - begin[i:j])
+            out[i:j] = np.minimum.reduceat(some[:, None] * a + b, at, axis=0)
+        i = j
+    return out
+
+
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Matrix of intersection sizes of sorted distinct sets."""
     n = len(sets)

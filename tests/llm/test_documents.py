@@ -261,6 +261,23 @@ class TestPassages:
         assert {r.doc_id for r in got} == {i for i, g in enumerate(group) if size[g] > 1}
         assert {(r.doc_id, r.first_id) for r in got} == {(i, min(j for j, h in enumerate(group) if h == g)) for i, g in enumerate(group) if size[g] > 1}
 
+    def test_whole_runs_in_every_place(self, spark):
+        """The removed passages are just the later copies of a run, to its ends, three times in one document as well."""
+        run, longer, twice = words(60, 60), words(61, 12), " ".join(["again"] * 150)
+        own = [words(70 + i, 25 + i) for i in range(20)]
+        texts = [f"{own[0]} {run} {own[1]}", f"{own[2]} {run} {own[3]} {run} {own[4]} {run} {own[5]}", f"{own[6]} {longer} {run} {longer} {own[7]}",
+                 f"{own[8]} {longer} {run} {longer} {own[9]}", f"{own[10]} {twice}", f"{own[11]} {twice} {own[12]}", f"{words(99, 50)}", f"{own[13]} {words(99, 50)} {own[14]}"]
+        got = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        gone = defaultdict(set)
+        for r in got:
+            if r.kind == "passage" and r.removed:
+                gone[r.doc_id] |= set(range(r.start_word, r.start_word + r.n_words))
+        a = [25 + i for i in range(20)]
+        want = {1: {p + i for p in (a[2], a[2] + 60 + a[3], a[2] + 120 + a[3] + a[4]) for i in range(60)}, 2: set(range(a[6] + 12, a[6] + 72)),
+                3: set(range(a[8], a[8] + 84)), 5: set(range(a[11], a[11] + 150)), 7: set(range(a[13], a[13] + 50))}
+        assert {d: s for d, s in gone.items() if d != 4} == want
+        assert len(set(range(a[10], a[10] + 150)) - gone[4]) >= 32
+
     def test_short_and_wrapped_paragraphs(self, spark):
         """Lines of five words or more, and hard-wrapped paragraphs with an edit and other line ends."""
         body = words(40, 60).split()

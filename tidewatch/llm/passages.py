@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import growing, read_table, written
@@ -59,7 +59,7 @@ def _paragraphs(text: str, begin: np.ndarray) -> list[np.ndarray]:
 
 
 def _units(text: str | None, bands: int) -> tuple[list, tuple[np.ndarray, np.ndarray]]:
-    """Paragraphs (start, words, key, size, bands), and (starts, keys) of the selected passages, each key once."""
+    """Paragraphs (start, words, key, size, bands), and (starts, keys) of the selected passages."""
     if not text:
         return [], (np.zeros(0, np.int64), np.zeros(0, np.int64))
     begin, _, hashes = words(text)
@@ -77,8 +77,7 @@ def _units(text: str | None, bands: int) -> tuple[list, tuple[np.ndarray, np.nda
             paragraphs.append((int(a), int(b - a), key, len(own), named))
     starts = selected(hashes, LEAST_WORDS, SURE_WORDS)
     keys = window_hashes(hashes, LEAST_WORDS)[starts].view(np.int64) if len(starts) else np.zeros(0, np.int64)
-    _, at = np.unique(keys, return_index=True)
-    return paragraphs, (starts[np.sort(at)], keys[np.sort(at)])
+    return paragraphs, (starts, keys)
 
 
 def units(docs: DataFrame, bands: int) -> DataFrame:
@@ -142,6 +141,74 @@ def paragraph_classes(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return components(links).select(F.col("node").alias("linked"), F.col("component").alias("class"))
 
 
+def contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(longer, doc_id, text_key, start, off) of the asked passages (want_id, want_text, pieces): a hash of each passage
+    made longer by 1 to SURE_WORDS - LEAST_WORDS words on one side; `off` is their number, below 0 to the left."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    same = F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.xxhash64("text") == F.col("want_text"))
+    rows = docs.join(growing(asked), same).select("doc_id", F.col("want_text").alias("text_key"), "text", "pieces")
+    base, side = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (text, pieces) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                hashes = words(text)[2]
+                start = np.array([p["start"] for p in pieces], np.int64)
+                key = np.array([p["key"] for p in pieces], np.int64).view(np.uint64)
+                out = []
+                for wanted, sign in ((np.array([p["left"] for p in pieces], bool), -1), (np.array([p["right"] for p in pieces], bool), 1)):
+                    at, total = start[wanted], key[wanted] + side * np.uint64(sign + 2)
+                    for off in range(1, SURE_WORDS - LEAST_WORDS + 1):
+                        next_word = at - off if sign < 0 else at + LEAST_WORDS + off - 1
+                        inside = (next_word >= 0) & (next_word < len(hashes))
+                        at, total = at[inside], (total[inside] ^ hashes[next_word[inside]]) * base
+                        total ^= total >> np.uint64(32)
+                        out.append((total.view(np.int64), at, np.full(len(at), sign * off)))
+                longer, at, off = (np.concatenate(x) for x in zip(*out, strict=True))
+                one = pa.array(np.full(len(longer), i))
+                yield pa.record_batch({"longer": pa.array(longer), "doc_id": batch.column(0).take(one), "text_key": batch.column(1).take(one),
+                                       "start": pa.array(at.astype(np.int32)), "off": pa.array(off.astype(np.int32))})
+    return rows.mapInArrow(run, f"longer bigint, doc_id {kind}, text_key bigint, start int, off int")
+
+
+def extended(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """`anchors` (doc_id, text_key, start, key, original) with two more columns, left and right: by how many words, up to
+    SURE_WORDS - LEAST_WORDS, the passage can be made longer so that another document has it too and, if it is not an
+    original, an earlier place has it. A side that other passages of the document cover is left as it is."""
+    reach = SURE_WORDS - LEAST_WORDS
+    placed = Window.partitionBy("doc_id", "text_key", "original").orderBy("start")
+    covered = {"left": placed.rangeBetween(-LEAST_WORDS, -reach), "right": placed.rangeBetween(reach, LEAST_WORDS)}
+    bare = anchors.select("key", *[(F.count(F.lit(1)).over(w) == 0).alias(side) for side, w in covered.items()])
+    # all places of a passage are needed if one of them is to be made longer
+    needed = written(bare.groupBy("key").agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left or right"), "passage-ends")
+    pieces = anchors.join(growing(needed), "key").groupBy(F.col("doc_id").alias("want_id"), F.col("text_key").alias("want_text")).agg(
+        F.collect_set(F.struct("start", "key", "left", "right")).alias("pieces"))
+    found = written(contexts(docs, written(pieces, "passage-pieces")), "passage-contexts")
+    place = F.struct("doc_id", "text_key", "start")
+    shared = found.groupBy("longer").agg(F.min(place).alias("earliest"), F.max(F.struct("doc_id", "text_key")).alias("last"))
+    shared = shared.where("not (earliest.doc_id <=> last.doc_id and earliest.text_key = last.text_key)").select(F.col("longer").alias("of"), "earliest")
+    held = found.join(growing(written(shared, "passage-longer")), F.col("longer") == F.col("of"))
+    later = ~place.eqNullSafe(F.col("earliest"))
+    most = {f"{side}_{name}": F.coalesce(F.max(F.when(cond & (F.col("off") * sign > 0), F.col("off") * sign)), F.lit(0))
+            for side, sign in (("left", -1), ("right", 1)) for name, cond in (("any", F.lit(True)), ("later", later))}
+    most = held.groupBy(F.col("doc_id").alias("at_id"), F.col("text_key").alias("at_text"), F.col("start").alias("at_start")).agg(*[c.alias(n) for n, c in most.items()])
+    same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_text")) & (F.col("start") == F.col("at_start"))
+    joined = anchors.join(growing(written(most, "passage-reach")), same, "left")
+    return joined.select(*anchors.columns, *[F.coalesce(F.when(F.col("original"), F.col(f"{side}_any")).otherwise(F.col(f"{side}_later")), F.lit(0)).alias(side)
+                                             for side in ("left", "right")])
+
+
+def shared_spans(spans: DataFrame) -> DataFrame:
+    """`spans` (doc_id, text_key, start, words, class_id) of the classes that lie in two documents or more, with the
+    place of the first of each class: first_id, first_text, first_start, first_end."""
+    spread = spans.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_key", "start", (-F.col("words")).alias("less"))).alias("first"),
+                                           F.max(F.struct("doc_id", "text_key")).alias("last"), F.count(F.lit(1)).alias("n"))
+    several = spread.where("n > 1").where("not (first.doc_id <=> last.doc_id and first.text_key = last.text_key)")
+    several = several.select(F.col("class_id").alias("of"), F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_text"),
+                             F.col("first.start").alias("first_start"), F.expr("first.start - first.less").alias("first_end"))
+    return spans.join(growing(written(several, "passage-classes")), F.col("class_id") == F.col("of")).drop("of")
+
+
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of whole documents that repeat across documents: doc_id, kind, start_word, n_words, class_id, first_id, removed.
 
@@ -149,7 +216,11 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     shingles (A-Z lower-cased) has a Jaccard similarity of 0.8 or more with a paragraph of another document, directly or
     through others; one that overlaps the first of its class is not removed. `passage`: LEAST_WORDS words
     in a row, anywhere in the text, that another document has too; every shared run of at least SURE_WORDS words holds
-    one. class_id names the class, first_id is the id of its first document, and `removed` is true for all spans but
+    one. Every place of a passage has a row, made longer on both sides as far as its words go on being shared, so the
+    removed spans of a document together cover all but the first copy of every shared run of SURE_WORDS words. Spans of
+    different classes may overlap.
+
+    class_id names the class, first_id is the id of its first document, and `removed` is true for all spans but
     the first one by id (nulls first), text and place. A class lies in at least two documents; repeats within one
     don't make one, and rows of equal id and text are one document. Null, empty and short texts give no rows, null ids
     are ordinary, an empty table gives no rows, and other columns are ignored.
@@ -159,21 +230,19 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     paragraphs = found.select("doc_id", "text_key", F.explode("paragraphs").alias("p")).select("doc_id", "text_key", "p.*")
     classes = paragraph_classes(rows, paragraphs)
     lines = paragraphs.select("doc_id", "text_key", "start", "words", "key").join(classes, F.col("key") == F.col("linked"), "left")
-    lines = lines.select(F.lit("paragraph").alias("kind"), "doc_id", "text_key", "start", "words", F.coalesce("class", "key").alias("class_id"))
+    lines = shared_spans(lines.select("doc_id", "text_key", "start", "words", F.coalesce("class", "key").alias("class_id")))
+    in_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_text"))
+    lines = lines.select("doc_id", F.lit("paragraph").alias("kind"), F.col("start").alias("start_word"), F.col("words").alias("n_words"), "class_id", "first_id",
+                         (~(in_first & (F.col("start") < F.col("first_end")))).alias("removed"))
     runs = found.select("doc_id", "text_key", F.explode(F.arrays_zip("starts", "keys")).alias("p")).select(
-        F.lit("passage").alias("kind"), "doc_id", "text_key", F.col("p.starts").alias("start"), F.lit(LEAST_WORDS).alias("words"), F.col("p.keys").alias("class_id"))
-    out = None
-    for spans in (lines, runs):
-        spread = spans.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_key", "start", (-F.col("words")).alias("less"))).alias("first"),
-                                               F.max(F.struct("doc_id", "text_key")).alias("last"), F.count(F.lit(1)).alias("n"))
-        several = spread.where("n > 1").select(F.col("class_id").alias("of"), "first", "last")
-        several = written(several.where("not (first.doc_id <=> last.doc_id and first.text_key = last.text_key)"), "passage-classes")
-        joined = spans.join(growing(several), F.col("class_id") == F.col("of"))
-        within = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("start") < F.col("first.start") - F.col("first.less"))
-        one = joined.select("doc_id", "kind", F.col("start").alias("start_word"), F.col("words").alias("n_words"), "class_id",
-                            F.col("first.doc_id").alias("first_id"), (~within).alias("removed"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        "doc_id", "text_key", F.col("p.starts").alias("start"), F.lit(LEAST_WORDS).alias("words"), F.col("p.keys").alias("class_id"))
+    original = in_first & (F.col("start") == F.col("first_start"))
+    anchors = written(shared_spans(runs).withColumn("key", F.col("class_id")).withColumn("original", original), "passage-anchors")
+    # a later place in the first document begins where the first one ends
+    begin = F.when(in_first & ~F.col("original"), F.greatest(F.col("start") - F.col("left"), F.col("first_end"))).otherwise(F.col("start") - F.col("left"))
+    ended = extended(rows, anchors).withColumn("begin", begin).withColumn("end", F.col("start") + LEAST_WORDS + F.col("right")).where("begin < end")
+    return lines.unionByName(ended.select("doc_id", F.lit("passage").alias("kind"), F.col("begin").alias("start_word"), (F.col("end") - F.col("begin")).alias("n_words"),
+                                          "class_id", "first_id", (~F.col("original")).alias("removed")))
 
 
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

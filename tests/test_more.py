@@ -134,6 +134,18 @@ def test_oversample_neighbours(spark):
         assert hit
 
 
+def test_nearest_rows_are_exact(spark):
+    """Whatever the reach, distances to the neighbours are those of brute force; with ties and outliers."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(900, 3)), np.zeros((60, 3)), rng.normal(size=(5, 3)) * 1000])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, x double, y double, z double")
+    got = ml.nearest_rows(df, ["x", "y", "z"], ["id"], reach=4).collect()
+    assert sorted(r["id"] for r in got) == list(range(len(x)))
+    for r in got:
+        want = np.sort(((np.delete(x, r["id"], axis=0) - x[r["id"]]) ** 2).sum(axis=1))[:5]
+        assert np.allclose([n["d"] for n in r["_best"]], want, rtol=1e-9, atol=0) and r["rn"] not in [n["r"] for n in r["_best"]]
+
+
 def test_isolation_forest_ranks_outliers(spark):
     rng = np.random.default_rng(1)
     data = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(size=(400, 2)))] + [(400, 12.0, -11.0), (401, -13.0, 12.0)]

@@ -81,42 +81,81 @@ def exact_stratified_split(df: DataFrame, label: str, key: list[str], test: floa
     return ranked.join(small_side(sizes), label).withColumn("is_test", F.col("_rn") <= F.col("_take")).select(*df.columns, "is_test")
 
 
-def oversample(df: DataFrame, features: list[str], label: str, key: list[str], minority: int = 1, share: float = 0.5,
-               neighbours: int = 5, reach: int = 32, seed: int = 42) -> DataFrame:
-    """Synthetic minority rows between a row and one of its near neighbours, up to `share` of the majority.
+def nearest_rows(small: DataFrame, features: list[str], key: list[str], neighbours: int = 5, reach: int = 32, seed: int = 42) -> DataFrame:
+    """Each row (key, rn, _v) with its nearest other rows, _best: array of (d, r, v), squared distance, rn and vector.
 
-    Near rows are looked for along a seeded random projection (`reach` places to either side), which
-    is linear work whatever the class size; with `reach` of at least the class size the neighbours
-    are the true nearest ones. Only synthetic rows are returned.
+    Rows are ordered by a projection on a seeded direction of length one, so that a gap along it is a lower bound of the
+    distance. `reach` places to either side give each row a k-th distance. A row is certain if no row outside of
+    that frame can be nearer; others meet all rows whose gap is within their k-th distance.
     """
-    small = df.filter(F.col(label) == minority)
-    counts = df.groupBy().agg(F.count_if(F.col(label) == minority).alias("few"), F.count_if(F.col(label) != minority).alias("many")).first()
-    wanted = max(0, int(counts["many"] * share) - counts["few"])
-    if not wanted or counts["few"] < 2:
-        return small.select(*features, label).limit(0)
     direction = np.random.default_rng(seed).normal(size=len(features))
+    direction /= np.linalg.norm(direction)
     projection = reduce(lambda a, b: a + b, [F.col(c) * float(w) for c, w in zip(features, direction)])
-    lo, hi = small.select(projection.alias("p")).agg(F.min("p"), F.max("p")).first()
+    lo, hi, size = small.select(projection.alias("p"), *[F.abs(c).alias(f"_{i}") for i, c in enumerate(features)]).agg(
+        F.min("p"), F.max("p"), F.max(F.greatest(F.lit(0.0), *[F.col(f"_{i}") for i in range(len(features))]))).first()
+    slack = 1e-14 * len(features) ** 2 * size  # rounding of projections
     step = ((hi - lo) or 1.0) / 1024
-    placed = small.select(*key, *features, projection.alias("_p"))
+    vector = F.array(*[F.col(c).cast("double") for c in features])
+    placed = small.select(*key, vector.alias("_v"), projection.alias("_p"))
     chunk = F.floor((F.col("_p") - lo) / step).cast("bigint")
-    ranked = global_rank(placed, [], ["_p", *key], chunk)
+    ranked = written(global_rank(placed, [], ["_p", *key], chunk), "nearest-ranked")
+    total = ranked.count()
     block = max(4096, 2 * reach)
-    vector = F.array(*[F.col(c).cast("double") for c in features])
-    blocks = with_reach(ranked.withColumn("_v", vector), 2 * reach, block)
+    blocks = with_reach(ranked, 2 * reach, block)
     around = Window.partitionBy("_block").orderBy("rn").rowsBetween(-reach, reach)
-    near = blocks.withColumn("_near", F.collect_list(F.struct(F.col("rn").alias("r"), F.col("_v").alias("v"))).over(around))
+    near = blocks.withColumns({"_near": F.collect_list(F.struct(F.col("rn").alias("r"), F.col("_v").alias("v"))).over(around),
+                               "_low": F.min("_p").over(around), "_high": F.max("_p").over(around)})
     # A row is used in the block that holds both sides of its frame.
     place, start = F.col("rn") - 1, F.col("_block") * block
-    complete = (place >= start - reach) & (place < start + block - reach)
-    rows = near.filter(complete)
-    distance = F.transform("_near", lambda n: F.struct(
-        F.reduce(F.zip_with(n["v"], F.col("_v"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"),
-        n["r"].alias("r"), n["v"].alias("v")))
-    others = F.filter(distance, lambda n: n["r"] != F.col("rn"))
-    best = F.slice(F.array_sort(others), 1, neighbours)
+    rows = near.filter((place >= start - reach) & (place < start + block - reach))
+
+    def distance(v: Column, w: Column) -> Column:
+        return F.reduce(F.zip_with(v, w, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+
+    others = F.filter(F.transform("_near", lambda n: F.struct(distance(n["v"], F.col("_v")).alias("d"), n["r"].alias("r"), n["v"].alias("v"))),
+                      lambda n: n["r"] != F.col("rn"))
+    rows = rows.withColumn("_best", F.slice(F.array_sort(others), 1, neighbours))
+    few = F.size("_best") < neighbours
+    kth = F.sqrt(F.element_at("_best", -1)["d"])
+    left = (F.col("rn") <= reach + 1) | (~few & (F.col("_p") - F.col("_low") - slack >= kth)) | (~few & (kth == 0))
+    right = (F.col("rn") >= total - reach) | (~few & (F.col("_high") - F.col("_p") - slack >= kth)) | (~few & (kth == 0))
+    radius = F.when(left & right, F.lit(None)).when(few, F.lit(float("inf"))).otherwise(kth * (1 + 1e-12) + slack)
+    first = written(rows.select(*key, "rn", "_v", "_p", "_best", radius.alias("_radius")), "nearest-first")
+    cell = max(256, -(-total // 10_000))
+    edges = np.array([r["_p"] for r in ranked.filter((F.col("rn") - 1) % cell == 0).orderBy("rn").select("_p").collect()])  # 10,000 at most
+
+    @F.pandas_udf("array<bigint>")
+    def cells(p: pd.Series, r: pd.Series) -> pd.Series:
+        a = np.maximum(np.searchsorted(edges, p - r, "left") - 1, 0)
+        b = np.maximum(np.searchsorted(edges, p + r, "right") - 1, 0)
+        return pd.Series([np.arange(x, y + 1) for x, y in zip(a, b)])
+
+    open_ = first.filter("_radius is not null").select(F.col("rn").alias("_q"), F.col("_v").alias("_qv"), F.col("_p").alias("_qp"), "_radius")
+    asked = open_.withColumn("_cell", F.explode(cells("_qp", "_radius")))
+    celled = ranked.withColumn("_cell", F.expr(f"(rn - 1) div {cell}")).select("_cell", "rn", "_v", "_p")
+    pairs = asked.join(celled, "_cell").filter((F.abs(F.col("_p") - F.col("_qp")) <= F.col("_radius")) & (F.col("rn") != F.col("_q")))
+    pairs = pairs.select("_q", distance(F.col("_v"), F.col("_qv")).alias("d"), F.col("rn").alias("r"), F.col("_v").alias("v"))
+    nearest = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("_q").orderBy("d", "r"))).filter(F.col("_k") <= neighbours)
+    wide = nearest.groupBy("_q").agg(F.array_sort(F.collect_list(F.struct("d", "r", "v"))).alias("_wide"))
+    joined = first.join(written(wide, "nearest-wide"), F.col("rn") == F.col("_q"), "left")
+    return joined.select(*key, "rn", "_v", F.coalesce("_wide", "_best").alias("_best"))
+
+
+def oversample(df: DataFrame, features: list[str], label: str, key: list[str], minority: int = 1, share: float = 0.5,
+               neighbours: int = 5, reach: int = 32, seed: int = 42) -> DataFrame:
+    """Synthetic minority rows between a row and one of its near neighbours, up to `share` of the majority.
+
+    The neighbours are the true nearest ones (`nearest_rows`; `reach` only bears on its work). Only synthetic rows are
+    returned.
+    """
+    small = df.filter(F.col(label) == minority)
+    counts = df.groupBy().agg(F.count_if(F.col(label) == minority).alias("few"), F.count_if(F.col(label) != minority).alias("many")).first()
+    wanted = max(0, int(counts["many"] * share) - counts["few"])
+    if not wanted or counts["few"] < 2:
+        return small.select(*features, label).limit(0)
+    rows = nearest_rows(small, features, key, neighbours, reach, seed)
     per_row = -(-wanted // counts["few"])
-    copies = rows.select(*key, "rn", "_v", best.alias("_best"), F.explode(F.sequence(F.lit(1), F.lit(per_row))).alias("_copy"))
+    copies = rows.select(*key, "rn", "_v", "_best", F.explode(F.sequence(F.lit(1), F.lit(per_row))).alias("_copy"))
     # Exactly `wanted` rows: every row gives `per_row - 1` copies, the first ones by rank one more.
     extra = wanted - (per_row - 1) * counts["few"]
     copies = copies.filter((F.col("_copy") < per_row) | (F.col("rn") <= extra))

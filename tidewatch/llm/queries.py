@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_search, forest, graph_search, langid, lines, mixing, packing, passages, warc
+from . import chat, exact_search, forest, graph_search, langid, lines, mixing, negatives, packing, passages, spelling, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_graph_search": graph_search.op8_graph_search,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_best_fit_pack": packing.op10_best_fit_pack,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
 }
 ORACLES = {
     "op2_warc_index": warc.OP2_SQL,
@@ -22,4 +24,5 @@ ORACLES = {
     "op6_chat_format": chat.OP6_SQL,
     "op7_exact_top_k": exact_search.OP7_SQL,
     "op9_line_dedup": lines.OP9_SQL,
+    "op12_hard_negatives": negatives.OP12_SQL,
 }

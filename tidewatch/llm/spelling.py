@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +23,9 @@ LETTERS = 90
 REGION_WORDS, REGION_BYTES = 32768, 1 << 26
 #: At most so many words, dealt by hash, decide where regions begin and end; all words are searched.
 SAMPLE_WORDS = 200_000
-LEAF = 48
+LEAF = 96
 LEVELS = 3
+BATCH = 16384
 
 
 @dataclass
@@ -74,8 +75,8 @@ def cells(node: Node, low: np.ndarray, high: np.ndarray) -> None:
 
 
 def reached(node: Node, counts: np.ndarray, at: np.ndarray, away: np.ndarray, reach: int) -> Iterator[tuple[Node, np.ndarray]]:
-    """(leaf, rows of `counts`) for every leaf whose box is within an L1 distance of `reach`; `away` is the distance of
-    the rows `at` from the node's box."""
+    """(leaf, words) for every leaf whose box is within an L1 distance of `reach`, from `counts` (letter, word); `away` is
+    the distance of the words `at` from the node's box."""
     if not len(at):
         return
     if node.at is not None:
@@ -84,26 +85,29 @@ def reached(node: Node, counts: np.ndarray, at: np.ndarray, away: np.ndarray, re
     for child in (node.below, node.above):
         # only the letters whose bounds differ from the parent's change the distance
         moved = np.flatnonzero((child.low != node.low) | (child.high != node.high))
-        some = counts[at][:, moved].astype(np.int32)
-
-        def gap(box: Node, some: np.ndarray = some, moved: np.ndarray = moved) -> np.ndarray:
-            return (np.maximum(box.low[moved] - some, 0) + np.maximum(some - box.high[moved], 0)).sum(axis=1)
-
-        further = away + gap(child) - gap(node)
+        some = counts[np.ix_(moved, at)]
+        further = away + _gap(child, some, moved) - _gap(node, some, moved)
         near = further <= reach
         yield from reached(child, counts, at[near], further[near], reach)
 
 
+def _gap(box: Node, some: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """How far the counts of those letters are from the box."""
+    low, high = (x[letters, None].astype(some.dtype) for x in (box.low, box.high))
+    return np.abs(some - np.clip(some, low, high)).sum(axis=0, dtype=some.dtype)
+
+
 def from_root(node: Node, counts: np.ndarray, reach: int) -> Iterator[tuple[Node, np.ndarray]]:
-    some = counts.astype(np.int32)
-    away = (np.maximum(node.low - some, 0) + np.maximum(some - node.high, 0)).sum(axis=1)
+    """`reached` for all words of `counts` (word, letter)."""
+    turned = np.ascontiguousarray(counts.T)
+    away = _gap(node, turned, np.arange(LETTERS))
     at = np.flatnonzero(away <= reach)
-    return reached(node, counts, at, away[at], reach)
+    return reached(node, turned, at, away[at], reach)
 
 
-def letter_matrix(column: pa.Array | pa.ChunkedArray, length: int) -> np.ndarray:
+def letter_matrix(words: Iterable[str], length: int) -> np.ndarray:
     """Words of one length as rows of code points, all below 256."""
-    return np.frombuffer("".join(column.to_pylist()).encode("latin-1"), np.uint8).reshape(-1, length)
+    return np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(-1, length)
 
 
 def letter_counts(matrix: np.ndarray) -> np.ndarray:
@@ -134,31 +138,40 @@ class Region:
     """The words at home in one region, of one length, and the search of others among them."""
 
     def __init__(self, words: pa.Table):
-        self.words, self.n = words.column("word").combine_chunks(), words.column("n").to_numpy()
-        self.length = len(self.words[0].as_py())
+        self.n = words.column("n").to_numpy()
+        self.words = np.array(words.column("word").to_pylist())
+        self.length = len(self.words[0])
         self.matrix = letter_matrix(self.words, self.length)
         counts = letter_counts(self.matrix)
         self.tree = grow(counts, np.arange(len(counts)), LEAF)
+        self.leaf_of = np.empty(len(counts), np.int64)
+        for i, leaf in enumerate(leaves(self.tree)):
+            leaf.name = i
+            self.leaf_of[leaf.at] = i
+        self.used = np.flatnonzero(levels(counts).any(axis=0))
+        bits, sums = self._sides(counts)
+        self.bits = np.hstack([-2 * bits, sums, np.ones_like(sums)]).T
+
+    def _sides(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bits = levels(counts)
-        self.used = np.flatnonzero(bits.any(axis=0))
-        self.sums, self.bits = bits.sum(axis=1), bits[:, self.used].astype(np.float32)
+        return bits[:, self.used].astype(np.float32), bits.sum(axis=1, dtype=np.float32, keepdims=True)
 
-    def pairs(self, asked: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row of `asked`, row at home) of the pairs one edit apart; of two words of one length only from the larger."""
-        same = asked.shape[1] == self.length
-        reach = 2 if same else 1
+    def pairs(self, asked: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row of `asked`, row at home) of the pairs one edit apart. `own`: `asked` are these rows at home, and each pair
+        of two of them is found once."""
+        reach = 2 if asked.shape[1] == self.length else 1
         counts = letter_counts(asked)
-        bits = levels(counts)
-        sums, bits = bits.sum(axis=1), bits[:, self.used].astype(np.float32)
+        bits, sums = self._sides(counts)
+        bits = np.hstack([bits, np.ones_like(sums), sums])
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        own = np.array(self.words.to_pylist()) if same else None
         for leaf, rows in from_root(self.tree, counts, reach):
-            distance = sums[rows][:, None] + self.sums[leaf.at][None, :] - 2 * (bits[rows] @ self.bits[leaf.at].T)
-            i, j = np.nonzero(distance <= reach)
+            if own is not None:
+                rows = rows[self.leaf_of[own[rows]] >= leaf.name]
+            i, j = np.nonzero(bits[rows] @ self.bits[:, leaf.at] <= reach + 0.5)
             a, b = rows[i], leaf.at[j]
-            if same:
-                later = words[a] > own[b]
-                a, b = a[later], b[later]
+            if own is not None:
+                once = (self.leaf_of[own[a]] > leaf.name) | (own[a] > b)
+                a, b = a[once], b[once]
             right = one_edit(asked[a], self.matrix[b])
             found.append((a[right], b[right]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -193,7 +206,7 @@ def near_words(words: DataFrame) -> DataFrame:
     trees: dict[int, Node] = {}
     names = 0
     for length, n in sorted(sizes.items()):
-        some = letter_matrix(pa.array(of_length[length]), length) if of_length[length] else np.full((1, length), ord("a"), np.uint8)
+        some = letter_matrix(of_length[length], length) if of_length[length] else np.full((1, length), ord("a"), np.uint8)
         regions = max(1, -(-n // max(1, min(REGION_WORDS, REGION_BYTES // length))))
         tree = grow(letter_counts(some), np.arange(len(some)), max(1, len(some) // regions))
         cells(tree, np.zeros(LETTERS, np.int64), np.full(LETTERS, length, np.int64))
@@ -205,21 +218,31 @@ def near_words(words: DataFrame) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
         for batch in batches:
-            column = batch.column(0)
-            lengths = np.array([len(w) for w in column.to_pylist()], np.int64)
+            words = batch.column(0).to_pylist()
+            lengths = np.array([len(w) for w in words], np.int64)
             region, asks, row = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
-            for length in np.unique(lengths):
+            for length in map(int, np.unique(lengths)):
                 of = np.flatnonzero(lengths == length)
-                counts = letter_counts(letter_matrix(column.take(pa.array(of)), int(length)))
-                for there, reach in ((length, 0), (length, 2), (length - 1, 1)):
-                    if int(there) in trees:
-                        for leaf, rows in from_root(trees[int(there)], counts, reach):
-                            region.append(np.full(len(rows), leaf.name))
-                            asks.append(np.full(len(rows), reach > 0))
-                            row.append(of[rows])
+                counts = letter_counts(letter_matrix([words[i] for i in of], length))
+                home = np.zeros(len(of), np.int64)
+                for leaf, rows in from_root(trees[length], counts, 0):
+                    home[rows] = leaf.name
+                region.append(home), asks.append(np.zeros(len(of), bool)), row.append(of)
+                for there, reach in ((length, 2), (length - 1, 1)):
+                    if there in trees:
+                        for leaf, rows in from_root(trees[there], counts, reach):
+                            rows = rows[home[rows] < leaf.name] if there == length else rows  # a pair meets in one region
+                            region.append(np.full(len(rows), leaf.name)), asks.append(np.ones(len(rows), bool)), row.append(of[rows])
             at = pa.array(np.concatenate(row))
             yield pa.record_batch({"region": pa.array(np.concatenate(region), pa.int64()), "asks": pa.array(np.concatenate(asks)),
-                                   "word": column.take(at), "n": batch.column(1).take(at)})
+                                   "word": batch.column(0).take(at), "n": batch.column(1).take(at)})
+
+    def among_own(region: Region) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(region.n), BATCH):
+            own = np.arange(i, min(i + BATCH, len(region.n)))
+            a, b = region.pairs(region.matrix[own], own)
+            a = own[a]
+            yield _summed(region.words[np.r_[a, b]], region.words[np.r_[b, a]], region.n[np.r_[b, a]])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home: list[pa.RecordBatch] = []
@@ -228,24 +251,26 @@ def near_words(words: DataFrame) -> DataFrame:
             names, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             edges = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (asks[1:] != asks[:-1])]) if len(names) else np.zeros(0, np.int64)
             for start, end in zip(edges, np.r_[edges[1:], len(names)].astype(np.int64), strict=True):
+                if home and (asks[start] or names[start] != now):
+                    region, home = Region(pa.Table.from_batches(home)), []
+                    yield from among_own(region)
                 if names[start] != now:
-                    home, now, region = [], names[start], None
+                    now, region = names[start], None
                 part = batch.slice(start, end - start)
                 if not asks[start]:
                     home.append(part)
                     continue
-                if not home:
-                    continue
                 if region is None:
-                    region = Region(pa.Table.from_batches(home))
+                    continue
                 column, n = part.column("word").to_pylist(), part.column("n").to_numpy()
                 lengths = np.array([len(w) for w in column])
-                for length in np.unique(lengths):
+                for length in map(int, np.unique(lengths)):
                     of = np.flatnonzero(lengths == length)
-                    own = np.array([column[i] for i in of])
-                    a, b = region.pairs(letter_matrix(pa.array(own), int(length)), own)
-                    at_home = np.array(region.words.take(pa.array(b)).to_pylist(), own.dtype)
-                    yield _summed(np.r_[own[a], at_home], np.r_[at_home, own[a]], np.r_[region.n[b], n[of][a]])
+                    asked = np.array([column[i] for i in of])
+                    a, b = region.pairs(letter_matrix(asked, length))
+                    yield _summed(np.r_[asked[a], region.words[b]], np.r_[region.words[b], asked[a]], np.r_[region.n[b], n[of][a]])
+        if home:
+            yield from among_own(Region(pa.Table.from_batches(home)))
 
     dealt = words.select("word", "n").mapInArrow(deal, "region bigint, asks boolean, word string, n bigint")
     dealt = dealt.repartition("region").sortWithinPartitions("region", "asks")

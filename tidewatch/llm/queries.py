@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_search, forest, graph_search, langid, lines, mixing, negatives, packing, passages, spelling, warc
+from . import chat, exact_search, forest, graph_search, langid, lines, mixing, negatives, packing, passages, repeats, spelling, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_best_fit_pack": packing.op10_best_fit_pack,
     "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_suffix_dedup": repeats.op13_suffix_dedup,
 }
 ORACLES = {
     "op2_warc_index": warc.OP2_SQL,

@@ -205,6 +205,9 @@ def settled(table: pa.Table, length: int) -> pa.RecordBatch:
     relative to the anchor, which equal strings have in common.
     """
     gram, place, start, count = (table.column(i).to_numpy() for i in range(4))
+    once = np.r_[True, (gram[1:] != gram[:-1]) | (place[1:] != place[:-1]) | (start[1:] != start[:-1])]
+    if not once.all():  # rows of one document that is there more than once
+        return settled(table.filter(pa.array(once)), length)
     texts = [t for c in table.column(4).chunks for t in texts_of(c)]
     data, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
     offset = np.cumsum(sizes) - sizes

@@ -155,12 +155,13 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """`docs` with one document of each near-duplicate class, the one with the smallest id (nulls last, then by a hash of
-    the text); of repeated rows of that document one stays. Rows with an empty set all stay. Columns are unchanged."""
-    found = written(near_groups(docs, id_col=id_col, text_col=text_col, length=length, percent=percent).where("n_shingles > 0"), "forest-found")
+    the text); of repeated rows of that document one stays. Classes are told by their texts, so unlike texts with one id
+    both stay and near copies without ids leave one. Rows with an empty set all stay. Columns are unchanged."""
+    found = written(near_classes(docs, id_col=id_col, text_col=text_col, length=length, percent=percent).where("n_shingles > 0"), "forest-found")
     rank = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col("text_key"))
-    first = found.where("component_id is not null").groupBy("component_id").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = written(first.select(F.col("component_id").alias("class"), "first"), "forest-first")
-    lost = found.join(first, F.col("component_id") == F.col("class")).where(~rank.eqNullSafe(F.col("first"))).select(
+    first = found.groupBy("class_key").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = written(first.select(F.col("class_key").alias("class"), "first"), "forest-first")
+    lost = found.join(first, F.col("class_key") == F.col("class")).where(~rank.eqNullSafe(F.col("first"))).select(
         F.col("doc_id").alias("lost_id"), F.col("text_key").alias("lost_text")).distinct()
     lost = written(lost, "forest-lost")
     repeated = found.groupBy("doc_id", "text_key").count().where("count > 1").select(F.col("doc_id").alias("twice_id"), F.col("text_key").alias("twice_text"))

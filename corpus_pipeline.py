@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import fresh, growing, read_table, written
-from tidewatch.llm.forest import drop_near_duplicates, near_classes
+from tidewatch.llm.common import fresh, read_table, written
+from tidewatch.llm.forest import drop_near_duplicates
 from tidewatch.llm.langid import MIN_SCORE, UNKNOWN, predicted, train_on_documents
-from tidewatch.llm.lines import dedup_lines, document_key
+from tidewatch.llm.lines import dedup_lines, line_classes
 from tidewatch.llm.mixing import mixed_documents
 from tidewatch.llm.packing import pack_documents
 
@@ -30,17 +30,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share go; each document stays.
+    """Lines that many documents share go; each document stays, in SQL functions only.
 
-    The near duplicates of a text count as one document with it, so a copied text keeps its lines for `near_dedup`,
-    which leaves one copy of it.
+    Near copies by their lines count as one document, so a copied text keeps its lines for `near_dedup`, which leaves
+    one copy of it. Nulls come back as empty texts, empty tables as such; repeated rows, null ids and other columns stay.
     """
-    found = near_classes(docs).where("class_key is not null").select("doc_id", "text_key", "class_key").distinct()
-    found = written(found.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_text"), "class_key"), "line-classes")
-    named = docs.select("doc_id", F.xxhash64("text").alias("text_key"), document_key(F.col("doc_id"), F.col("text")).alias("doc")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_text"))
-    classes = written(named.join(growing(found), same).select("doc", F.col("class_key").alias("class")), "line-classes")
-    return dedup_lines(docs, classes=classes).select(*docs.columns)
+    return dedup_lines(docs, classes=written(line_classes(docs), "line-classes")).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,6 +95,13 @@ class TestNearDuplicates:
             want[min((r[0] for r, x in zip(rows, group, strict=True) if x == g), key=lambda i: (i is None, i or 0))] += 1
         assert kept == want
 
+    def test_classes_are_told_by_texts(self, spark):
+        """Unlike texts with one id both stay, near copies without ids leave one."""
+        a, b = words(21, 100), words(22, 100)
+        rows = [(5, a), (5, b), (6, b + " more"), (None, words(23, 90)), (None, words(23, 90) + " more")]
+        left = forest.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id or 0, r.text.split()[0]) for r in left) == sorted([(5, a.split()[0]), (5, b.split()[0]), (0, words(23, 90).split()[0])])
+
     def test_empty(self, no_docs):
         assert forest.near_groups(no_docs).count() == 0 and forest.drop_near_duplicates(no_docs).count() == 0
 
@@ -113,7 +120,6 @@ class TestNearDuplicates:
 class TestLines:
     def test_cases(self, docs):
         found = lines.dedup_lines(docs.select("doc_id", "text"))
-        # the SQL counts rows as documents; the fixture's repeated row does not bring a key to ten
         against_sql(found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")), lines.OP9_SQL, docs)
 
     def test_columns_stay(self, docs):
@@ -121,6 +127,21 @@ class TestLines:
         assert found.columns == docs.columns + ["n_lines_", "n_dropped"]
         assert found.where("doc_id = 105").first().text == words(1005, 20)
 
+    def test_rows_count_as_documents(self, spark):
+        """Ten rows without id, ten equal rows, and nine of each: as in the SQL."""
+        rows = [(None, "Ten nameless\nown")] * 10 + [(5, "ten equal\n ten EQUAL\nother")] * 10 + [(None, "nine nameless")] * 9 + [(6, "nine equal\nnine equal")] * 9
+        docs = spark.createDataFrame([document(*r) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"x{i} string" for i in range(13)))
+        found = lines.dedup_lines(docs.repartition(5))
+        against_sql(found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")), lines.OP9_SQL, docs)
+        assert found.where("n_dropped > 0").count() == 20
+
+    def test_many_lines(self, spark):
+        """One text of 100,000 lines, and lines to drop far apart."""
+        long = "\n".join("Common" if i % 997 == 0 else f"line {i}" for i in range(100_000))
+        docs = spark.createDataFrame([(0, long)] + [(i, f"own {i}\ncommon ") for i in range(1, 10)], "doc_id long, text string")
+        got = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+        assert got[0].n_dropped == 101 and got[0].text == "\n".join(x for x in long.split("\n") if x != "Common") and got[3].text == "own 3"
+
     def test_first_occurrence_stays(self, spark):
         rows = [(i, "\n".join(["Top", f"own {i}", " top ", "x" * (i % 2)] * 40)) for i in range(12)]
         got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), keep_first=True).collect()}

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import ordered as o
+from tidewatch.session import written
 
 M = 1_000_000
 BASE = 10 ** 15
@@ -83,15 +84,16 @@ def in_chunks(fold, cols, rnd):
             j += 1
         cuts.append(j)
     chunks = [{k: v[a:b] for k, v in cols.items()} for a, b in zip(cuts, cuts[1:])]
-    runs = [[] for _ in chunks]
-    while True:
-        state, entries = [], []
-        for run, chunk in zip(runs, chunks):
-            entries.append(list(state))
-            state, _ = fold.follow(fold.summarize(chunk, run), run, state)
-        if fold.one_walk or entries == runs:
-            break
-        runs = entries
+    state, entries = [], []
+    for chunk in chunks:
+        entries.append(list(state))
+        summary = fold.summarize(chunk)
+        follows = fold.follow(summary, state)
+        if fold.run:
+            ran = fold.run(chunk, state)
+            assert not summary[0] or follows == ran  # a chunk that forgets leaves the same state from any entry
+            follows = ran
+        state = follows
     parts = [fold.replay(c, e) for c, e in zip(chunks, entries)]
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
 
@@ -199,18 +201,63 @@ def test_dense_second(spark):
     assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
 
 
-def test_many_chunks(spark, monkeypatch):
-    """A quota whose state never forgets its entry settles in a bounded number of chunk runs."""
-    df = spark.range(1200).select("id", F.lit("k").alias("key"), F.expr(f"{BASE} + id * 1000000").alias("us"))
-    monkeypatch.setattr(o, "SERIAL_CHUNKS", 200)
-    fold = o.spacing_with_quota(2 * M, 100 * M, 7)
-    assert not fold.one_walk
-    cut, whole = (o.run_fold(df, ["key"], ["us", "id"], fold, chunk_rows=n) for n in (2, 10_000))
-    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
+def brute_level(level, refill, cost, full):
+    for d, c in zip(refill.tolist(), cost.tolist()):
+        level = min(full, level + d)
+        level -= c if level >= c else 0
+    return level
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_bucket_maps(seed, monkeypatch):
+    """The map of a chunk at every level, whatever way its rows are grouped."""
+    rnd = np.random.RandomState(seed)
+    full, n = int(rnd.choice([1, 7, 30, 100])), int(rnd.randint(1, 70))
+    refill, cost = rnd.randint(0, rnd.choice([2, 9, 40]), n).astype(np.int64), rnd.randint(0, rnd.choice([2, 12, 120]), n).astype(np.int64)
+    for block in (1, 3, 1 << 16):
+        monkeypatch.setattr(o, "BLOCK_ROWS", block)
+        found = o.bucket_map(np.minimum(refill, full), cost, full)
+        levels = np.arange(full + 1)
+        at = np.searchsorted(found.start, levels, side="right") - 1
+        assert (levels * found.slope[at] + found.value[at]).tolist() == [brute_level(x, refill, cost, full) for x in levels.tolist()]
+
+
+def test_bucket_map_stays_short():
+    """A flooded chunk's map has a few pieces a token of the bucket, not one a row."""
+    rnd = np.random.RandomState(1)
+    n, full = 200_000, 50 * M
+    t = np.sort(rnd.randint(0, 100 * M, n)).astype(np.int64)
+    found = o.bucket_map(np.diff(t, prepend=t[0]) * 20, np.full(n, M, np.int64), full)
+    assert len(found.start) <= 4 * 50
+
+
+@pytest.mark.parametrize("name", ["bucket", "window", "quota"])
+@pytest.mark.parametrize("busy", [False, True])
+def test_many_chunks(spark, monkeypatch, name, busy):
+    """About 2,000 chunks of one key, with pauses and without any: the rows are read once to be written, and twice after."""
+    fold = {"bucket": o.token_bucket(2, 9), "window": o.sliding_window(30 * M, 4), "quota": o.spacing_with_quota(2 * M, 100 * M, 7)}[name]
+    pauses = "" if busy else " + (id div 150) * 200000000"
+    df = spark.range(4000).select("id", F.lit("k").alias("key"), F.expr(f"{BASE} + id * 300000 + (id * 7919 % 13) * 10000{pauses}").alias("us"))
+    tables = []
+    monkeypatch.setattr(o, "written", lambda rows, name: tables.append(name) or written(rows, name))
+    cut = o.run_fold(df, ["key"], ["us", "id"], fold, chunk_rows=2)
+    got = [r[-1] for r in cut.orderBy("us", "id").collect()]
+    us = [r.us for r in df.orderBy("us", "id").collect()]
+    assert got == fold.replay({"us": np.array(us)}, [])[cut.columns[-1]].tolist() and tables.count("hot-rows") == 1
+    if name != "quota":
+        assert got == (brute_bucket(us, [1] * len(us), 2, 9) if name == "bucket" else brute_window(us, 30 * M, 4))
+
+
+def test_chunks_that_forget():
+    """After a pause, and with fewer arrivals than the limit, the exit is the same from any entry; in a flood it is not."""
+    slow, flood = np.arange(100) * 10 * M + BASE, np.arange(100) * M // 10 + BASE
+    paused = np.r_[flood[:50], flood[50:] + 40 * M]
+    for fold in (o.sliding_window(30 * M, 5), o.spacing_with_quota(2 * M, 30 * M, 5)):
+        assert [fold.summarize({"us": t})[0] for t in (slow, flood, paused)] == [1, 0, 1]
 
 
 def test_quota_that_cannot_bind():
     rnd = random.Random(3)
     us = np.cumsum([rnd.randint(0, 4) * M for _ in range(300)]).astype(np.int64) + BASE
     fold = o.spacing_with_quota(10 * M, 60 * M, 6)
-    assert fold.one_walk and fold.replay({"us": us}, [])["kept"].tolist() == brute_spacing(us, 10 * M)
+    assert not fold.run and fold.replay({"us": us}, [])["kept"].tolist() == brute_spacing(us, 10 * M)

@@ -8,11 +8,13 @@ Keys with more rows than fit one task are therefore cut into time chunks:
 3. the summaries of a key, one short row per chunk, stream by in order to find each entry state;
 4. all chunks are replayed in parallel from their true entry states.
 
-For spacing and sessions a summary is the complete entry-to-exit step function, so one walk is
-exact. For token buckets and sliding windows a summary is exact only for the state it was run
-from; the walk predicts, and chunks whose entry changed are run again. Most settle at once, for a
-chunk forgets its entry. Those that still change after PARALLEL_WALKS are run from exact states in
-order, SERIAL_CHUNKS of a key at a time, so every chunk is run a bounded number of times.
+For spacing, sessions and token buckets a summary is the complete entry-to-exit function, as a
+short piecewise map, so one walk over the summaries is exact. A sliding window's state is a list of
+times, and a summary is its exit from no state, with a flag: whether the chunk forgets its entry,
+because some row of it has a state that is known whatever came before (after a pause of one window,
+or after a window with fewer arrivals than the limit). Chunks behind one that forgets have a known
+entry. What is left are stretches of chunks that don't forget; those are run once, each stretch in
+order and all stretches in parallel. The rows are read three times, however the chunks fall.
 Cold keys are one chunk each and go straight to the replay.
 """
 
@@ -22,20 +24,19 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import MICROS
-from ..session import cut_lineage, small_side
+from ..session import cut_lineage, small_side, written
 
 CHUNK_ROWS = 1_000_000
 Rows = dict[str, np.ndarray]        # the needed columns of one chunk, in order
 NONE = np.iinfo(np.int64).min       # "no state yet"
 KEEP = NONE + 1                     # "the entry state passes through"
-PARALLEL_WALKS, SERIAL_CHUNKS = 3, 32
+BLOCK_ROWS = 1 << 16                # rows whose maps are composed in one tree
 
 
 def hot_keys(df: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame:
@@ -90,16 +91,18 @@ def with_chunks(df: DataFrame, keys: list[str], us: str, slots: DataFrame) -> Da
 class Fold:
     """One kind of ordered decision.
 
-    `summarize(rows, entry)` gives the summary of a chunk (a list of longs), `follow(summary,
-    entry_run, state)` the state after it and whether that is exact, `replay(rows, entry)` the
-    output columns. A state is a list of longs; the empty list means "nothing before".
+    `summarize(rows)` gives the summary of a chunk (a list of longs), `follow(summary, state)` the
+    state after it, `replay(rows, entry)` the output columns. A state is a list of longs; the empty
+    list means "nothing before". With `run`, a chunk's summary may hold for one entry only:
+    `summarize` then gives [whether the chunk forgets its entry, *exit from no state], and
+    `run(rows, entry)` the exit from any.
     """
     inputs: list[str]
-    summarize: Callable[[Rows, list[int]], list[int]]
-    follow: Callable[[list[int], list[int], list[int]], tuple[list[int], bool]]
+    summarize: Callable[[Rows], list[int]]
+    follow: Callable[[list[int], list[int]], list[int]]
     replay: Callable[[Rows, list[int]], Rows]
     outputs: T.StructType
-    one_walk: bool = True
+    run: Callable[[Rows, list[int]], list[int]] | None = None
 
 
 def _longs(value) -> list[int]:
@@ -186,72 +189,73 @@ def _entries(hot: DataFrame, keys: list[str], order: list[str], fold: Fold) -> D
     """(keys, chunk, entry state) of the hot keys."""
     key_fields = [hot.schema[k] for k in keys]
     longs = T.ArrayType(T.LongType())
-    summary_type = T.StructType([*key_fields, T.StructField("_chunk", T.LongType()),
-                                 T.StructField("_run", longs), T.StructField("_summary", longs)])
-    walk_type = T.StructType([*summary_type.fields, T.StructField("_entry", longs)])
     used = list(dict.fromkeys([*keys, *order, *fold.inputs, "_chunk"]))
+    group = [*keys, "_chunk"]
+    hot = written(hot.select(*used), "hot-rows")
 
-    def summarize(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        run = _longs(rows["_run"].iloc[0])
-        head = {k: [rows[k].iloc[0]] for k in [*keys, "_chunk"]}
-        values = {n: rows[n].to_numpy() for n in fold.inputs}
-        return pd.DataFrame({**head, "_run": [run], "_summary": [fold.summarize(values, run)]})
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, group):
+            starts = [*_starts(table, group).tolist(), len(table)]
+            cols = _arrays(table, fold.inputs)
+            found = [fold.summarize({n: c[lo:hi] for n, c in cols.items()}) for lo, hi in zip(starts, starts[1:])]
+            heads = table.select(group).take(pa.array(starts[:-1])).append_column("_summary", pa.array(found, pa.list_(pa.int64())))
+            yield from heads.to_batches()
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Summaries arrive in (key, chunk) order; only the current state is held.
-        current, state = None, []
+        # Behind a chunk that doesn't forget its entry the state is not known (null).
+        current, state, before, stretch = None, [], None, 0
         for batch in batches:
-            entries = []
-            named = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_run", "_summary")]
-            for key, run, summary in zip(zip(*named), *columns):
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in [*keys, "_chunk", "_summary"]]
+            entries, previous, stretches = [], [], []
+            for *key, chunk, summary in zip(*columns):
                 if key != current:
-                    current, state = key, []
-                entries.append(list(state))
-                state, _ = fold.follow(summary, run, state)
-            yield batch.append_column("_entry", pa.array(entries, pa.list_(pa.int64())))
-
-    def walked_from(summaries: DataFrame) -> DataFrame:
-        return summaries.repartition(*keys).sortWithinPartitions(*keys, "_chunk").mapInArrow(walk, walk_type)
-
-    first = hot.select(*used).withColumn("_run", F.array().cast(longs))
-    walked = walked_from(first.groupBy(*keys, "_chunk").applyInPandas(summarize, summary_type))
-    if fold.one_walk:
-        return walked.select(*keys, "_chunk", "_entry")
+                    current, state, before, stretch = key, [], None, 0
+                entries.append(None if state is None else list(state))
+                previous.append(before)
+                stretches.append(stretch)
+                before = chunk
+                if fold.run and not summary[0]:
+                    state = None
+                else:
+                    state = summary[1:] if fold.run else fold.follow(summary, state)
+                    stretch += bool(fold.run)
+            out = batch.append_column("_entry", pa.array(entries, pa.list_(pa.int64())))
+            yield out.append_column("_before", pa.array(previous, pa.int64())).append_column("_stretch", pa.array(stretches, pa.int64()))
+
+    summary_type = T.StructType([*key_fields, T.StructField("_chunk", T.LongType()), T.StructField("_summary", longs)])
+    walk_type = T.StructType([*summary_type.fields, T.StructField("_entry", longs), T.StructField("_before", T.LongType()), T.StructField("_stretch", T.LongType())])
+    summed = hot.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(summaries, summary_type)
+    walked = summed.repartition(*keys).sortWithinPartitions(*group).mapInArrow(walk, walk_type)
+    if not fold.run:
+        return walked.select(*group, "_entry")
+    walked = written(walked, "hot-chunks")
+    if not walked.where("_entry is null").head(1):
+        return walked.select(*group, "_entry")
+
     def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Chunks of a key one after the other, each from the state that the one before left; one chunk is held.
+        # Chunks of a stretch one after the other, each from the state that the one before left; one chunk is held.
         current, state = None, []
-        for table in _whole_groups(batches, [*keys, "_chunk"]):
-            starts = [*_starts(table, [*keys, "_chunk"]).tolist(), len(table)]
+        for table in _whole_groups(batches, [*keys, "_stretch", "_chunk"]):
+            starts = [*_starts(table, [*keys, "_stretch", "_chunk"]).tolist(), len(table)]
+            cols, exits = _arrays(table, fold.inputs), []
             for lo, hi in zip(starts, starts[1:]):
-                part = table.slice(lo, hi - lo)
-                key = [part.column(k)[0].as_py() for k in keys]
+                key = [table.column(k)[lo].as_py() for k in [*keys, "_stretch"]]
                 if key != current:
-                    current, state = key, _longs(part.column("_run")[0].as_py())
-                run, summary = state, fold.summarize(_arrays(part, fold.inputs), state)
-                state, _ = fold.follow(summary, run, state)
-                named = {k: part.column(k).slice(0, 1).combine_chunks() for k in [*keys, "_chunk"]}
-                yield pa.record_batch({**named, "_run": pa.array([run], pa.list_(pa.int64())), "_summary": pa.array([summary], pa.list_(pa.int64()))})
-
-    walked, walks = cut_lineage(walked), 0
-    while True:
-        stale = walked.filter(F.col("_run") != F.col("_entry"))
-        if stale.isEmpty():
-            return walked.select(*keys, "_chunk", "_entry")
-        walks += 1
-        if walks <= PARALLEL_WALKS:
-            again = hot.select(*used).join(stale.select(*keys, "_chunk", F.col("_entry").alias("_run")), [*keys, "_chunk"])
-            redone = again.groupBy(*keys, "_chunk").applyInPandas(summarize, summary_type)
-            kept = walked.filter(F.col("_run") == F.col("_entry")).select(summary_type.names)
-        else:
-            # All before a key's first stale chunk is settled, so that chunk's entry is exact.
-            lead = cut_lineage(stale.groupBy(*keys).agg(F.min("_chunk").alias("_lead"), F.min_by("_entry", "_chunk").alias("_run")))
-            ahead = (F.col("_chunk") >= F.col("_lead")) & (F.col("_chunk") < F.col("_lead") + SERIAL_CHUNKS)
-            again = hot.select(*used).join(lead, keys).where(ahead)
-            redone = again.select(*used, "_run").repartition(*keys).sortWithinPartitions(*keys, "_chunk", *order).mapInArrow(in_order, summary_type)
-            kept = walked.join(lead.select(*keys, "_lead"), keys, "left").where(~F.coalesce(ahead, F.lit(False))).select(summary_type.names)
-        walked = cut_lineage(walked_from(kept.unionByName(redone)))
+                    current, state = key, _longs(table.column("_entry")[lo].as_py())
+                state = fold.run({n: c[lo:hi] for n, c in cols.items()}, state)
+                exits.append(state)
+            heads = table.select(group).take(pa.array(starts[:-1])).append_column("_exit", pa.array(exits, pa.list_(pa.int64())))
+            yield from heads.to_batches()
+
+    # a stretch: the chunks that don't forget, between two that do; its first chunk has a known entry
+    forgetting = F.col("_summary")[0] == 1
+    held = walked.where(~forgetting).select(*group, "_stretch", "_entry")
+    dealt = hot.join(held, group).repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", "_chunk", *order)
+    exit_type = T.StructType([*key_fields, T.StructField("_chunk", T.LongType()), T.StructField("_exit", longs)])
+    exits = dealt.mapInArrow(in_order, exit_type).select(*keys, F.col("_chunk").alias("_before"), "_exit")
+    joined = walked.select(*group, "_before", "_entry").join(exits, [*keys, "_before"], "left")
+    return written(joined.select(*group, F.coalesce("_entry", "_exit").alias("_entry")), "hot-entries")
 
 
 # ---- step functions ---------------------------------------------------------------------------
@@ -273,11 +277,11 @@ def _step_of(steps: list[int], state: list[int]) -> int:
     return 1 + int(np.searchsorted(np.asarray(steps[1::2], dtype=np.int64), state[0], side="right"))
 
 
-def _follow_steps(steps: list[int], run: list[int], state: list[int]) -> tuple[list[int], bool]:
+def _follow_steps(steps: list[int], state: list[int]) -> list[int]:
     exit_ = steps[2 * _step_of(steps, state)]
     if exit_ == KEEP:
-        return state, True
-    return ([] if exit_ == NONE else [exit_]), True
+        return state
+    return [] if exit_ == NONE else [exit_]
 
 
 END = np.iinfo(np.int64).max
@@ -297,7 +301,7 @@ def spacing(gap_us: int, us: str = "us") -> Fold:
             out[i] = t[i] if nxt[i] >= n else out[nxt[i]]
         return out
 
-    def summarize(rows: Rows, run: list[int]) -> list[int]:
+    def summarize(rows: Rows) -> list[int]:
         t = rows[us].astype(np.int64, copy=False)
         out = exits(t)
         # An entry x keeps the first row with t >= x + gap, so row i serves x <= t[i] - gap.
@@ -331,19 +335,19 @@ def hit_windows(width_us: int, us: str = "us") -> Fold:
     """
     base = spacing(width_us, us)
 
-    def summarize(rows: Rows, run: list[int]) -> list[int]:
+    def summarize(rows: Rows) -> list[int]:
         t = rows[us].astype(np.int64, copy=False)
-        steps = base.summarize(rows, run)
+        steps = base.summarize(rows)
         exits = [steps[0], *steps[2::2]]
         counts = [len(t) if e == KEEP else len(t) - int(np.searchsorted(t, e, side="left")) for e in exits]
         return [len(exits), *counts, *steps]
 
-    def follow(summary: list[int], run: list[int], state: list[int]) -> tuple[list[int], bool]:
+    def follow(summary: list[int], state: list[int]) -> list[int]:
         k = summary[0]
         counts, steps = summary[1:1 + k], summary[1 + k:]
         at = _step_of(steps, state[:1])
         exit_ = ([steps[0], *steps[2::2]])[at]
-        return ([state[0], state[1] + counts[at]] if exit_ == KEEP else [exit_, counts[at]]), True
+        return [state[0], state[1] + counts[at]] if exit_ == KEEP else [exit_, counts[at]]
 
     def replay(rows: Rows, entry: list[int]) -> Rows:
         t = rows[us].astype(np.int64, copy=False)
@@ -418,7 +422,7 @@ def sessions(idle_us: int, active_us: int, us: str = "us", closes: str = "closes
                 out[i] = NONE if closed or stop[n - 1] else i
         return out
 
-    def summarize(rows: Rows, run: list[int]) -> list[int]:
+    def summarize(rows: Rows) -> list[int]:
         t, idle, stop = cuts(rows)
         hard = limits(t, idle, stop)
         out = exits(t, hard, stop)
@@ -436,13 +440,13 @@ def sessions(idle_us: int, active_us: int, us: str = "us", closes: str = "closes
         opened = [x for i in steps[::2] for x in ((int(t[i]), int(part[i])) if i >= 0 else (0, 0))]
         return [int(t[0]), int(t[-1]), len(steps), *steps, *opened]
 
-    def follow(summary: list[int], run: list[int], state: list[int]) -> tuple[list[int], bool]:
+    def follow(summary: list[int], state: list[int]) -> list[int]:
         steps, opened = summary[3:3 + summary[2]], summary[3 + summary[2]:]
         at = _step_of(steps, state[:1] if alive(state, summary[0]) else [])
         row = steps[2 * at]
         if row == KEEP:
-            return [*state[:2], summary[1]], True
-        return ([] if row == NONE else [*opened[2 * at:2 * at + 2], summary[1]]), True
+            return [*state[:2], summary[1]]
+        return [] if row == NONE else [*opened[2 * at:2 * at + 2], summary[1]]
 
     def replay(rows: Rows, entry: list[int]) -> Rows:
         t, idle, stop = cuts(rows)
@@ -486,13 +490,92 @@ def _among_last(counts: np.ndarray, heads: np.ndarray, lengths: np.ndarray, n: i
     return counts & (np.repeat(ends, lengths) - total < n)
 
 
+# ---- piecewise maps ---------------------------------------------------------------------------
+
+@dataclass
+class Maps:
+    """Functions of an integer in [0, full], one a node: from `start` on, x + value (slope 1) or value (slope 0)."""
+    node: np.ndarray
+    start: np.ndarray
+    slope: np.ndarray
+    value: np.ndarray
+
+    def at(self, some: np.ndarray) -> Maps:
+        return Maps(self.node[some], self.start[some], self.slope[some], self.value[some])
+
+    def merged(self) -> Maps:
+        """Without the pieces that go on as the one before."""
+        new = np.ones(len(self.node), bool)
+        new[1:] = (self.node[1:] != self.node[:-1]) | (self.slope[1:] != self.slope[:-1]) | (self.value[1:] != self.value[:-1])
+        return self.at(new)
+
+
+def bucket_maps(refill: np.ndarray, cost: np.ndarray, full: int) -> Maps:
+    """For each row, the level after it from the level after the row before: refilled up to `full`, then lowered by the
+    cost if it suffices."""
+    n = len(refill)
+    capped = np.maximum(full - refill, 0)                     # from here on the bucket is full
+    enough = np.clip(cost - refill, 0, None)                  # from here on the row is allowed
+    allowed = enough < capped
+    start = np.stack([np.zeros(n, np.int64), np.where(allowed, enough, 0), capped], axis=1)
+    slope = np.broadcast_to(np.array([1, 1, 0]), (n, 3))
+    top = np.where(cost <= full, full - cost, full)
+    value = np.stack([refill, refill - cost, top], axis=1)
+    there = np.stack([np.where(allowed, enough > 0, capped > 0), allowed, np.ones(n, bool)], axis=1).ravel()
+    return Maps(np.repeat(np.arange(n), 3)[there], start.ravel()[there], slope.ravel()[there], value.ravel()[there]).merged()
+
+
+def _after(first: Maps, second: Maps, full: int) -> Maps:
+    """`second` after `first`, node by node; both have the same nodes."""
+    ends = np.r_[np.where(first.node[1:] != first.node[:-1], full + 1, first.start[1:]), full + 1] if len(first.node) else first.start
+    low = np.where(first.slope == 1, first.start + first.value, first.value)
+    high = np.where(first.slope == 1, ends - 1 + first.value, first.value)
+    place = second.node * (full + 1) + second.start
+    begin = np.searchsorted(place, first.node * (full + 1) + low, side="right") - 1
+    count = np.searchsorted(place, first.node * (full + 1) + high, side="right") - begin
+    row = np.repeat(np.arange(len(count)), count)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    hit = begin[row] + offset
+    start = np.where(offset == 0, first.start[row], second.start[hit] - first.value[row])
+    value = second.value[hit] + np.where(second.slope[hit] == 1, first.value[row], 0)
+    return Maps(first.node[row], start, first.slope[row] & second.slope[hit], value).merged()
+
+
+def composed(maps: Maps, nodes: int, full: int) -> Maps:
+    """All nodes' functions one after the other, as a tree of pairs."""
+    while nodes > 1:
+        paired = maps.node < nodes - nodes % 2
+        even, odd = maps.at(paired & (maps.node % 2 == 0)), maps.at(paired & (maps.node % 2 == 1))
+        even.node, odd.node = even.node // 2, odd.node // 2
+        rest, joined = maps.at(~paired), _after(even, odd, full)
+        rest.node = rest.node // 2
+        maps = Maps(*(np.concatenate([getattr(joined, f), getattr(rest, f)]) for f in ("node", "start", "slope", "value")))
+        nodes = (nodes + 1) // 2
+    return maps
+
+
+def bucket_map(refill: np.ndarray, cost: np.ndarray, full: int) -> Maps:
+    """The level after all rows from the level before them. Rows before the last that finds the bucket full whatever came
+    before do not matter."""
+    sure = np.flatnonzero(refill >= full)
+    first = int(sure[-1]) if len(sure) else 0
+    step = max(1, min(BLOCK_ROWS, 2**62 // (full + 1)))
+    whole = None
+    for i in range(first, len(refill), step):
+        part = slice(i, i + step)
+        block = composed(bucket_maps(refill[part], cost[part], full), len(refill[part]), full)
+        whole = block if whole is None else _after(whole, block, full)
+    return whole
+
+
 # ---- state-carrying folds ---------------------------------------------------------------------
 
 def token_bucket(rate: int | str, burst: int | str, us: str = "us", cost: str | None = None) -> Fold:
     """Token bucket with integer rate (tokens per second) and burst; a denied row takes nothing.
 
     Levels are exact integers in millionths of a token. `rate`, `burst` and `cost` may name columns
-    (constant per key for the first two). The state is (level, time).
+    (constant per key for the first two). The state is (level, time). A chunk's summary is the map from the level that
+    its first row finds to the level that its last row leaves.
     """
 
     def numbers(rows: Rows) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -502,43 +585,42 @@ def token_bucket(rate: int | str, burst: int | str, us: str = "us", cost: str |
         b = int(rows[burst][0]) if isinstance(burst, str) else burst
         return t, c, r, b * MICROS
 
-    def play(rows: Rows, entry: list[int]) -> tuple[np.ndarray, list[int], bool]:
+    def replay(rows: Rows, entry: list[int]) -> Rows:
         t, c, r, full = numbers(rows)
         level, at = (entry[0], entry[1]) if entry else (full, int(t[0]))
         allowed = np.zeros(len(t), dtype=bool)
-        capped = False
         for i, (ti, ci) in enumerate(zip(t.tolist(), c.tolist())):
             level += (ti - at) * r
             at = ti
-            if level >= full:
-                level, capped = full, True
+            if level > full:
+                level = full
             if level >= ci:
                 level -= ci
                 allowed[i] = True
-        return allowed, [level, at], capped
-
-    def summarize(rows: Rows, run: list[int]) -> list[int]:
-        _, state, capped = play(rows, run)
-        t, _, r, full = numbers(rows)
-        return [*state, int(capped and bool(run)), int(t[0]), r, full]
-
-    def follow(summary: list[int], run: list[int], state: list[int]) -> tuple[list[int], bool]:
-        level, at, capped, first, r, full = summary
-        if run == state:
-            return [level, at], True
-        if capped or not state:
-            return [level, at], False
-        # Without a full bucket the level keeps its fraction of a token: shift it by the difference.
-        began = min(full, run[0] + (first - run[1]) * r) if run else full
-        begins = min(full, state[0] + (first - state[1]) * r)
-        return [level - level % MICROS + (level + begins - began) % MICROS, at], False
+        return {"allowed": allowed}
 
-    def replay(rows: Rows, entry: list[int]) -> Rows:
-        return {"allowed": play(rows, entry)[0]}
+    def summarize(rows: Rows) -> list[int]:
+        t, c, r, full = numbers(rows)
+        pause = np.minimum(np.diff(t, prepend=t[0]), full // r + 1) if r else np.zeros(len(t), np.int64)
+        found = bucket_map(np.minimum(pause * r, full), c, full)
+        return [int(t[0]), int(t[-1]), r, full, *found.start.tolist(), *found.slope.tolist(), *found.value.tolist()]
+
+    def follow(summary: list[int], state: list[int]) -> list[int]:
+        first, last, r, full = summary[:4]
+        k = (len(summary) - 4) // 3
+        start, slope, value = (summary[4 + i * k:4 + (i + 1) * k] for i in range(3))
+        level = min(full, state[0] + (first - state[1]) * r) if state else full
+        at = int(np.searchsorted(start, level, side="right")) - 1
+        return [level * slope[at] + value[at], last]
 
     named = [c for c in (rate, burst, cost) if isinstance(c, str)]
-    return Fold([us, *named], summarize, follow, replay, T.StructType([T.StructField("allowed", T.BooleanType())]),
-                one_walk=False)
+    return Fold([us, *named], summarize, follow, replay, T.StructType([T.StructField("allowed", T.BooleanType())]))
+
+
+def _exits(play: Callable[[Rows, list[int]], tuple[np.ndarray, list[int]]], forgets: Callable[[Rows], bool], inputs: list[str], output: str) -> Fold:
+    """A fold whose chunks say whether they forget their entry."""
+    return Fold(inputs, lambda rows: [int(forgets(rows)), *play(rows, [])[1]], lambda summary, state: summary[1:],
+                lambda rows, entry: {output: play(rows, entry)[0]}, T.StructType([T.StructField(output, T.BooleanType())]), run=lambda rows, entry: play(rows, entry)[1])
 
 
 def sliding_window(window_us: int, limit: int | str, us: str = "us") -> Fold:
@@ -547,33 +629,47 @@ def sliding_window(window_us: int, limit: int | str, us: str = "us") -> Fold:
     Denied rows are not recorded. The state is the times of the admitted rows still in the window.
     """
 
+    def most_of(rows: Rows) -> int:
+        return int(rows[limit][0]) if isinstance(limit, str) else limit
+
     def play(rows: Rows, entry: list[int]) -> tuple[np.ndarray, list[int]]:
-        t = rows[us].astype(np.int64, copy=False)
-        most = int(rows[limit][0]) if isinstance(limit, str) else limit
+        t, most = rows[us].astype(np.int64, copy=False), most_of(rows)
         admitted = list(entry)
-        head = 0
+        head, i = 0, 0
         allowed = np.zeros(len(t), dtype=bool)
-        for i, ti in enumerate(t.tolist()):
-            while head < len(admitted) and admitted[head] < ti - window_us:
+        while i < len(t):
+            while head < len(admitted) and admitted[head] < t[i] - window_us:
                 head += 1
-            if len(admitted) - head < most:
-                admitted.append(ti)
-                allowed[i] = True
-        return allowed, admitted[head:]
-
-    def follow(summary: list[int], run: list[int], state: list[int]) -> tuple[list[int], bool]:
-        return summary, run == state
+            room = most - (len(admitted) - head)
+            if room > 0:  # so many rows are admitted whatever leaves meanwhile
+                allowed[i:i + room] = True
+                admitted += t[i:i + room].tolist()
+                i += room
+            elif most <= 0:
+                break
+            else:  # none before the oldest leaves
+                i = max(i + 1, int(np.searchsorted(t, admitted[head] + window_us, side="right")))
+        last = int(t[-1])
+        return allowed, [x for x in admitted[head:] if x >= last - window_us]
+
+    def forgets(rows: Rows) -> bool:
+        t = rows[us].astype(np.int64, copy=False)
+        if most_of(rows) <= 0:
+            return True
+        place = np.arange(len(t))
+        begin = np.searchsorted(t, t - window_us, side="left")  # first row of each trailing window
+        # sure to be admitted: no entry reaches the window, and it has fewer arrivals than the limit
+        sure = (t >= t[0] + window_us) & (place - begin < most_of(rows))
+        unsure = np.maximum.accumulate(np.where(sure, -1, place))
+        return bool((begin > unsure).any())
 
-    named = [limit] if isinstance(limit, str) else []
-    return Fold([us, *named], lambda rows, run: play(rows, run)[1], follow,
-                lambda rows, entry: {"allowed": play(rows, entry)[0]},
-                T.StructType([T.StructField("allowed", T.BooleanType())]), one_walk=False)
+    return _exits(play, forgets, [us, *([limit] if isinstance(limit, str) else [])], "allowed")
 
 
 def spacing_with_quota(gap_us: int, window_us: int, quota: int, us: str = "us") -> Fold:
     """Greedy spacing that also admits at most `quota` rows per trailing window (strictly younger ones count).
 
-    Where so many spaced rows never fit into a window, spacing alone decides, in one walk.
+    Where so many spaced rows never fit into a window, spacing alone decides.
     """
     if gap_us * quota >= window_us:
         spaced = spacing(gap_us, us)
@@ -581,24 +677,45 @@ def spacing_with_quota(gap_us: int, window_us: int, quota: int, us: str = "us")
                     T.StructType([T.StructField("kept", T.BooleanType())]))
 
     def play(rows: Rows, entry: list[int]) -> tuple[np.ndarray, list[int]]:
+        t = rows[us].astype(np.int64, copy=False)
         admitted = list(entry)
-        head = 0
-        kept = np.zeros(len(rows[us]), dtype=bool)
-        for i, ti in enumerate(rows[us].astype(np.int64, copy=False).tolist()):
-            while head < len(admitted) and admitted[head] <= ti - window_us:
+        head, i = 0, 0
+        kept = np.zeros(len(t), dtype=bool)
+        while i < len(t):
+            now = int(t[i])
+            while head < len(admitted) and admitted[head] <= now - window_us:
                 head += 1
-            spaced = not admitted or ti - admitted[-1] >= gap_us
-            if spaced and len(admitted) - head < quota:
-                admitted.append(ti)
+            if admitted and now - admitted[-1] < gap_us:
+                i = max(i + 1, int(np.searchsorted(t, admitted[-1] + gap_us, side="left")))
+            elif len(admitted) - head < quota:
+                admitted.append(now)
                 kept[i] = True
-        keep_from = min(head, max(len(admitted) - 1, 0))
-        return kept, admitted[keep_from:]
-
-    def follow(summary: list[int], run: list[int], state: list[int]) -> tuple[list[int], bool]:
-        return summary, run == state
+                i += 1
+            elif quota <= 0:
+                break
+            else:
+                i = max(i + 1, int(np.searchsorted(t, admitted[head] + window_us, side="left")))
+        last = int(t[-1])
+        left = [x for x in admitted[head:] if x > last - window_us]
+        return kept, left or admitted[-1:]
 
-    return Fold([us], lambda rows, run: play(rows, run)[1], follow, lambda rows, entry: {"kept": play(rows, entry)[0]},
-                T.StructType([T.StructField("kept", T.BooleanType())]), one_walk=False)
+    def forgets(rows: Rows) -> bool:
+        t = rows[us].astype(np.int64, copy=False)
+        n, place = len(t), np.arange(len(t))
+        pause = np.diff(t, prepend=t[0])
+        if quota <= 0 or (pause >= max(gap_us, window_us)).any():  # such a row is kept, and nothing else counts any more
+            return True
+        # kept whatever came before: after a pause, with a window that no entry reaches and fewer arrivals than the quota.
+        # From there on spacing alone decides while windows have fewer arrivals, and one window later the state is known.
+        begin = np.searchsorted(t, t - window_us, side="right")
+        open_ = (place - begin < quota) & (t >= t[0] + window_us)
+        known = np.flatnonzero(open_ & (pause >= gap_us))
+        closed = np.r_[np.flatnonzero(~open_), n]
+        until = closed[np.searchsorted(closed, known)]
+        settled = np.searchsorted(t, t[known] + window_us, side="left")
+        return bool((settled < until).any())
+
+    return _exits(play, forgets, [us], "kept")
 
 
 # ---- previous row of a key --------------------------------------------------------------------

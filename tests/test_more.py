@@ -109,13 +109,25 @@ def test_deltas_over_batches(spark):
     assert rows(got) == rows(want)
 
 
-def test_quantiles_with_heavy_value(spark):
+def test_quantiles_with_heavy_value(spark, monkeypatch):
+    monkeypatch.setattr(running, "CHUNK_VALUES", 50)
     df = spark.range(999).select(F.expr("case when id % 3 = 0 then 7.0D else cast(id as double) end").alias("x"))
-    got = running.exact_quantiles(df, [], "x", [0.0, 0.25, 0.5, 0.95, 1.0], chunks=8).collect()[0]
+    got = running.exact_quantiles(df, [], "x", [0.0, 0.25, 0.5, 0.95, 1.0]).collect()[0]
     want = np.quantile([r["x"] for r in df.collect()], [0.0, 0.25, 0.5, 0.95, 1.0])
     assert np.allclose(list(got), want)
 
 
+def test_ranges_hold_few_values(spark, monkeypatch):
+    """The ranges of a key grow with its values, and none holds much more than its share of them."""
+    monkeypatch.setattr(running, "CHUNK_VALUES", 100)
+    df = spark.range(6000).select(F.expr("case when id % 10 < 8 then 'a' else 'b' end").alias("k"), (F.col("id") * 37 % 5003).alias("x"))
+    found = running.value_chunks(running.value_counts(df, ["k"], "x"), ["k"], "x")
+    spans = sorted((r["k"], r["_chunk"], r["low"], r["high"], r["n"]) for r in found.groupBy("k", "_chunk").agg(
+        F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).collect())
+    assert len(spans) > 40 and max(s[-1] for s in spans) < 400
+    assert all(a[0] != b[0] or a[3] < b[2] for a, b in zip(spans, spans[1:]))
+
+
 def test_oversample_neighbours(spark):
     rng = np.random.default_rng(0)
     data = [(i, float(x), float(y), int(i < 30)) for i, (x, y) in enumerate(rng.normal(size=(200, 2)))]

@@ -1,8 +1,8 @@
 """Distributed running sums and exact order statistics over values of any skew.
 
 Values are first reduced to (value, counts); equal values, however frequent, become one row. The
-distinct values are cut into chunks at approximate quantiles, sums run inside each chunk, and the
-sums of earlier chunks are added. Nothing is sorted in one task.
+distinct values are range-partitioned, sums run inside each range, and the sums of earlier ranges
+are added. Nothing is sorted in one task.
 """
 
 from __future__ import annotations
@@ -10,28 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small_side, written
+from ..session import written
 
-LEAST_CHUNKS, CHUNK_VALUES = 64, 250_000
+LEAST_CHUNKS, CHUNK_VALUES = 8, 250_000
 
 
 def value_chunks(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Adds `_chunk`, growing with the value, from approximate quantiles of the distinct values per key.
+    """Adds `_chunk`, growing with the value within a key: the range of (keys, value) that a row lies in.
 
-    The counts are written once. A chunk holds about CHUNK_VALUES distinct values of the key that has most of them,
-    so the number of chunks grows with the data.
+    Spark samples the ranges, and a row's range is the partition it is in, so no row is compared with the bounds of
+    all. The counts are written once before and the ranges once after, so both are the same whenever they are read. A
+    range holds about CHUNK_VALUES distinct values, so their number grows with the data.
     """
     counts = written(counts, "values")
-    most = counts.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    chunks = max(LEAST_CHUNKS, -(-most // CHUNK_VALUES))
-    probs = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
-    bounds = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, max(1000, 16 * chunks)).alias("_bounds"))
-    if keys:
-        joined = counts.join(small_side(bounds), keys)
-    else:
-        joined = counts.withColumn("_bounds", F.lit(bounds.first()["_bounds"] or []).cast("array<double>"))
-    chunk = F.size(F.filter("_bounds", lambda b: b <= F.col(value))).cast("bigint")
-    return joined.withColumn("_chunk", chunk).drop("_bounds")
+    chunks = max(LEAST_CHUNKS, -(-counts.count() // CHUNK_VALUES))
+    ranged = counts.repartitionByRange(chunks, *keys, value)
+    return written(ranged.withColumn("_chunk", F.spark_partition_id().cast("bigint")), "value-ranges")
 
 
 def running_sums(rows: DataFrame, keys: list[str], order: str, columns: list[str], descending: bool = False) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import r6
+from ..operators.windows import key_counts
 from ..session import fresh_path
 from ..sources import events as src
 from ..sources import messages
-from ..streaming import stateful, windows
+from ..streaming import sketches, stateful, windows
 from .base import ORACLES, SIZES, ctes, greedy, query
 from .base import r6 as q6
 from .alerting import SETTINGS, model_opinion
@@ -39,6 +40,27 @@ def stream_windows(spark, sf_dir):
                     r6("entropy_src_ip").alias("entropy_src_ip"), r6("syn_ratio").alias("syn_ratio"))
 
 
+@query("stream_sketches", ctes("features") + """
+    SELECT window_size, window_start, total_packets, total_flows, TRUE AS distinct_within, TRUE AS entropy_within, TRUE AS top_within FROM features""")
+def stream_sketches(spark, sf_dir):
+    """Windows from bounded summaries of 64 keys, and whether each is within its stated error of the exact windows."""
+    flows = flow_stream(spark, sf_dir)
+    job = sketches.SketchedWindows(fresh_path(spark, "stream-sketches"), SIZES, counters=64)
+    job.run(flows)
+    totals, found = job.windows(flows)
+    exact = key_counts(src.flows(spark, sf_dir), SIZES)
+    weight = F.col("weight").cast("double")
+    sums = exact.groupBy(*KEY, "dim").agg(F.count("*").alias("keys"), (F.log2(F.sum(weight)) - F.sum(weight * F.log2(weight)) / F.sum(weight)).alias("entropy"))
+    listed = found.select(*KEY, "dim", "missed", F.explode("counters").alias("c")).select(*KEY, "dim", "c.*")
+    placed = exact.withColumnRenamed("weight", "true_weight").join(listed, [*KEY, "dim", "key"], "left").join(found.select(*KEY, "dim", "missed"), [*KEY, "dim"])
+    low = F.coalesce("weight", F.lit(0))
+    right = placed.groupBy(*KEY).agg(F.bool_and((F.col("true_weight") >= low) & (F.col("true_weight") <= low + F.col("missed"))).alias("top_within"))
+    judged = found.join(sums, [*KEY, "dim"]).groupBy(*KEY).agg(
+        F.bool_and(F.abs(F.col("unique") - F.col("keys")) <= 0.05 * F.col("keys")).alias("distinct_within"),
+        F.bool_and(F.col("entropy").between(F.col("entropy_low") - 1e-9, F.col("entropy_high") + 1e-9)).alias("entropy_within"))
+    return totals.join(judged, KEY).join(right, KEY).select(*KEY, "total_packets", "total_flows", "distinct_within", "entropy_within", "top_within")
+
+
 @query("stream_detect", ORACLES["threshold_alerts"])
 def stream_detect(spark, sf_dir):
     d = windows.Detector(spark, fresh_path(spark, "stream-detect"), SIZES, settings=SCALED)

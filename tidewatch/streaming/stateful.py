@@ -159,7 +159,8 @@ def closed_sessions(packets: DataFrame, tie: str, folder: str, s: FlowSettings =
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows that came after the watermark and were dropped, over the progress that the query still holds."""
+    """Rows that came after the watermark and were dropped, over the progress that the query still holds (its last
+    hundred batches; `batches.LateRows` counts all)."""
     return sum(o.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for o in p["stateOperators"])
 
 

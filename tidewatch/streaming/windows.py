@@ -18,10 +18,12 @@ from ..operators import detect, ensemble, metrics, rolling
 from ..operators.alerts import throttle
 from ..operators.windows import ALL, DIMENSIONS, assemble, common_bucket, from_level, level_rows, measured, total_aggregates
 from ..sources.messages import for_each_batch, to_messages
+from .batches import BatchTable
 
 KEYS = ["bucket", "dim", "key"]
 START_OF_TIME = -(1 << 40)
 LAST_BATCH = 1 << 30
+COMPACT_EVERY = 32
 
 
 def first_level(flows: DataFrame, seconds: int, dims: list[str], lateness: str = "60 seconds") -> DataFrame:
@@ -32,11 +34,16 @@ def first_level(flows: DataFrame, seconds: int, dims: list[str], lateness: str =
     return out.withColumn("bucket", F.unix_seconds(F.col("win.start"))).drop("win")
 
 
-def upsert(path: str):
-    """foreachBatch handler: the batch's rows under `batch=N`, replaced when the batch is repeated."""
+def upsert(path: str, every: int | None = None):
+    """foreachBatch handler: the batch's rows under `batch=N`, replaced when the batch is repeated; every so many batches
+    only the newest version of each row is kept."""
+    every = every or COMPACT_EVERY
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        table = BatchTable(rows.sparkSession, path)
+        table.write(rows, batch)
+        if batch % every == every - 1:
+            table.compact(lambda found: latest(found, KEYS))
 
     return write
 
@@ -60,7 +67,7 @@ def run_windows(flows: DataFrame, path: str, checkpoint: str, sizes: list[int],
     stream = first_level(flows, common_bucket(sizes), dims, lateness)
     query = for_each_batch(stream, upsert(path), checkpoint, "update")
     query.awaitTermination()
-    return latest(flows.sparkSession.read.parquet(path), KEYS)
+    return latest(BatchTable(flows.sparkSession, path).read(), KEYS)
 
 
 def first_hit_window_stream(flows: DataFrame, seconds: int, offset_seconds: int, lateness: str = "60 seconds") -> DataFrame:
@@ -77,9 +84,9 @@ class Detector:
     the entropy vote and, with `model` (adds `ml_is_attack` and `ml_confidence` to window rows), the model's vote make a
     verdict by `strategy`; verdicts pass the throttle; admitted ones become alert messages and metric rows.
 
-    What a batch reads does not grow with the batches before it: the first level is stored by day and pruned to the days
-    that the closing windows need, and the last windows of every size and the last admitted verdicts are carried from
-    batch to batch as small tables. Every output is a partition per batch, so a repeated batch replaces what it wrote.
+    What a batch reads does not grow with the batches before it: the first level is stored by day, compacted every
+    COMPACT_EVERY batches and pruned to the days that the closing windows need; the last windows of every size, the last
+    admitted verdicts and how far the batch before has judged are carried from batch to batch as small tables. Every output is a partition per batch, so a repeated batch replaces what it wrote.
     """
 
     def __init__(self, spark: SparkSession, folder: str, sizes: list[int], dims: list[str] | None = None,
@@ -100,12 +107,15 @@ class Detector:
             self._judge(LAST_BATCH, START_OF_TIME, everything=True)
 
     def table(self, name: str) -> DataFrame:
-        """An output: level, windows, alerts, verdicts (with `kept`), messages or metrics."""
+        """An output: windows, alerts, verdicts (with `kept`), messages or metrics."""
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def alert_rows(self) -> DataFrame:
         return self.table("alerts")
 
+    def _level(self) -> BatchTable:
+        return BatchTable(self.spark, f"{self.folder}/level", ("day",))
+
     def _write(self, rows: DataFrame, name: str, batch: int) -> DataFrame:
         path = f"{self.folder}/{name}/batch={batch}"
         rows.write.mode("overwrite").parquet(path)
@@ -115,8 +125,10 @@ class Detector:
         return None if mark is None else self.spark.read.parquet(f"{self.folder}/{name}/batch={mark['mark']}")
 
     def _batch(self, rows: DataFrame, batch: int) -> None:
-        daily = rows.withColumn("day", F.expr("bucket div 86400"))
-        daily.write.mode("overwrite").partitionBy("day").parquet(f"{self.folder}/level/batch={batch}")
+        level = self._level()
+        level.write(rows.withColumn("day", F.expr("bucket div 86400")), batch)
+        if batch % COMPACT_EVERY == COMPACT_EVERY - 1:
+            level.compact(lambda found: latest(found, [*KEYS, "day"]))
         newest = rows.agg(F.coalesce(F.max("bucket"), F.lit(START_OF_TIME))).first()[0]
         self._judge(batch, newest, everything=False)
 
@@ -129,7 +141,7 @@ class Detector:
         largest, base = max(self.sizes), common_bucket(self.sizes)
         closed = max(before, newest + base + largest if everything else newest - self.lateness)
         end = F.col("window_start") + F.col("window_size")
-        stored = self.table("level").filter((F.col("day") >= (before - largest) // 86400) & (F.col("bucket") >= before - largest))
+        stored = self._level().read().filter((F.col("day") >= (before - largest) // 86400) & (F.col("bucket") >= before - largest))
         level = latest(stored.drop("day"), KEYS)
         closing = self._write(windows_from(level, self.sizes, self.dims).filter((end > before) & (end <= closed)), "windows", batch)
         earlier = self._carried("recent", mark)
@@ -174,11 +186,5 @@ class Detector:
 
     def _last_mark(self, batch: int) -> Row | None:
         """How far the batch before has judged (one stored row per batch)."""
-        if not _exists(self.spark, f"{self.folder}/marks"):
-            return None
-        return self.table("marks").filter(F.col("mark") < batch).orderBy(F.desc("mark")).first()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+        before = BatchTable(self.spark, f"{self.folder}/marks").last_before(batch)
+        return None if before is None else self.spark.read.parquet(f"{self.folder}/marks/batch={before}").first()

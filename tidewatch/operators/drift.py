@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DriftSettings
 from ..session import side_by_side
@@ -20,6 +23,32 @@ def two_sample_counts(reference: DataFrame, current: DataFrame, features: list[s
         F.count_if(~F.col("_cur")).alias("a"), F.count_if("_cur").alias("b"))
 
 
+#: Up to so many rows on the larger side the p-value is exact, above it is the limit for many.
+EXACT_ROWS = 10_000
+
+
+def inside_share(distance: int, n: int, m: int) -> float:
+    """The share of the lattice paths from (0, 0) to (n, m) on which |i * m - j * n| stays below `distance`.
+
+    Each diagonal of the lattice follows from the one before; a point's share is that of the paths up to it.
+    """
+    i = np.arange(n + 1)
+    share = (i == 0).astype(float) * (distance > 0)
+    for k in range(1, n + m + 1):
+        j = k - i
+        from_left = np.r_[0.0, share[:-1]] * (i / k)
+        share = from_left + share * (np.clip(j, 0, None) / k)
+        share[(j < 0) | (j > m) | (np.abs(i * m - j * n) >= distance)] = 0.0
+    return float(share[n])
+
+
+@F.pandas_udf(T.DoubleType())
+def exact_p_value(statistic: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    """Chance of a two-sample statistic at least as large where both sides have one distribution without ties."""
+    sides = zip(statistic, n.astype(int), m.astype(int))
+    return pd.Series([min(1.0, max(0.0, 1.0 - inside_share(round(d * a * b), a, b))) for d, a, b in sides], dtype="float64")
+
+
 def p_value(statistic: Column, n: Column, m: Column, terms: int = 60) -> Column:
     """Asymptotic Kolmogorov distribution of the two-sample statistic (accurate for large samples)."""
     z = F.sqrt(n * m / (n + m)) * statistic
@@ -29,9 +58,18 @@ def p_value(statistic: Column, n: Column, m: Column, terms: int = 60) -> Column:
 
 
 def covariate_shift(reference: DataFrame, current: DataFrame, features: list[str],
-                    s: DriftSettings = DriftSettings()) -> DataFrame:
+                    s: DriftSettings = DriftSettings(), exact_rows: int = EXACT_ROWS) -> DataFrame:
     """KS statistic, p-value, Wasserstein distance and severity per feature."""
-    counts = value_chunks(two_sample_counts(reference, current, features), ["feature"], "value")
+    return shift_of_counts(two_sample_counts(reference, current, features), s, exact_rows)
+
+
+def shift_of_counts(two_samples: DataFrame, s: DriftSettings = DriftSettings(), exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """`covariate_shift` from (feature, value, a, b); with rows on one side only a feature has no statistic.
+
+    The p-value is exact for features with at most `exact_rows` rows on each side: one row a feature goes through
+    Python. For larger ones it is the asymptotic series.
+    """
+    counts = value_chunks(two_samples, ["feature"], "value")
     ranked = running_sums(counts, ["feature"], "value", ["a", "b"])
     # The value after this one: the next in the chunk, or the smallest of the following chunk.
     heads = counts.groupBy("feature", "_chunk").agg(F.min("value").alias("_head"))
@@ -39,17 +77,21 @@ def covariate_shift(reference: DataFrame, current: DataFrame, features: list[str
     inside = Window.partitionBy("feature", "_chunk").orderBy("value")
     rows = ranked.withColumn("_lead", F.lead("value").over(inside)).join(follow, ["feature", "_chunk"])
     gap = F.coalesce(F.coalesce("_lead", "_next") - F.col("value"), F.lit(0.0))
-    distance = F.abs(F.col("cum_a") / F.col("all_a") - F.col("cum_b") / F.col("all_b"))
+    distance = F.abs(F.try_divide("cum_a", "all_a") - F.try_divide("cum_b", "all_b"))
     out = rows.groupBy("feature").agg(
         F.max(distance).alias("ks_statistic"), F.sum(distance * gap).alias("wasserstein"),
         F.max("all_a").cast("double").alias("_n"), F.max("all_b").cast("double").alias("_m"))
-    return out.select("feature", "ks_statistic", p_value(F.col("ks_statistic"), F.col("_n"), F.col("_m")).alias("p_value"),
-                      "wasserstein", (F.col("ks_statistic") > s.ks_threshold).alias("drifted"),
+    series = p_value(F.col("ks_statistic"), F.col("_n"), F.col("_m"))
+    if exact_rows:  # both branches of a Python function are computed, so other features go in as empty ones
+        few = (F.greatest("_n", "_m") <= exact_rows) & (F.least("_n", "_m") > 0)
+        own = [F.when(few, F.col(c)).otherwise(F.lit(0.0)) for c in ("ks_statistic", "_n", "_m")]
+        series = F.when(few, exact_p_value(*own)).otherwise(series)
+    return out.select("feature", "ks_statistic", series.alias("p_value"), "wasserstein", (F.col("ks_statistic") > s.ks_threshold).alias("drifted"),
                       drift_severity(F.col("ks_statistic"), s).alias("severity"))
 
 
 def drift_severity(ks: Column, s: DriftSettings = DriftSettings()) -> Column:
-    return F.when(ks < s.low, "low").when(ks < s.medium, "medium").otherwise("high")
+    return F.when(ks < s.low, "low").when(ks < s.medium, "medium").when(ks.isNotNull(), "high")
 
 
 def degradation(current: DataFrame, reference: DataFrame, s: DriftSettings = DriftSettings()) -> DataFrame:

@@ -322,6 +322,15 @@ def grid_search(pipeline: Pipeline, label: str, grid: dict[str, list], folds: in
                           seed=seed, parallelism=parallelism)
 
 
+def without_summary(model: PipelineModel) -> PipelineModel:
+    """The model without what it remembers of its training: a forest's summary holds the training frame, and would travel
+    with every scoring task."""
+    for stage in model.stages:
+        if getattr(stage, "hasSummary", False):
+            stage._java_obj.setSummary(SparkSession.getActiveSession()._jvm.scala.Option.empty())
+    return model
+
+
 def attack_probability(scored: DataFrame, name: str = "attack_probability") -> DataFrame:
     return scored.withColumn(name, vector_to_array("probability")[1])
 
@@ -348,7 +357,7 @@ def importances(model: PipelineModel, features: list[str], spark: SparkSession)
 
 def save_model(model: PipelineModel, features: list[str], path: str, spark: SparkSession, stats: dict | None = None) -> None:
     """Scaler and model in one pipeline, with a one-row metadata table beside it."""
-    model.write().overwrite().save(f"{path}/model")
+    without_summary(model).write().overwrite().save(f"{path}/model")
     meta = spark.createDataFrame([(features, json.dumps(stats or {}))], "features array<string>, statistics string")
     meta.write.mode("overwrite").json(f"{path}/metadata")
 

@@ -252,9 +252,10 @@ DRIFT = {"l": " UNION ALL ".join(f"SELECT us >= {MIDDLE}000000 AS cur, '{c}' AS
 
 
 def shift(spark, sf_dir):
+    """With the asymptotic p-value at every size, as the SQL has it."""
     f = src.flows(spark, sf_dir)
     edge = F.timestamp_seconds(F.lit(MIDDLE))
-    return drift.covariate_shift(f.filter(F.col("ts") < edge), f.filter(F.col("ts") >= edge), COLUMNS)
+    return drift.covariate_shift(f.filter(F.col("ts") < edge), f.filter(F.col("ts") >= edge), COLUMNS, exact_rows=0)
 
 
 @query("ks_drift", ctes("flows", extra={**DRIFT, "k": "SELECT feature, max(abs(ca - cb)) AS ks FROM c GROUP BY 1"}) + f"""
@@ -385,6 +386,17 @@ def drift_p_values(spark, sf_dir):
     return shift(spark, sf_dir).select("feature", r6("p_value").alias("p_value"))
 
 
+@query("user_drift")
+def user_drift(spark, sf_dir):
+    """Each user's packets before and after the middle: two small samples a user, so with the exact p-value."""
+    f = src.flows(spark, sf_dir)
+    late = F.col("ts") >= F.timestamp_seconds(F.lit(MIDDLE))
+    counts = f.groupBy(F.col("user_id").cast("string").alias("feature"), F.col("packets").cast("double").alias("value")).agg(
+        F.count_if(~late).alias("a"), F.count_if(late).alias("b"))
+    found = drift.shift_of_counts(counts).where("ks_statistic is not null")
+    return found.select("feature", r6("ks_statistic").alias("ks_statistic"), r6("p_value").alias("p_value"), "drifted")
+
+
 @query("window_gauges", ctes("features") + f"""
     SELECT window_size, {q6('arg_max(pps, window_start)')} AS pps, {q6('arg_max(entropy_src_ip, window_start)')} AS entropy FROM features GROUP BY 1""")
 def window_gauges(spark, sf_dir):

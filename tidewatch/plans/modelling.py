@@ -139,7 +139,7 @@ def rf_grid_search(spark, sf_dir):
     """Five folds over a part of FOREST_GRID; the whole grid of 90 fits takes too long for a test table."""
     rows = written(frame(spark, sf_dir))
     search = ml.grid_search(ml.random_forest(NAMES, "label", trees=20), "label", {"maxDepth": [5, 10], "minInstancesPerNode": [2, 10]})
-    scored = ml.attack_probability(search.fit(rows).bestModel.transform(rows))
+    scored = ml.attack_probability(ml.without_summary(search.fit(rows).bestModel).transform(rows))
     return scored.groupBy("label").agg(F.count("*").alias("rows"), r6(F.avg("attack_probability")).alias("mean_probability"))
 
 

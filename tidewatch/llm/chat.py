@@ -35,12 +35,20 @@ def text_part(text: Column) -> Column:
                             F.lit(None).cast("bigint").alias("tokens"))).cast(PARTS)
 
 
-def visit(part: Column) -> Column:
-    """A part's share of the body: the placeholder of an attachment, else its escaped text."""
-    shown = escape(F.coalesce(part["text"], F.lit("")))
-    for kind, mark in PLACEHOLDERS.items():
-        shown = F.when(part["kind"] == kind, F.lit(mark)).otherwise(shown)
-    return shown
+def visited(parts: Column) -> Column:
+    """The body of a turn: its parts in order, attachments as placeholders. Adjacent texts are joined before they are
+    escaped, so that a control string that is split over them is escaped as well; no control string reaches over a
+    placeholder."""
+    def visit(state: Column, part: Column) -> Column:
+        mark = F.lit(None).cast("string")
+        for kind, shown in PLACEHOLDERS.items():
+            mark = F.when(part["kind"] == kind, F.lit(shown)).otherwise(mark)
+        text = F.concat(state["text"], F.coalesce(part["text"], F.lit("")))
+        return F.when(mark.isNull(), F.struct(state["body"].alias("body"), text.alias("text"))).otherwise(
+            F.struct(F.concat(state["body"], escape(state["text"]), mark).alias("body"), F.lit("").alias("text")))
+
+    nothing = F.struct(F.lit("").alias("body"), F.lit("").alias("text"))
+    return F.aggregate(parts, nothing, visit, lambda s: F.concat(s["body"], escape(s["text"])))
 
 
 def expanded_tokens(part: Column, tokens: Mapping[str, int]) -> Column:
@@ -56,8 +64,8 @@ def format_conversations(rows: DataFrame, *, conv_col: str = "conv_id", turn_col
     """One row per conversation: conv_id, n_turns, formatted, attachments, expanded_tokens.
 
     A turn is `<s>`, its role, `[INST]`, its body, `[/INST]`; a learned (assistant) turn is `<s>`, its role, `[/INST]`,
-    its body, `</s>`. The visitor turns text parts into escaped text and image, audio and document parts into
-    placeholders, in order; `attachments` holds turn, ordinal in the conversation, kind, ref and tokens of each.
+    its body, `</s>`. The visitor turns runs of text parts into escaped text and image, audio and document parts
+    into placeholders, in order; `attachments` holds turn, ordinal in the conversation, kind, ref and tokens of each.
     Parts of other kinds are text. Turns come by turn, then role, then body, nulls first; equal rows are turns of their
     own. Null parts, part lists or texts are empty, a null role is ''; rows without conversation id are one
     conversation. A conversation is one row of the result and so is put together in one place.
@@ -65,7 +73,7 @@ def format_conversations(rows: DataFrame, *, conv_col: str = "conv_id", turn_col
     parts = F.filter(F.coalesce(F.col(parts_col).cast(PARTS), F.array().cast(PARTS)), lambda p: p.isNotNull())
     files = F.filter(parts, lambda p: p["kind"].isin(*PLACEHOLDERS))
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"),
-                    F.array_join(F.transform(parts, visit), "").alias("body"),
+                    visited(parts).alias("body"),
                     F.transform(files, lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), expanded_tokens(p, tokens).alias("tokens"))).alias("files"))
     grouped = rows.select(F.col(conv_col).alias("conv_id"), turn.alias("turn")).groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
 

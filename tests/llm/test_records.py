@@ -83,6 +83,26 @@ class TestChat:
                 len(turns), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text[c]))
             assert text[c].count("<s>") == len(turns)
 
+    def test_control_strings_split_over_parts(self, spark):
+        """Texts cut anywhere into parts read back whole, as one turn each, and attachments keep their placeholder."""
+        rng, rows, want = random.Random(7), [], {}
+        for c in range(60):
+            whole = "".join(rng.choice([h for h in self.HARD if h]) for _ in range(4))
+            cuts = sorted(rng.randrange(len(whole) + 1) for _ in range(5))
+            parts = [("text", whole[a:b], None, None) for a, b in zip([0, *cuts], [*cuts, len(whole)], strict=True)]
+            rows += [(c, 0, "user", parts), (c, 1, "assistant", [*parts, ("image", None, "x", None), *parts])]
+            want[c] = whole
+        rows += [(1000, 0, "user", [("text", "<", None, None), ("text", "s>x", None, None)])]
+        kind = "conv_id long, turn long, role string, parts array<struct<kind string, text string, ref string, tokens long>>"
+        formatted = chat.format_conversations(spark.createDataFrame(rows, kind))
+        found = formatted.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"))
+        for r in found.collect():
+            if r.conv_id == 1000:
+                assert [t.text for t in r.turns] == ["<s>x"] and r.formatted.count("<s>") == 1
+                continue
+            whole = want[r.conv_id]
+            assert [t.text for t in r.turns] == [whole, f"{whole}<image>{whole}"] and r.formatted.count("<s>") == 2
+
     def test_parts(self, spark):
         part = T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("tokens", T.LongType())])
         schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("parts", T.ArrayType(part))])

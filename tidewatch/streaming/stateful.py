@@ -105,7 +105,7 @@ def session_stream(packets: DataFrame, tie: str, s: FlowSettings = FlowSettings(
             entry = [int(v) for v in earlier[:3]] if earlier else []
             told = fold.replay(cols, entry)
             begins = np.flatnonzero(np.r_[True, (np.diff(told["session_us"]) != 0) | (np.diff(told["session_part"]) != 0)])
-            after, _ = fold.follow(fold.summarize(cols, entry), entry, entry)
+            after = fold.follow(fold.summarize(cols), entry)
             forward, flags = told["forward"], cols["flags"]
             counted = [forward, np.where(forward, cols["length"], 0), ~forward, np.where(forward, 0, cols["length"]),
                        *[(flags & mask) == mask for mask in (SYN, SYN_ACK, RST, FIN)]]

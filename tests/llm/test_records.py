@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -224,6 +225,34 @@ class TestSearch:
         found = Counter(r.query_id for r in got if r.vec_id in {i for i, _ in want[r.query_id]})
         assert len(got) == 20 * len(want) and sum(found.values()) >= 0.9 * len(got)
 
+    @pytest.mark.parametrize("norms", ["normal", "lognormal", "outlier", "huge"])
+    def test_graph_recall_on_skewed_norms(self, spark, norms):
+        rng = np.random.RandomState(5)
+        plain = rng.randn(4000, 48)
+        unit = plain / np.linalg.norm(plain, axis=1, keepdims=True)
+        factor = np.ones((4000, 1))
+        if norms == "lognormal":
+            factor = np.exp(1.5 * rng.randn(4000, 1))
+        elif norms in ("outlier", "huge"):
+            factor[7] = 3000 if norms == "outlier" else 1e150
+        vectors = plain if norms == "normal" else unit * factor
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+        got = graph_search.graph_search(df, df.where("vec_id % 50 = 0"), shard_rows=2500).collect()
+        want = best(dict(enumerate(vectors)), range(0, 4000, 50), 20)
+        found = sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got)
+        assert len(got) == 20 * len(want) and found >= 0.9 * len(got)
+
+    def test_graph_skips_bands(self):
+        """Bands whose norms allow no product among the best are not asked."""
+        rng = np.random.RandomState(6)
+        vectors = rng.randn(1200, 8)
+        vectors *= np.where(np.arange(1200) < 600, 100, 0.01)[:, None] / np.linalg.norm(vectors, axis=1, keepdims=True)
+        index = graph_search._index(pd.DataFrame({"vec_id": np.arange(1200), "vec": list(vectors), "shard": 0}))
+        asked = pd.DataFrame({"vec_id": [3, 5], "vec": [vectors[3], vectors[5]]})
+        assert len(index) == 2
+        whole, upper = (graph_search._ask(x, asked, 20) for x in (index, index.nlargest(1, "top")))
+        assert whole.equals(upper)
+
     def test_graph_empty(self, spark):
         df = spark.createDataFrame([], VECTORS)
         assert graph_search.graph_search(df, df).count() == 0

@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours: a robust-pruned directed graph per shard, searched by beam."""
+"""Approximate nearest neighbours: robust-pruned directed graphs per shard and band of norms, searched by beam."""
 
 from __future__ import annotations
 
@@ -17,7 +17,9 @@ DEGREE, SLACK = 32, 44
 BUILD_BEAM, QUERY_BEAM, WIDTH = 64, 144, 4
 ALPHA = 1.2
 CHUNK = 256
-INDEX = "shard int, nodes int, dims int, vectors binary, graph binary, start int, ids binary, ends binary"
+#: Norms of the vectors of one graph differ by at most this factor.
+BAND = 1.1
+INDEX = "shard int, top double, nodes int, dims int, vectors binary, graph binary, start int, ids binary, ends binary"
 
 
 class Graph:
@@ -133,17 +135,34 @@ def lifted(vectors: np.ndarray) -> np.ndarray:
     return np.hstack([vectors, np.sqrt(np.maximum(squares.max(initial=0) - squares, 0))[:, None]])
 
 
+def log_norms(vectors: np.ndarray) -> np.ndarray:
+    """Logarithms of the norms, -inf for zero; neither large nor small components overflow."""
+    most = np.abs(vectors).max(axis=1, initial=0)
+    unit = vectors / np.where(most > 0, most, 1)[:, None]
+    with np.errstate(divide="ignore"):
+        return np.log(most) + np.log(np.sqrt(np.einsum("nd,nd->n", unit, unit)))
+
+
 def _index(rows: pd.DataFrame) -> pd.DataFrame:
-    """Graph over the distinct vectors of a shard; equal vectors are one node with their ids in order."""
+    """Graphs over the distinct vectors of a shard, one for each band of similar norms; equal vectors are one node with
+    their ids in order. `top` is the logarithm of a band's largest norm."""
     rows = rows.sort_values("vec_id")
+    ids = rows["vec_id"].to_numpy(np.int64)
     vectors, node = np.unique(stack(list(rows["vec"])).astype(float), axis=0, return_inverse=True)
-    order = np.argsort(node.ravel(), kind="stable")
-    ends = np.cumsum(np.bincount(node.ravel(), minlength=len(vectors)))
-    scale = np.abs(vectors).max(initial=0) or 1.0
-    graph = build_graph(lifted(vectors / scale))
-    return pd.DataFrame([{
-        "shard": int(rows["shard"].iloc[0]), "nodes": len(vectors), "dims": vectors.shape[1], "vectors": vectors.tobytes(), "graph": graph.edges.tobytes(),
-        "start": graph.start, "ids": rows["vec_id"].to_numpy(np.int64)[order].tobytes(), "ends": ends.astype(np.int64).tobytes()}])
+    node, norms = node.ravel(), log_norms(vectors)
+    band = np.floor((norms.max() - norms) / np.log(BAND)).astype(np.int64)
+    out = []
+    for b in np.unique(band):
+        own = band == b
+        held, place = vectors[own], np.cumsum(own) - 1
+        mine = own[node]
+        at = place[node[mine]]
+        scale = np.abs(held).max(initial=0) or 1.0
+        graph = build_graph(lifted(held / scale))
+        out.append({"shard": int(rows["shard"].iloc[0]), "top": float(norms[own].max()), "nodes": len(held), "dims": held.shape[1], "vectors": held.tobytes(),
+                    "graph": graph.edges.tobytes(), "start": graph.start, "ids": ids[mine][np.argsort(at, kind="stable")].tobytes(),
+                    "ends": np.cumsum(np.bincount(at, minlength=len(held))).astype(np.int64).tobytes()})
+    return pd.DataFrame(out)
 
 
 def build_index(vectors: DataFrame, rows: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
@@ -153,33 +172,58 @@ def build_index(vectors: DataFrame, rows: int, shard_rows: int = SHARD_ROWS) ->
     return written(dealt.groupBy("shard").applyInPandas(_index, INDEX), "graph-index"), n_shards
 
 
+class Band:
+    """One graph of the index, ready to be asked."""
+
+    def __init__(self, row):
+        self.vectors = np.frombuffer(row.vectors).reshape(row.nodes, row.dims)
+        self.ids, self.ends, self.top = np.frombuffer(row.ids, np.int64), np.frombuffer(row.ends, np.int64), row.top
+        self.begins = np.r_[0, self.ends[:-1]]
+        scale = np.abs(self.vectors).max(initial=0) or 1.0
+        self.graph = Graph(lifted(self.vectors / scale), np.frombuffer(row.graph, np.int32).reshape(-1, SLACK), int(row.start))
+
+    def found(self, queries: np.ndarray, size: int) -> np.ndarray:
+        """Nodes near each query by beam; all of them where a beam could hold them all."""
+        if len(self.vectors) <= size:
+            return np.tile(np.arange(len(self.vectors)), (len(queries), 1))
+        length = np.linalg.norm(queries, axis=1, keepdims=True)
+        flat = np.hstack([queries / np.where(length > 0, length, 1), np.zeros((len(queries), 1))]).astype(np.float32)
+        return self.graph.beam(flat, size)[0]
+
+    def members(self, nodes: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the nodes' vectors; of equal vectors only the k + 1 smallest ids can be among the k best."""
+        scores = np.einsum("nd,d->n", self.vectors[nodes], query)
+        ids = [self.ids[b:min(e, b + k + 1)] for b, e in zip(self.begins[nodes], self.ends[nodes], strict=True)]
+        near, score = np.concatenate(ids), np.repeat(scores, [len(x) for x in ids])
+        return near[near != own], score[near != own]
+
+
 def _ask(index: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best of a shard for each query. Bands are asked from the largest norms down, and a query is done once the
+    largest product that a band's norms allow is below its k-th score."""
     out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
     if len(index) and len(queries):
-        shard = index.iloc[0]
-        vectors = np.frombuffer(shard.vectors).reshape(shard.nodes, shard.dims)
-        ids, ends = np.frombuffer(shard.ids, np.int64), np.frombuffer(shard.ends, np.int64)
-        scale = np.abs(vectors).max(initial=0) or 1.0
-        graph = Graph(lifted(vectors / scale), np.frombuffer(shard.graph, np.int32).reshape(-1, SLACK), int(shard.start))
-        asked = stack(list(queries["vec"]), int(shard.dims)).astype(float)
-        own = queries["vec_id"].to_numpy(np.int64)
-        begins = np.r_[0, ends[:-1]]
+        bands = [Band(row) for row in index.sort_values("top", ascending=False).itertuples()]
+        asked = stack(list(queries["vec"]), int(index["dims"].iloc[0])).astype(float)
+        own, lengths = queries["vec_id"].to_numpy(np.int64), log_norms(asked)
         for i in range(0, len(asked), CHUNK):
-            some = asked[i:i + CHUNK]
-            length = np.linalg.norm(some, axis=1, keepdims=True)
-            flat = np.hstack([some / np.where(length > 0, length, 1), np.zeros((len(some), 1))]).astype(np.float32)
-            found, _ = graph.beam(flat, max(QUERY_BEAM, k + 1))
-            for j, nodes in enumerate(found):
-                nodes = nodes[nodes >= 0]
-                scores = np.einsum("nd,d->n", vectors[nodes], some[j])
-                # of equal vectors only the k + 1 smallest ids can be among the k best
-                members = [ids[b:min(e, b + k + 1)] for b, e in zip(begins[nodes], ends[nodes], strict=True)]
-                near, score = np.concatenate(members), np.repeat(scores, [len(x) for x in members])
-                near, score = near[near != own[i + j]], score[near != own[i + j]]
-                best = np.lexsort((near, -score))[:k]
-                out["query_id"].append(np.full(len(best), own[i + j]))
-                out["vec_id"].append(near[best])
-                out["score"].append(score[best])
+            places = np.arange(i, min(i + CHUNK, len(asked)))
+            best = {p: (np.zeros(0, np.int64), np.zeros(0)) for p in places}
+            for band in bands:
+                with np.errstate(over="ignore"):
+                    bound = np.exp(lengths[places] + band.top) * (1 + 1e-9)
+                last = np.array([best[p][1][-1] if len(best[p][1]) == k else -np.inf for p in places])
+                places = places[~(bound < last)]
+                if not len(places):
+                    break
+                for p, nodes in zip(places, band.found(asked[places], max(QUERY_BEAM, k + 1)), strict=True):
+                    near, score = (np.concatenate(x) for x in zip(best[p], band.members(nodes[nodes >= 0], asked[p], own[p], k), strict=True))
+                    first = np.lexsort((near, -score))[:k]
+                    best[p] = near[first], score[first]
+            for p, (near, score) in best.items():
+                out["query_id"].append(np.full(len(near), own[p]))
+                out["vec_id"].append(near)
+                out["score"].append(score)
     return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()})
 
 
@@ -194,7 +238,8 @@ def graph_search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_i
                  shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The `k` rows of largest inner product found for each query: query_id, rank, vec_id, score.
 
-    Every usable row of `vectors` is a node of its shard's graph, and every query searches every shard. A query's own
+    Every usable row of `vectors` is a node of a graph of its shard, one for each band of norms within a factor BAND,
+    and every query searches every shard, band by band as far as norms allow a product among its best. A query's own
     id is no candidate of it, ties go to the smaller id, scores are inner products of the original vectors in doubles.
     Rows without id, and vectors that are null, empty, zero or hold null or non-finite components, take no part; of
     rows with the same id the smallest vector stands; a shorter vector ends in zeros. Empty tables give no rows.

@@ -141,59 +141,81 @@ def paragraph_classes(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return components(links).select(F.col("node").alias("linked"), F.col("component").alias("class"))
 
 
+REACH = SURE_WORDS - LEAST_WORDS
+
+
+def _outward(hashes: np.ndarray, start: np.ndarray, right: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The words beside each passage, from it outward, REACH of them or to the end of the text: (hashes, how many)."""
+    step = np.arange(1, REACH + 1)
+    at = start[:, None] + (LEAST_WORDS - 1 + step if right else -step)
+    inside = (at >= 0) & (at < len(hashes))
+    return hashes[at[inside]], inside.sum(axis=1)
+
+
 def contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(longer, doc_id, text_key, start, off) of the asked passages (want_id, want_text, pieces): a hash of each passage
-    made longer by 1 to SURE_WORDS - LEAST_WORDS words on one side; `off` is their number, below 0 to the left."""
+    """(key, side, whole, near, context, doc_id, text_key, start) of the asked passages (want_id, want_text, pieces): the
+    words beside a passage on one side, if any, as 8 bytes each; `whole` names (key, side, context), `near` its first word."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     same = F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.xxhash64("text") == F.col("want_text"))
     rows = docs.join(growing(asked), same).select("doc_id", F.col("want_text").alias("text_key"), "text", "pieces")
-    base, side = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, (text, pieces) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 hashes = words(text)[2]
-                start = np.array([p["start"] for p in pieces], np.int64)
-                key = np.array([p["key"] for p in pieces], np.int64).view(np.uint64)
-                out = []
-                for wanted, sign in ((np.array([p["left"] for p in pieces], bool), -1), (np.array([p["right"] for p in pieces], bool), 1)):
-                    at, total = start[wanted], key[wanted] + side * np.uint64(sign + 2)
-                    for off in range(1, SURE_WORDS - LEAST_WORDS + 1):
-                        next_word = at - off if sign < 0 else at + LEAST_WORDS + off - 1
-                        inside = (next_word >= 0) & (next_word < len(hashes))
-                        at, total = at[inside], (total[inside] ^ hashes[next_word[inside]]) * base
-                        total ^= total >> np.uint64(32)
-                        out.append((total.view(np.int64), at, np.full(len(at), sign * off)))
-                longer, at, off = (np.concatenate(x) for x in zip(*out, strict=True))
-                one = pa.array(np.full(len(longer), i))
-                yield pa.record_batch({"longer": pa.array(longer), "doc_id": batch.column(0).take(one), "text_key": batch.column(1).take(one),
-                                       "start": pa.array(at.astype(np.int32)), "off": pa.array(off.astype(np.int32))})
-    return rows.mapInArrow(run, f"longer bigint, doc_id {kind}, text_key bigint, start int, off int")
+                for side in ("left", "right"):
+                    some = [p for p in pieces if p[side]]
+                    start = np.array([p["start"] for p in some], np.int64)
+                    found, size = _outward(hashes, start, side == "right")
+                    has = size > 0
+                    data, ends = found.tobytes(), np.r_[0, np.cumsum(size[has]) * 8]
+                    one = pa.array(np.full(int(has.sum()), i))
+                    yield pa.record_batch({
+                        "key": pa.array(np.array([p["key"] for p in some], np.int64)[has]), "side": pa.array([side] * len(one), pa.string()),
+                        "context": pa.array([data[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
+                        "doc_id": batch.column(0).take(one), "text_key": batch.column(1).take(one), "start": pa.array(start[has].astype(np.int32))})
+    found = rows.mapInArrow(run, f"key bigint, side string, context binary, doc_id {kind}, text_key bigint, start int")
+    return found.select("key", "side", F.xxhash64("key", "side", "context").alias("whole"), F.xxhash64("key", "side", F.substring("context", 1, 8)).alias("near"),
+                        "context", "doc_id", "text_key", "start")
 
 
 def extended(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """`anchors` (doc_id, text_key, start, key, original) with two more columns, left and right: by how many words, up to
-    SURE_WORDS - LEAST_WORDS, the passage can be made longer so that another document has it too and, if it is not an
-    original, an earlier place has it. A side that other passages of the document cover is left as it is."""
-    reach = SURE_WORDS - LEAST_WORDS
+    REACH, the passage can be made longer so that another document has it too and, if it is not an original, an earlier
+    place has it. A side that other passages of the document cover is left as it is.
+
+    Places with the same words beside them are one row before the beginnings of these words are compared, and words that
+    no other document begins with are not compared further.
+    """
     placed = Window.partitionBy("doc_id", "text_key", "original").orderBy("start")
-    covered = {"left": placed.rangeBetween(-LEAST_WORDS, -reach), "right": placed.rangeBetween(reach, LEAST_WORDS)}
+    covered = {"left": placed.rangeBetween(-LEAST_WORDS, -REACH), "right": placed.rangeBetween(REACH, LEAST_WORDS)}
     bare = anchors.select("key", *[(F.count(F.lit(1)).over(w) == 0).alias(side) for side, w in covered.items()])
     # all places of a passage are needed if one of them is to be made longer
     needed = written(bare.groupBy("key").agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left or right"), "passage-ends")
     pieces = anchors.join(growing(needed), "key").groupBy(F.col("doc_id").alias("want_id"), F.col("text_key").alias("want_text")).agg(
         F.collect_set(F.struct("start", "key", "left", "right")).alias("pieces"))
     found = written(contexts(docs, written(pieces, "passage-pieces")), "passage-contexts")
-    place = F.struct("doc_id", "text_key", "start")
-    shared = found.groupBy("longer").agg(F.min(place).alias("earliest"), F.max(F.struct("doc_id", "text_key")).alias("last"))
-    shared = shared.where("not (earliest.doc_id <=> last.doc_id and earliest.text_key = last.text_key)").select(F.col("longer").alias("of"), "earliest")
-    held = found.join(growing(written(shared, "passage-longer")), F.col("longer") == F.col("of"))
-    later = ~place.eqNullSafe(F.col("earliest"))
-    most = {f"{side}_{name}": F.coalesce(F.max(F.when(cond & (F.col("off") * sign > 0), F.col("off") * sign)), F.lit(0))
-            for side, sign in (("left", -1), ("right", 1)) for name, cond in (("any", F.lit(True)), ("later", later))}
-    most = held.groupBy(F.col("doc_id").alias("at_id"), F.col("text_key").alias("at_text"), F.col("start").alias("at_start")).agg(*[c.alias(n) for n, c in most.items()])
+    place, doc = F.struct("doc_id", "text_key", "start"), F.struct("doc_id", "text_key")
+    several = "not (earliest.doc_id <=> last.doc_id and earliest.text_key = last.text_key)"
+    distinct = found.groupBy("whole").agg(F.min(place).alias("earliest"), F.max(doc).alias("last"), *[F.first(c).alias(c) for c in ("key", "side", "near", "context")])
+    distinct = written(distinct, "passage-sides")
+    begun = distinct.groupBy("near").agg(F.min("earliest").alias("earliest"), F.max("last").alias("last")).where(several).select("near")
+    held = written(distinct.join(growing(written(begun, "passage-begun")), "near").drop("near"), "passage-held")
+    grown = held.select("whole", "earliest", "last", "key", "side", "context", F.explode(F.expr("sequence(1, int(octet_length(context) div 8))")).alias("off"))
+    grown = grown.select("whole", "earliest", "last", "off", F.xxhash64("key", "side", F.expr("substring(context, 1, 8 * off)")).alias("longer"))
+    shared = grown.groupBy("longer").agg(F.min("earliest").alias("earliest"), F.max("last").alias("last")).where(several)
+    shared = written(shared.select(F.col("longer").alias("of"), F.col("earliest").alias("first")), "passage-longer")
+    # of the places of one whole context all but the earliest are later in any case
+    reach = grown.join(growing(shared), F.col("longer") == F.col("of")).groupBy("whole").agg(
+        F.max("off").alias("any"), F.coalesce(F.max(F.when(~F.col("earliest").eqNullSafe(F.col("first")), F.col("off"))), F.lit(0)).alias("later"),
+        F.first("earliest").alias("earliest"))
+    reach = written(reach.withColumnRenamed("whole", "of"), "passage-reach")
+    ends = found.select("whole", "side", "doc_id", "text_key", "start").join(growing(reach), F.col("whole") == F.col("of"))
+    later = F.when(place.eqNullSafe(F.col("earliest")), F.col("later")).otherwise(F.col("any"))
+    most = ends.groupBy(F.col("doc_id").alias("at_id"), F.col("text_key").alias("at_text"), F.col("start").alias("at_start")).agg(
+        *[F.max(F.when(F.col("side") == side, c)).alias(f"{side}_{name}") for side in ("left", "right") for name, c in (("any", F.col("any")), ("later", later))])
     same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_text")) & (F.col("start") == F.col("at_start"))
-    joined = anchors.join(growing(written(most, "passage-reach")), same, "left")
+    joined = anchors.join(growing(written(most, "passage-most")), same, "left")
     return joined.select(*anchors.columns, *[F.coalesce(F.when(F.col("original"), F.col(f"{side}_any")).otherwise(F.col(f"{side}_later")), F.lit(0)).alias(side)
                                              for side in ("left", "right")])
 

@@ -25,6 +25,17 @@ def growing(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def settled(df: DataFrame, purpose: str) -> DataFrame:
+    """`written`; Spark then removes the shuffle files of the write, which nothing reads any more."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return written(df, purpose)
+    finally:
+        conf.set(name, before)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name like `stem` that no column of `df` has, whatever the case of its letters."""
     taken, name = {c.lower() for c in df.columns}, stem

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -11,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import growing, read_table, written
+from .common import growing, read_table, settled
 from .components import components
-from .shingles import segment_min_hashes, window_hashes, words
+from .shingles import mixed, segment_min_hashes, window_hashes, words
 from .tiles import tiled_members, verified_links
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -22,6 +21,8 @@ BAND_ROWS, RECALL = 3, 0.999
 LEAST_WORDS = 32
 #: Every run of at least so many words that two documents share holds a passage that both select.
 SURE_WORDS = 50
+#: By so many words a passage is made longer on a side.
+REACH = SURE_WORDS - LEAST_WORDS
 UNIT = "array<struct<start: int, words: int, key: bigint, size: int, bands: array<bigint>>>"
 
 
@@ -30,12 +31,10 @@ def tuned_bands(percent: int = PERCENT, rows: int = BAND_ROWS, recall: float = R
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** rows)))
 
 
-def selected(hashes: np.ndarray, length: int, sure: int) -> np.ndarray:
-    """Begins of the passages of `length` words with the least hash among all that lie in some run of `sure` words
-    (the last of equals), so equal runs of that many words select equal passages."""
-    found = window_hashes(hashes, length)
-    width = sure - length + 1
-    if len(hashes) < length:
+def selected(found: np.ndarray, width: int) -> np.ndarray:
+    """Places of the least hashes (the last of equals) of all runs of `width` in `found`, the hashes of all passages of a
+    text, so equal runs select equal passages."""
+    if not len(found):
         return np.zeros(0, np.int64)
     if len(found) <= width:
         return np.array([len(found) - 1 - int(np.argmin(found[::-1]))])
@@ -58,46 +57,83 @@ def _paragraphs(text: str, begin: np.ndarray) -> list[np.ndarray]:
     return [x[x[:, 1] - x[:, 0] >= SHINGLE_WORDS] for x in (lines, blocks)]
 
 
-def _units(text: str | None, bands: int) -> tuple[list, tuple[np.ndarray, np.ndarray]]:
-    """Paragraphs (start, words, key, size, bands), and (starts, keys) of the selected passages."""
+def _min_hashes(found: np.ndarray, lines: np.ndarray, blocks: np.ndarray, n: int) -> list[np.ndarray]:
+    """Rows of `n` MinHash values of the lines and of the blocks. Shingles are hashed once: a block is made of its lines
+    and of what lies between them."""
+    ends = [np.stack([r[:, 0], r[:, 1] - SHINGLE_WORDS + 1]) for r in (lines, blocks)]
+    cuts = np.unique(np.concatenate(ends, axis=1))
+    if not len(cuts):
+        return [np.zeros((0, n), np.uint32)] * 2
+    opened = np.zeros(len(cuts), np.int64)
+    for x in ends:
+        np.add.at(opened, np.searchsorted(cuts, x[0]), 1)
+        np.add.at(opened, np.searchsorted(cuts, x[1]), -1)
+    held = np.flatnonzero(np.cumsum(opened) > 0)
+    least = np.full((len(cuts), n), 0xFFFFFFFF, np.uint32)
+    least[held] = segment_min_hashes(found, cuts[held], cuts[held + 1], n)
+    return [np.minimum.reduceat(least, np.searchsorted(cuts, x).T.ravel(), axis=0)[::2] if x.size else least[:0] for x in ends]
+
+
+def _set_keys(found: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a hash, the size) of the set of shingles of each of the disjoint ranges of words."""
+    size = ranges[:, 1] - ranges[:, 0] - SHINGLE_WORDS + 1
+    owner = np.repeat(np.arange(len(ranges)), size)
+    values = found[np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(ranges[:, 0], size)]
+    order = np.lexsort((values, owner))
+    owner, values = owner[order], values[order]
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])]
+    owner, values = owner[new], values[new]
+    begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    total = np.add.reduceat(mixed(values ^ np.uint64(0x9E3779B97F4A7C15)), begin)
+    count = np.diff(np.r_[begin, len(owner)])
+    return mixed(total + count.astype(np.uint64)).view(np.int64), count
+
+
+def _units(text: str | None, bands: int) -> tuple[list[tuple], tuple[np.ndarray, np.ndarray]]:
+    """Lines and blocks as arrays (start, words, key, size, bands), and (starts, keys) of the selected passages."""
     if not text:
         return [], (np.zeros(0, np.int64), np.zeros(0, np.int64))
     begin, _, hashes = words(text)
     found = window_hashes(hashes, SHINGLE_WORDS)
+    both = _paragraphs(text, begin)
     paragraphs = []
-    for ranges in _paragraphs(text, begin):
-        values = segment_min_hashes(found, ranges[:, 0], ranges[:, 1] - SHINGLE_WORDS + 1, bands * BAND_ROWS).astype(np.uint64).reshape(len(ranges), bands, BAND_ROWS)
-        name = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(ranges), 1))
-        for i in range(BAND_ROWS):
-            name = (name ^ values[:, :, i]) * np.uint64(0xD6E8FEB86659FD93)
-            name ^= name >> np.uint64(32)
-        for (a, b), named in zip(ranges, name.view(np.int64), strict=True):
-            own = np.unique(found[a:b - SHINGLE_WORDS + 1])
-            key = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
-            paragraphs.append((int(a), int(b - a), key, len(own), named))
-    starts = selected(hashes, LEAST_WORDS, SURE_WORDS)
-    keys = window_hashes(hashes, LEAST_WORDS)[starts].view(np.int64) if len(starts) else np.zeros(0, np.int64)
-    return paragraphs, (starts, keys)
+    name = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for ranges, least in zip(both, _min_hashes(found, *both, bands * BAND_ROWS), strict=True):
+        if len(ranges):
+            values = least.astype(np.uint64).reshape(len(ranges), bands, BAND_ROWS)
+            named = np.tile(name, (len(ranges), 1))
+            for i in range(BAND_ROWS):
+                named = (named ^ values[:, :, i]) * np.uint64(0xD6E8FEB86659FD93)
+                named ^= named >> np.uint64(32)
+            paragraphs.append((ranges[:, 0], ranges[:, 1] - ranges[:, 0], *_set_keys(found, ranges), named.view(np.int64)))
+    passages = window_hashes(hashes, LEAST_WORDS) if len(hashes) >= LEAST_WORDS else hashes[:0]
+    starts = selected(passages, REACH + 1)
+    return paragraphs, (starts, passages[starts].view(np.int64))
+
+
+def _lists(parts: list[np.ndarray], kind: np.dtype) -> pa.ListArray:
+    """One list of a column for each array."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in parts]), pa.int32()), pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind)))
 
 
 def units(docs: DataFrame, bands: int) -> DataFrame:
     """(doc_id, text_key, paragraphs, starts, keys) of rows (doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    struct = pa.struct([("start", pa.int32()), ("words", pa.int32()), ("key", pa.int64()), ("size", pa.int32()), ("bands", pa.list_(pa.int64()))])
+    names = ["start", "words", "key", "size", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             found = [_units(t, bands) for t in at["text"].to_pylist()]
             rows = [p for ps, _ in found for p in ps]
-            flat = pa.StructArray.from_arrays([
-                pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()),
-                pa.array([r[3] for r in rows], pa.int32()), pa.array([r[4] for r in rows], pa.list_(pa.int64()))], fields=list(struct))
+            columns = [np.concatenate([np.zeros(0, k), *[r[i] for r in rows]]).astype(k) for i, k in enumerate((np.int32, np.int32, np.int64, np.int32))]
+            values = np.concatenate([np.zeros((0, bands), np.int64), *[r[4] for r in rows]])
+            banded = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * bands, pa.int32()), pa.array(values.ravel()))
+            flat = pa.StructArray.from_arrays([*map(pa.array, columns), banded], names=names)
             yield pa.record_batch({
                 "doc_id": at["doc_id"], "text_key": at["text_key"],
-                "paragraphs": pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(ps) for ps, _ in found]), pa.int32()), flat),
-                "starts": pa.array([s.astype(np.int32) for _, (s, _) in found], pa.list_(pa.int32())),
-                "keys": pa.array([k for _, (_, k) in found], pa.list_(pa.int64()))})
+                "paragraphs": pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [sum(len(p[0]) for p in ps) for ps, _ in found]), pa.int32()), flat),
+                "starts": _lists([s for _, (s, _) in found], np.int32), "keys": _lists([k for _, (_, k) in found], np.int64)})
 
     rows = docs.withColumn("text_key", F.xxhash64("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, text_key bigint, paragraphs {UNIT}, starts array<int>, keys array<bigint>")
@@ -107,7 +143,7 @@ def paragraph_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(tile, block, node, text) of the wanted paragraphs (want_id, want_text, start, words, tile, block, node). A
     document is shipped once for all its paragraphs."""
     pieces = F.struct("start", "words", "node", "tile", "block")
-    asked = written(wanted.groupBy("want_id", "want_text").agg(F.collect_set(pieces).alias("pieces")), "passage-wanted")
+    asked = settled(wanted.groupBy("want_id", "want_text").agg(F.collect_set(pieces).alias("pieces")), "passage-wanted")
     rows = docs.join(growing(asked), F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.xxhash64("text") == F.col("want_text"))).select("text", "pieces")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,21 +165,18 @@ def paragraph_classes(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(key, class) of distinct paragraphs linked to others: those that share a band are joined up, all pairs of such a
     group are tested by exact Jaccard on whole paragraphs, and classes are the components of the links."""
     nodes = paragraphs.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "start", "words")).alias("named"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    nodes = written(nodes, "passage-nodes")
+    nodes = settled(nodes, "passage-nodes")
     places = nodes.select("key", F.explode("bands").alias("band"))
     shared = places.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("hub")).where("n > 1").drop("n")
-    edges = places.join(growing(written(shared, "passage-bands")), "band").select(F.col("hub").alias("a"), F.col("key").alias("b"))
+    edges = places.join(growing(settled(shared, "passage-bands")), "band").select(F.col("hub").alias("a"), F.col("key").alias("b"))
     groups = components(edges)
     members = groups.join(nodes, F.col("node") == F.col("key")).select("node", F.col("component").alias("group"), F.col("size").cast("long").alias("size"), "named")
     wanted = tiled_members(members).select("tile", "block", "node", F.col("named.doc_id").alias("want_id"), F.col("named.text_key").alias("want_text"),
                                            F.col("named.start").alias("start"), F.col("named.words").alias("words"))
-    links = verified_links(paragraph_texts(docs, wanted), SHINGLE_WORDS, PERCENT)
+    links = settled(verified_links(paragraph_texts(docs, wanted), SHINGLE_WORDS, PERCENT), "passage-links")
     return components(links).select(F.col("node").alias("linked"), F.col("component").alias("class"))
 
 
-REACH = SURE_WORDS - LEAST_WORDS
-
-
 def _outward(hashes: np.ndarray, start: np.ndarray, right: bool) -> tuple[np.ndarray, np.ndarray]:
     """The words beside each passage, from it outward, REACH of them or to the end of the text: (hashes, how many)."""
     step = np.arange(1, REACH + 1)
@@ -161,18 +194,21 @@ def contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (text, pieces) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                hashes = words(text)[2]
+            lists = batch.column(3)
+            ends = lists.offsets.to_numpy()
+            fields = {n: lists.values.field(n).to_numpy(zero_copy_only=False) for n in ("start", "key", "left", "right")}
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                hashes, own = words(text)[2], slice(ends[i], ends[i + 1])
                 for side in ("left", "right"):
-                    some = [p for p in pieces if p[side]]
-                    start = np.array([p["start"] for p in some], np.int64)
+                    some = fields[side][own]
+                    start = fields["start"][own][some].astype(np.int64)
                     found, size = _outward(hashes, start, side == "right")
                     has = size > 0
-                    data, ends = found.tobytes(), np.r_[0, np.cumsum(size[has]) * 8]
+                    bounds = np.r_[0, np.cumsum(size[has]) * 8].astype(np.int32)
                     one = pa.array(np.full(int(has.sum()), i))
                     yield pa.record_batch({
-                        "key": pa.array(np.array([p["key"] for p in some], np.int64)[has]), "side": pa.array([side] * len(one), pa.string()),
-                        "context": pa.array([data[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
+                        "key": pa.array(fields["key"][own][some][has]), "side": pa.array([side] * len(one), pa.string()),
+                        "context": pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(found.tobytes())]),
                         "doc_id": batch.column(0).take(one), "text_key": batch.column(1).take(one), "start": pa.array(start[has].astype(np.int32))})
     found = rows.mapInArrow(run, f"key bigint, side string, context binary, doc_id {kind}, text_key bigint, start int")
     return found.select("key", "side", F.xxhash64("key", "side", "context").alias("whole"), F.xxhash64("key", "side", F.substring("context", 1, 8)).alias("near"),
@@ -191,31 +227,31 @@ def extended(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     covered = {"left": placed.rangeBetween(-LEAST_WORDS, -REACH), "right": placed.rangeBetween(REACH, LEAST_WORDS)}
     bare = anchors.select("key", *[(F.count(F.lit(1)).over(w) == 0).alias(side) for side, w in covered.items()])
     # all places of a passage are needed if one of them is to be made longer
-    needed = written(bare.groupBy("key").agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left or right"), "passage-ends")
+    needed = settled(bare.groupBy("key").agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left or right"), "passage-ends")
     pieces = anchors.join(growing(needed), "key").groupBy(F.col("doc_id").alias("want_id"), F.col("text_key").alias("want_text")).agg(
         F.collect_set(F.struct("start", "key", "left", "right")).alias("pieces"))
-    found = written(contexts(docs, written(pieces, "passage-pieces")), "passage-contexts")
+    found = settled(contexts(docs, settled(pieces, "passage-pieces")), "passage-contexts")
     place, doc = F.struct("doc_id", "text_key", "start"), F.struct("doc_id", "text_key")
     several = "not (earliest.doc_id <=> last.doc_id and earliest.text_key = last.text_key)"
     distinct = found.groupBy("whole").agg(F.min(place).alias("earliest"), F.max(doc).alias("last"), *[F.first(c).alias(c) for c in ("key", "side", "near", "context")])
-    distinct = written(distinct, "passage-sides")
+    distinct = settled(distinct, "passage-sides")
     begun = distinct.groupBy("near").agg(F.min("earliest").alias("earliest"), F.max("last").alias("last")).where(several).select("near")
-    held = written(distinct.join(growing(written(begun, "passage-begun")), "near").drop("near"), "passage-held")
+    held = settled(distinct.join(growing(settled(begun, "passage-begun")), "near").drop("near"), "passage-held")
     grown = held.select("whole", "earliest", "last", "key", "side", "context", F.explode(F.expr("sequence(1, int(octet_length(context) div 8))")).alias("off"))
     grown = grown.select("whole", "earliest", "last", "off", F.xxhash64("key", "side", F.expr("substring(context, 1, 8 * off)")).alias("longer"))
     shared = grown.groupBy("longer").agg(F.min("earliest").alias("earliest"), F.max("last").alias("last")).where(several)
-    shared = written(shared.select(F.col("longer").alias("of"), F.col("earliest").alias("first")), "passage-longer")
+    shared = settled(shared.select(F.col("longer").alias("of"), F.col("earliest").alias("first")), "passage-longer")
     # of the places of one whole context all but the earliest are later in any case
     reach = grown.join(growing(shared), F.col("longer") == F.col("of")).groupBy("whole").agg(
         F.max("off").alias("any"), F.coalesce(F.max(F.when(~F.col("earliest").eqNullSafe(F.col("first")), F.col("off"))), F.lit(0)).alias("later"),
         F.first("earliest").alias("earliest"))
-    reach = written(reach.withColumnRenamed("whole", "of"), "passage-reach")
+    reach = settled(reach.withColumnRenamed("whole", "of"), "passage-reach")
     ends = found.select("whole", "side", "doc_id", "text_key", "start").join(growing(reach), F.col("whole") == F.col("of"))
     later = F.when(place.eqNullSafe(F.col("earliest")), F.col("later")).otherwise(F.col("any"))
     most = ends.groupBy(F.col("doc_id").alias("at_id"), F.col("text_key").alias("at_text"), F.col("start").alias("at_start")).agg(
         *[F.max(F.when(F.col("side") == side, c)).alias(f"{side}_{name}") for side in ("left", "right") for name, c in (("any", F.col("any")), ("later", later))])
     same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_text")) & (F.col("start") == F.col("at_start"))
-    joined = anchors.join(growing(written(most, "passage-most")), same, "left")
+    joined = anchors.join(growing(settled(most, "passage-most")), same, "left")
     return joined.select(*anchors.columns, *[F.coalesce(F.when(F.col("original"), F.col(f"{side}_any")).otherwise(F.col(f"{side}_later")), F.lit(0)).alias(side)
                                              for side in ("left", "right")])
 
@@ -228,7 +264,7 @@ def shared_spans(spans: DataFrame) -> DataFrame:
     several = spread.where("n > 1").where("not (first.doc_id <=> last.doc_id and first.text_key = last.text_key)")
     several = several.select(F.col("class_id").alias("of"), F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_text"),
                              F.col("first.start").alias("first_start"), F.expr("first.start - first.less").alias("first_end"))
-    return spans.join(growing(written(several, "passage-classes")), F.col("class_id") == F.col("of")).drop("of")
+    return spans.join(growing(settled(several, "passage-classes")), F.col("class_id") == F.col("of")).drop("of")
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,7 +284,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     are ordinary, an empty table gives no rows, and other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = written(units(rows, tuned_bands()), "passage-units")
+    found = settled(units(rows, tuned_bands()), "passage-units")
     paragraphs = found.select("doc_id", "text_key", F.explode("paragraphs").alias("p")).select("doc_id", "text_key", "p.*")
     classes = paragraph_classes(rows, paragraphs)
     lines = paragraphs.select("doc_id", "text_key", "start", "words", "key").join(classes, F.col("key") == F.col("linked"), "left")
@@ -259,7 +295,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     runs = found.select("doc_id", "text_key", F.explode(F.arrays_zip("starts", "keys")).alias("p")).select(
         "doc_id", "text_key", F.col("p.starts").alias("start"), F.lit(LEAST_WORDS).alias("words"), F.col("p.keys").alias("class_id"))
     original = in_first & (F.col("start") == F.col("first_start"))
-    anchors = written(shared_spans(runs).withColumn("key", F.col("class_id")).withColumn("original", original), "passage-anchors")
+    anchors = settled(shared_spans(runs).withColumn("key", F.col("class_id")).withColumn("original", original), "passage-anchors")
     # a later place in the first document begins where the first one ends
     begin = F.when(in_first & ~F.col("original"), F.greatest(F.col("start") - F.col("left"), F.col("first_end"))).otherwise(F.col("start") - F.col("left"))
     ended = extended(rows, anchors).withColumn("begin", begin).withColumn("end", F.col("start") + LEAST_WORDS + F.col("right")).where("begin < end")

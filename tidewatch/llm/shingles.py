@@ -24,7 +24,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A hash of each value, one to one."""
     h = (h ^ (h >> np.uint64(30))) * _MIX
     h = (h ^ (h >> np.uint64(27))) * _MIX2
     return h ^ (h >> np.uint64(31))
@@ -41,7 +42,7 @@ def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     up, down = _powers(size)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:len(data)], out=total[1:])
-    return begin, end, _mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    return begin, end, mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
 def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -52,7 +53,7 @@ def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     total = np.full(len(hashes) - length + 1, length, np.uint64)
     for i in range(length):
         total = total * _BASE + hashes[i:len(hashes) - length + 1 + i]
-    return _mixed(total)
+    return mixed(total)
 
 
 def shingle_set(text: str | None, length: int) -> np.ndarray:

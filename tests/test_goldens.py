@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import EnsembleSettings, RedirectSettings, RollingSettings, ThresholdSettings
 from tidewatch.functions import net, numeric, privacy
-from tidewatch.operators import alerts, detect, drift, ensemble, flows, governance, mitigation, rolling, rules, windows
+from tidewatch.operators import alerts, detect, drift, ensemble, flows, governance, metrics, mitigation, rolling, rules, windows
 from tidewatch.schemas import VOTE
 
 T0 = datetime(2024, 1, 1)
@@ -246,3 +246,24 @@ def test_rule_capacity(spark):
 
 def test_settings_are_replaceable():
     assert replace(ThresholdSettings(), pps=1.0).pps == 1.0
+
+
+def test_increase_by_group(spark):
+    """Two counters of a group, one with a restart; a sample at a point's instant counts there, one before its range doesn't."""
+    rows = [("a", 0, 5), ("a", 60, 9), ("a", 150, 2), ("b", 90, 1), ("b", 120, 4), ("c", 10, 7)]
+    samples = spark.createDataFrame([(s, datetime(2024, 1, 1) + timedelta(seconds=t), v, i) for i, (s, t, v) in enumerate(rows)], "s string, ts timestamp, value long, id long")
+    got = metrics.increase_by(samples.withColumn("kind", F.lit("x")), ["s"], ["kind"], 120, 60, ["id"])
+    base = samples.agg(F.min(F.unix_seconds("ts"))).first()[0]
+    # growth: 4 at 60, 3 at 120, 2 at 150 (restart)
+    assert {(r["at"] - base, r.increase) for r in got.collect()} == {(60, 4.0), (120, 7.0), (180, 5.0), (240, 2.0)}
+    with pytest.raises(ValueError):
+        metrics.increase_by(samples, ["s"], [], 100, 60, ["id"])
+
+
+def test_address_tiers(spark):
+    start = datetime(2024, 1, 1)
+    rows = [("10.0.0.1", start, 1, 10**9 * 100, None), ("10.0.0.2", start, 1, 10, "GET")] + [("10.0.0.3", start, 1, 1, "GET")] * 300
+    flows = spark.createDataFrame(rows, "ip_src string, ts timestamp, packets long, bytes long, http_method string")
+    got = {(r.subject, r.metric, r.severity) for r in detect.address_tiers(flows, 1).collect()}
+    assert got == {("10.0.0.1", "bps_per_ip", "critical"), ("10.0.0.3", "http_per_ip", "medium")}
+    assert detect.address_tiers(flows.drop("bytes", "http_method"), 1).count() == 0

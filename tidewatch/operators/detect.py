@@ -78,10 +78,15 @@ def raise_alerts(features: DataFrame, rules: list[Column], s: ThresholdSettings
 
 
 def per_source_rates(flows: DataFrame, seconds: int, ts: str = "ts") -> DataFrame:
-    """Packet and connection rate of every source per window."""
-    grouped = flows.select(bucket_start(micros(ts), seconds).alias("window_start"), "ip_src", weight(flows).alias("w"))
+    """Packet, connection, byte and HTTP request rate of every source per window; null rates without `bytes` or `http_method`."""
+    def amount(name: str, given: Column) -> Column:
+        return (given if name in flows.columns else F.lit(None)).cast("bigint")
+
+    grouped = flows.select(bucket_start(micros(ts), seconds).alias("window_start"), "ip_src", weight(flows).alias("w"),
+                           amount("bytes", F.col("bytes")).alias("bytes"), amount("http_method", F.col("http_method").isNotNull()).alias("http"))
     return grouped.groupBy("window_start", "ip_src").agg(
-        (F.sum("w") / F.lit(float(seconds))).alias("pps"), (F.count("*") / F.lit(float(seconds))).alias("connections"))
+        (F.sum("w") / F.lit(float(seconds))).alias("pps"), (F.count("*") / F.lit(float(seconds))).alias("connections"),
+        *[(F.sum(c) / F.lit(float(seconds))).alias(n) for n, c in (("bps", "bytes"), ("http_rate", "http"))])
 
 
 def per_source_alerts(flows: DataFrame, seconds: int, s: ThresholdSettings = ThresholdSettings()) -> DataFrame:
@@ -195,9 +200,12 @@ def window_tiers(features: DataFrame, tiers: dict[str, dict[str, float]] = TIERS
 
 
 def address_tiers(flows: DataFrame, seconds: int, tiers: dict[str, dict[str, float]] = TIERS, ts: str = "ts") -> DataFrame:
-    """(window_start, subject, metric, severity) of the declared tiers per source address and per /24 subnet."""
-    sources = per_source_rates(flows, seconds, ts).select("window_start", F.col("ip_src").alias("subject"), F.lit("pps_per_ip").alias("metric"),
-                                                          tier_of(F.col("pps"), tiers["pps_per_ip"]).alias("severity"))
+    """(window_start, subject, metric, severity) of the declared tiers per source address (packets, bytes and HTTP
+    requests a second) and per /24 subnet (packets a second)."""
+    found = [F.struct(F.lit(m).alias("metric"), tier_of(F.col(c), tiers[m]).alias("severity"))
+             for m, c in (("pps_per_ip", "pps"), ("bps_per_ip", "bps"), ("http_per_ip", "http_rate"))]
+    sources = per_source_rates(flows, seconds, ts).select("window_start", F.col("ip_src").alias("subject"), F.explode(F.array(*found)).alias("t")).select(
+        "window_start", "subject", "t.*")
     subnets = per_subnet_rates(flows, seconds, ts=ts).select("window_start", F.col("subnet").alias("subject"), F.lit("pps_per_subnet").alias("metric"),
                                                              tier_of(F.col("pps"), tiers["pps_per_subnet"]).alias("severity"))
     return sources.unionByName(subnets).filter(F.col("severity").isNotNull())

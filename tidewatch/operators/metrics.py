@@ -84,6 +84,26 @@ def increase(samples: DataFrame, series: list[str], seconds: int, tie: list[str]
     return summed.withColumn("rate", F.col("increase") / seconds).drop("_step")
 
 
+def increase_by(samples: DataFrame, series: list[str], by: list[str], seconds: int, step_seconds: int, tie: list[str], value: str = "value",
+                ts: str = "ts", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """`by`, at, increase: at every multiple of `step_seconds` the growth of all counters of a group over the `seconds`
+    before it (its own instant included), a fall counting as a restart; points that no growth reaches have no row.
+
+    A sample counts at the few points whose range it lies in, added up before the shuffle, so a group may hold any share
+    of the samples. `step_seconds` must divide `seconds`.
+    """
+    if seconds % step_seconds:
+        raise ValueError("the step must divide the range")
+    timed = samples.withColumn("us", F.unix_micros(F.col(ts).cast("timestamp")))
+    lagged = lag_by_chunks(timed, series, ["us", *tie], [value], chunk_rows=chunk_rows)
+    prev, now = F.col(f"prev_{value}"), F.col(value)
+    grown = lagged.withColumn("_step", F.when(now < prev, now).otherwise(now - prev).cast("double")).where("_step is not null")
+    first = F.expr(f"(us + {step_seconds * MICROS - 1}) div {step_seconds * MICROS}")
+    points = F.sequence(first, first + (seconds // step_seconds - 1))
+    placed = grown.select(*by, "_step", F.explode(points).alias("_point"))
+    return placed.groupBy(*by, (F.col("_point") * step_seconds).alias("at")).agg(F.sum("_step").alias("increase"))
+
+
 def sustained(samples: DataFrame, series: list[str], condition: Column, seconds: int, tie: list[str], ts: str = "ts",
               chunk_seconds: int = 3600) -> DataFrame:
     """Runs of consecutive samples that meet the condition for at least `seconds`."""

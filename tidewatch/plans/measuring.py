@@ -99,6 +99,16 @@ def metric_by_type_1h(spark, sf_dir):
     return a.groupBy("attack_type", F.expr("unix_micros(ts) div 3600000000").alias("hour")).agg(F.count("*").alias("alerts"), F.sum("packets").alias("packets"))
 
 
+@query("metric_actions_increase_1h", ctes("snapshots", extra=RATE) + """
+    SELECT CASE CAST(substr(flow_id, 2) AS BIGINT) % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'rate_limit' ELSE 'notify' END AS action_type,
+      ((us + 899999999) // 900000000 + i) * 900 AS at, sum(step)::DOUBLE AS increase
+    FROM st, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE p IS NOT NULL GROUP BY ALL""")
+def metric_actions_increase_1h(spark, sf_dir):
+    snaps = src.snapshots_from(src.flows(spark, sf_dir)).select("event_id", "flow_id", "ts", F.col("total_packets").alias("value"))
+    kind = F.expr("case cast(substr(flow_id, 2) as bigint) % 3 when 0 then 'block' when 1 then 'rate_limit' else 'notify' end")
+    return metrics.increase_by(snaps.withColumn("action_type", kind), ["flow_id"], ["action_type"], 3600, 900, ["event_id"])
+
+
 @query("metric_topk", ctes("flows", extra={"g": "SELECT user_id, arg_max(packets, (us, event_id)) AS value FROM flows GROUP BY 1"}) + "SELECT user_id, value FROM g ORDER BY value DESC, user_id LIMIT 10")
 def metric_topk(spark, sf_dir):
     f = src.flows(spark, sf_dir).select("user_id", "event_id", "ts", F.col("packets").alias("value"))

@@ -300,7 +300,7 @@ def severity_tiers(spark, sf_dir):
 
 
 SCALES = {"pps": 2e-6, "bps": 1e-7, "fps": 1e-6, "http_rate": 4e-7, "syn_ratio": 0.6, "syn_rate": 5e-6, "udp_ratio": 0.3, "udp_rate": 2e-6,
-          "icmp_ratio": 0.45, "icmp_rate": 5e-6, "pps_per_ip": 5e-7, "pps_per_subnet": 5e-7}
+          "icmp_ratio": 0.45, "icmp_rate": 5e-6, "pps_per_ip": 5e-7, "pps_per_subnet": 5e-7, "bps_per_ip": 5e-9, "http_per_ip": 2.7e-6}
 LADDERS = detect.scaled_tiers(SCALES)
 
 
@@ -330,13 +330,16 @@ def window_tiers(spark, sf_dir):
 
 
 @query("address_tiers", ctes("flows", extra={"r": """
-    SELECT us // 3600000000 * 3600 AS window_start, ip_src, sum(packets) / 3600.0::DOUBLE AS pps FROM flows GROUP BY 1, 2""", "t": f"""
+    SELECT us // 3600000000 * 3600 AS window_start, ip_src, sum(packets) / 3600.0::DOUBLE AS pps, sum(bytes) / 3600.0::DOUBLE AS bps,
+      count(*) FILTER (dport = 80 AND event_id % 4 <> 2) / 3600.0::DOUBLE AS http FROM flows GROUP BY 1, 2""", "t": f"""
     SELECT window_start, ip_src AS subject, 'pps_per_ip' AS metric, {ladder_sql('pps', 'pps_per_ip')} AS rank FROM r
+    UNION ALL SELECT window_start, ip_src, 'bps_per_ip', {ladder_sql('bps', 'bps_per_ip')} FROM r
+    UNION ALL SELECT window_start, ip_src, 'http_per_ip', {ladder_sql('http', 'http_per_ip')} FROM r
     UNION ALL SELECT window_start, subnet, 'pps_per_subnet', {ladder_sql('pps', 'pps_per_subnet')}
       FROM (SELECT window_start, regexp_replace(ip_src, '[0-9]+$', '0/24') AS subnet, sum(pps) AS pps FROM r GROUP BY 1, 2)"""}) + f"""
     SELECT window_start, subject, metric, {severity_sql('rank')} AS severity FROM t WHERE rank IS NOT NULL""")
 def address_tiers(spark, sf_dir):
-    return detect.address_tiers(src.flows(spark, sf_dir), 3600, LADDERS)
+    return detect.address_tiers(with_requests(spark, sf_dir), 3600, LADDERS)
 
 
 @query("declared_tiers", ctes("features", extra={"b": """SELECT window_size, avg(pps) AS m FROM features GROUP BY 1""",

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from ..config import EnsembleSettings
 from ..functions.numeric import r6
 from ..operators import alerts as ops
-from ..operators import detect, ensemble, rolling
+from ..operators import detect, ensemble, rolling, windows
 from ..session import cut_lineage
 from ..sources import events as src
-from .base import ctes, greedy, query
+from .base import SIZES, ctes, greedy, query
 from .base import r6 as q6
 from .windows import ALERT_SQL, KEY, RULES, SCALED, alert_columns, features, raised, stored
 
@@ -157,6 +157,18 @@ def attack_alerts(spark, sf_dir):
     return ops.attack_alerts(ops.at_least(src.alerts(spark, sf_dir), "high")).select("alert_id", "title", "severity", "description")
 
 
+@query("alert_records", ctes("ranked") + """
+    SELECT window_size || '/' || window_start AS alert_id, string_agg(key, ',' ORDER BY rank) FILTER (dim = 'src_ip' AND rank <= 20) AS source_ips,
+      string_agg(key, ',' ORDER BY rank) FILTER (dim = 'dst_ip' AND rank <= 20) AS target_ips, CAST(window_size AS VARCHAR) AS seconds FROM ranked GROUP BY window_size, window_start""")
+def alert_records(spark, sf_dir):
+    f = windows.traffic_features(src.flows(spark, sf_dir), SIZES, top=30)
+    a = f.select(F.concat_ws("/", "window_size", "window_start").alias("alert_id"), detect.top_addresses(f, "src", 30).alias("source_ips"),
+                 detect.top_addresses(f, "dst", 30).alias("target_ips"), "window_size")
+    r = ops.to_records(a)
+    return r.select("alert_id", F.array_join("source_ips", ",").alias("source_ips"), F.array_join("target_ips", ",").alias("target_ips"),
+                    F.col("details")["window_size"].alias("seconds"))
+
+
 @query("inhibited_alerts", ctes("alerts", extra={"t": "SELECT *, us // 14400000000 AS b FROM alerts"}) + """
     SELECT alert_id, attack_type, severity FROM t WHERE NOT EXISTS (SELECT 1 FROM t s WHERE s.attack_type = t.attack_type AND s.b = t.b
       AND ((s.severity = 'critical' AND t.severity = 'high') OR (s.severity = 'high' AND t.severity = 'medium')))""")

@@ -99,6 +99,24 @@ def metric_by_type_1h(spark, sf_dir):
     return a.groupBy("attack_type", F.expr("unix_micros(ts) div 3600000000").alias("hour")).agg(F.count("*").alias("alerts"), F.sum("packets").alias("packets"))
 
 
+@query("operator_counters", ctes("flows") + """
+    SELECT count(*) AS rows, count(*) FILTER (packets <= 50) AS allowed, count(*) FILTER (packets > 50) AS limited, count(*) FILTER (dport = 0) AS errors FROM flows""")
+def operator_counters(spark, sf_dir):
+    over = F.col("packets") > 50
+    rows, seen = metrics.observed(src.flows(spark, sf_dir), "limiter", {"allowed": ~over, "limited": over, "errors": F.col("dport") == 0})
+    rows.filter(~over).write.format("noop").mode("overwrite").save()  # counted while the rows go on to their sink
+    return spark.createDataFrame([seen.get], "rows bigint, allowed bigint, limited bigint, errors bigint")
+
+
+@query("reference_snapshot", ctes("flows") + """
+    SELECT event_id, packets, bytes, (SELECT count(*)::DOUBLE FROM flows WHERE is_attack = 0) AS normal_rows FROM flows WHERE is_attack = 0""")
+def reference_snapshot(spark, sf_dir):
+    normal, path = src.flows(spark, sf_dir).filter("is_attack = 0"), fresh_path(spark, "reference")
+    drift.reference_snapshot(normal, ["event_id", "packets", "bytes"], normal.agg(F.count("*").cast("double").alias("normal_rows")), path)
+    kept = spark.read.parquet(f"{path}/features")
+    return kept.withColumn("normal_rows", F.lit(spark.read.parquet(f"{path}/metrics").first()[0]))
+
+
 @query("metric_actions_increase_1h", ctes("snapshots", extra=RATE) + """
     SELECT CASE CAST(substr(flow_id, 2) AS BIGINT) % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'rate_limit' ELSE 'notify' END AS action_type,
       ((us + 899999999) // 900000000 + i) * 900 AS at, sum(step)::DOUBLE AS increase

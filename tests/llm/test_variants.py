@@ -161,7 +161,7 @@ def suffix_cases():
 
 
 class TestSuffixDedup:
-    @pytest.mark.parametrize("setting", [{}, {"HOT_CONTEXTS": 3}, {"GROUP_ROWS": 5, "STRINGS": 50, "BATCH_BYTES": 3000, "PIECE_BYTES": 500}])
+    @pytest.mark.parametrize("setting", [{}, {"HOT_CONTEXTS": 3}, {"GROUP_ROWS": 5, "GROUP_BYTES": 700, "STRINGS": 50, "BATCH_BYTES": 3000, "PIECE_BYTES": 500}])
     def test_against_plain(self, spark, monkeypatch, setting):
         for name, value in setting.items():
             monkeypatch.setattr(repeats, name, value)

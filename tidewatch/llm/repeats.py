@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,8 @@ from .suffix_sort import Hashed
 LENGTH = 100
 #: Bytes that name an anchor. Every string of LENGTH bytes has one, chosen by its own bytes only.
 GRAM = 40
+#: Bytes that are suffix-sorted at a time, about, where groups allow it.
+GROUP_BYTES = 1 << 19
 PIECE_BYTES, BATCH_BYTES = 1 << 21, 1 << 25
 #: Anchors with so many different surroundings among at most SAMPLE_DOCS documents are dealt string by string. The
 #: sample decides how the work is dealt, never what is found.
@@ -241,6 +244,17 @@ def settled(table: pa.Table, length: int) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x, pa.int64()) for x in (p, a, b - a)], names=["place", "start", "count"])
 
 
+def pieces(table: pa.Table) -> Iterator[pa.Table]:
+    """The table in slices of whole groups with about GROUP_BYTES bytes each; a larger group is one slice."""
+    gram = table.column(0).to_numpy()
+    begin = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    size = pc.binary_length(table.column(4)).to_numpy().astype(np.int64)
+    piece = (np.cumsum(size) - size)[begin] // GROUP_BYTES
+    cuts = np.r_[begin[np.r_[True, piece[1:] != piece[:-1]]], len(gram)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield table.slice(a, b - a)
+
+
 def suffix_sorted(found: DataFrame, length: int) -> DataFrame:
     """`settled` for all groups; a task holds one large group, or some small ones, at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,11 +269,11 @@ def suffix_sorted(found: DataFrame, length: int) -> DataFrame:
                 all_names = table.column(0).to_numpy()
                 cut = int(np.searchsorted(all_names, all_names[-1]))  # the last group may go on
                 if cut:
-                    yield settled(table.slice(0, cut), length)
+                    yield from (settled(t, length) for t in pieces(table.slice(0, cut)))
                     held = table.slice(cut).combine_chunks().to_batches()
                     rows = len(all_names) - cut
         if rows:
-            yield settled(pa.Table.from_batches(held), length)
+            yield from (settled(t, length) for t in pieces(pa.Table.from_batches(held)))
 
     dealt = found.repartition("gram").sortWithinPartitions("gram", "place", "start")
     return dealt.mapInArrow(run, "place bigint, start bigint, count bigint")

@@ -1,5 +1,6 @@
 """Exact p-values of the two-sample statistic against all orders of two small samples."""
 
+import time
 from fractions import Fraction
 from itertools import combinations
 
@@ -55,3 +56,24 @@ def test_small_samples(spark):
 def test_user_drift(spark):
     rows = entry.queries()["user_drift"](spark, SMALL).collect()
     assert len(rows) > 10 and all(0 < r.p_value <= 1 and 0 < r.ks_statistic <= 1 for r in rows)
+
+
+def test_many_features_together():
+    """Features of all lengths in one batch, each with its own share; work that one feature at a time takes minutes for."""
+    sides = [(n, m) for n in range(1, 7) for m in range(1, 6)]
+    rows = [(d, n, m) for n, m in sides for d in range(0, n * m + 2, 3)]
+    got = drift.inside_shares(*np.array(rows).T)
+    for (d, n, m), share in zip(rows, got):
+        assert abs(1 - share - float(brute(d, n, m))) < 1e-12
+    begin = time.perf_counter()
+    many = drift.inside_shares(np.arange(20_000) % 400 + 1, np.full(20_000, 40), np.full(20_000, 35))
+    far = drift.inside_share(9000 * 9000, 9000, 9000)
+    assert time.perf_counter() - begin < 20 and far == 1.0
+    assert many[0] == drift.inside_share(1, 40, 35) and many[399] == drift.inside_share(400, 40, 35)
+
+
+def test_p_values_are_spread(spark):
+    """Few bytes but much work a feature: the p-values must not end up in one task."""
+    rows = spark.range(4000).selectExpr("cast(id % 500 as string) as feature", "cast(id div 500 as double) as value", "id % 3 as a", "id % 2 as b")
+    found = drift.shift_of_counts(rows).withColumn("task", F.spark_partition_id())
+    assert found.select("task").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))

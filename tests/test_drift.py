@@ -59,7 +59,7 @@ def test_user_drift(spark):
 
 
 def test_many_features_together():
-    """Features of all lengths in one batch, each with its own share; work that one feature at a time takes minutes for."""
+    """Features of all lengths in one batch, each with its own share."""
     sides = [(n, m) for n in range(1, 7) for m in range(1, 6)]
     rows = [(d, n, m) for n, m in sides for d in range(0, n * m + 2, 3)]
     got = drift.inside_shares(*np.array(rows).T)

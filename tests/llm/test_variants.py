@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -185,6 +186,18 @@ class TestSuffixDedup:
     def test_empty(self, no_docs):
         assert repeats.drop_repeated_bytes(no_docs).count() == 0
 
+    def test_hashing_holds_little(self):
+        """What the hashing of all strings holds does not grow with the texts of a batch."""
+        rng = np.random.RandomState(4)
+        texts = [rng.randint(97, 123, 2000).astype(np.uint8) for _ in range(2100)] + [rng.randint(97, 123, 4_300_000).astype(np.uint8)]
+        tracemalloc.start()
+        try:
+            for some in repeats.pieces_of(texts, 100):
+                repeats.anchored(some, 100, np.zeros(0, np.uint64))
+            assert tracemalloc.get_traced_memory()[1] < 150e6
+        finally:
+            tracemalloc.stop()
+
     def test_sort(self):
         rng = np.random.RandomState(3)
         data = rng.randint(97, 99, 4000).astype(np.uint8)

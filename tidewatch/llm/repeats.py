@@ -19,7 +19,7 @@ LENGTH = 100
 GRAM = 40
 #: Bytes that are suffix-sorted at a time, about, where groups allow it.
 GROUP_BYTES = 1 << 19
-PIECE_BYTES, BATCH_BYTES = 1 << 21, 1 << 25
+PIECE_BYTES, BATCH_BYTES = 1 << 19, 1 << 25
 #: Anchors with so many different surroundings among at most SAMPLE_DOCS documents are dealt string by string. The
 #: sample decides how the work is dealt, never what is found.
 SAMPLE_DOCS, HOT_CONTEXTS = 50_000, 150

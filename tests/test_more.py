@@ -96,6 +96,31 @@ def test_sessions_stream_equals_batch(spark):
     assert rows(got.select(*names, *means)) == rows(want.select(*names, *means))
 
 
+def test_sessions_stream_serves_flows_in_groups(spark):
+    """A row of state holds the open flows of a group: with three groups there are three at most, and the records are the batch operator's."""
+    from tidewatch.operators import flows
+    base, folder = fresh_path(spark, "packets"), fresh_path(spark, "s")
+    packets = src.packets(spark, SMALL)
+    first, last = packets.agg(F.min("us"), F.max("us")).first()
+    third = F.expr(f"(us - {first}) * 3 div {last - first + 1}")
+    for i in range(3):
+        packets.filter(third == i).coalesce(1).write.parquet(f"{base}/{i}")
+    live = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/*")
+    held = []
+    for _ in range(3):
+        stream = stateful.session_stream(stateful.end_marks(live, f"{folder}/marks"), "event_id", groups=3)
+        query = (stream.writeStream.format("parquet").option("path", f"{folder}/t").option("checkpointLocation", f"{folder}/c")
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+        held += [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
+        stateful.mark_end(live, f"{folder}/marks", f"{2200 + len(held)}-01-01 00:00:00")
+    assert 0 < max(held) <= 3 and held[-1] == 0 and packets.select("ip_src").distinct().count() > 10
+    got = spark.read.schema(stream.schema).parquet(f"{folder}/t")
+    names = ["flow_id", "first_us", "last_us", *stateful.ENDS, *stateful.COUNTS]
+    want = flows.flow_records(packets, ["event_id"])
+    assert rows(got.select(*names)) == rows(want.select(*names))
+
+
 def test_deltas_over_batches(spark):
     base, folder = fresh_path(spark, "snaps"), fresh_path(spark, "d")
     snaps = src.snapshots_from(src.flows(spark, SMALL)).drop("ip_src", "ip_dst", "protocol")

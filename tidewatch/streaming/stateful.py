@@ -1,6 +1,7 @@
 """Per-key state in streams: counter deltas, flow sessions, spacing of alerts.
 
-State is a few numbers per key with an event-time timeout, so idle keys are evicted.
+State is a few numbers per key with an event-time timeout, so idle keys are evicted. Flow sessions keep the open flows of
+a group of flows together, for a call of the update function takes far longer than the few packets of a flow.
 """
 
 from __future__ import annotations
@@ -56,16 +57,22 @@ def delta_stream(snapshots: DataFrame, tie: str, lateness: str = "60 seconds", t
 ENDS = ["ip_src", "ip_dst", "sport", "dport", "protocol"]
 COUNTS = ["packets", "bytes", "packets_reverse", "bytes_reverse", "tcp_syn_count", "tcp_syn_ack_count", "tcp_rst_count", "tcp_fin_count"]
 MEANS = ["tcp_window_avg", "tcp_window_std", "udp_payload_avg", "udp_payload_std", "interarrival_mean", "interarrival_std"]
-OPEN = ("start_us long, part long, last_us long, ip_src string, ip_dst string, sport int, dport int, protocol int, "
-        + ", ".join(f"{c} long" for c in COUNTS) + ", sizes array<double>, gaps array<double>")
+KINDS = ["long", "long", "long", "string", "string", "int", "int", "int", *["long"] * len(COUNTS), "array<double>", "array<double>"]
+#: The open flows of a group: a list of each field.
+OPEN = ", ".join(f"{name} array<{kind}>" for name, kind in zip(
+    ["flow_id", "due_ms", "start_us", "part", "last_us", *ENDS, *COUNTS, "sizes", "gaps"], ["string", "long", *KINDS], strict=True))
+#: Flows are dealt to so many groups; a call of the update function serves one.
+FLOW_GROUPS = 1024
 
 
-def session_stream(packets: DataFrame, tie: str, s: FlowSettings = FlowSettings(), lateness: str = "60 seconds") -> DataFrame:
+def session_stream(packets: DataFrame, tie: str, s: FlowSettings = FlowSettings(), lateness: str = "60 seconds",
+                   groups: int = FLOW_GROUPS) -> DataFrame:
     """Closed flow records of a packet stream, as `operators.flows.flow_records` has them without the derived rates.
 
     The state of a flow is its open record: counters, and the bounded histories of sizes and gaps. A record is emitted
-    when a later packet closes it or when the watermark passes its idle timeout. A micro-batch's packets of one flow are
-    put in order in one place, so bound the input per trigger. Rows of `end_marks` only move the watermark.
+    when a later packet closes it or when the watermark passes its idle timeout. Flows are dealt to `groups` by a hash. A
+    micro-batch's packets of a group are put in order in one place, with the group's open records, so bound the input per
+    trigger and raise `groups` with the number of flows. Rows of `end_marks` only move the watermark.
     """
     tcp = F.col("protocol") == TCP
     flags = F.when(tcp, F.coalesce("tcp_flags", F.lit(0))).otherwise(0)
@@ -74,7 +81,7 @@ def session_stream(packets: DataFrame, tie: str, s: FlowSettings = FlowSettings(
     marked = F.when(F.col("ip_src").isNull() & F.col("ip_dst").isNull() & F.col(tie).isNull(), F.lit("")).otherwise(F.col("flow_id"))
     numbers = [F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in ENDS[2:]]
     from_lo = F.coalesce(F.struct(F.col("ip_src").alias("ip"), F.coalesce("sport", F.lit(0)).alias("port")) == F.col("lo"), F.lit(False))
-    rows = keyed.select(marked.alias("flow_id"), "ts", "us", F.coalesce(tie, F.lit(0)).alias(tie), F.coalesce("ip_src", F.lit("")).alias("ip_src"),
+    rows = keyed.select(F.pmod(F.xxhash64(marked), F.lit(groups)).alias("flow_group"), marked.alias("flow_id"), "ts", "us", F.coalesce(tie, F.lit(0)).alias(tie), F.coalesce("ip_src", F.lit("")).alias("ip_src"),
                         F.coalesce("ip_dst", F.lit("")).alias("ip_dst"), *numbers, F.coalesce("length", F.lit(0)).cast("bigint").alias("length"),
                         flags.cast("int").alias("flags"), F.coalesce(size, F.lit(float("nan"))).alias("size"), from_lo.alias("from_lo"),
                         (flags.bitwiseAND(F.lit(FIN | RST)) != 0).alias("closes"))
@@ -94,44 +101,60 @@ def session_stream(packets: DataFrame, tie: str, s: FlowSettings = FlowSettings(
         return (*earlier[:2], later[2], *earlier[3:8], *added, (list(earlier[16]) + later[16])[-s.size_history:], (list(earlier[17]) + later[17])[-s.gap_history:])
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        held = {r[0]: r[1:] for r in zip(*state.get)} if state.exists else {}
         done: list[tuple] = []
-        if state.hasTimedOut:
-            done.append(record(key[0], state.get))
-            state.remove()
-        elif key[0]:
-            pdf = pd.concat(list(parts)).sort_values(["us", tie])
-            cols = {c: pdf[c].to_numpy() for c in pdf.columns}
-            earlier = state.get if state.exists else None
-            entry = [int(v) for v in earlier[:3]] if earlier else []
-            told = fold.replay(cols, entry)
-            begins = np.flatnonzero(np.r_[True, (np.diff(told["session_us"]) != 0) | (np.diff(told["session_part"]) != 0)])
-            after = fold.follow(fold.summarize(cols), entry)
+        opened: list[tuple] = []
+        pdf = pd.concat(list(parts)) if not state.hasTimedOut else pd.DataFrame({"flow_id": []})
+        pdf = pdf[pdf["flow_id"].notna() & (pdf["flow_id"] != "")]
+        if len(pdf):
+            flow, flows = pd.factorize(pdf["flow_id"])
+            order = np.lexsort((pdf[tie].to_numpy(), pdf["us"].to_numpy(), flow))
+            flow, cols = flow[order], {c: pdf[c].to_numpy()[order] for c in pdf.columns}
+            first = np.flatnonzero(np.r_[True, flow[1:] != flow[:-1]])
+            after, found = [], []
+            for a, z in zip(first, [*first[1:], len(flow)]):
+                some, earlier = {c: cols[c][a:z] for c in fold.inputs}, held.get(flows[flow[a]])
+                entry = [int(v) for v in earlier[1:4]] if earlier else []
+                found.append(fold.replay(some, entry))
+                after.append(fold.follow(fold.summarize(some), entry))
+            told = {c: np.concatenate([x[c] for x in found]) for c in ("session_us", "session_part", "forward", "gap_us")}
+            begins = np.flatnonzero(np.r_[True, (np.diff(flow) != 0) | (np.diff(told["session_us"]) != 0) | (np.diff(told["session_part"]) != 0)])
             forward, flags = told["forward"], cols["flags"]
             counted = [forward, np.where(forward, cols["length"], 0), ~forward, np.where(forward, 0, cols["length"]),
                        *[(flags & mask) == mask for mask in (SYN, SYN_ACK, RST, FIN)]]
             sums = np.array([np.add.reduceat(c.astype(np.int64), begins) for c in counted]).T.tolist()
-            for i, (a, z) in enumerate(zip(begins, [*begins[1:], len(pdf)])):
+            for i, (a, z) in enumerate(zip(begins, [*begins[1:], len(flow)])):
+                name = flows[flow[a]]
                 sizes, gaps = cols["size"][a:z], told["gap_us"][a:z]
                 part = told["session_part"][a] * 2 + int(cols["from_lo"][a])
                 one = (int(told["session_us"][a]), int(part), int(cols["us"][z - 1]), *[cols[c][a] if c.startswith("ip") else int(cols[c][a]) for c in ENDS], *sums[i],
                        sizes[~np.isnan(sizes)][-s.size_history:].tolist(), (gaps[gaps >= 0][-s.gap_history:] / MICROS).tolist())
-                if i == 0 and earlier:
-                    if (one[0], told["session_part"][0]) == (entry[0], entry[1] // 2):
-                        one = joined(earlier, one)
+                earlier = held.pop(name, None)  # the flow's first session here may go on with it
+                if earlier:
+                    if (one[0], told["session_part"][a]) == (int(earlier[1]), int(earlier[2]) // 2):
+                        one = joined(earlier[1:], one)
                     else:
-                        done.append(record(key[0], earlier))
-                if z < len(pdf) or not after:
-                    done.append(record(key[0], one))
+                        done.append(record(name, earlier[1:]))
+                if (z < len(flow) and flow[z] == flow[a]) or not after[flow[a]]:
+                    done.append(record(name, one))
                 else:
-                    state.update(one)
-                    state.setTimeoutTimestamp(max((one[2] + s.idle_seconds * MICROS) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-            if not after and state.exists:
-                state.remove()
+                    opened.append((name, max((one[2] + s.idle_seconds * MICROS) // 1000 + 1, now + 1), *one))
+        for name, r in held.items():
+            if r[0] < now:
+                done.append(record(name, r[1:]))
+            else:
+                opened.append((name, *r))
+        if opened:
+            state.update(tuple(map(list, zip(*opened))))
+            state.setTimeoutTimestamp(max(min(r[1] for r in opened), now + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(done, columns=names)
 
     output = ("flow_id string, first_us long, last_us long, ip_src string, ip_dst string, sport int, dport int, protocol int, "
               + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in MEANS))
-    return rows.groupBy("flow_id").applyInPandasWithState(update, output, OPEN, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("flow_group").applyInPandasWithState(update, output, OPEN, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def end_marks(packets: DataFrame, folder: str) -> DataFrame:

@@ -312,6 +312,17 @@ class TestPassages:
         want = {(0, 30, 60, False), (1, 30, 60, True), (2, 30, 5, False), (3, 50, 5, True), (4, 0, 20, False), (5, 0, 20, True)}
         assert {(r.doc_id, r.start_word, r.n_words, r.removed) for r in got if r.kind == "paragraph"} == want
 
+    def test_texts_hashed_together(self):
+        """A batch of texts gives what each text gives alone."""
+        rng = random.Random(6)
+        texts = [None, "", "\n", "a b", "é " * 40, *["".join(rng.choice(["a ", "b ", "dé ", "\n", "\n\n", "x y z w v "]) for _ in range(n)) for n in (5, 30, 60, 200, 900)] * 3]
+        counts, rows, chosen, starts, keys = passages._units(texts, 4)
+        alone = [passages._units([t], 4) for t in texts]
+        assert counts.tolist() == [n for a in alone for n in a[0]] and chosen.tolist() == [n for a in alone for n in a[2]] and counts.sum() > 100 and chosen.sum() > 30
+        for i, row in enumerate(rows):
+            assert row.tolist() == [x for a in alone for x in a[1][i].tolist()]
+        assert starts.tolist() == [x for a in alone for x in a[3].tolist()] and keys.tolist() == [x for a in alone for x in a[4].tolist()]
+
     def test_bands(self):
         assert 1 - (1 - 0.8**3) ** passages.tuned_bands() >= 0.999 > 1 - (1 - 0.8**3) ** (passages.tuned_bands() - 1)
 

@@ -26,14 +26,16 @@ def growing(df: DataFrame) -> DataFrame:
 
 
 def settled(df: DataFrame, purpose: str) -> DataFrame:
-    """`written`; Spark then removes the shuffle files of the write, which nothing reads any more."""
-    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(name)
-    conf.set(name, "true")
+    """`written`, packed more densely; Spark then removes the shuffle files of the write, which nothing reads any more."""
+    conf, wanted = df.sparkSession.conf, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
+    before = {name: conf.get(name) for name in wanted}
     try:
+        for name, value in wanted.items():
+            conf.set(name, value)
         return written(df, purpose)
     finally:
-        conf.set(name, before)
+        for name, value in before.items():
+            conf.set(name, value)
 
 
 def fresh(df: DataFrame, stem: str) -> str:

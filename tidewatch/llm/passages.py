@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import growing, read_table, settled
 from .components import components
-from .shingles import mixed, segment_min_hashes, window_hashes, words
+from .shingles import mixed, segment_min_hashes, window_hashes, words, words_of
 from .tiles import tiled_members, verified_links
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -23,6 +23,8 @@ LEAST_WORDS = 32
 SURE_WORDS = 50
 #: By so many words a passage is made longer on a side.
 REACH = SURE_WORDS - LEAST_WORDS
+#: Texts are hashed together up to so many characters, about.
+TOGETHER = 1 << 18
 UNIT = "array<struct<start: int, words: int, key: bigint, size: int, bands: array<bigint>>>"
 
 
@@ -45,9 +47,24 @@ def selected(found: np.ndarray, width: int) -> np.ndarray:
     return np.unique(picked)
 
 
-def _paragraphs(text: str, begin: np.ndarray) -> list[np.ndarray]:
+def _selected(found: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """`selected` for the texts whose passages are `found` one text after the other, `sizes` of them each."""
+    width, ends = REACH + 1, np.cumsum(sizes)
+    begin = ends - sizes
+    picked = [begin[i] + selected(found[begin[i]:ends[i]], width) for i in np.flatnonzero((sizes > 0) & (sizes <= width))]
+    if len(found) > width:
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.flatnonzero(text[width - 1:] == text[:len(text) - width + 1])
+        at = at[sizes[text[at]] > width]
+        least = np.lib.stride_tricks.sliding_window_view(found, width)
+        for i in range(0, len(at), 1 << 16):
+            some = at[i:i + (1 << 16)]
+            picked.append(some + width - 1 - np.argmin(least[some][:, ::-1], axis=1))
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *picked]))
+
+
+def _paragraphs(data: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
     """Word ranges [a, b): each line of SHINGLE_WORDS words or more, and each run of two or more lines between blank lines."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     bounds = np.r_[0, np.searchsorted(begin, np.flatnonzero(data == 10)), len(begin)]
     lines = np.stack([bounds[:-1], bounds[1:]], axis=1)
     filled = lines[:, 1] > lines[:, 0]
@@ -79,25 +96,30 @@ def _set_keys(found: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.nda
     size = ranges[:, 1] - ranges[:, 0] - SHINGLE_WORDS + 1
     owner = np.repeat(np.arange(len(ranges)), size)
     values = found[np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(ranges[:, 0], size)]
-    order = np.lexsort((values, owner))
-    owner, values = owner[order], values[order]
-    new = np.r_[True, (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])]
-    owner, values = owner[new], values[new]
-    begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    total = np.add.reduceat(mixed(values ^ np.uint64(0x9E3779B97F4A7C15)), begin)
-    count = np.diff(np.r_[begin, len(owner)])
+    order = np.argsort(values)
+    same = values[order[1:]] == values[order[:-1]]
+    some = order[np.r_[False, same] | np.r_[same, False]]  # only values that come again can do so in one range
+    some = some[np.lexsort((owner[some], values[some]))]
+    once = np.ones(len(values), bool)
+    once[some[1:][(values[some[1:]] == values[some[:-1]]) & (owner[some[1:]] == owner[some[:-1]])]] = False
+    begin = np.cumsum(size) - size
+    total = np.add.reduceat(np.where(once, mixed(values ^ np.uint64(0x9E3779B97F4A7C15)), np.uint64(0)), begin)
+    count = np.add.reduceat(once.astype(np.int64), begin)
     return mixed(total + count.astype(np.uint64)).view(np.int64), count
 
 
-def _units(text: str | None, bands: int) -> tuple[list[tuple], tuple[np.ndarray, np.ndarray]]:
-    """Lines and blocks as arrays (start, words, key, size, bands), and (starts, keys) of the selected passages."""
-    if not text:
-        return [], (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    begin, _, hashes = words(text)
+def _units(texts: list[str | None], bands: int) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the number of lines and blocks; these as arrays (start, words, key, size, bands), text by text; of each
+    text the number of selected passages; their starts and keys. Blank lines between the texts keep them apart."""
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n\n".join(parts), np.uint8)
+    begin, _, hashes = words_of(data)
+    sizes = np.array([len(p) + 2 for p in parts])
+    first = np.searchsorted(begin, np.cumsum(sizes) - sizes)  # word of each text
     found = window_hashes(hashes, SHINGLE_WORDS)
-    both = _paragraphs(text, begin)
-    paragraphs = []
+    both = _paragraphs(data, begin)
     name = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    kinds = [(np.zeros(0, np.int64),) * 5 + (np.zeros((0, bands), np.int64),)]
     for ranges, least in zip(both, _min_hashes(found, *both, bands * BAND_ROWS), strict=True):
         if len(ranges):
             values = least.astype(np.uint64).reshape(len(ranges), bands, BAND_ROWS)
@@ -105,15 +127,21 @@ def _units(text: str | None, bands: int) -> tuple[list[tuple], tuple[np.ndarray,
             for i in range(BAND_ROWS):
                 named = (named ^ values[:, :, i]) * np.uint64(0xD6E8FEB86659FD93)
                 named ^= named >> np.uint64(32)
-            paragraphs.append((ranges[:, 0], ranges[:, 1] - ranges[:, 0], *_set_keys(found, ranges), named.view(np.int64)))
-    passages = window_hashes(hashes, LEAST_WORDS) if len(hashes) >= LEAST_WORDS else hashes[:0]
-    starts = selected(passages, REACH + 1)
-    return paragraphs, (starts, passages[starts].view(np.int64))
+            text = np.searchsorted(first, ranges[:, 0], side="right") - 1
+            kinds.append((text, ranges[:, 0] - first[text], ranges[:, 1] - ranges[:, 0], *_set_keys(found, ranges), named.view(np.int64)))
+    text, *rows = (np.concatenate(x) for x in zip(*kinds, strict=True))
+    order = np.argsort(text, kind="stable")
+    many = np.maximum(np.diff(np.r_[first, len(begin)]) - LEAST_WORDS + 1, 0)  # passages of each text
+    owner = np.repeat(np.arange(len(texts)), many)
+    start = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    passages = window_hashes(hashes, LEAST_WORDS)[first[owner] + start] if len(owner) else hashes[:0]
+    picked = _selected(passages, many)
+    return (np.bincount(text, minlength=len(texts)), tuple(x[order] for x in rows), np.bincount(owner[picked], minlength=len(texts)), start[picked],
+            passages[picked].view(np.int64))
 
 
-def _lists(parts: list[np.ndarray], kind: np.dtype) -> pa.ListArray:
-    """One list of a column for each array."""
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in parts]), pa.int32()), pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind)))
+def _lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), values)
 
 
 def units(docs: DataFrame, bands: int) -> DataFrame:
@@ -124,16 +152,17 @@ def units(docs: DataFrame, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            found = [_units(t, bands) for t in at["text"].to_pylist()]
-            rows = [p for ps, _ in found for p in ps]
-            columns = [np.concatenate([np.zeros(0, k), *[r[i] for r in rows]]).astype(k) for i, k in enumerate((np.int32, np.int32, np.int64, np.int32))]
-            values = np.concatenate([np.zeros((0, bands), np.int64), *[r[4] for r in rows]])
-            banded = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * bands, pa.int32()), pa.array(values.ravel()))
-            flat = pa.StructArray.from_arrays([*map(pa.array, columns), banded], names=names)
-            yield pa.record_batch({
-                "doc_id": at["doc_id"], "text_key": at["text_key"],
-                "paragraphs": pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [sum(len(p[0]) for p in ps) for ps, _ in found]), pa.int32()), flat),
-                "starts": _lists([s for _, (s, _) in found], np.int32), "keys": _lists([k for _, (_, k) in found], np.int64)})
+            texts = at["text"].to_pylist()
+            cut = np.flatnonzero(np.diff(np.cumsum([len(t or "") for t in texts]) // TOGETHER, prepend=0)) if texts else []
+            found = [_units(texts[i:j], bands) for i, j in zip([0, *cut], [*cut, len(texts)], strict=True) if i < j]
+            if not found:
+                continue
+            counts, n_passages, starts, keys = (np.concatenate([f[i] for f in found]) for i in (0, 2, 3, 4))
+            columns = [np.concatenate([f[1][i] for f in found]).astype(k) for i, k in enumerate((np.int32, np.int32, np.int64, np.int32, np.int64))]
+            banded = _lists(np.full(len(columns[0]), bands), pa.array(columns[4].ravel()))
+            flat = pa.StructArray.from_arrays([*map(pa.array, columns[:4]), banded], names=names)
+            yield pa.record_batch({"doc_id": at["doc_id"], "text_key": at["text_key"], "paragraphs": _lists(counts, flat),
+                                   "starts": _lists(n_passages, pa.array(starts.astype(np.int32))), "keys": _lists(n_passages, pa.array(keys))})
 
     rows = docs.withColumn("text_key", F.xxhash64("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, text_key bigint, paragraphs {UNIT}, starts array<int>, keys array<bigint>")

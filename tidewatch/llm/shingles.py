@@ -33,7 +33,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(begin, end, hash) of each word of the whole text, in UTF-8 bytes; A-Z count as a-z."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    return words_of(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
+
+
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`words` of a text in UTF-8."""
     edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]]).view(np.int8)))
     begin, end = edges[::2], edges[1::2]
     if not len(begin):

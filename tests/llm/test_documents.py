@@ -3,13 +3,17 @@
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import pairwise
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.llm import forest, langid, lines, mixing, packing, passages, tiles
-from tidewatch.llm.common import read_table
+from tidewatch.llm import shingles as hashed
+from tidewatch.llm.common import read_table, whole_groups
 from tidewatch.llm.components import components
 
 from ..conftest import SMALL
@@ -253,6 +257,45 @@ class TestPack:
         assert packing.pack_documents(no_docs).count() == 0
 
 
+class TestTiles:
+    def test_pairs_of_many_groups(self):
+        """Sets of small groups, compared together, are linked as each group alone; repeats within a set don't count."""
+        rng = random.Random(5)
+        sets, group = [], []
+        for g in range(60):
+            base = [rng.randrange(300) for _ in range(rng.randrange(1, 40))]
+            for _ in range(rng.randrange(1, hashed.FEW + 1)):
+                sets.append([x if rng.random() < 0.95 else rng.randrange(300) for x in base] + base[:rng.randrange(3)])
+                group.append(g)
+        a, b = hashed.similar_pairs(np.array([x for s in sets for x in s], np.uint64), np.array([len(s) for s in sets]), np.array(group), 80)
+        want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if group[i] == group[j]
+                and 100 * len({*sets[i]} & {*sets[j]}) >= 80 * len({*sets[i]} | {*sets[j]})}
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) == want and len(a) == len(want) > 50
+
+    def test_sets_of_many_texts(self):
+        texts = [None, "", " \n", "a b", "a B c", "é a b c a b c", words(3, 500), words(4, 70_000), "x"] * 2
+        counts, values = hashed.shingle_sets(texts, 3)
+        ends = np.cumsum(counts)
+        assert all(np.array_equal(np.unique(values[e - n:e]), hashed.shingle_set(t, 3)) for t, n, e in zip(texts, counts, ends, strict=True))
+
+    def test_window_hashes(self):
+        """Every length gives the polynomial of the run."""
+        hashes = np.random.RandomState(1).randint(0, 2**63, 80).astype(np.uint64)
+        for n in range(1, 40):
+            total = np.full(81 - n, n, np.uint64)
+            for i in range(n):
+                total = total * np.uint64(0xD6E8FEB86659FD93) + hashes[i:81 - n + i]
+            assert np.array_equal(hashed.window_hashes(hashes, n), hashed.mixed(total))
+
+    def test_whole_groups(self):
+        keys = sorted(random.Random(2).choices(range(40), k=500))
+        for width, size in ((7, 1), (7, 200), (100, 900), (500, 300), (1, 64), (60, 1 << 20)):
+            batches = [pa.record_batch({"key": pa.array(keys[i:i + width], pa.int64())}) for i in range(0, 500, width)]
+            got = [t.column("key").to_pylist() for t in whole_groups(batches, "key", size)]
+            assert [k for t in got for k in t] == keys and all(x[-1] != y[0] for x, y in pairwise(got))
+            assert size != 1 or len(got) == len(set(keys))
+
+
 class TestPassages:
     def test_cases(self, spark, docs):
         got = passages.repeated_passages(docs).collect()
@@ -323,6 +366,53 @@ class TestPassages:
             assert row.tolist() == [x for a in alone for x in a[1][i].tolist()]
         assert starts.tolist() == [x for a in alone for x in a[3].tolist()] and keys.tolist() == [x for a in alone for x in a[4].tolist()]
 
+    @pytest.fixture
+    def surrounded(self, spark):
+        """Runs with own and shared words beside them, null ids, equal rows and a run that comes again in its document."""
+        run, beside = words(500, 50), [words(501 + i, 17) for i in range(3)]
+        rows = [(None if i == 7 else i // 2 * 2 if i > 15 else i, f"{words(600 + i, 20 + i)} {beside[i % 3]} {run} {beside[i % 2]} {words(700 + i, i)}") for i in range(20)]
+        rows += [(30, f"{run} {beside[0]} {run} {beside[0]}"), (31, run), (31, run), (32, f"{beside[1]} {run}"), (33, None)]
+        return spark.createDataFrame(rows, "doc_id long, text string")
+
+    def test_surroundings_in_tasks_and_by_joins(self, surrounded, monkeypatch):
+        """Passages with few and with many places are made longer alike, whichever way is taken for them."""
+        got = []
+        for crowd in (passages.CROWD, 12, 0):
+            monkeypatch.setattr(passages, "CROWD", crowd)
+            got.append(Counter(map(tuple, passages.repeated_passages(surrounded).collect())))
+        assert got[0] == got[1] == got[2] and max(r[3] for r in got[0] if r[1] == "passage") > 50
+
+    def test_tables_of_the_extension(self, surrounded, monkeypatch):
+        """Nothing that is written has a row for each word beside a passage."""
+        rows, settled = {}, passages.settled
+
+        def counted(df, purpose):
+            table = settled(df, purpose)
+            rows[purpose] = table.count()
+            return table
+        monkeypatch.setattr(passages, "settled", counted)
+        passages.repeated_passages(surrounded).collect()
+        assert rows["passage-anchors"] >= 20 and max(rows.values()) <= rows["passage-anchors"]
+
+    def test_shared_lengths(self):
+        """Against a plain version: random words beside places of three passages, several to a document."""
+        rng = random.Random(3)
+        for _ in range(30):
+            places = sorted({(rng.randrange(3), rng.randrange(5), rng.randrange(40)) for _ in range(25)})
+            beside = [[rng.choice([7, 7, 7, 8]) for _ in range(rng.randrange(passages.REACH + 1))] for _ in places]
+            array = pa.array([np.array(b, np.uint64).tobytes() for b in [[1], *beside]], pa.binary())[1:]
+            got = passages._shared_lengths(np.array([p[0] for p in places]), np.array([p[1] for p in places]), array)
+            for i, (p, own) in enumerate(zip(places, beside, strict=True)):
+                groups = [[q for q, b in zip(places, beside, strict=True) if q[0] == p[0] and b[:n] == own[:n] and len(b) >= n] for n in range(1, len(own) + 1)]
+                shared = [(n, g) for n, g in enumerate(groups, 1) if len({q[1] for q in g}) > 1]
+                assert got[0][i] == max([n for n, _ in shared], default=0) and got[1][i] == max([n for n, g in shared if g[0] != p], default=0)
+
+    def test_equal_paragraphs_give_bands_once(self, spark):
+        """Copies of a line in one batch send its bands on once."""
+        docs = spark.createDataFrame([(i, "one line that all of them have") for i in range(50)], "doc_id long, text string").coalesce(1)
+        found = [r.paragraphs[0] for r in passages.units(docs, 4).collect()]
+        assert len(found) == 50 and len({p.key for p in found}) == 1 and [len(p.bands) for p in found] == [4] + [0] * 49
+
     def test_bands(self):
         assert 1 - (1 - 0.8**3) ** passages.tuned_bands() >= 0.999 > 1 - (1 - 0.8**3) ** (passages.tuned_bands() - 1)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +76,31 @@ def grouped_batches(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.
                 held, last, start = [], column[i], i
     if held:
         yield pa.Table.from_batches(held)
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], key: str, size: int) -> Iterator[pa.Table]:
+    """Tables of whole groups of rows with the same `key`, out of batches that are sorted by it: a table ends with the first
+    group that brings it to `size` bytes. Holds one table and one batch at a time."""
+    held: list[pa.RecordBatch] = []
+    much, last = 0, None
+    for batch in batches:
+        start = 0
+        while start < batch.num_rows:
+            column = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)[start:]
+            each = max(1, batch.nbytes // batch.num_rows)
+            if much >= size:
+                some = 0
+            else:  # rows up to the size, and from there to the end of their group
+                some = min(len(column), max(1, -((much - size) // each)))
+                last = column[some - 1]
+            other = np.flatnonzero(column[some:] != last)
+            end = some + int(other[0]) if len(other) else len(column)
+            if end:
+                held.append(batch.slice(start, end))
+                much += end * each
+            if len(other):
+                yield pa.Table.from_batches(held)
+                held, much = [], 0
+            start += end
+    if held:
+        yield pa.Table.from_batches(held)

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import growing, read_table, settled
+from .common import growing, read_table, settled, whole_groups
 from .components import components
-from .shingles import mixed, segment_min_hashes, window_hashes, words, words_of
+from .shingles import TOGETHER, joined_words, mixed, segment_min_hashes, together, window_hashes
 from .tiles import tiled_members, verified_links
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -23,8 +23,8 @@ LEAST_WORDS = 32
 SURE_WORDS = 50
 #: By so many words a passage is made longer on a side.
 REACH = SURE_WORDS - LEAST_WORDS
-#: Texts are hashed together up to so many characters, about.
-TOGETHER = 1 << 18
+#: The surroundings of a passage with more places are compared by joins, those of others within a task.
+CROWD = 1 << 14
 UNIT = "array<struct<start: int, words: int, key: bigint, size: int, bands: array<bigint>>>"
 
 
@@ -33,33 +33,28 @@ def tuned_bands(percent: int = PERCENT, rows: int = BAND_ROWS, recall: float = R
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** rows)))
 
 
-def selected(found: np.ndarray, width: int) -> np.ndarray:
-    """Places of the least hashes (the last of equals) of all runs of `width` in `found`, the hashes of all passages of a
-    text, so equal runs select equal passages."""
-    if not len(found):
-        return np.zeros(0, np.int64)
-    if len(found) <= width:
-        return np.array([len(found) - 1 - int(np.argmin(found[::-1]))])
-    least = np.lib.stride_tricks.sliding_window_view(found, width)
-    picked = np.empty(len(least), np.int64)
-    for i in range(0, len(least), 1 << 16):
-        picked[i:i + (1 << 16)] = i + np.arange(len(least[i:i + (1 << 16)])) + width - 1 - np.argmin(least[i:i + (1 << 16), ::-1], axis=1)
-    return np.unique(picked)
+def _least(found: np.ndarray, width: int) -> np.ndarray:
+    """Places of the least hash (the last of equals) of every run of `width`, by runs of double length."""
+    least, at, size = found, np.arange(len(found)), 1
+    while size < width:
+        step = min(size, width - size)
+        later = least[step:] <= least[:-step]
+        least, at = np.minimum(least[step:], least[:-step]), np.where(later, at[step:], at[:-step])
+        size += step
+    return at
 
 
 def _selected(found: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """`selected` for the texts whose passages are `found` one text after the other, `sizes` of them each."""
+    """Places of the least hashes (the last of equals) of all runs of REACH + 1 in the texts whose passages are `found` one
+    text after the other, `sizes` of them each; equal runs select equal passages. A shorter text is one run."""
     width, ends = REACH + 1, np.cumsum(sizes)
     begin = ends - sizes
-    picked = [begin[i] + selected(found[begin[i]:ends[i]], width) for i in np.flatnonzero((sizes > 0) & (sizes <= width))]
+    few = np.flatnonzero((sizes > 0) & (sizes <= width))
+    picked = [ends[i:i + 1] - 1 - int(np.argmin(found[begin[i]:ends[i]][::-1])) for i in few]
     if len(found) > width:
         text = np.repeat(np.arange(len(sizes)), sizes)
-        at = np.flatnonzero(text[width - 1:] == text[:len(text) - width + 1])
-        at = at[sizes[text[at]] > width]
-        least = np.lib.stride_tricks.sliding_window_view(found, width)
-        for i in range(0, len(at), 1 << 16):
-            some = at[i:i + (1 << 16)]
-            picked.append(some + width - 1 - np.argmin(least[some][:, ::-1], axis=1))
+        at = _least(found, width)[text[width - 1:] == text[:len(text) - width + 1]]
+        picked.append(at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at)
     return np.unique(np.concatenate([np.zeros(0, np.int64), *picked]))
 
 
@@ -91,19 +86,26 @@ def _min_hashes(found: np.ndarray, lines: np.ndarray, blocks: np.ndarray, n: int
     return [np.minimum.reduceat(least, np.searchsorted(cuts, x).T.ravel(), axis=0)[::2] if x.size else least[:0] for x in ends]
 
 
-def _set_keys(found: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a hash, the size) of the set of shingles of each of the disjoint ranges of words."""
-    size = ranges[:, 1] - ranges[:, 0] - SHINGLE_WORDS + 1
-    owner = np.repeat(np.arange(len(ranges)), size)
-    values = found[np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(ranges[:, 0], size)]
+def _seen_before(values: np.ndarray) -> np.ndarray:
+    """For each value the last place before it with the same value, or -1."""
     order = np.argsort(values)
     same = values[order[1:]] == values[order[:-1]]
-    some = order[np.r_[False, same] | np.r_[same, False]]  # only values that come again can do so in one range
-    some = some[np.lexsort((owner[some], values[some]))]
-    once = np.ones(len(values), bool)
-    once[some[1:][(values[some[1:]] == values[some[:-1]]) & (owner[some[1:]] == owner[some[:-1]])]] = False
+    some = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order
+    some = some[np.lexsort((some, values[some]))]
+    before = np.full(len(values), -1)
+    again = values[some[1:]] == values[some[:-1]]
+    before[some[1:][again]] = some[:-1][again]
+    return before
+
+
+def _set_keys(mix: np.ndarray, before: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a hash, the size) of the set of shingles of each of the disjoint ranges of words, from the mixed shingles and
+    `_seen_before` of them."""
+    size = ranges[:, 1] - ranges[:, 0] - SHINGLE_WORDS + 1
     begin = np.cumsum(size) - size
-    total = np.add.reduceat(np.where(once, mixed(values ^ np.uint64(0x9E3779B97F4A7C15)), np.uint64(0)), begin)
+    at = np.arange(int(size.sum())) + np.repeat(ranges[:, 0] - begin, size)
+    once = before[at] < np.repeat(ranges[:, 0], size)
+    total = np.add.reduceat(np.where(once, mix[at], np.uint64(0)), begin)
     count = np.add.reduceat(once.astype(np.int64), begin)
     return mixed(total + count.astype(np.uint64)).view(np.int64), count
 
@@ -111,13 +113,11 @@ def _set_keys(found: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.nda
 def _units(texts: list[str | None], bands: int) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray]:
     """Of each text the number of lines and blocks; these as arrays (start, words, key, size, bands), text by text; of each
     text the number of selected passages; their starts and keys. Blank lines between the texts keep them apart."""
-    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"\n\n".join(parts), np.uint8)
-    begin, _, hashes = words_of(data)
-    sizes = np.array([len(p) + 2 for p in parts])
-    first = np.searchsorted(begin, np.cumsum(sizes) - sizes)  # word of each text
+    data, begin, _, hashes, bounds = joined_words(texts)
+    first = bounds[:-1]
     found = window_hashes(hashes, SHINGLE_WORDS)
-    both = _paragraphs(data, begin)
+    both = _paragraphs(np.frombuffer(data, np.uint8), begin)
+    before, mix = _seen_before(found), mixed(found ^ np.uint64(0x9E3779B97F4A7C15))
     name = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     kinds = [(np.zeros(0, np.int64),) * 5 + (np.zeros((0, bands), np.int64),)]
     for ranges, least in zip(both, _min_hashes(found, *both, bands * BAND_ROWS), strict=True):
@@ -128,7 +128,7 @@ def _units(texts: list[str | None], bands: int) -> tuple[np.ndarray, tuple[np.nd
                 named = (named ^ values[:, :, i]) * np.uint64(0xD6E8FEB86659FD93)
                 named ^= named >> np.uint64(32)
             text = np.searchsorted(first, ranges[:, 0], side="right") - 1
-            kinds.append((text, ranges[:, 0] - first[text], ranges[:, 1] - ranges[:, 0], *_set_keys(found, ranges), named.view(np.int64)))
+            kinds.append((text, ranges[:, 0] - first[text], ranges[:, 1] - ranges[:, 0], *_set_keys(mix, before, ranges), named.view(np.int64)))
     text, *rows = (np.concatenate(x) for x in zip(*kinds, strict=True))
     order = np.argsort(text, kind="stable")
     many = np.maximum(np.diff(np.r_[first, len(begin)]) - LEAST_WORDS + 1, 0)  # passages of each text
@@ -145,7 +145,7 @@ def _lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
 
 
 def units(docs: DataFrame, bands: int) -> DataFrame:
-    """(doc_id, text_key, paragraphs, starts, keys) of rows (doc_id, text)."""
+    """(doc_id, text_key, paragraphs, starts, keys) of rows (doc_id, text). Of equal paragraphs of a batch one has its bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["start", "words", "key", "size", "bands"]
 
@@ -153,13 +153,14 @@ def units(docs: DataFrame, bands: int) -> DataFrame:
         for batch in batches:
             at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             texts = at["text"].to_pylist()
-            cut = np.flatnonzero(np.diff(np.cumsum([len(t or "") for t in texts]) // TOGETHER, prepend=0)) if texts else []
-            found = [_units(texts[i:j], bands) for i, j in zip([0, *cut], [*cut, len(texts)], strict=True) if i < j]
+            found = [_units(texts[i:j], bands) for i, j in together(texts)]
             if not found:
                 continue
             counts, n_passages, starts, keys = (np.concatenate([f[i] for f in found]) for i in (0, 2, 3, 4))
             columns = [np.concatenate([f[1][i] for f in found]).astype(k) for i, k in enumerate((np.int32, np.int32, np.int64, np.int32, np.int64))]
-            banded = _lists(np.full(len(columns[0]), bands), pa.array(columns[4].ravel()))
+            new = np.zeros(len(columns[2]), bool)
+            new[np.unique(columns[2], return_index=True)[1]] = True
+            banded = _lists(np.where(new, bands, 0), pa.array(columns[4][new].ravel()))
             flat = pa.StructArray.from_arrays([*map(pa.array, columns[:4]), banded], names=names)
             yield pa.record_batch({"doc_id": at["doc_id"], "text_key": at["text_key"], "paragraphs": _lists(counts, flat),
                                    "starts": _lists(n_passages, pa.array(starts.astype(np.int32))), "keys": _lists(n_passages, pa.array(keys))})
@@ -168,6 +169,12 @@ def units(docs: DataFrame, bands: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, text_key bigint, paragraphs {UNIT}, starts array<int>, keys array<bigint>")
 
 
+def _pieces(lists: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Where the lists of structs end, from 0, and their fields one list after the other."""
+    ends, values = lists.offsets.to_numpy(), lists.flatten()
+    return ends - ends[0], {f.name: values.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(values.type)}
+
+
 def paragraph_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(tile, block, node, text) of the wanted paragraphs (want_id, want_text, start, words, tile, block, node). A
     document is shipped once for all its paragraphs."""
@@ -177,89 +184,129 @@ def paragraph_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                begin, end, _ = words(text)
-                data = text.encode("utf-8", "surrogatepass")
-                for p in pieces:
-                    a, b = begin[p["start"]], end[p["start"] + p["words"] - 1]
-                    out.append((p["tile"], p["block"], p["node"], data[a:b].decode("utf-8", "surrogatepass")))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string())],
-                                  names=["tile", "block", "node", "text"])
+            texts, ends, fields = batch.column(0).to_pylist(), *_pieces(batch.column(1))
+            for i, j in together(texts):
+                data, begin, end, _, bounds = joined_words(texts[i:j])
+                own = {n: f[ends[i]:ends[j]] for n, f in fields.items()}
+                at = own["start"] + np.repeat(bounds[:-1], np.diff(ends[i:j + 1]))
+                pieces = [data[a:b] for a, b in zip(begin[at].tolist(), end[at + own["words"] - 1].tolist(), strict=True)]
+                yield pa.record_batch({**{n: pa.array(own[n]) for n in ("tile", "block", "node")}, "text": pa.array(pieces, pa.string())})
+
     return rows.mapInArrow(cut, "tile bigint, block int, node bigint, text string")
 
 
 def paragraph_classes(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(key, class) of distinct paragraphs linked to others: those that share a band are joined up, all pairs of such a
     group are tested by exact Jaccard on whole paragraphs, and classes are the components of the links."""
-    nodes = paragraphs.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "start", "words")).alias("named"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    nodes = settled(nodes, "passage-nodes")
-    places = nodes.select("key", F.explode("bands").alias("band"))
-    shared = places.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("hub")).where("n > 1").drop("n")
+    places = paragraphs.select("key", F.explode("bands").alias("band"))
+    shared = places.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub <> last").drop("last")
     edges = places.join(growing(settled(shared, "passage-bands")), "band").select(F.col("hub").alias("a"), F.col("key").alias("b"))
     groups = components(edges)
-    members = groups.join(nodes, F.col("node") == F.col("key")).select("node", F.col("component").alias("group"), F.col("size").cast("long").alias("size"), "named")
-    wanted = tiled_members(members).select("tile", "block", "node", F.col("named.doc_id").alias("want_id"), F.col("named.text_key").alias("want_text"),
+    # a paragraph with bands stands for its copies
+    held = paragraphs.where(F.size("bands") > 0).select("doc_id", "text_key", "start", "words", "key", "size").join(growing(groups), F.col("node") == F.col("key"))
+    members = held.groupBy("node").agg(F.first("component").alias("group"), F.first("size").cast("long").alias("size"),
+                                       F.min(F.struct("doc_id", "text_key", "start", "words")).alias("named"))
+    wanted = tiled_members(settled(members, "passage-members")).select("tile", "block", "node", F.col("named.doc_id").alias("want_id"), F.col("named.text_key").alias("want_text"),
                                            F.col("named.start").alias("start"), F.col("named.words").alias("words"))
     links = settled(verified_links(paragraph_texts(docs, wanted), SHINGLE_WORDS, PERCENT), "passage-links")
     return components(links).select(F.col("node").alias("linked"), F.col("component").alias("class"))
 
 
-def _outward(hashes: np.ndarray, start: np.ndarray, right: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The words beside each passage, from it outward, REACH of them or to the end of the text: (hashes, how many)."""
+def _beside(hashes: np.ndarray, start: np.ndarray, first: np.ndarray, end: np.ndarray, asked: np.ndarray, right: bool) -> pa.Array:
+    """The words beside each passage, from it outward, REACH of them or to the end of its text, as 8 bytes each; none if
+    not asked. `first` and `end` are the bounds of the texts."""
     step = np.arange(1, REACH + 1)
     at = start[:, None] + (LEAST_WORDS - 1 + step if right else -step)
-    inside = (at >= 0) & (at < len(hashes))
-    return hashes[at[inside]], inside.sum(axis=1)
+    inside = (at < end[:, None] if right else at >= first[:, None]) & asked[:, None]
+    bounds = np.r_[0, np.cumsum(inside.sum(axis=1)) * 8].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(hashes[at[inside]].tobytes())])
 
 
 def contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(key, side, whole, near, context, doc_id, text_key, start) of the asked passages (want_id, want_text, pieces): the
-    words beside a passage on one side, if any, as 8 bytes each; `whole` names (key, side, context), `near` its first word."""
+    """(key, crowded, doc_id, text_key, start, left, right) of the asked passages (want_id, want_text, pieces): the words
+    beside a passage on each side that is asked for, from it outward, as 8 bytes each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     same = F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.xxhash64("text") == F.col("want_text"))
     rows = docs.join(growing(asked), same).select("doc_id", F.col("want_text").alias("text_key"), "text", "pieces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
-            ends = lists.offsets.to_numpy()
-            fields = {n: lists.values.field(n).to_numpy(zero_copy_only=False) for n in ("start", "key", "left", "right")}
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                hashes, own = words(text)[2], slice(ends[i], ends[i + 1])
-                for side in ("left", "right"):
-                    some = fields[side][own]
-                    start = fields["start"][own][some].astype(np.int64)
-                    found, size = _outward(hashes, start, side == "right")
-                    has = size > 0
-                    bounds = np.r_[0, np.cumsum(size[has]) * 8].astype(np.int32)
-                    one = pa.array(np.full(int(has.sum()), i))
-                    yield pa.record_batch({
-                        "key": pa.array(fields["key"][own][some][has]), "side": pa.array([side] * len(one), pa.string()),
-                        "context": pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(found.tobytes())]),
-                        "doc_id": batch.column(0).take(one), "text_key": batch.column(1).take(one), "start": pa.array(start[has].astype(np.int32))})
-    found = rows.mapInArrow(run, f"key bigint, side string, context binary, doc_id {kind}, text_key bigint, start int")
-    return found.select("key", "side", F.xxhash64("key", "side", "context").alias("whole"), F.xxhash64("key", "side", F.substring("context", 1, 8)).alias("near"),
-                        "context", "doc_id", "text_key", "start")
+            texts, ends, fields = batch.column(2).to_pylist(), *_pieces(batch.column(3))
+            for i, j in together(texts):
+                *_, hashes, bounds = joined_words(texts[i:j])
+                row = np.repeat(np.arange(i, j), np.diff(ends[i:j + 1]))
+                for k in range(0, len(row), 1 << 15):
+                    some = row[k:k + (1 << 15)]
+                    own = {n: f[ends[i] + k:ends[i] + k + len(some)] for n, f in fields.items()}
+                    first, end = bounds[some - i], bounds[some - i + 1]
+                    sides = {side: _beside(hashes, first + own["start"], first, end, own[side], side == "right") for side in ("left", "right")}
+                    one = pa.array(some)
+                    yield pa.record_batch({"key": pa.array(own["key"]), "crowded": pa.array(own["crowded"]), "doc_id": batch.column(0).take(one),
+                                           "text_key": batch.column(1).take(one), "start": pa.array(own["start"]), **sides})
+    return rows.mapInArrow(run, f"key bigint, crowded boolean, doc_id {kind}, text_key bigint, start int, left binary, right binary")
+
+
+def _shared_lengths(key: np.ndarray, doc: np.ndarray, beside: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of places in their order within each key: with how many words beside them a place of another document goes on, and
+    with how many one does and an earlier place too."""
+    bounds = np.frombuffer(beside.buffers()[1], np.int32)[beside.offset:beside.offset + len(beside) + 1] // 8
+    data = beside.buffers()[2]
+    value, size = np.frombuffer(data, np.uint64) if data is not None else np.zeros(0, np.uint64), np.diff(bounds)
+    most, later = np.zeros(len(key), np.int32), np.zeros(len(key), np.int32)
+    name, rows = mixed(key.view(np.uint64)), np.arange(len(key))
+    for off in range(1, REACH + 1):
+        on = size[rows] >= off
+        rows, name = rows[on], name[on]
+        name = mixed(name * np.uint64(0xD6E8FEB86659FD93) + value[bounds[rows] + off - 1])
+        order = np.argsort(name, kind="stable")
+        begin = np.flatnonzero(np.r_[True, name[order[1:]] != name[order[:-1]]]) if len(order) else order
+        n = np.diff(np.r_[begin, len(order)])
+        lead, last = rows[order[begin]], rows[order[begin + n - 1]]
+        several = doc[lead] != doc[last]
+        kept = np.sort(order[np.repeat(several, n)])
+        rows, name = rows[kept], name[kept]
+        if not len(rows):
+            break
+        most[rows] = off
+        before = later[lead[several]]
+        later[rows] = off
+        later[lead[several]] = before
+    return most, later
+
+
+def _ends_in_tasks(found: DataFrame) -> DataFrame:
+    """`_ends_by_joins` for passages with few places: all places of a passage are compared within a task."""
+    kind = found.schema["doc_id"].dataType.simpleString()
 
-
-def extended(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """`anchors` (doc_id, text_key, start, key, original) with two more columns, left and right: by how many words, up to
-    REACH, the passage can be made longer so that another document has it too and, if it is not an original, an earlier
-    place has it. A side that other passages of the document cover is left as it is.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "key", 1 << 22):
+            key, doc, start = (table.column(c).to_numpy() for c in ("key", "doc", "start"))
+            new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])]  # equal rows of a document
+            if not new.all():
+                table, key, doc = table.filter(pa.array(new)), key[new], doc[new]
+            lengths = {}
+            for side in ("left", "right"):
+                lengths[f"{side}_any"], lengths[f"{side}_later"] = (pa.array(x) for x in _shared_lengths(key, doc, table.column(side).combine_chunks()))
+            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("doc_id", "text_key", "start")), *lengths.values()],
+                                             names=["at_id", "at_text", "at_start", *lengths])
+
+    dealt = found.select("key", F.xxhash64("doc_id", "text_key").alias("doc"), "doc_id", "text_key", "start", "left", "right")
+    dealt = dealt.repartition("key").sortWithinPartitions("key", "doc_id", "text_key", "start")
+    return dealt.mapInArrow(run, f"at_id {kind}, at_text bigint, at_start int, left_any int, left_later int, right_any int, right_later int").where(
+        "left_any > 0 or right_any > 0")
+
+
+def _ends_by_joins(found: DataFrame) -> DataFrame:
+    """(at_id, at_text, at_start, left_any, left_later, right_any, right_later) of the places of `contexts`: how many words
+    beside them another document has too, and as many of which an earlier place is not the place itself.
 
     Places with the same words beside them are one row before the beginnings of these words are compared, and words that
     no other document begins with are not compared further.
     """
-    placed = Window.partitionBy("doc_id", "text_key", "original").orderBy("start")
-    covered = {"left": placed.rangeBetween(-LEAST_WORDS, -REACH), "right": placed.rangeBetween(REACH, LEAST_WORDS)}
-    bare = anchors.select("key", *[(F.count(F.lit(1)).over(w) == 0).alias(side) for side, w in covered.items()])
-    # all places of a passage are needed if one of them is to be made longer
-    needed = settled(bare.groupBy("key").agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left or right"), "passage-ends")
-    pieces = anchors.join(growing(needed), "key").groupBy(F.col("doc_id").alias("want_id"), F.col("text_key").alias("want_text")).agg(
-        F.collect_set(F.struct("start", "key", "left", "right")).alias("pieces"))
-    found = settled(contexts(docs, settled(pieces, "passage-pieces")), "passage-contexts")
+    sided = found.select("key", "doc_id", "text_key", "start", F.explode(F.create_map(*[x for side in ("left", "right") for x in (F.lit(side), F.col(side))])).alias("side", "context"))
+    found = sided.where(F.octet_length("context") > 0).select(
+        "key", "side", F.xxhash64("key", "side", "context").alias("whole"), F.xxhash64("key", "side", F.substring("context", 1, 8)).alias("near"),
+        "context", "doc_id", "text_key", "start")
     place, doc = F.struct("doc_id", "text_key", "start"), F.struct("doc_id", "text_key")
     several = "not (earliest.doc_id <=> last.doc_id and earliest.text_key = last.text_key)"
     distinct = found.groupBy("whole").agg(F.min(place).alias("earliest"), F.max(doc).alias("last"), *[F.first(c).alias(c) for c in ("key", "side", "near", "context")])
@@ -277,8 +324,28 @@ def extended(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     reach = settled(reach.withColumnRenamed("whole", "of"), "passage-reach")
     ends = found.select("whole", "side", "doc_id", "text_key", "start").join(growing(reach), F.col("whole") == F.col("of"))
     later = F.when(place.eqNullSafe(F.col("earliest")), F.col("later")).otherwise(F.col("any"))
-    most = ends.groupBy(F.col("doc_id").alias("at_id"), F.col("text_key").alias("at_text"), F.col("start").alias("at_start")).agg(
+    return ends.groupBy(F.col("doc_id").alias("at_id"), F.col("text_key").alias("at_text"), F.col("start").alias("at_start")).agg(
         *[F.max(F.when(F.col("side") == side, c)).alias(f"{side}_{name}") for side in ("left", "right") for name, c in (("any", F.col("any")), ("later", later))])
+
+
+def extended(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """`anchors` (doc_id, text_key, start, key, original, n: places of the key) with two more columns, left and right: by how
+    many words, up to REACH, the passage can be made longer so that another document has it too and, if it is not an
+    original, an earlier place has it. A side that other passages of the document cover is left as it is."""
+    placed = Window.partitionBy("doc_id", "text_key", "original").orderBy("start")
+    covered = {"left": placed.rangeBetween(-LEAST_WORDS, -REACH), "right": placed.rangeBetween(REACH, LEAST_WORDS)}
+    bare = anchors.select("key", *[(F.count(F.lit(1)).over(w) == 0).alias(side) for side, w in covered.items()])
+    # all places of a passage are needed if one of them is to be made longer
+    needed = settled(bare.groupBy("key").agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left or right"), "passage-ends")
+    crowded = (F.col("n") > CROWD).alias("crowded")
+    pieces = anchors.join(growing(needed), "key").groupBy(F.col("doc_id").alias("want_id"), F.col("text_key").alias("want_text")).agg(
+        F.collect_set(F.struct("start", "key", "left", "right", crowded)).alias("pieces"))
+    found = contexts(docs, settled(pieces, "passage-pieces"))
+    if anchors.where(crowded).isEmpty():
+        most = _ends_in_tasks(found)
+    else:
+        found = settled(found, "passage-contexts")
+        most = _ends_in_tasks(found.where("not crowded")).unionByName(_ends_by_joins(found.where("crowded")))
     same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_text")) & (F.col("start") == F.col("at_start"))
     joined = anchors.join(growing(settled(most, "passage-most")), same, "left")
     return joined.select(*anchors.columns, *[F.coalesce(F.when(F.col("original"), F.col(f"{side}_any")).otherwise(F.col(f"{side}_later")), F.lit(0)).alias(side)
@@ -287,12 +354,12 @@ def extended(docs: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def shared_spans(spans: DataFrame) -> DataFrame:
     """`spans` (doc_id, text_key, start, words, class_id) of the classes that lie in two documents or more, with the
-    place of the first of each class: first_id, first_text, first_start, first_end."""
+    place of the first of each class: first_id, first_text, first_start, first_end; and n, the number of its spans."""
     spread = spans.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_key", "start", (-F.col("words")).alias("less"))).alias("first"),
                                            F.max(F.struct("doc_id", "text_key")).alias("last"), F.count(F.lit(1)).alias("n"))
     several = spread.where("n > 1").where("not (first.doc_id <=> last.doc_id and first.text_key = last.text_key)")
     several = several.select(F.col("class_id").alias("of"), F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_text"),
-                             F.col("first.start").alias("first_start"), F.expr("first.start - first.less").alias("first_end"))
+                             F.col("first.start").alias("first_start"), F.expr("first.start - first.less").alias("first_end"), "n")
     return spans.join(growing(settled(several, "passage-classes")), F.col("class_id") == F.col("of")).drop("of")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,6 +16,10 @@ _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BACK = np.uint64(pow(int(_BASE), -1, 2**64))
 _MIX, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 PIECE = 1 << 20
+#: Texts are hashed together up to so many characters, about.
+TOGETHER = 1 << 18
+#: Groups of so many sets are compared many at a time.
+FEW = 8
 
 
 @lru_cache
@@ -49,15 +54,38 @@ def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, end, mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
+def together(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that are hashed together."""
+    cut = np.flatnonzero(np.diff(np.cumsum([len(t or "") for t in texts]) // TOGETHER, prepend=0)).tolist() if texts else []
+    return ((i, j) for i, j in zip([0, *cut], [*cut, len(texts)], strict=True) if i < j)
+
+
+def joined_words(texts: list[str | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in UTF-8 with blank lines between them, `words` of it all, and the first word of each text and of what
+    would follow."""
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = b"\n\n".join(parts)
+    begin, end, hashes = words_of(np.frombuffer(data, np.uint8))
+    sizes = np.array([len(p) + 2 for p in parts], np.int64)
+    return data, begin, end, hashes, np.searchsorted(begin, np.r_[0, np.cumsum(sizes)])
+
+
 def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     """A hash of every run of `length` words; with fewer words, of the whole sequence as one; none without words."""
     if not len(hashes):
         return hashes
     length = min(length, len(hashes))
-    total = np.full(len(hashes) - length + 1, length, np.uint64)
-    for i in range(length):
-        total = total * _BASE + hashes[i:len(hashes) - length + 1 + i]
-    return mixed(total)
+    # a polynomial of the run, from those of runs of half the length
+    total, size = hashes, 1
+    for bit in bin(length)[3:]:
+        total, size = total[:len(total) - size] * _power(size) + total[size:], 2 * size
+        if bit == "1":
+            total, size = total[:len(total) - 1] * _BASE + hashes[size:], size + 1
+    return mixed(total + np.uint64(length * int(_power(length)) % 2**64))
+
+
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(int(_BASE), n, 2**64))
 
 
 def shingle_set(text: str | None, length: int) -> np.ndarray:
@@ -65,6 +93,24 @@ def shingle_set(text: str | None, length: int) -> np.ndarray:
     return np.unique(window_hashes(words(text)[2], length)) if text else np.zeros(0, np.uint64)
 
 
+def shingle_sets(texts: list[str | None], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of shingles, shingles) of the texts, one text after the other; repeats within a text are still there."""
+    counts, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for i, j in together(texts):
+        *_, hashes, bounds = joined_words(texts[i:j])
+        many = np.diff(bounds)
+        size = np.where(many >= length, many - length + 1, np.minimum(many, 1))
+        at = np.arange(int(size.sum())) + np.repeat(bounds[:-1] - (np.cumsum(size) - size), size)
+        windows = window_hashes(hashes, length)
+        some = windows[np.minimum(at, len(windows) - 1)] if len(at) else hashes[:0]
+        begin = np.cumsum(size) - size
+        for k in np.flatnonzero((many > 0) & (many < length)):
+            some[begin[k]] = window_hashes(hashes[bounds[k]:bounds[k + 1]], length)[0]
+        counts.append(size)
+        found.append(some)
+    return np.concatenate(counts), np.concatenate(found)
+
+
 @lru_cache
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     random = np.random.RandomState(99)
@@ -140,6 +186,32 @@ def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
 
 
+def similar_pairs(values: np.ndarray, counts: np.ndarray, group: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs a < b of one group with 100 * intersection >= percent * union, for sets given as `values` one set after the
+    other (repeats allowed), `counts` of them each; no group has more than FEW sets, which follow each other."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    values = values + group.astype(np.uint64)[owner] * np.uint64(0x9E3779B97F4A7C15)  # of different groups: different
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    if len(values):
+        new = np.r_[True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])]
+        values, owner = values[new], owner[new]
+    size = np.bincount(owner, minlength=len(counts))
+    begin = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else order
+    degree = np.diff(np.r_[begin, len(values)])
+    both = np.zeros(len(counts) * FEW, np.int64)
+    for k in range(2, FEW + 1):
+        at = begin[degree == k]
+        for a in range(k if len(at) else 0):
+            for b in range(a + 1, k):
+                both += np.bincount(owner[at + a] * FEW + owner[at + b] - owner[at + a], minlength=len(both))
+    pair = np.flatnonzero(both)
+    a = pair // FEW
+    b = a + pair % FEW
+    close = 100 * both[pair] >= percent * (size[a] + size[b] - both[pair])
+    return a[close], b[close]
+
+
 def local_components(linked: np.ndarray) -> np.ndarray:
     """For each node the first node of its connected component, from a symmetric matrix."""
     first = np.full(len(linked), -1)
